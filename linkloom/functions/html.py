@@ -94,7 +94,7 @@ def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None
                     columns.append(pa.array([f[1] for f in found], arrow.field("anchors").type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return pages.select(*keep, F.lit(None).cast("string").alias("_base") if base is None else pages[base].alias("_base"), pages[html].cast("string").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.lit(None).cast("string").alias("_base") if base is None else F.col(base).alias("_base_url"), F.col(html).cast("string").alias("_html")).mapInArrow(run, schema)
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -27,8 +27,9 @@ def build_links(feed: DataFrame, as_of: str | Column, status: str = "ARCHIVED_ON
     feed = feed.where((text("source_url") != "") & (text("target_url") != ""))
     names = {"source_url": ("normalized_source_url", "source_hostname"), "target_url": ("normalized_target_url", "normalized_target_hostname")}
     feed = urls.with_normalized(feed, names, unicode)
-    feed = feed.where("normalized_source_url is not null and normalized_target_url is not null")
-    feed = feed.where("source_hostname <> '' and normalized_target_hostname <> ''")
+    good = F.expr("normalized_source_url is not null and normalized_target_url is not null and source_hostname <> '' and normalized_target_hostname <> ''")
+    # a filter would be pushed below the urls' expressions and compute them again; a generator is not
+    feed = feed.select("*", F.explode(F.when(good, F.array(F.lit(1)))).alias("_kept")).drop("_kept")
     made = {
         "normalized_target_domain": urls.registrable_domain(F.col("normalized_target_hostname")),
         "source_domain": urls.registrable_domain(F.col("source_hostname")),
