@@ -17,6 +17,7 @@ times 2**33, and a count.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -41,8 +42,9 @@ PIECES = (
 
 
 class TokenCache(dict):
-    """Text between spaces to its ids as bytes. The tokenizer drops white space and never looks across it, nor
-    from a run of letters to the marks behind it; it ignores case."""
+    """Words of letters, in lower case, to their ids as bytes. The tokenizer drops white space and never looks
+    across it, nor from a run of letters to the marks behind it; it ignores case, and ends each word with a token of
+    its own kind, so many words that are new can be encoded as one text."""
 
     LIMIT = 400_000
 
@@ -52,25 +54,65 @@ class TokenCache(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = "<u2" if (size := self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
+        self.last = np.zeros(size, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.last[number] = token.endswith("</w>")
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.LIMIT:
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self) + len(words) > self.LIMIT:
             self.clear()
-        simple = chunk.isascii() and "<|" not in chunk
-        if simple and (lower := chunk.lower()) != chunk:
-            ids = self[lower]
-        elif simple and len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = self._encode(" ".join(part))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, width = ids.tobytes(), ids.itemsize
+                first = 0
+                for word, end in zip(part, (ends * width).tolist(), strict=True):
+                    self[word] = raw[first:end]
+                    first = end
+            else:  # a tokenizer without such ends
+                self.update((w, self._encode(w).tobytes()) for w in part)
+
+    def chunks(self, found: set[str]) -> dict[str, bytes]:
+        """What stands between spaces to its ids."""
+        plain: dict[str, tuple[str, str]] = {}
+        other = []
+        for chunk in found:
+            # letters below U+0180 have one form and one lower case each, but for one
+            word = chunk.rstrip(string.punctuation)
+            if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
+                plain[chunk] = word.lower(), chunk[len(word) :]
+            else:
+                other.append(chunk)
+        marks = {m: self._encode(m).tobytes() for m in {m for _, m in plain.values()}}
+        new = {w for w, _ in plain.values()}
+        missing = [w for w in new if w not in self]
+        if len(self) + len(missing) > self.LIMIT:
+            missing = list(new)
+        if len(missing) > self.LIMIT:  # more words than are held at once
+            known = {}
+            for at in range(0, len(missing), self.LIMIT):
+                self._learn(missing[at : at + self.LIMIT])
+                known.update((w, self[w]) for w in missing[at : at + self.LIMIT])
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        self[chunk] = ids
-        return ids
+            self._learn(missing)
+            known = self
+        out = {chunk: known[word] + marks[mark] for chunk, (word, mark) in plain.items()}
+        encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []
+        out.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(other, encoded, strict=True))
+        return out
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        found: set[str] = set()
+        found.update(*split)
+        known = self.chunks(found)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 _caches: dict[int, TokenCache] = {}
@@ -92,7 +134,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
     def encode(cols):
         cache = _cache(shared.value)
         last = np.array([end], cache.kind).tobytes()
-        ids = [cache.ids(t) + last for t in cols["text"]]
+        ids = [b + last for b in cache.ids(cols["text"])]
         width = len(last)
         yield {"doc_id": cols["doc_id"], "ids": ids, "n": [len(b) // width for b in ids], "width": [width] * len(ids)}
 
