@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are training documents labelled good; unlabelled are documents of the whole table. On the
-statistics of a text, each cut into ``BINS`` classes at the unlabelled documents' quantiles, an additive model is
+statistics of a text, each cut into at most ``BINS`` classes at the unlabelled documents' quantiles, an additive model is
 fitted that makes the non-negative unbiased risk least: prior * R+(positives) + max(0, R-(unlabelled) - prior *
 R-(positives)). The class prior is estimated by positives' and unlabelled documents' densities over the model's own
 scores: the highest prior that leaves no bin with fewer unlabelled documents than positives explain. Where
@@ -27,6 +27,8 @@ from linkloom.llm.linear import Adam, sigmoid
 from linkloom.llm.stats import NAMES, measured
 
 FIT_ROWS, BINS, KEEP = 20_000, 24, 0.995
+#: Positives for each class at least; with few, classes are wide.
+ROWS_A_BIN = 40
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -34,7 +36,8 @@ class Model:
     """An additive model on binned statistics."""
 
     def __init__(self, positive: np.ndarray, unlabelled: np.ndarray) -> None:
-        self.edges = [np.unique(np.quantile(unlabelled[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(len(NAMES))]
+        bins = int(np.clip(len(positive) // ROWS_A_BIN, 4, BINS))
+        self.edges = [np.unique(np.quantile(unlabelled[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(len(NAMES))]
         self.first = np.cumsum([0, *(len(e) + 1 for e in self.edges)])
         p, u = self._rows(positive), self._rows(unlabelled)
         self.prior = 0.5
