@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +35,26 @@ ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 CHUNK_WORDS = 1 << 20
 #: Entries that one task of the count table holds.
 PART_ENTRIES = 2 << 20
-_KEEP = np.uint64((1 << 48) - 1)
+#: An entry's hash is its place among 256 classes of its part, and this many bytes.
+LOW_BYTES = 5
 
 _hashes = WordHashes()
 CHUNKS = "chunk long, doc_ids array<long>, sizes binary, vocabulary binary, words binary, n long"
 SCORES = "doc_id long, n_words long, score double, log_score double"
 
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    width = 4 if not len(numbers) or numbers.max() < 1 << 32 else 8
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
@@ -53,9 +67,11 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
         number, ids, hashes, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def close() -> pa.RecordBatch:
-            vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
+            vocabulary, words, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            often = np.argsort(-count, kind="stable")  # frequent words get small numbers, which take little room
+            vocabulary, words = vocabulary[often], np.argsort(often)[words]
             sizes = np.array([len(h) for h in hashes], "<u4")
-            row = [number], [ids], [sizes.tobytes()], [vocabulary.tobytes()], [words.astype("<u4").tobytes()], [len(words)]
+            row = [number], [ids], [sizes.tobytes()], [vocabulary.tobytes()], [_squeeze(words)], [len(words)]
             return pa.RecordBatch.from_pydict(dict(zip(arrow.names, row, strict=True)), schema=arrow)
 
         for batch in batches:
@@ -80,7 +96,7 @@ class Chunk:
     def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, order: int) -> None:
         self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
         vocabulary = np.frombuffer(vocabulary, np.uint64)
-        words = np.frombuffer(words, "<u4").astype(np.int64)
+        words = _unsqueeze(words)
         first = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(words)) - np.repeat(first, self.sizes)  # in its text
         h = mix(vocabulary ^ np.uint64(0x5DEECE66D))[words]
@@ -126,12 +142,13 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
                 chunk = Chunk(*body, order)
                 for n in range(order):
                     keys, count = chunk.keys[n], chunk.counts(n)
-                    part = ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-                    ends = np.searchsorted(part, np.arange(parts + 1))
+                    place = ((keys >> np.uint64(32)) * np.uint64(parts * 256) >> np.uint64(32)).astype(np.int64)
+                    ends = np.searchsorted(place, np.arange(parts + 1) * 256)
+                    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
                     for p in np.flatnonzero(np.diff(ends)):
                         own = slice(ends[p], ends[p + 1])
-                        low = (keys[own] & _KEEP).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                        yield _batch(asked_arrow, [(int(p), number, n, low.tobytes(), count[own].astype("<u4").tobytes())])
+                        classes = np.bincount(place[own] - 256 * p, minlength=256).astype("<u4")
+                        yield _batch(asked_arrow, [(int(p), number, n, classes.tobytes() + low[own].tobytes(), _squeeze(count[own]))])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of counts by n-gram, for each entry; rows come sorted by part and order."""
@@ -140,16 +157,17 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
         def answer() -> Iterator[pa.RecordBatch]:
             keys = []
             for _, k, _ in rows:
-                wide = np.zeros((len(k) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
+                low = np.frombuffer(k, np.uint8, offset=1024).reshape(-1, LOW_BYTES)
+                wide = np.zeros((len(low), 8), np.uint8)
+                wide[:, :LOW_BYTES] = low
+                wide[:, LOW_BYTES] = np.repeat(np.arange(256), np.frombuffer(k, "<u4", 256))
                 keys.append(wide.view("<u8").ravel())
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.concatenate([np.frombuffer(c, "<u4") for _, _, c in rows])
+            count = np.concatenate([_unsqueeze(c) for _, _, c in rows])
             sums = np.bincount(at, weights=count).astype(np.int64)[at]
             ends = np.cumsum([len(k) for k in keys])
             for (chunk, _, _), own in zip(rows, np.split(sums, ends[:-1]), strict=True):
-                small = own.astype("<u4" if len(own) and own.max() < 1 << 32 else "<u8")
-                yield _batch(told_arrow, [(chunk, last[1], last[0], small.tobytes() + bytes([small.itemsize]))])
+                yield _batch(told_arrow, [(chunk, last[1], last[0], _squeeze(own))])
 
         for batch in batches:
             for part, chunk, n, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -175,7 +193,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
                 found: list[np.ndarray] = []
                 for n in range(order):
                     own = sorted((a["part"], a["counts"]) for a in row["answers"] or () if a["n"] == n)
-                    parts_ = [np.frombuffer(c[:-1], f"<u{c[-1]}").astype(np.float64) for _, c in own]
+                    parts_ = [_unsqueeze(c).astype(np.float64) for _, c in own]
                     found.append(np.concatenate([*parts_, np.empty(0)])[chunk.at[n]])
                 logs = np.log(found[0] / max(total, 1))
                 for n in range(1, order):
