@@ -73,5 +73,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP1 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+bs AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, n, w[i:i + n - 1] AS g FROM bs), sizes AS (SELECT DISTINCT n FROM bw),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n), dw AS (SELECT doc_id, n, i, w[i:i + n - 1] AS g FROM ds),
+hit AS (SELECT doc_id, i, dw.n AS n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g), places AS (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM places GROUP BY 1), names AS (SELECT DISTINCT doc_id, item FROM hit),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM names GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
+# the data hold no backslashes, so an escape is one before a control string
+_OP8 = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, CASE role WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN '[ANS] ' ELSE '[SYS] ' END ||
+regexp_replace(text, '(\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|\[ANS\]|</s>|\[ROLE:|\[/ROLE\])', '\\\1', 'g') ||
+CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE ' [/SYS]' END || chr(10) AS shown FROM r),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+string_agg(shown, '' ORDER BY turn, role, text) AS formatted FROM f GROUP BY 1)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, length(formatted) AS formatted_chars, formatted FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it within a short time; the others are tested against brute force or held-out labels."""
+    return {"op1_decontaminate": _OP1, "op8_chat_format": _OP8}
