@@ -32,8 +32,8 @@ def upsert(index: DataFrame | None, batch: DataFrame) -> DataFrame:
     """The index with a batch whose ids are its order of arrival; new keys get ids above the index's."""
     if index is None:
         return fold(batch, F.col("id"))
-    top = index.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    later = batch.crossJoin(F.broadcast(top)).withColumn("id", F.col("id") + F.col("top") + 1).drop("top")  # one row
+    top = index.agg(F.max("id")).head()[0] or 0
+    later = batch.withColumn("id", F.col("id") + F.lit(top + 1))
     return fold(index.unionByName(later), F.col("id"))
 
 
@@ -72,10 +72,15 @@ def migrate_legacy(index: DataFrame, legacy: DataFrame, now: str) -> DataFrame:
 
 def integrity(index: DataFrame) -> DataFrame:
     """One row of counts that are zero in a sound index: repeated keys, repeated ids, nulls in key columns."""
-    repeated = index.groupBy(*KEY).count().where("count > 1").agg(F.count("*").alias("repeated_keys"))
-    ids = index.groupBy("id").count().where("count > 1").agg(F.count("*").alias("repeated_ids"))
-    nulls = index.agg(F.count_if(F.greatest(*(F.col(k).isNull() for k in KEY))).alias("null_keys"))
-    return repeated.crossJoin(ids).crossJoin(nulls)  # three rows of one
+    names = ("repeated_keys", "repeated_ids", "null_keys")
+    null = F.greatest(*(F.col(k).isNull() for k in KEY))
+    counts = (
+        index.groupBy(*KEY).count().where("count > 1").agg(F.count("*").alias("n")),
+        index.groupBy("id").count().where("count > 1").agg(F.count("*").alias("n")),
+        index.agg(F.count_if(null).alias("n")),
+    )
+    rows = [c.select(*(F.col("n").alias(x) if k == j else F.lit(0).cast("long").alias(x) for j, x in enumerate(names))) for k, c in enumerate(counts)]
+    return rows[0].union(rows[1]).union(rows[2]).agg(*(F.sum(x).alias(x) for x in names))
 
 
 def upgraded(index: DataFrame) -> DataFrame:
