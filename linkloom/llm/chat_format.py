@@ -119,25 +119,26 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     known = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     slim = slim.join(known, ["tree", "parent"], "left")
     up = F.when(F.col("known") & (F.col("parent") != F.col("node")), F.col("parent"))
-    jumps = [stored(slim.select(*keys, up.alias("up"), F.col("score").alias("total"), F.lit(1).alias("steps")), "jumps")]
+    names = ["tree", "node", "up", "total", "steps"]
+    first = stored(slim.select(*keys, up.alias("up"), F.col("score").alias("total"), F.lit(1).alias("steps")), "jumps")
+    whole, jumps = first.where("up is null"), [first.where("up is not null")]  # at their root, and on their way
     longest = max(1, rows.count())
-    while 1 << (len(jumps) - 1) < longest:  # a circle would go on for ever
+    while 1 << len(jumps) <= 2 * longest and not jumps[-1].isEmpty():  # a circle would go on for ever
         last = jumps[-1]
-        ahead = last.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        if last.where("up is not null").isEmpty():
-            break
-        joined = last.join(ahead, ["tree", "up"], "left")
-        jumps.append(stored(joined.select(*keys, F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "jumps"))
-    whole = jumps[-1].where("up is null")
-    inner = jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+        ahead = last.unionByName(whole).toDF("tree", "up", "up2", "total2", "steps2")
+        joined = last.join(ahead, ["tree", "up"])
+        further = stored(joined.select(*keys, F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps")), "jumps")
+        whole = whole.unionByName(further.where("up is null")).select(*names)
+        jumps.append(further.where("up is not null"))
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct()
     leaves = whole.join(inner, keys, "left_anti").withColumn("mean", F.col("total") / F.col("steps"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "node"))
     leaves = leaves.withColumn("rank", rank)
     if best is not None:
         leaves = leaves.where(F.col("rank") <= best)
     found = stored(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node"), "leaves")
-    for jump in reversed(jumps[:-1] if len(jumps) > 1 else []):
-        above = found.join(jump.where("up is not null").select("tree", "node", "up"), keys)
+    for jump in reversed(jumps):
+        above = found.join(jump.select("tree", "node", "up"), keys)
         found = stored(found.unionByName(above.select("tree", "leaf", "rank", F.col("up").alias("node"))), "leaves")
     depth = whole.select(*keys, F.col("steps").alias("depth"))
     return found.join(depth, keys).join(rows.select(*keys, "role", "text"), keys)
