@@ -43,7 +43,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in _SQL.items()))
+    table = read(spark, sf_dir, "lineitem")
+    wide = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < wide:  # a small file is one task; many tasks share the work on its urls
+        table = table.select(*(c for c in table.columns if c in " ".join(_SQL.values()))).repartition(wide)
+    return table.selectExpr(*(f"{v} AS {k}" for k, v in _SQL.items()))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
