@@ -33,15 +33,16 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGIT = re.compile(r"[0-9]")
 
-#: pattern, prior score, context words
+_EXAMPLE = ("example",)
+_NUMBERS = (*_EXAMPLE, "order", "isbn", "version", "serial")  # what other long numbers are called
+#: pattern, prior score, words that raise it, words that lower it
 _PROPOSED = {
-    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0.7, ("iban", "account", "konto", "cuenta", "compte")),
-    "local_phone": (re.compile(r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"), 0.5, ("phone", "tel", "call", "mobile", "fax", "telefon")),
-    "national_id": (re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"), 0.5, ("ssn", "social security", "passport", "national id")),
-    "secret": (re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_.-]{12,})(?![A-Za-z0-9])"), 0.7, ("key", "secret", "token", "password", "credential")),
+    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0.7, ("iban", "account", "konto", "cuenta", "compte"), _EXAMPLE),
+    "local_phone": (re.compile(r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"), 0.5, ("phone", "tel", "call", "mobile", "fax", "telefon"), _NUMBERS),
+    "national_id": (re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"), 0.5, ("ssn", "social security", "passport", "national id"), _NUMBERS),
+    "secret": (re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_.-]{12,})(?![A-Za-z0-9])"), 0.7, ("key", "secret", "token", "password", "credential"), _EXAMPLE),
 }
 _SECRET_WORDS = ("akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "password", "passwd", "secret", "token", "api_key", "apikey")
-_LOWERS = ("example", "order", "isbn", "version", "serial")
 
 
 def luhn(digits: str) -> bool:
@@ -93,7 +94,7 @@ def more_spans(text: str | None, taken: list[tuple[int, int, str]]) -> list[tupl
     found: list[tuple[int, int, str]] = []
     busy = sorted((a, b) for a, b, _ in taken)
     digits, lower = _DIGIT.search(text) is not None, text.lower()
-    for kind, (pattern, prior, context) in _PROPOSED.items():
+    for kind, (pattern, prior, raises, lowers) in _PROPOSED.items():
         if not (any(w in lower for w in _SECRET_WORDS) if kind == "secret" else digits):
             continue
         for m in pattern.finditer(text):
@@ -101,7 +102,7 @@ def more_spans(text: str | None, taken: list[tuple[int, int, str]]) -> list[tupl
             if kind == "iban" and not mod97(m[0]):
                 continue
             near = text[max(0, a - NEAR) : a].lower()
-            score = prior + 0.3 * any(w in near for w in context) - 0.2 * any(w in near for w in _LOWERS)
+            score = prior + 0.3 * any(w in near for w in raises) - 0.2 * any(w in near for w in lowers)
             k = bisect_left(busy, (b, 0))
             if score >= LEAST and not any(y > a for _, y in busy[max(0, k - 8) : k]):
                 found.append((a, b, kind))
