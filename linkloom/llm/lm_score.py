@@ -205,9 +205,8 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
                     with np.errstate(divide="ignore"):
                         own = np.log(found[n]) - np.log(context)
                     logs = np.where(hit, own, np.log(backoff) + logs)
-                ends = np.cumsum(chunk.sizes)
-                whole = np.r_[0.0, np.cumsum(logs)]
-                summed = whole[ends] - whole[ends - chunk.sizes]
+                text = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
+                summed = np.bincount(text, weights=logs, minlength=len(chunk.sizes))
                 some = chunk.sizes > 0
                 mean = [float(s / n) if n else None for s, n in zip(summed, chunk.sizes, strict=True)]
                 yield _batch(scored_arrow, list(zip(row["doc_ids"], chunk.sizes.tolist(), mean, [float(s) if t else None for s, t in zip(summed, some, strict=True)], strict=True)))

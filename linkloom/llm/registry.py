@@ -39,7 +39,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(documents(spark, sf_dir))
+    scores = lm_score.score(documents(spark, sf_dir))
+    return scores.withColumns({"score": F.round("score", 6), "log_score": F.round("log_score", 4)})  # alike whatever the order of sums
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,25 @@ pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM places GROUP BY 1), names
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM names GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
+_OP3 = f"""WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS text, count(*) AS copies, min(doc_id) AS least FROM documents GROUP BY 1),
+n AS (SELECT row_number() OVER () AS id, text, copies, least, {_WORDS} AS w FROM texts),
+s AS (SELECT DISTINCT id, w[i:i + least(5, len(w)) - 1] AS g FROM (SELECT id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM n WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS size FROM s GROUP BY 1), z AS (SELECT id, g, size FROM s JOIN sizes USING (id)),
+e AS (SELECT a.id AS a, b.id AS b FROM z a JOIN z b ON a.g = b.g AND a.id < b.id AND 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)
+GROUP BY a.id, b.id, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), links AS (SELECT a AS id, sum(copies) AS others FROM pairs JOIN n ON n.id = b GROUP BY 1),
+reach AS (SELECT id, id AS other FROM n UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
+classes AS (SELECT reach.id, min(least) AS class_id, sum(copies) AS class_size FROM reach JOIN n ON n.id = other GROUP BY 1)
+SELECT d.doc_id, class_id, CAST(coalesce(others, 0) + copies - 1 AS BIGINT) AS n_links, CAST(class_size AS BIGINT) AS class_size
+FROM documents d JOIN n ON n.text = coalesce(d.text, '') JOIN classes USING (id) LEFT JOIN links USING (id)"""
+_OP7 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM d), p AS (SELECT r, x, coalesce(lag(x) OVER (PARTITION BY r ORDER BY i), '') AS before FROM t),
+total AS (SELECT count(*) AS words, count(DISTINCT r) AS texts FROM t), one AS (SELECT x, count(*) AS c FROM t GROUP BY 1),
+context AS (SELECT x, c FROM one UNION ALL SELECT '', texts FROM total), two AS (SELECT before, x, count(*) AS c FROM p GROUP BY 1, 2),
+logs AS (SELECT r, CASE WHEN two.c >= 2 THEN ln(two.c) - ln(context.c) ELSE ln(0.4::DOUBLE) + ln(one.c::DOUBLE / words) END AS l
+FROM p JOIN two USING (before, x) JOIN one USING (x) JOIN context ON context.x = p.before, total),
+sums AS (SELECT r, sum(l) AS l FROM logs GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, round(l / len(w), 6) AS score, round(l, 4) AS log_score FROM d LEFT JOIN sums USING (r)"""
 # the data hold no backslashes, so an escape is one before a control string
 _OP8 = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
 SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -97,4 +117,4 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it within a short time; the others are tested against brute force or held-out labels."""
-    return {"op1_decontaminate": _OP1, "op8_chat_format": _OP8}
+    return {"op1_decontaminate": _OP1, "op3_ngram_jaccard_join": _OP3, "op7_lm_score": _OP7, "op8_chat_format": _OP8}
