@@ -34,6 +34,8 @@ WORDS, THRESHOLD = 5, (4, 5)
 TREES, MAX_DEPTH, TARGET = 20, 8, 0.9999
 #: Shingles in a block, each text counting NODE_WEIGHT more.
 BLOCK_WEIGHT, NODE_WEIGHT = 400_000, 400
+#: A node that has more than one in so many rows of a join in the component search is a hub.
+HUBS = 200
 
 _words = WordHashes()
 
@@ -172,23 +174,33 @@ def _groups(columns: list[str], schema: str):
     return run
 
 
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """The n rows (a, b) with the m of their a. least: (a, m, d) with d the number of rows of a, or more. Hubs, fewer
+    than 2 * ``HUBS`` as their d sum up to 2 * n at most, are broadcast, so that no task gets all rows of one."""
+    hub = F.col("d") * HUBS > n
+    hubs, others = least.where(hub).select("a", "m"), least.where(~hub).select("a", "m")
+    cold = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(others, "a")
+    return rows.join(F.broadcast(hubs), "a").unionByName(cold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node that it is connected with. Stars
     shrink alternately, each step by minima that are summed before the shuffle; ends when nothing changes."""
     pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    seen = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
     edges = stored(edges.where("a <> b").select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
+    before = seen(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("d"))
+        large = _with_least(both.where("b > a"), least, before[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a <> b").distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(*pair(F.col("b"), F.col("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
+        small = _with_least(large, least, large.count()).where("b <> m").select(*pair(F.col("b"), F.col("m")))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
         new = stored(small.distinct(), "small")
-        before, after = (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head() for x in (edges, new))
-        edges = new
-        if before == after:
+        edges, last, before = new, before, seen(new)
+        if last == before:
             break
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
