@@ -477,3 +477,12 @@ def frontier_bfs(spark, sf_dir):
         "concat('u', CAST(o_custkey % 300 AS STRING)) AS source", "concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target"
     )
     return verify.crawl(edges, spark.createDataFrame([("u1",)], "url string"), 4)
+
+
+@registered()
+def frontier_bfs_whole(spark, sf_dir):
+    """As frontier_bfs, over all orders; without SQL, and held against a search by hand."""
+    edges = feed.read(spark, sf_dir, "orders").selectExpr(
+        "concat('u', CAST(o_custkey % 300 AS STRING)) AS source", "concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target"
+    )
+    return verify.crawl(edges.distinct(), spark.createDataFrame([("u1",)], "url string"), 4)

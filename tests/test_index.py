@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import build, merge, stats, verify
 from linkloom.operators.search import Search, Target, total_pages
+from linkloom.plans import catalogue
 from linkloom.sources import crawl, files, sinks, warc
 from linkloom.streaming import ingest, jobs
 
@@ -159,6 +160,19 @@ def test_verification(spark):
     assert {(r["target_url"], r["live_backlink_present"]) for r in links} >= {("http://www.t.com/p", 1)}
 
 
+def test_frontier_over_all_orders(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    out = {}
+    for c, o in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        out.setdefault(f"u{c % 300}", set()).add(f"u{o * 7 % 400}")
+    level, edge = {"u1": 0}, {"u1"}
+    for k in range(1, 5):
+        edge = {t for s in edge for t in out.get(s, ())} - level.keys()
+        level |= dict.fromkeys(edge, k)
+    got = catalogue.QUERIES["frontier_bfs_whole"](spark, sf_dir).collect()
+    assert len(got) == len(level) > 300 and {r["url"]: r["level"] for r in got} == level
+
+
 def test_streaming_ingestion_and_jobs(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.jsonl").write_text('{"source_url": "http://a.com/", "target_url": "http://t.com/"}\nbroken\n')
