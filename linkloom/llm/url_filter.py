@@ -7,7 +7,8 @@ lengths that rules have, and joined with the rules by equality, so any number of
 Propagation: hosts are nodes, links between different hosts edges, weighted by their number. Personalised
 PageRank spreads trust along links from the hosts that an allow rule fits; distrust spreads against links, from the
 hosts that a block rule fits to those that link to them. A host that no rule decides is blocked if its share of
-all distrust exceeds ``MARGIN`` times its share of all trust and is at least ``LEAST`` times the mean. Each round
+all distrust exceeds ``MARGIN`` times its share of all trust, however small both are; shares up to ``FLOOR``,
+about what rounding leaves in sums, count as none. Each round
 is a join and a sum by host, summed before the shuffle, in a written table; rounds end when the change is below
 ``TOLERANCE`` or after ``ROUNDS``.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from linkloom.llm._common import stored
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
-MARGIN, LEAST = 1.0, 1.0
+MARGIN, FLOOR = 1.0, 1e-15
 #: The rules of the registered query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -95,7 +96,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     return rank
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, margin: float = MARGIN, floor: float = FLOOR) -> DataFrame:
     """A row for each page: host, path, the rule that fits, and the verdict, the rule's or else its host's."""
     url = F.col("url").cast("string")
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -111,8 +112,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, margin: float = MARGIN, least
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
     distrust = spread(back, seeds("block")).withColumnRenamed("rank", "distrust")
     hosts = trust.join(distrust, "host", "full").select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
-    mean = hosts.agg(F.avg("distrust")).head()[0] or 0.0
-    bad = (F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") >= least * mean)
+    bad = (F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") > floor)
     hosts = stored(hosts.where(bad).select("host", F.lit("block").alias("spread")), "hosts")
     out = urls.join(fits, ["host", "path"], "left").join(hosts, "host", "left")
     verdict = F.coalesce("action", "spread", F.lit("allow"))

@@ -188,6 +188,20 @@ def test_url_rules_and_spread(spark):
     assert url_filter.url_filter(frame_.limit(0), url_filter.rule_table(spark, [])).count() == 0
 
 
+def test_distrust_of_small_hosts(spark):
+    hot = [(k, f"http://hot.net/{k}", None) for k in range(60)]
+    small = [(100 + k, f"http://s{k // 2}.com/{'bad' if k % 2 else 'other'}/", None) for k in range(40)]
+    farms = [(200 + k, f"http://farm{k}.org/", '<a href="http://hot.net/1">') for k in range(50)]
+    rules = url_filter.rule_table(spark, [("hot.net/", "block"), ("com/bad/", "block"), ("good.io/", "allow")])
+    pages = [*hot, *small, *farms, (300, "http://good.io/", '<a href="http://friend.io/">'), (301, "http://friend.io/", None), (302, "http://alone.io/", None)]
+    got = url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "allow"} == {300, 301, 302}
+    # and without a hot host: farms around one blocked host
+    pages = [(0, "http://hot.net/", None), *farms, *pages[-3:]]
+    got = url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "allow"} == {300, 301, 302}
+
+
 def labelled(kind):
     rng = random.Random(6)
     rows, marks = [], []
