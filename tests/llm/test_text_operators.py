@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from linkloom.llm import decontaminate, pii, quality_rules, stats
@@ -104,6 +105,21 @@ def test_quality_rules(spark):
     assert empty.count() == 0
 
 
+def test_few_labels_on_many_documents(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(40, 80)))
+    rows = [(k, t if k % 5 else t.upper().replace(" ", "!!### "), "en", None, 1, "k") for k, t in ((k, text()) for k in range(3000))]
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = [(k, int(k % 5 > 0)) for k in range(500)] + [(k, 1) for k in range(10_000, 30_000)]
+    labels = spark.createDataFrame([*marks, (None, 1)], "doc_id long, quality int")
+    own = docs.select("doc_id", "text")
+    forest, limit = quality_rules.fitted(own, labels, fit_rows=30, label_rows=600)
+    assert np.isfinite(limit) and forest.size == quality_rules.SAMPLE
+    _, x = quality_rules.measured([r[1] for r in rows])
+    caught = forest.score(x) > limit
+    assert caught[::5].mean() > 0.9 and caught.mean() < 0.22
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
