@@ -6,7 +6,8 @@ abstains on others. Votes are gathered on at most ``MODEL_ROWS`` documents, labe
 fitted by expectation and maximisation without labels, from the voters' mined accuracies on: it estimates each
 voter's rate of voting on toxic and on other documents, and the correlation of voters given the class, by which
 those that repeat each other share one vote. Its posteriors train a linear classifier on the presence of words and
-beginnings, which scores every whole text. The bias is set on the training labels, so that 0.5 parts them best.
+beginnings, which scores every whole text. The bias is set on the labelled training documents that were mined, however
+many documents there are, so that 0.5 parts them best.
 
 Labels come from the rows that the caller names as training rows; labels, lang, source and ids are no inputs.
 
@@ -125,7 +126,7 @@ def fitted(docs: DataFrame, labels: DataFrame):
         yield {"has": [sorted(k for k in map(get, features(t)) if k is not None) for t in cols["text"]], "toxic": cols["toxic"]}
 
     sample = docs.where(sampled(F.concat(F.coalesce("doc_id", F.lit(0)).cast("string"), F.lit("m")), MODEL_ROWS / max(1, n_docs)))
-    sample = sample.join(marks, "doc_id", "left").select("text", "toxic")
+    sample = sample.select("text", F.lit(None).cast("int").alias("toxic"))
     rows = map_batches(sample, found, "has array<int>, toxic int").limit(2 * MODEL_ROWS).collect()
     has = [np.array(r[0], np.int64) for r in rows]
     place = np.full(len(names), -1)
@@ -134,10 +135,9 @@ def fitted(docs: DataFrame, labels: DataFrame):
     post = label_model(votes, p[voters], q[voters], toxic / (toxic + clean))
     data = Rows(has, len(names))
     weights, bias = logistic(data, post, np.ones(len(has)))
-    known = np.array([k for k, r in enumerate(rows) if r[1] is not None], np.int64)
-    if len(known):
-        bias -= _cut(data.dot(weights)[known] + bias, np.array([rows[k][1] > 0 for k in known]))
-    return number, weights, bias
+    known = map_batches(train, found, "has array<int>, toxic int").limit(2 * MINE_ROWS).collect()
+    z = Rows([np.array(r[0], np.int64) for r in known], len(names)).dot(weights) + bias
+    return number, weights, bias - _cut(z, np.array([r[1] > 0 for r in known]))
 
 
 def _cut(z: np.ndarray, true: np.ndarray) -> float:

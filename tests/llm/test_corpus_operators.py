@@ -231,6 +231,19 @@ def test_classifiers_on_held_out_labels(spark, kind, run, folds, held):
     assert run(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_cut_does_not_depend_on_the_document_sample(spark, monkeypatch):
+    rows, marks = labelled("toxic")
+    few, truth = marks[:450], dict(marks)
+    docs, labels = frame(spark, rows), spark.createDataFrame(few, "doc_id long, toxic int")
+    seen, cut = [], toxicity._cut
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 100)
+    monkeypatch.setattr(toxicity, "_cut", lambda z, true: seen.append((len(true), int(true.sum()))) or cut(z, true))
+    number, weights, bias = toxicity.fitted(docs.select("doc_id", "text"), labels)
+    assert seen == [(len(few) + 1, sum(v for _, v in few))]  # row 1 is there twice
+    right = [(bias + sum(weights[number[x]] for x in toxicity.features(t) if x in number) >= 0) == truth[i] for i, t in rows[450:900]]
+    assert np.mean(right) > 0.97
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
