@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters: words and word beginnings (lexicons), and shapes of texts (patterns), mined from at most ``MINE_ROWS``
-labelled training documents as those that tell toxic ones apart; each votes on the documents that have it and
+labelled training documents, equal texts once, as those that tell toxic ones apart; each votes on the documents that have it and
 abstains on others. Votes are gathered on at most ``MODEL_ROWS`` documents, labelled or not. The label model is
 fitted by expectation and maximisation without labels, from the voters' mined accuracies on: it estimates each
 voter's rate of voting on toxic and on other documents, and the correlation of voters given the class, by which
@@ -29,8 +29,6 @@ from linkloom.llm.linear import Rows, logistic, sigmoid
 
 MINE_ROWS, MODEL_ROWS = 20_000, 20_000
 VOTERS, FEATURES, LEAST_ROWS, LEAST_GAIN = 400, 4000, 5, 4.0
-#: Share of its class's rows that a feature has at least.
-SUPPORT = 0.02
 BEGINNINGS = (4, 5, 6)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -54,7 +52,7 @@ def features(text: str | None) -> set[str]:
 
 
 def mined(train: DataFrame, toxic: int, clean: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The features that tell most: names, rates among toxic and among clean training rows."""
+    """The features that tell most: names, rates among toxic and among clean training texts."""
 
     def tally(cols):
         counts = Counter(), Counter()
@@ -65,7 +63,6 @@ def mined(train: DataFrame, toxic: int, clean: int) -> tuple[list[str], np.ndarr
 
     found = map_batches(train, tally, "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     p, q = F.col("t") / toxic, F.col("c") / clean
-    found = found.where(F.greatest(F.col("t") / toxic, F.col("c") / clean) >= SUPPORT)  # not a group of copies
     found = found.where((F.col("t") + F.col("c") >= LEAST_ROWS) & (F.col("t") + F.col("c") < 0.9 * (toxic + clean)))
     gain = F.abs(p - q) / F.sqrt((p + q) * (1 / toxic + 1 / clean) / 2 + 1e-12)
     rows = found.where(gain >= LEAST_GAIN).orderBy(gain.desc(), "name").limit(FEATURES).collect()
@@ -112,11 +109,12 @@ def fitted(docs: DataFrame, labels: DataFrame):
     marks = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n_docs, n_labels = docs.count(), marks.count()
     train = docs.where(sampled(F.col("doc_id"), MINE_ROWS / max(1, n_labels))).join(marks, "doc_id").select("text", "toxic")
-    counts = dict(train.groupBy(F.col("toxic") > 0).count().collect())
+    texts = train.groupBy("text").agg(F.max("toxic").alias("toxic"))  # a group of copies counts once
+    counts = dict(texts.groupBy(F.col("toxic") > 0).count().collect())
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     if not toxic or not clean:
         return None
-    names, p, q = mined(train, toxic, clean)
+    names, p, q = mined(texts, toxic, clean)
     number = {x: k for k, x in enumerate(names)}
     voters = [k for k in range(len(names)) if p[k] > 5 * q[k]][:VOTERS]
     shared = docs.sparkSession.sparkContext.broadcast(number)

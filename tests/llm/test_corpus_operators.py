@@ -244,6 +244,19 @@ def test_toxicity_cut_does_not_depend_on_the_document_sample(spark, monkeypatch)
     assert np.mean(right) > 0.97
 
 
+def test_rare_toxic_terms_are_mined(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
+    terms = ["".join(rng.choice("zqxjkvwy") for _ in range(7)) for _ in range(80)]  # each in 15 of 1200 toxic texts
+    rows = [(k, " ".join([*(word() for _ in range(20)), *([terms[k % 80]] if k < 1200 else [])])) for k in range(4000)]
+    copies = [(10_000 + k, "once copied often") for k in range(300)]
+    docs = frame(spark, rows + copies).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, int(i < 1200 or i >= 10_000)) for i, _ in rows + copies], "doc_id long, toxic int")
+    number, weights, bias = toxicity.fitted(docs, labels)
+    assert set(terms) <= number.keys() and not {"copied", "often"} & number.keys()
+    assert all(bias + weights[number[t]] > bias for t in terms)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
