@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest over shingles of five words, then exact verification.
+"""N-gram Jaccard join: MinHash banding over shingles of five words, then exact verification.
 
-Each different text gets a label in each of ``TREES`` prefix tries: a sequence of minhash values. Texts whose
-labels in some trie share a prefix are candidates. Prefixes are shortened from ``MAX_DEPTH`` values on, one by
-one, until the recall that a pair at exactly the threshold then has over all tries reaches ``TARGET``. In a
-trie, the texts under one prefix are a group; a pair counts in the first trie that has it under one prefix, so a
+Each different text gets a label in each of ``TREES`` bands (called tries here): a hash of so many minhash values.
+Texts with an equal label in some band are candidates. The number of values is fixed before any data are seen: the
+most, up to ``MAX_DEPTH``, at which a pair at exactly the threshold is found with probability ``TARGET`` over all
+bands, which is 4; labels are not sorted and nothing is shortened on the data. In a
+trie, the texts with one label are a group; a pair counts in the first trie that has it under one label, so a
 group all of whose texts already meet in an earlier trie is left out. Within a group all pairs are verified on
 their exact shingle sets, by set intersection or a product of membership matrices. A group beyond
 ``BLOCK_WEIGHT`` is dealt out as pairs of blocks, each a bounded task; no pair leaves its task, only a text's
