@@ -202,6 +202,13 @@ def test_distrust_of_small_hosts(spark):
     assert {r["page_id"] for r in got if r["verdict"] == "allow"} == {300, 301, 302}
 
 
+def test_rules_of_any_number_of_lengths(spark):
+    rules = url_filter.rule_table(spark, [("a.com/" + "x" * k, "block") for k in range(4200)])
+    urls = spark.createDataFrame([("www.a.com", "/" + "x" * k) for k in range(4190, 4200)], "host string, path string")
+    assert {len(r["rule"]) - len("a.com/") for r in url_filter.decided(urls, rules).collect()} == set(range(4190, 4200))
+    assert url_filter.ROUNDS >= np.log(url_filter.TOLERANCE / 2) / np.log(url_filter.DAMPING)  # ends by its tolerance
+
+
 def labelled(kind):
     rng = random.Random(6)
     rows, marks = [], []
