@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ ITEM_WORDS = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20
     for c in range(256)
 )
-#: Rows in a batch that a Python worker handles at once.
-BATCH_ROWS = 2000
+#: Rows, and bytes of its columns, in a batch that a Python worker handles at once; a larger row is a batch alone.
+BATCH_ROWS, BATCH_BYTES = 2000, 6 << 20
 
 
 def utf8(text: str | None) -> bytes:
@@ -67,14 +68,43 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def slices(batch: pa.RecordBatch, *columns: str | int) -> Iterator[pa.RecordBatch]:
+    """The batch in order, in parts of at most ``BATCH_ROWS`` rows and, but for single rows, ``BATCH_BYTES`` bytes of
+    these columns, or of all that have a length."""
+    size = np.zeros(batch.num_rows + 1, np.int64)
+    for c in columns or range(batch.num_columns):
+        column = batch.column(c)
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size[1:] += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    size = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, size[at] + BATCH_BYTES, "right")) - 1
+        end = min(max(end, at + 1), at + BATCH_ROWS)
+        part = batch.slice(at, end - at)
+        at = end
+        yield part
+
+
+_kept: dict[object, object] = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker from task to task, such as a table of words it has seen. Only the last
+    operator's is kept, so a worker that serves many holds one."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterator[dict]], schema: str) -> DataFrame:
     """Runs fn over small batches of df's rows as lists by column; fn yields columns of results."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in slices(batch):
                 for out in fn(dict(zip(part.schema.names, (c.to_pylist() for c in part.columns), strict=True))):
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
@@ -92,8 +122,7 @@ def edit_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
+            for part in slices(batch):
                 keep, new = fn(part.column(at).to_pylist())
                 columns = [
                     pa.array(new[f.name], f.type) if f.name in new else part.column(i).cast(f.type)

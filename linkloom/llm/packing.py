@@ -16,21 +16,23 @@ times 2**33, and a count.
 
 from __future__ import annotations
 
+import json
 import os
-import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from linkloom.llm._common import map_batches, stored
+from linkloom.llm._common import kept_in_worker, slices, stored
 
 WINDOW, END = 4096, 2
 CLASSES, DEPTH = 32, 6
@@ -41,105 +43,183 @@ PIECES = (
 )
 
 
-class TokenCache(dict):
-    """Words of letters, in lower case, to their ids as bytes. The tokenizer drops white space and never looks
-    across it, nor from a run of letters to the marks behind it; it ignores case, and ends each word with a token of
-    its own kind, so many words that are new can be encoded as one text."""
-
+#: A chunk of letters below U+0180, each with one lower case and its own normal form, and of marks behind them.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = rf"^(?P<word>[{_LETTERS}]+)(?P<marks>[!-/:-@\[-`{{-~]*)$"
+# fixed values: how a tokenizer must be defined for its texts to be cut at spaces and its words to be encoded apart
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_WORDS = [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _by_word(definition: dict) -> bool:
+    """Whether the tokenizer drops white space, never looks across it, ignores case and encodes each of the words
+    that ``_SPLIT`` finds alone, by merges of bytes up to a last token with an ending of its own."""
+    model, steps = definition["model"], definition.get("normalizer") or {}
+    return (
+        steps.get("normalizers") == _NORMAL
+        and (definition.get("pre_tokenizer") or {}).get("pretokenizers") == _WORDS
+        and model["type"] == "BPE"
+        and bool(model.get("end_of_word_suffix"))
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+        and not any(definition.get(k) for k in ("truncation", "padding"))
+        and all(t["special"] and t["content"].startswith("<|") for t in definition["added_tokens"])
+    )
+
+
+def _byte_letters() -> np.ndarray:
+    """By byte the letter that stands for it in a byte-level vocabulary: itself if it can be shown, else the next
+    from U+0100 on. The space stays, as words are parted by it."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    letters, following = np.arange(256, dtype="<u2"), 0x100
+    for b in range(256):
+        if b not in shown:
+            letters[b], following = following, following + 1
+    letters[0x20] = 0x20
+    return letters
+
+
+class Encoder:
+    """Texts to ids, a batch at a time. A chunk is what stands between two spaces; where the definition allows it,
+    a batch's different chunks are looked up in a table that the worker keeps, the words of new ones are encoded many at
+    a time, and the batch's ids are gathered from the table. Other tokenizers encode whole texts."""
+
+    #: Chunks that the table holds, or those of one batch if these are more; about 40 bytes each.
     LIMIT = 400_000
+    #: Words that are encoded as one text.
+    GROUP = 200
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.kind = "<u2" if (size := self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
-        self.last = np.zeros(size, bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.last[number] = token.endswith("</w>")
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self) + len(words) > self.LIMIT:
-            self.clear()
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = self._encode(" ".join(part))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                raw, width = ids.tobytes(), ids.itemsize
-                first = 0
-                for word, end in zip(part, (ends * width).tolist(), strict=True):
-                    self[word] = raw[first:end]
-                    first = end
-            else:  # a tokenizer without such ends
-                self.update((w, self._encode(w).tobytes()) for w in part)
-
-    def chunks(self, found: set[str]) -> dict[str, bytes]:
-        """What stands between spaces to its ids."""
-        plain: dict[str, tuple[str, str]] = {}
-        other = []
-        for chunk in found:
-            # letters below U+0180 have one form and one lower case each, but for one
-            word = chunk.rstrip(string.punctuation)
-            if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
-                plain[chunk] = word.lower(), chunk[len(word) :]
-            else:
-                other.append(chunk)
-        marks = {m: self._encode(m).tobytes() for m in {m for _, m in plain.values()}}
-        new = {w for w, _ in plain.values()}
-        missing = [w for w in new if w not in self]
-        if len(self) + len(missing) > self.LIMIT:
-            missing = list(new)
-        if len(missing) > self.LIMIT:  # more words than are held at once
-            known = {}
-            for at in range(0, len(missing), self.LIMIT):
-                self._learn(missing[at : at + self.LIMIT])
-                known.update((w, self[w]) for w in missing[at : at + self.LIMIT])
-        else:
-            self._learn(missing)
-            known = self
-        out = {chunk: known[word] + marks[mark] for chunk, (word, mark) in plain.items()}
-        encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []
-        out.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(other, encoded, strict=True))
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        found: set[str] = set()
-        found.update(*split)
-        known = self.chunks(found)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-
-_caches: dict[int, TokenCache] = {}
-
-
-def _cache(definition: str) -> TokenCache:
-    """One for each tokenizer and worker; a worker that is used again still knows its words."""
-    key = hash(definition)
-    if key not in _caches:
-        _caches[key] = TokenCache(definition)
-    return _caches[key]
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        self.kind = np.dtype("<u2" if (size := self.whole.get_vocab_size()) <= 1 << 16 else "<u4")
+        self.words = None
+        if _by_word(parts):
+            model, suffix = parts["model"], parts["model"]["end_of_word_suffix"]
+            merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+            bare = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0)
+            self.words = Tokenizer(bare)
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.letters = _byte_letters()
+            self.last = np.zeros(size, bool)
+            for token, number in model["vocab"].items():
+                self.last[number] = token.endswith(suffix)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat = np.empty(0, self.kind)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and the number of them, of words without spaces."""
+        length = pc.binary_length(words).to_numpy()
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_buffer()
+        shown = self.letters[np.frombuffer(text, np.uint8)]
+        edges = np.r_[0, np.cumsum(length + 1)][:: self.GROUP].tolist() + [len(shown) + 1]
+        groups = [shown[a : b - 1].tobytes().decode("utf-16-le") for a, b in pairwise(edges)]
+        ids = []
+        for k in range(0, len(groups), 100):
+            found = self.words.encode_batch_fast(groups[k : k + 100], add_special_tokens=False)
+            ids.append(np.fromiter(chain.from_iterable(e.ids for e in found), self.kind))
+        ids = np.concatenate([*ids, np.empty(0, self.kind)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not end each word with a token of its own")
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, chunks: pa.Array) -> None:
+        """Puts new chunks in the table: a word and marks each, or what the whole tokenizer makes of them."""
+        parts = pc.extract_regex(chunks, _PLAIN)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        parts = parts.filter(pa.array(plain))
+        words = pc.utf8_lower(parts.field("word")).dictionary_encode()
+        marks = parts.field("marks").dictionary_encode()
+        some = pc.not_equal(marks.dictionary, "")
+        ids, count = self._encoded(pa.concat_arrays([words.dictionary, marks.dictionary.filter(some)]))
+        others = chunks.filter(pa.array(~plain)).to_pylist()
+        found = [e.ids for e in self.whole.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), self.kind)])
+        count = np.concatenate([count, np.fromiter(map(len, found), np.int64, len(found)), [0]])
+        some = some.to_numpy(zero_copy_only=False)
+        mark = np.where(some, len(words.dictionary) + np.cumsum(some) - 1, len(count) - 1)
+        part = np.full((len(chunks), 2), len(count) - 1)
+        part[plain, 0] = words.indices.to_numpy()
+        part[plain, 1] = mark[marks.indices.to_numpy()]
+        part[~plain, 0] = len(count) - 1 - len(others) + np.arange(len(others))
+        own, n = _gathered(ids, np.cumsum(count) - count, count, part.ravel())
+        n = n.reshape(-1, 2).sum(1)
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
+        self.count = np.concatenate([self.count, n.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, own])
+
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        at = pc.index_in(chunks, value_set=self.known)
+        new = chunks.filter(pc.is_null(at))
+        if not len(new):
+            return at.to_numpy()
+        if len(self.known) + len(new) > self.LIMIT:
+            self._forget()
+            self._learn(chunks)
+            return np.arange(len(chunks))
+        at, before = pc.fill_null(at, -1).to_numpy().copy(), len(self.known)
+        self._learn(new)
+        at[at < 0] = before + np.arange(len(new))
+        return at
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids end to end, and each text's number of them; null is the empty text."""
+        texts = pc.fill_null(texts, "")
+        if self.words is None:
+            found = [e.ids for e in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), self.kind), np.array([len(x) for x in found], np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        codes = split.flatten().dictionary_encode()
+        at = self._places(codes.dictionary)[codes.indices.to_numpy()]
+        ids, n = _gathered(self.flat, self.first, self.count, at)
+        ends = np.r_[0, np.cumsum(n)][np.cumsum(pc.list_value_length(split).to_numpy())]
+        return ids, np.diff(ends, prepend=0)
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[first[k] : first[k] + count[k]]`` for each k of at, end to end, and their lengths."""
+    n = count[at]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - ends + n, n)], n
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
-    """doc_id, ids (little-endian, two or four bytes each, with the end id), n."""
+    """doc_id, ids (little-endian, two or four bytes each, with the end id), n, width."""
     with open(tokenizer_path, encoding="utf-8") as f:  # a file of the driver's machine, of a few MB
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    schema = "doc_id long, ids binary, n long, width int"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def encode(cols):
-        cache = _cache(shared.value)
-        last = np.array([end], cache.kind).tobytes()
-        ids = [b + last for b in cache.ids(cols["text"])]
-        width = len(last)
-        yield {"doc_id": cols["doc_id"], "ids": ids, "n": [len(b) // width for b in ids], "width": [width] * len(ids)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept_in_worker(("encoder", hash(shared.value)), lambda: Encoder(shared.value))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, n = encoder.ids(part.column("text"))
+                ids = np.insert(ids, np.cumsum(n), np.array(end, ids.dtype))
+                n, width = n + 1, ids.itemsize
+                edges = np.r_[0, np.cumsum(n * width)].astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                columns = [part.column("doc_id"), binary, pa.array(n), pa.array(np.full(len(n), width, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(docs, encode, "doc_id long, ids binary, n long, width int")
+    return docs.mapInArrow(run, schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 500) -> np.ndarray:
