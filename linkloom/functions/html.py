@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,67 +18,96 @@ from linkloom.functions.links import classify_rel
 LINK = "struct<position:int,href:string,rel:string,anchor_text:string,image_alt:string,is_image:boolean,resolved_url:string>"
 
 
-class PageParser(HTMLParser):
-    """Anchors in the order in which they end; text and images belong to the innermost open one."""
+class Tokens(HTMLParser):
+    """The page as a list of tokens: ``(name, attributes)`` for a start of a title, link or image, ``(name, None)`` for
+    an end, ``(None, text)`` for text."""
+
+    SEEN = frozenset(("a", "img", "title"))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.anchors: list[dict] = []
-        self.open: list[dict] = []
-        self.titles: list[str] = []
-        self.titled = False
+        self.found: list[tuple[str | None, object]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "title":
-            self.titled = True
-        elif tag in ("a", "img"):
-            values = {k: v or "" for k, v in attrs}
-            if tag == "a":
-                self.open.append({"href": values.get("href", ""), "rel": values.get("rel", ""), "texts": [], "alt": "", "image": False})
-            elif self.open:
-                inner = self.open[-1]
-                inner["image"] = True
-                inner["alt"] = inner["alt"] or values.get("alt", "")
+        if tag in self.SEEN:
+            self.found.append((tag, dict(attrs)))
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.titled = False
-        elif tag == "a":
-            self.end_anchor()
+    handle_startendtag = handle_starttag
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # <a/> opens
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.SEEN:
+            self.found.append((tag, None))
 
     def handle_data(self, data: str) -> None:
-        if self.titled:
-            self.titles.append(data)
-        if self.open and (text := data.strip()):
-            self.open[-1]["texts"].append(text)
-
-    def end_anchor(self) -> None:
-        if self.open:
-            self.anchors.append(self.open.pop())
-
-
-def parse(html: str | None, base: str | None = None) -> tuple[str, list[dict]]:
-    """Title and anchors; anchors that are never closed end with the page, the last one first."""
-    parser = PageParser()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except (AssertionError, ValueError):  # what was found until then counts
-        pass
-    while parser.open:
-        parser.end_anchor()
+        self.found.append((None, data))
+
+
+def tokens(html: str) -> list[tuple[str | None, object]]:
+    """What the standard parser gives up on is where the page ends."""
+    reader = Tokens()
+    with suppress(AssertionError, ValueError):
+        reader.feed(html)
+        reader.close()
+    return reader.found
+
+
+def anchors_of(found: list[tuple[str | None, object]]) -> list[dict]:
+    """Links from tokens, by the place where they end; those left open end behind the last token, inner ones first.
+    A link's text and images are the tokens between its start and its end that lie in no inner link."""
+    depth, spans, starts = [], [], []
+    for k, (name, value) in enumerate(found):
+        if name == "a" and value is not None:
+            starts.append(k)
+        elif name == "a" and starts:
+            spans.append((starts.pop(), k))
+        depth.append(starts[-1] if starts else -1)  # the innermost open link at each token
+    spans += [(k, len(found)) for k in reversed(starts)]
+    inside: dict[int, list[int]] = {}
+    for k, owner in enumerate(depth):
+        if owner >= 0 and owner != k:
+            inside.setdefault(owner, []).append(k)
     out = []
-    for k, a in enumerate(parser.anchors):
-        text = " ".join(a["texts"])
-        out.append({"position": k, "href": a["href"], "rel": a["rel"], "anchor_text": text, "image_alt": a["alt"].strip(), "is_image": a["image"] and not text, "resolved_url": base and urls.resolve_of(base, a["href"])})
-    return "".join(parser.titles).strip(), out
+    for position, (start, _) in enumerate(spans):
+        own = [found[k] for k in inside.get(start, ())]
+        words = [x.strip() for name, x in own if name is None]
+        images = [x.get("alt") or "" for name, x in own if name == "img" and x is not None]
+        text = " ".join(filter(None, words))
+        attributes = found[start][1]
+        out.append({
+            "position": position, "href": attributes.get("href") or "", "rel": attributes.get("rel") or "", "anchor_text": text,
+            "image_alt": next(filter(None, images), "").strip(), "is_image": bool(images) and not text,
+        })
+    return out
+
+
+def title_of(found: list[tuple[str | None, object]]) -> str:
+    """All text that stands behind a title's start and before the next title's end."""
+    parts, within = [], False
+    for name, value in found:
+        if name == "title":
+            within = value is not None
+        elif name is None and within:
+            parts.append(value)
+    return "".join(parts).strip()
+
+
+def text_of(html: str | bytes | None) -> str:
+    """A page's text; bytes are UTF-8, what is malformed in them becomes U+FFFD."""
+    return html.decode("utf-8", "replace") if isinstance(html, bytes) else html or ""
+
+
+def parse(html: str | bytes | None, base: str | None = None) -> tuple[str, list[dict]]:
+    """Title and anchors; with a base, each anchor has the url that it leads to."""
+    found = tokens(text_of(html))
+    anchors = anchors_of(found)
+    for a in anchors:
+        a["resolved_url"] = None if base is None else urls.link_target(base, a["href"])
+    return title_of(found), anchors
 
 
 def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None, anchors: bool = True) -> DataFrame:
-    """The kept columns of pages, with ``title`` and the array ``anchors``; their urls if a base column is named."""
+    """The kept columns of pages, with ``title`` and the array ``anchors``; their urls if a base column is named. The
+    page is a column of text or of bytes."""
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("title", T.StringType())])
     if anchors:
         schema = schema.add(T.StructField("anchors", T.ArrayType(T.StructType.fromDDL(f"a {LINK}")["a"].dataType)))
@@ -94,12 +124,12 @@ def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None
                     columns.append(pa.array([f[1] for f in found], arrow.field("anchors").type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return pages.select(*keep, F.lit(None).cast("string").alias("_base") if base is None else F.col(base).alias("_base_url"), F.col(html).cast("string").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.lit(None).cast("string").alias("_base") if base is None else F.col(base).alias("_base_url"), F.col(html).alias("_html")).mapInArrow(run, schema)
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each link that resolves: the kept columns, position, href, url, host, text, alt, rel, type."""
     rows = parsed(pages, html, list(dict.fromkeys((*keep, url))), base=url)
     rows = rows.select("*", F.inline("anchors")).drop("anchors").where("resolved_url is not null")
-    rows = rows.withColumn("hostname", urls.hostname(F.col("resolved_url"), unicode=False)).where("hostname <> ''")
+    rows = rows.withColumn("hostname", urls.hostname(F.col("resolved_url"))).where("hostname <> ''")
     return rows.withColumn("link_type", classify_rel(F.col("rel")))

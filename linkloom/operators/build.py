@@ -16,7 +16,7 @@ def conform(feed: DataFrame, *more: str) -> DataFrame:
     return feed.select(*more, *(F.col(f"`{have[f.name]}`").cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in FEED))
 
 
-def build_links(feed: DataFrame, as_of: str | Column, status: str = "ARCHIVED_ONLY", arrival: Column | None = None, unicode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def build_links(feed: DataFrame, as_of: str | Column, status: str = "ARCHIVED_ONLY", arrival: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the index for a feed; links without a page, a target or a host are dropped, as are urls with an
     impossible port. ``arrival`` orders rows and becomes their id (null: none yet);
     ``keep`` names columns of the feed to carry along."""
@@ -26,7 +26,7 @@ def build_links(feed: DataFrame, as_of: str | Column, status: str = "ARCHIVED_ON
     feed = conform(feed.withColumn("_arrival", number), "_arrival", *keep).withColumnRenamed("_arrival", "id")
     feed = feed.where((text("source_url") != "") & (text("target_url") != ""))
     names = {"source_url": ("normalized_source_url", "source_hostname"), "target_url": ("normalized_target_url", "normalized_target_hostname")}
-    feed = urls.with_normalized(feed, names, unicode)
+    feed = urls.with_normalized(feed, names)
     good = F.expr("normalized_source_url is not null and normalized_target_url is not null and source_hostname <> '' and normalized_target_hostname <> ''")
     # a filter would be pushed below the urls' expressions and compute them again; a generator is not
     feed = feed.select("*", F.explode(F.when(good, F.array(F.lit(1)))).alias("_kept")).drop("_kept")
@@ -58,7 +58,7 @@ def links_of_responses(records: DataFrame, filename: str = "") -> DataFrame:
     kind = F.coalesce(F.nullif(F.coalesce(F.col("http_headers")["content-type"], F.lit("")), F.lit("")), F.col("content_type"))
     pages = records.where("record_type = 'response' and target_uri <> ''").where(F.contains(F.lower(kind), F.lit("html")))
     pages = pages.select(
-        F.col("target_uri").alias("url"), F.decode("payload", "UTF-8").alias("html"), F.col("http_status").alias("source_http_status"),
+        F.col("target_uri").alias("url"), F.col("payload").alias("html"), F.col("http_status").alias("source_http_status"),
         kind.alias("content_type"), *([F.col("filename").alias("record_filename")] if "filename" in records.columns else [F.lit(filename).alias("record_filename")]),
     )
     keep = ("source_http_status", "content_type", "record_filename")

@@ -25,9 +25,9 @@ def verify(fetches: DataFrame, target: Target, had_archive: Column | None = None
     """A result for each fetch: status, whether the link is there (null if the page gave nothing), evidence."""
     had = F.lit(True) if had_archive is None else had_archive
     keep = fetches.columns
-    rows = fetches.withColumns({"_base": F.coalesce("final_url", "url"), "_html": F.decode(F.col("body"), "UTF-8"), "_had": had})
-    rows = html.parsed(rows, "_html", [*keep, "_base", "_had"], base="_base")
-    found = F.exists("anchors", lambda a: F.coalesce(matches_link(a["resolved_url"], target, unicode=False), F.lit(False)))
+    rows = fetches.withColumns({"_base": F.coalesce("final_url", "url"), "_had": had})
+    rows = html.parsed(rows, "body", [*keep, "_base", "_had"], base="_base")
+    found = F.exists("anchors", lambda a: F.coalesce(matches_link(a["resolved_url"], target), F.lit(False)))
     empty = F.coalesce(F.octet_length("body"), F.lit(0)) == 0
     present = F.coalesce(found, F.lit(False))
     status = decision(F.col("error"), F.col("status"), empty, present, F.col("_had"))
@@ -80,7 +80,7 @@ def seed_crawl(fetches: DataFrame, as_of: str, domain: str | None = None, max_pa
     """A feed of confirmed live links of fetched seed pages; only those to a registrable domain if one is given."""
     pages = fetches.where("error is null and status < 400")
     pages = pages if max_pages is None else pages.limit(max_pages)
-    pages = pages.select(F.coalesce("final_url", "url").alias("url"), F.decode("body", "UTF-8").alias("html"), F.col("status").alias("source_http_status"), "content_type")
+    pages = pages.select(F.coalesce("final_url", "url").alias("url"), F.col("body").alias("html"), F.col("status").alias("source_http_status"), "content_type")
     feed = links_of_pages(pages, keep=("source_http_status", "content_type")).withColumn("dataset_type", F.lit("live"))
     rows = build_links(feed, as_of, "LIVE_CONFIRMED").withColumn("live_backlink_present", F.lit(1))
-    return rows if domain is None else rows.where(F.col("normalized_target_domain") == urls.registrable_of(domain))
+    return rows if domain is None else rows.where(F.col("normalized_target_domain") == Target(domain).domain)

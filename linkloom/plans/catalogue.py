@@ -98,7 +98,7 @@ def url_normalize(spark, sf_dir):
 
 @registered(f"WITH {_FEED}, h AS (SELECT {_host('source_url')} AS host FROM feed) SELECT host, {_domain('host')} AS domain, count(*) AS n FROM h GROUP BY ALL")
 def registrable_domain(spark, sf_dir):
-    rows = feed.feed(spark, sf_dir).select(urls.hostname(F.col("source_url"), unicode=False).alias("host"))
+    rows = feed.feed(spark, sf_dir).select(urls.hostname(F.col("source_url")).alias("host"))
     return rows.groupBy("host", urls.registrable_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("n"))
 
 
@@ -242,7 +242,7 @@ _search("exclude_blank_anchor", "anchor_text <> '' OR image_alt <> ''", exclude_
 @registered(f"WITH {_FEED}, t AS (SELECT id, {_norm('target_url')} AS u FROM feed) SELECT id FROM t WHERE u LIKE '%://%target6.co.uk/docs/%' AND {_domain(_host('u'))} = 'target6.co.uk'")
 def match_prefix_strict(spark, sf_dir):
     rows = feed.feed(spark, sf_dir)
-    return rows.where(matches_link(F.col("target_url"), Target("target6.co.uk/docs/", "path_prefix"), unicode=False)).select("id")
+    return rows.where(matches_link(F.col("target_url"), Target("target6.co.uk/docs/", "path_prefix"))).select("id")
 
 
 def _unique(key: str, condition: str = "true") -> str:
@@ -467,21 +467,12 @@ def captures(spark, sf_dir):
     return crawl.usable_captures(crawl.query_captures(rows, "site.org", limit=None)).select("url", "status")
 
 
-_EDGES = "SELECT concat('u', CAST(o_custkey % 300 AS STRING)) AS source, concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target FROM orders WHERE o_orderkey % 40 = 0"
+_EDGES = "SELECT concat('u', CAST(o_custkey % 300 AS STRING)) AS source, concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target FROM orders"
 
 
 @registered(f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), w AS (SELECT 'u1' AS url, 0 AS level UNION SELECT e.target, w.level + 1 FROM w JOIN e ON e.source = w.url WHERE w.level < 4)
 SELECT url, CAST(min(level) AS INT) AS level FROM w GROUP BY 1""")
 def frontier_bfs(spark, sf_dir):
-    edges = feed.read(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").selectExpr(
-        "concat('u', CAST(o_custkey % 300 AS STRING)) AS source", "concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target"
-    )
-    return verify.crawl(edges, spark.createDataFrame([("u1",)], "url string"), 4)
-
-
-@registered()
-def frontier_bfs_whole(spark, sf_dir):
-    """As frontier_bfs, over all orders; without SQL, and held against a search by hand."""
     edges = feed.read(spark, sf_dir, "orders").selectExpr(
         "concat('u', CAST(o_custkey % 300 AS STRING)) AS source", "concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
+from linkloom.operators.search import Target
 from linkloom.schema import CDX
 
 COLLECTION = "id string, name string, `cdx-api` string, timegate string"
@@ -32,8 +33,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 def query_captures(captures: DataFrame, pattern: str, match_type: str = "domain", limit: int | None = 1000, filters: tuple[str, ...] = ()) -> DataFrame:
     """Captures of a url, a prefix, a host or a domain; filters are ``field:value``, ``!field:value`` or ``~field:regex``."""
-    host = urls.hostname(F.col("url"), unicode=False)
-    wanted = urls.hostname_of(pattern)
+    host = urls.hostname(F.col("url"))
+    wanted = Target(pattern).hostname
     if match_type == "exact":
         rows = captures.where(F.col("url") == pattern)
     elif match_type == "prefix":

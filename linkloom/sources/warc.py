@@ -1,95 +1,135 @@
 """Web archives as a Spark data source: one partition for each file, or for each stated range of one.
 
-Records are read as a stream, so a file's size does not matter to memory; one record's payload does. Local paths
-are opened directly, others through pyarrow's file systems. What a file inflates to is bounded by
-``maxInflatedBytes``, record by record counted."""
+A file is read forward, whatever its size; only one record is held at a time, and one that is larger than
+``maxRecordBytes`` is passed over. What could not be read, such a record or a damaged end of a file, is a row with
+``error`` and without a type. Local paths are opened directly, others through pyarrow's file systems."""
 
 from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAX_INFLATED = 200 << 20
 RECORD = (
     "filename string, record_type string, target_uri string, content_type string, headers map<string,string>, http_status int, "
-    "http_headers map<string,string>, payload binary"
+    "http_headers map<string,string>, payload binary, error string"
 )
 
 
 class InflatedTooLarge(ValueError):
-    """A compressed file that inflates beyond the bound."""
+    """Compressed bytes that inflate beyond the bound."""
 
 
-class Counted(io.RawIOBase):
-    """A stream that counts what is read from it and ends in an error beyond the bound."""
-
-    def __init__(self, inner: BinaryIO, most: int) -> None:
-        self.inner, self.left = inner, most
-
-    def readable(self) -> bool:
-        return True
+def inflate(data: bytes, most: int = MAX_INFLATED) -> bytes:
+    """Gzip bytes of one or more members, inflated; an error beyond the bound, before more is held."""
+    out = bytearray()
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        out += member.decompress(data, most - len(out) + 1)
+        if len(out) > most:
+            raise InflatedTooLarge(f"more than {most} bytes")
+        if not member.eof:
+            raise EOFError("cut off")
+        data = member.unused_data.lstrip(b"\0")
+    return bytes(out)
 
-    def readinto(self, into) -> int:
-        data = self.inner.read(len(into))
-        self.left -= len(data)
-        if self.left < 0:
-            raise InflatedTooLarge("the file inflates beyond the bound")
-        into[: len(data)] = data
-        return len(data)
 
+_START = re.compile(rb"^WARC/[^\n]*\n", re.M)
+_BLANK = re.compile(rb"^\r?\n", re.M)
+_FIELD = re.compile(rb"^([^:\n]*):([^\n]*)", re.M)
+_STATUS = re.compile(rb"\s*HTTP\S*\s+([+-]?[0-9]+)(?:\s|\Z)")
 
-def inflate(data: bytes, most: int = MAX_INFLATED) -> bytes:
-    """Gzip bytes, inflated; an error beyond the bound, before more is held."""
-    return io.BufferedReader(Counted(gzip.GzipFile(fileobj=io.BytesIO(data)), most)).read()
 
-
-def _pair(line: bytes) -> tuple[str, str]:
-    name, _, value = line.partition(b":")
-    return name.strip().decode("ascii", "replace").lower(), value.strip().decode("utf-8", "replace")
+def fields(block: bytes) -> dict[str, str]:
+    """Names in lower case and values of a header block; of a name that comes twice the last holds."""
+    return {n.strip().decode("ascii", "replace").lower(): v.strip().decode("utf-8", "replace") for n, v in _FIELD.findall(block)}
 
 
 def split_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     """Status, headers and body of a response; a block without a blank line is all body."""
-    for blank in (b"\r\n\r\n", b"\n\n"):
-        head, found, body = block.partition(blank)
-        if found:
-            break
-    else:
+    gap = re.search(rb"\r\n\r\n", block) or re.search(rb"\n\n", block)
+    if gap is None:
         return None, {}, block
-    first, *lines = head.split(b"\n")
-    words = first.strip().decode("ascii", "replace").split()
-    status = int(words[1]) if len(words) > 1 and words[0].startswith("HTTP") and words[1].lstrip("+-").isdecimal() else None
-    return status, dict(map(_pair, (x for x in lines if b":" in x))), body
-
-
-def records(stream: BinaryIO) -> Iterator[tuple]:
-    """(type, uri, content type, headers, status, http headers, payload). Lines before a record's first are
-    skipped; of a header that comes twice the last holds; a length that is no number is none."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
+    first, _, rest = block[: gap.start()].partition(b"\n")
+    status = _STATUS.match(first)
+    return int(status[1]) if status else None, fields(rest), block[gap.end() :]
+
+
+class Cursor:
+    """A place in a stream, and what has been read ahead of it. The place counts as the start of a line."""
+
+    STEP = 1 << 16
+
+    def __init__(self, stream: BinaryIO) -> None:
+        self.stream, self.ahead = stream, b""
+
+    def _read(self) -> bool:
+        more = self.stream.read(self.STEP)
+        self.ahead += more
+        return bool(more)
+
+    def after(self, pattern: re.Pattern) -> bytes | None:
+        """Moves behind the next match; what stood before it, or None at the end. The match lies within lines."""
+        passed = []
+        while (found := pattern.search(self.ahead)) is None:
+            lines, end, rest = self.ahead.rpartition(b"\n")  # the last line may go on
+            passed.append(lines + end if pattern is _BLANK else b"")
+            long = len(rest) > 4 * self.STEP and not rest.startswith(b"WARC/")
+            self.ahead = b"\0" if long and pattern is _START else rest  # a line that can be no start
+            if not self._read():
+                passed.append(self.ahead)
+                self.ahead = b""
+                return b"".join(passed) if pattern is _BLANK else None
+        passed.append(self.ahead[: found.start()])
+        self.ahead = self.ahead[found.end() :]
+        return b"".join(passed)
+
+    def take(self, size: int) -> bytes:
+        """So many bytes, or what there is."""
+        parts, held = [self.ahead[:size]], len(self.ahead[:size])
+        self.ahead = self.ahead[size:]
+        while held < size and (more := self.stream.read(min(size - held, 1 << 20))):
+            parts.append(more)
+            held += len(more)
+        return b"".join(parts)
+
+    def skip(self, size: int) -> None:
+        while size > 0 and (gone := len(self.take(min(size, 1 << 20)))):
+            size -= gone
+
+
+def records(stream: BinaryIO, most: int = MAX_INFLATED) -> Iterator[tuple]:
+    """(type, uri, content type, headers, status, http headers, payload, error). What stands between records is
+    passed over; a length that is no number is none."""
+    cursor = Cursor(stream)
+    while cursor.after(_START) is not None:
+        headers = fields(cursor.after(_BLANK) or b"")
+        kind, uri = headers.get("warc-type", ""), headers.get("warc-target-uri", "")
+        length = headers.get("content-length", "")
+        size = int(length) if length.isascii() and length.isdigit() else 0
+        if size > most:
+            cursor.skip(size + 4)
+            yield None, uri, None, headers, None, {}, None, f"a record of {size} bytes"
+            continue
+        payload = cursor.take(size)
+        cursor.skip(4)
+        if len(payload) < size:
+            yield None, uri, None, headers, None, {}, None, f"{len(payload)} of {size} bytes"
             continue
-        headers = {}
-        while (line := stream.readline()) not in (b"", b"\r\n", b"\n"):
-            if b":" in line:
-                name, value = _pair(line)
-                headers[name] = value
-        length = headers.get("content-length", "").strip()
-        payload = stream.read(int(length)) if length.isdecimal() else b""
-        stream.read(4)
-        kind = headers.get("warc-type", "")
         status, http, body = split_http(payload) if kind == "response" else (None, {}, payload)
-        yield kind, headers.get("warc-target-uri", ""), headers.get("content-type", ""), headers, status, http, body
+        yield kind, uri, headers.get("content-type", ""), headers, status, http, body, None
 
 
-def open_stream(path: str, offset: int = 0, length: int | None = None, most: int = MAX_INFLATED) -> BinaryIO:
-    """A file, or a range of it; gzip by its ending or its first bytes."""
+def open_stream(path: str, offset: int = 0, length: int | None = None) -> BinaryIO:
+    """A file, or a range of it; gzip by its first bytes."""
     if "://" in path and not path.startswith("file:"):
         import pyarrow.fs
 
@@ -99,14 +139,11 @@ def open_stream(path: str, offset: int = 0, length: int | None = None, most: int
         raw = open(path.removeprefix("file://").removeprefix("file:"), "rb")  # noqa: SIM115
     raw.seek(offset)
     if length is not None:
-        data = raw.read(length)
-        raw.close()
-        raw = io.BytesIO(data)
-    head = raw.read(2)
-    raw.seek(0 if length is not None else offset)
-    if head == b"\x1f\x8b":
-        return io.BufferedReader(Counted(gzip.GzipFile(fileobj=raw), most))
-    return raw
+        with raw:
+            raw, offset = io.BytesIO(raw.read(length)), 0
+    magic = raw.read(2)
+    raw.seek(offset)
+    return gzip.GzipFile(fileobj=raw) if magic == b"\x1f\x8b" else raw
 
 
 class Part(InputPartition):
@@ -117,8 +154,8 @@ class Part(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.files = [p for p in options.get("files", "").split("\n") if p]
-        self.most = int(options.get("maxinflatedbytes", MAX_INFLATED))
-        self.kinds = set(filter(None, options.get("types", "response").split(",")))
+        self.most = int(options.get("maxrecordbytes", MAX_INFLATED))
+        self.kinds = {None, *filter(None, options.get("types", "response").split(","))}
 
     def partitions(self) -> list[Part]:
         out = []
@@ -129,13 +166,13 @@ class WarcReader(DataSourceReader):
 
     def read(self, part: Part) -> Iterator[tuple]:
         name = part.path.rpartition("/")[2]
-        with open_stream(part.path, part.offset, part.length, self.most) as stream:
-            try:
-                for record in records(stream):
+        try:
+            with open_stream(part.path, part.offset, part.length) as stream:
+                for record in records(stream, self.most):
                     if record[0] in self.kinds:
                         yield (name, *record)
-            except (EOFError, zlib.error, gzip.BadGzipFile):  # cut off: what was whole counts
-                return
+        except (EOFError, zlib.error, gzip.BadGzipFile) as damage:  # what was whole until there counts
+            yield name, None, None, None, None, None, None, None, str(damage)
 
 
 class WarcSource(DataSource):
@@ -162,20 +199,31 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _load(spark: SparkSession, files: list[str], types: str, most: int) -> DataFrame:
+def scan(spark: SparkSession, files: list[str], types: str = "response", max_record: int = MAX_INFLATED) -> DataFrame:
+    """All rows of these files, errors with the records."""
     spark.dataSource.register(WarcSource)
     if not files:
         return spark.createDataFrame([], RECORD)
-    return spark.read.format("linkloom_warc").options(files="\n".join(files), types=types, maxInflatedBytes=str(most)).load()
+    return spark.read.format("linkloom_warc").options(files="\n".join(files), types=types, maxRecordBytes=str(max_record)).load()
+
 
+def read_warc(spark: SparkSession, path: str, types: str = "response", max_record: int = MAX_INFLATED) -> DataFrame:
+    return scan(spark, list_files(spark, path), types, max_record).where("error is null").drop("error")
 
-def read_warc(spark: SparkSession, path: str, types: str = "response", max_inflated: int = MAX_INFLATED) -> DataFrame:
-    return _load(spark, list_files(spark, path), types, max_inflated)
 
+def read_damage(spark: SparkSession, path: str, max_record: int = MAX_INFLATED) -> DataFrame:
+    """(filename, target_uri, error) of what could not be read."""
+    return scan(spark, list_files(spark, path), "", max_record).where("error is not null").select("filename", "target_uri", "error")
 
-def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int]], types: str = "response", max_inflated: int = MAX_INFLATED) -> DataFrame:
+
+def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int]], types: str = "response", max_record: int = MAX_INFLATED) -> DataFrame:
     """Single records by (path, offset, length), as an index of captures names them."""
-    return _load(spark, [f"{p}\t{o}\t{n}" for p, o, n in ranges], types, max_inflated)
+    return scan(spark, [f"{p}\t{o}\t{n}" for p, o, n in ranges], types, max_record).where("error is null").drop("error")
+
+
+def text_of(payload: Column) -> Column:
+    """Bytes as text; what is malformed in them becomes U+FFFD."""
+    return F.make_valid_utf8(payload.cast("string"))
 
 
 _LINKS = "array<string>"
@@ -204,6 +252,6 @@ def wat_pages(metadata: DataFrame) -> DataFrame:
     return page.where("source_url <> ''").select("filename", "source_url", empty(F.col("m.Head.Title")).alias("title"), links.alias("links"))
 
 
-def read_wat(spark: SparkSession, path: str, max_inflated: int = MAX_INFLATED) -> DataFrame:
-    rows = read_warc(spark, path, "metadata", max_inflated)
-    return wat_pages(rows.select("filename", F.decode("payload", "UTF-8").alias("json")))
+def read_wat(spark: SparkSession, path: str, max_record: int = MAX_INFLATED) -> DataFrame:
+    rows = read_warc(spark, path, "metadata", max_record)
+    return wat_pages(rows.select("filename", text_of(F.col("payload")).alias("json")))

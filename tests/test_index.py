@@ -130,9 +130,19 @@ def test_archives(spark, tmp_path):
     offset = len(gzip.compress(parts[0])) + len(gzip.compress(parts[1]))
     one = warc.read_ranges(spark, [(f"{tmp_path}/b.warc.gz", offset, len(gzip.compress(parts[2])))]).collect()
     assert [r["target_uri"] for r in one] == ["http://a.com/"]
+    bad = record("response", "http://b.com/", page.replace(b"go", b"g\xffo")) + record("response", "http://large.com/", b"x" * 5000)
+    (tmp_path / "d.warc").write_bytes(b"\0" * 700_000 + b"\n" + bad + record("response", "http://c.com/", page) + record("response", "http://cut.com/", page)[:-40])
+    (tmp_path / "e.warc.gz").write_bytes((tmp_path / "b.warc.gz").read_bytes()[:-20])
+    assert [r["target_uri"] for r in warc.read_warc(spark, f"{tmp_path}/d.warc", max_record=4000).collect()] == ["http://b.com/", "http://c.com/"]
+    damage = warc.read_damage(spark, f"{tmp_path}/[de].warc*", max_record=4000).collect()
+    assert sorted((r["filename"], r["target_uri"]) for r in damage) == [("d.warc", "http://cut.com/"), ("d.warc", "http://large.com/"), ("e.warc.gz", None)]
+    assert [r["anchor_text"] for r in files.read_links(spark, f"{tmp_path}/d.warc").collect()] == ["g\ufffdo", "go"]
     with pytest.raises(warc.InflatedTooLarge):
         warc.inflate(gzip.compress(b"x" * 100_000), 1000)
     meta = {"Envelope": {"WARC-Header-Metadata": {"WARC-Target-URI": "http://a.com/d/"}, "Payload-Metadata": {"HTTP-Response-Metadata": {"HTML-Metadata": {"Head": {"Title": None}, "Links": [{"url": "e", "text": "t"}, 5, {"path": "x"}, {"href": "//b.org"}]}}}}}
+    assert warc.inflate(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab"
+    (tmp_path / "m.wat").write_bytes(record("metadata", "", json.dumps(meta).encode().replace(b'"t"', b'"t\xff"')))
+    assert {r["anchor_text"] for r in files.read_links(spark, f"{tmp_path}/m.wat").collect()} == {"t\ufffd", ""}
     (tmp_path / "c.wat").write_bytes(record("metadata", "", json.dumps(meta).encode()) + record("metadata", "", b"{bad") + record("metadata", "", b"{}"))
     feed = files.read_links(spark, f"{tmp_path}/c.wat").collect()
     assert sorted((r["target_url"], r["anchor_text"]) for r in feed) == [("http://a.com/d/e", "t"), ("http://b.org/", "")]
@@ -156,6 +166,9 @@ def test_verification(spark):
         assert [r["verification_status"] for r in got] == expected
         assert [r["live_backlink_present"] for r in got] == [1, 0, None, None, None, None]
         assert [r["evidence_hash"] != "" for r in got] == [True, True, False, False, False, False]
+    broken = spark.createDataFrame([(*data[0][:4], b"\xff\xc3" + body, None, None)], frame.schema)
+    assert verify.verify(broken, Target("t.com")).head()["verification_status"] == "ARCHIVED_CONFIRMED"
+    assert verify.seed_crawl(broken, NOW).count() == 2
     links = verify.seed_crawl(frame, NOW).collect()
     assert {(r["target_url"], r["live_backlink_present"]) for r in links} >= {("http://www.t.com/p", 1)}
 
@@ -169,7 +182,7 @@ def test_frontier_over_all_orders(spark):
     for k in range(1, 5):
         edge = {t for s in edge for t in out.get(s, ())} - level.keys()
         level |= dict.fromkeys(edge, k)
-    got = catalogue.QUERIES["frontier_bfs_whole"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["frontier_bfs"](spark, sf_dir).collect()
     assert len(got) == len(level) > 300 and {r["url"]: r["level"] for r in got} == level
 
 

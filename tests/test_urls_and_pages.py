@@ -20,23 +20,28 @@ CASES = {
 }
 
 
+def host_of(url):
+    found = urls.Address.of_host(url)
+    return found.host if found else ""
+
+
 def test_normalisation_in_python_and_in_spark(spark):
     rng = random.Random(2)
     inputs = list(CASES) + ["".join(rng.choice(["http", "://", "a", "B.", ":", "/", "?", "#", "@", "[", "]", "8", "é", " "]) for _ in range(rng.randint(0, 9))) for _ in range(600)]
     for url, expected in CASES.items():
-        assert urls.normalize_of(url) == expected, url
+        assert urls.normalized(url) == expected, url
     rows = urls.with_normalized(spark.createDataFrame([(u,) for u in inputs], "u string"), {"u": ("n", "h")}).collect()
     for r in rows:
-        assert r["n"] == urls.normalize_of(r["u"]), r["u"]
+        assert r["n"] == urls.normalized(r["u"]), r["u"]
         if r["n"] is not None:
-            assert r["h"] == urls.hostname_of(r["n"]), r["u"]
-            assert urls.normalize_of(r["n"]) in (r["n"], None) or "[" in r["u"] or ":" in r["h"] or "://" not in r["u"], r["u"]
+            assert r["h"] == host_of(r["n"]), r["u"]
+            assert urls.normalized(r["n"]) in (r["n"], None) or "[" in r["u"] or ":" in r["h"] or "://" not in r["u"], r["u"]
 
 
 def test_registrable_domains(spark):
     hosts = {"a.b.example.com": "example.com", "shop.x.co.uk": "x.co.uk", "co.uk": "co.uk", "localhost": "localhost", "": "", "10.0.0.1": "0.1"}
     rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.registrable_domain(F.col("h")).alias("d"), urls.registrable_domain(F.col("h"), guard_ips=True).alias("g")).collect()
-    assert {r["h"]: r["d"] for r in rows} == hosts == {h: urls.registrable_of(h) for h in hosts}
+    assert {r["h"]: r["d"] for r in rows} == hosts == {h: urls.Address('', h, '', '', '', '').domain for h in hosts}
     assert {r["h"]: r["g"] for r in rows}["10.0.0.1"] == "10.0.0.1"
 
 
@@ -48,7 +53,7 @@ def test_ignored_and_resolved(spark):
     ]
     frame = spark.createDataFrame(pairs, "base string, href string, expected string")
     for r in frame.withColumn("got", urls.resolve(F.col("base"), F.col("href"))).collect():
-        assert r["got"] == r["expected"] == urls.resolve_of(r["base"], r["href"]), r
+        assert r["got"] == r["expected"] == urls.link_target(r["base"], r["href"] or ""), r
 
 
 @pytest.mark.parametrize(("rel", "kind"), [(None, "FOLLOW"), ("", "FOLLOW"), ("noopener", "FOLLOW"), ("NoFollow nofollow", "NOFOLLOW"), ("ugc, sponsored", "MULTIPLE_REL_VALUES"), ("x\tSponsored", "SPONSORED")])
@@ -87,8 +92,30 @@ def test_safety(spark):
     bad = ["ftp://example.org/", "http://LOCALHOST/", "http://127.0.0.1/", "http://10.1.2.3/", "http://[::1]/", "http://169.254.169.254/", "http://100.100.100.200/", "http:///x", "", None]
     rows = spark.createDataFrame([(u,) for u in good + bad], "u string").select("u", safety.is_safe_url(F.col("u")).alias("s")).collect()
     assert [r["u"] for r in rows if r["s"]] == good
-    assert safety.checked_url("http://a.org/x", lambda h: ["8.8.8.8"]) == ("http", "a.org", 80)
-    with pytest.raises(safety.UnsafeUrl):
-        safety.checked_url("http://a.org/x", lambda h: ["8.8.8.8", "10.0.0.1"])
+    assert safety.admitted("http://a.org/x", lambda h: ["8.8.8.8"])[:3] == ("http", "a.org", 80)
+    for url, found in (("http://a.org/x", ["8.8.8.8", "10.0.0.1"]), ("http://a.org/", []), ("http://localhost/", ["8.8.8.8"]), ("http://[::1]/", ["8.8.8.8"]), ("ftp://a.org/", ["8.8.8.8"]), ("http://a.org:99999/", ["8.8.8.8"])):
+        with pytest.raises(safety.UnsafeUrl):
+            safety.admitted(url, lambda h, found=found: found)
+    blocked = ["0.0.0.0", "192.168.0.1", "224.0.0.1", "240.0.0.1", "::", "fe80::1", "ff02::1", "fd00:ec2::254", "100.100.100.200", "::ffff:10.0.0.1"]
+    assert all(map(safety.is_blocked_address, blocked))
+    assert not any(map(safety.is_blocked_address, ["8.8.8.8", "100.64.0.1", "2606:4700::1111", "example.org", ""]))
     assert safety.is_allowed_upload("X.WARC.gz") and not safety.is_allowed_upload("x.exe")
-    assert safety.safe_join("/tmp", "../../etc/passwd") == "/tmp/passwd"
+
+
+def test_files_stay_in_their_folder(tmp_path):
+    (tmp_path / "secret").write_text("s")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/link").symlink_to(tmp_path / "secret")
+    with safety.Folder(str(tmp_path / "in")) as folder:
+        assert folder.place("../../etc/passwd") == str(tmp_path / "in/passwd")
+        with folder.write("../a.csv") as f:
+            f.write(b"x")
+        assert (tmp_path / "in/a.csv").read_bytes() == folder.read("a.csv").read() == b"x"
+        for name in ("..", "", "a/../..", "link"):
+            with pytest.raises((safety.UnsafeUrl, OSError)):
+                folder.read(name)
+        name, f = folder.write_temporary(".warc")
+        f.close()
+        assert name.endswith(".warc") and (tmp_path / "in" / name).exists()
+        assert folder.remove("a.csv") and not folder.remove("a.csv")
+    assert not (tmp_path / "in" / name).exists()
