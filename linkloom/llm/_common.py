@@ -23,6 +23,9 @@ ITEM_WORDS = bytes(
 )
 #: Rows, and bytes of its columns, in a batch that a Python worker handles at once; a larger row is a batch alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 6 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows in a file of a table whose number of rows is known.
+FILE_ROWS = 200_000
 
 
 def utf8(text: str | None) -> bytes:
@@ -37,7 +40,7 @@ def item_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word to 64-bit hash, the same in every worker; forgets all when it grows beyond its bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -108,7 +111,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterator[dict]],
                 for out in fn(dict(zip(part.schema.names, (c.to_pylist() for c in part.columns), strict=True))):
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def edit_rows(
@@ -131,22 +134,47 @@ def edit_rows(
                 out = pa.RecordBatch.from_arrays(columns, names=arrow.names)
                 yield out if keep is None else out.filter(pa.array(keep))
 
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with batches bounded by bytes where the session has no bound of its own, as a batch stands in the
+    memory of the JVM and of the worker at once."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset, if the driver
+    and the executors are one process."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: computed once, and no lineage behind it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a written table in the shared folder: computed once, and no lineage behind it. With the number of its rows,
+    or a bound on it, it is written in as few files as its size asks for."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    df.write.options(compression="zstd", **{"parquet.block.size": str(32 << 20)}).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

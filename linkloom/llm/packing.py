@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from linkloom.llm._common import kept_in_worker, slices, stored
+from linkloom.llm._common import kept_in_worker, map_arrow, slices, stored
 
 WINDOW, END = 4096, 2
 CLASSES, DEPTH = 32, 6
@@ -219,7 +219,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 500) -> np.ndarray:
@@ -400,4 +400,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
         out += packer.close()
         yield batch(out)
 
-    return table.select("doc_id", "ids", "width").mapInArrow(run, PIECES)
+    return map_arrow(table.select("doc_id", "ids", "width"), run, PIECES)

@@ -70,7 +70,26 @@ def test_one_of_each(spark):
     assert kept.columns == ["doc_id", "text", "lang", "key", "n_words"]
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({c for _, c, _ in brute_classes(rows)}, key=str)
     assert near_duplicates.one_of_each(frame(spark, rows).limit(0)).count() == 0
-    assert near_duplicates.depth_for() == 4
+    assert near_duplicates.floor() == 4
+
+
+def test_prefixes_shorten_by_what_is_found():
+    none, many = np.zeros(near_duplicates.BINS), np.zeros(near_duplicates.BINS)
+    assert near_duplicates.shortened(none, near_duplicates.DEPTH) == near_duplicates.floor() == 4
+    many[-2:] = 10_000_000  # nearly equal texts are found at full length
+    assert near_duplicates.shortened(many, near_duplicates.DEPTH) > 4
+    many[0] = 10_000_000  # and those at the threshold only by short prefixes
+    assert near_duplicates.shortened(many, near_duplicates.DEPTH) == 4
+    labels = near_duplicates.Labels(near_duplicates.TREES)
+    rng = np.random.default_rng(1)
+    found = np.zeros(near_duplicates.DEPTH + 1)
+    for _ in range(400):  # a pair with similarity 0.8 in as many tries as the formula says
+        both, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (160, 20, 20))
+        x, y = (np.frombuffer(labels.of(np.r_[both, z]), np.uint8).reshape(near_duplicates.TREES, -1) for z in (a, b))
+        same = (x == y).cumprod(1)
+        for d in range(1, near_duplicates.DEPTH + 1):
+            found[d] += same[:, near_duplicates.FIRST + near_duplicates.NEXT * (d - 1) - 1].mean() / 400
+    assert np.abs(found[1:] - 0.8 ** np.arange(1, near_duplicates.DEPTH + 1)).max() < 0.03
 
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
