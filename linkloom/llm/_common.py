@@ -24,6 +24,12 @@ ITEM_WORDS = bytes(
 #: Rows, and bytes of its columns, in a batch that a Python worker handles at once; a larger row is a batch alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 6 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Of intermediate tables: small row groups, as a task holds one until it is full; and in a folder of the local file
+#: system, such as a mounted one, no checksum files beside them, for which two processes are started a file to set modes.
+WRITING = {
+    "compression": "zstd", "parquet.block.size": str(32 << 20),
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
+}
 #: Rows in a file of a table whose number of rows is known.
 FILE_ROWS = 200_000
 
@@ -163,7 +169,7 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-    df.write.options(compression="zstd", **{"parquet.block.size": str(32 << 20)}).parquet(path)
+    df.write.options(**WRITING).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -177,6 +183,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is held in hash tables, so that the other, larger one is not sorted. For sides whose
+    keys are spread evenly, so that each of their partitions is of bounded size."""
+    return df.hint("shuffle_hash")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

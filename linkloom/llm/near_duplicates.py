@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm._common import (
-    WordHashes, discard, item_words, kept_in_worker, map_arrow, map_batches, mix, stored, window_hashes,
+    WordHashes, discard, hashed, item_words, kept_in_worker, map_arrow, map_batches, mix, stored, window_hashes,
 )
 
 WORDS, THRESHOLD = 5, (4, 5)
@@ -290,9 +290,9 @@ def _candidates(docs: DataFrame, nodes: DataFrame, depth: int, trees: int) -> Da
     """Texts that meet another by a prefix of this length: (key, copies, weight, labels, text)."""
     placed = nodes.where("labels is not null").select("key", F.posexplode(prefixes(F.col("labels"), depth, trees)).alias("tree", "node"))
     shared = placed.groupBy("tree", "node").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = placed.join(shared, ["tree", "node"], "left_semi").select("key").distinct()
-    wanted = stored(nodes.join(wanted, "key", "left_semi").withColumnRenamed("doc_id", "own_id"), "wanted")
-    texts = _rows(docs).join(wanted, "key").where(F.col("own_id").eqNullSafe(F.col("doc_id")))
+    wanted = placed.join(hashed(shared), ["tree", "node"], "left_semi").select("key").distinct()
+    wanted = stored(nodes.join(hashed(wanted), "key", "left_semi").withColumnRenamed("doc_id", "own_id"), "wanted")
+    texts = _rows(docs).join(hashed(wanted), "key").where(F.col("own_id").eqNullSafe(F.col("doc_id")))
     out = stored(texts.select("key", "copies", "weight", "labels", "text"), "candidates")
     discard(wanted)
     return out
@@ -310,7 +310,7 @@ def _met(candidates: DataFrame, depth: int, deeper: int | None, trees: int) -> D
     texts_of = [F.count("*").alias("n"), F.sum("weight").alias("total"), *(F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
     nodes = members.groupBy("tree", "node").agg(*texts_of).where("n > 1")
     nodes = nodes.groupBy("n", "total", "x1", "x2").agg(F.min(F.struct("tree", "node")).alias("f")).select("f.*", "total")
-    places = stored(members.join(nodes, ["tree", "node"]), "places")
+    places = stored(members.join(hashed(nodes), ["tree", "node"]), "places")
     # nor those whose texts all met before, at an earlier node of this round or in the one before
     arrays = candidates.select("key", own.alias("labels"), before.alias("before"))
     alike = lambda c, t: F.min(F.col(c)[t]) == F.max(F.col(c)[t])
@@ -318,20 +318,20 @@ def _met(candidates: DataFrame, depth: int, deeper: int | None, trees: int) -> D
     old = F.greatest(*(alike("before", t) for t in range(trees))) if deeper else F.lit(False)
     nodes = places.select("tree", "node", "key").join(arrays, "key").groupBy("tree", "node").agg(F.array(*same).alias("same"), old.alias("old"))
     nodes = nodes.where(~F.col("old") & (F.array_position("same", True) - 1 == F.col("tree"))).select("tree", "node")
-    members = places.join(nodes, ["tree", "node"]).withColumn("size", F.when(F.col("total") > BLOCK_WEIGHT, F.col("size")).otherwise(-1))
+    members = places.join(hashed(nodes), ["tree", "node"]).withColumn("size", F.when(F.col("total") > BLOCK_WEIGHT, F.col("size")).otherwise(-1))
     members = stored(members, "members")
     discard(places)
     blocks = members.groupBy("tree", "node", "size").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("int").alias("blocks"))
-    picked = members.join(blocks, ["tree", "node", "size"])
+    picked = members.join(hashed(blocks), ["tree", "node", "size"])
     number = lambda size, block: size * (1 << 32) + block
     block = number(F.col("size"), F.pmod(F.xxhash64("key"), F.col("blocks")))
     near = F.when(F.col("size") < 0, F.array("size")).otherwise(F.array(*(F.col("size") + k for k in (-1, 0, 1))))
     picked = picked.select("tree", "node", "key", block.alias("block"), F.explode(near).alias("size"))
-    picked = picked.join(blocks, ["tree", "node", "size"])
+    picked = picked.join(hashed(blocks), ["tree", "node", "size"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     picked = picked.select("tree", "node", "key", "block", "size", other).withColumn("other", number(F.col("size"), F.col("other")))
     picked = picked.select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
-    dealt = picked.join(texts, "key").select(*NODE).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    dealt = texts.join(hashed(picked), "key").select(*NODE).repartition(*GROUP).sortWithinPartitions(*GROUP)
     found = stored(map_arrow(dealt, _verified, FOUND), "found")
     discard(members)
     return found
@@ -366,7 +366,7 @@ def jaccard_join(docs: DataFrame, trees: int = TREES) -> DataFrame:
     nodes = _joined(docs, trees)
     classes = nodes.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     nodes = nodes.where("n_links > 0").join(classes, "root").select("key", "class_id", "n_links", "class_size")
-    out = _rows(docs).drop("text").join(stored(nodes, "classes"), "key", "left")
+    out = _rows(docs).drop("text").join(hashed(stored(nodes, "classes")), "key", "left")
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
