@@ -1,14 +1,15 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are training documents labelled good; unlabelled are documents of the whole table. On the
-statistics of a text, each cut into at most ``BINS`` classes at the unlabelled documents' quantiles, an additive model is
-fitted that makes the non-negative unbiased risk least: prior * R+(positives) + max(0, R-(unlabelled) - prior *
-R-(positives)). The class prior is estimated by positives' and unlabelled documents' densities over the model's own
-scores: the highest prior that leaves no bin with fewer unlabelled documents than positives explain. Where
-training rows labelled bad exist, they set the cut that becomes 0.5, keeping ``KEEP`` of the positives.
+Trusted positives are training documents labelled good; unlabelled are documents of the whole table; labels of bad ones
+are not used. On the statistics of a text, each cut into at most ``BINS`` classes at the unlabelled documents' quantiles,
+an additive model is fitted that makes the non-negative unbiased risk least: prior * R+(positives) + max(0,
+R-(unlabelled) - prior * R-(positives)). The class prior is the least share of unlabelled to positive mass above a score,
+on scores of a half of the rows by a model of the other half. The cut that becomes 0.5 leaves that prior's share of the
+unlabelled documents above it.
 
-At most ``FIT_ROWS`` documents of each kind are used for the fit, chosen by a hash of the id; scores cover every
-whole text. Labels come from the rows that the caller names; labels, lang, source and ids are no inputs.
+About ``FIT_ROWS`` different texts of each kind are used for the fit, chosen by hashes of id and text and put in order by a
+hash, so the fit does not depend on how rows are dealt over partitions; scores cover every whole text. Labels come from
+the rows that the caller names; labels, lang, source and ids are no inputs.
 
 Defined cases: a null or empty text has zero statistics and the score of these; without trusted positives every
 score is 1; a null doc_id is not held out and has no label; of several labels of one document the lowest holds;
@@ -19,14 +20,15 @@ and kept by ``good_documents``, whatever their names.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._common import edit_rows, fold, map_batches, sampled
+from linkloom.llm._common import edit_rows, fold, map_batches, sampled, utf8
 from linkloom.llm.linear import Adam, sigmoid
 from linkloom.llm.stats import NAMES, measured
 
-FIT_ROWS, BINS, KEEP = 20_000, 24, 0.995
+FIT_ROWS, BINS = 20_000, 24
 #: Positives for each class at least; with few, classes are wide.
 ROWS_A_BIN = 40
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -35,16 +37,12 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int"
 class Model:
     """An additive model on binned statistics."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray) -> None:
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> None:
         bins = int(np.clip(len(positive) // ROWS_A_BIN, 4, BINS))
         self.edges = [np.unique(np.quantile(unlabelled[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(len(NAMES))]
         self.first = np.cumsum([0, *(len(e) + 1 for e in self.edges)])
-        p, u = self._rows(positive), self._rows(unlabelled)
-        self.prior = 0.5
-        for _ in range(3):  # a fit with a rough prior ranks well enough to estimate it
-            self.weights, self.bias = self._fit(p, u)
-            self.prior = self._estimate(self._z(p), self._z(u))
-        self.weights, self.bias = self._fit(p, u)
+        self.prior = prior
+        self.weights, self.bias = self._fit(self._rows(positive), self._rows(unlabelled))
 
     def _rows(self, x: np.ndarray) -> np.ndarray:
         at = [np.searchsorted(e, x[:, j], "left") + self.first[j] for j, e in enumerate(self.edges)]
@@ -70,42 +68,52 @@ class Model:
             w = adam.step(w, grad + 1e-4 * np.r_[w[:-1], 0])
         return w[:-1], float(w[-1])
 
-    @staticmethod
-    def _estimate(zp: np.ndarray, zu: np.ndarray) -> float:
-        """The least ratio of unlabelled to positive mass above a cut, over cuts that have enough of both."""
-        ratios = [(zu >= c).mean() / (zp >= c).mean() for c in np.quantile(zp, np.linspace(0.02, 0.5, 49))]
-        return float(np.clip(min(ratios, default=0.5), 0.05, 0.98))
-
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self._z(self._rows(x))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled. Each half of the rows is scored by a model of the other half; of
+    the ratios of unlabelled to positive mass above a score the least counts, each with its standard error."""
+    prior = 0.5
+    if min(len(positive), len(unlabelled)) < 4:
+        return prior
+    for _ in range(3):  # a fit with a rough prior ranks well enough to estimate it
+        zp, zu = np.empty(len(positive)), np.empty(len(unlabelled))
+        for half in (0, 1):
+            model = Model(positive[1 - half :: 2], unlabelled[1 - half :: 2], prior)
+            zp[half::2], zu[half::2] = model.logit(positive[half::2]), model.logit(unlabelled[half::2])
+        cuts = np.quantile(zp, np.linspace(0.02, 0.5, 49))
+        p, u = ((z[:, None] >= cuts).mean(0) for z in (zp, zu))
+        error = np.sqrt((1 - u) / np.maximum(u * len(zu), 1e-9) + (1 - p) / (p * len(zp)))
+        prior = float(np.clip((u / p * (1 + error)).min(), 0.05, 0.98))
+    return prior
+
+
+def trained(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    model = Model(positive, unlabelled, class_prior(positive, unlabelled))
+    model.bias -= float(np.quantile(model.logit(unlabelled), 1 - model.prior))
+    return model
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    n_docs, n_labels = docs.count(), marks.count()
-    whole = sampled(F.col("doc_id"), FIT_ROWS / max(1, n_docs))
-    marked = sampled(F.col("doc_id"), FIT_ROWS / max(1, n_labels))
-    rows = docs.where(whole | marked).withColumn("whole", whole).withColumn("marked", marked).join(marks, "doc_id", "left")
-    rows = rows.where(F.col("whole") | F.col("quality").isNotNull())
+    text = F.coalesce("text", F.lit(""))
+    whole = sampled(F.xxhash64(text), FIT_ROWS / max(1, docs.count()))
+    marked = sampled(F.col("doc_id"), FIT_ROWS / max(1, marks.count()))
+    rows = docs.select("doc_id", text.alias("text"), whole.alias("whole"), marked.alias("marked")).where("whole or marked").join(marks, "doc_id", "left")
+    rows = rows.where("whole or quality is not null").withColumn("good", F.col("marked") & (F.col("quality") > 0))
+    rows = rows.groupBy("text").agg(F.max("whole").alias("whole"), F.coalesce(F.min("good"), F.lit(False)).alias("good"))
 
     def stats(cols):
         _, x = measured(cols["text"])
-        yield {"whole": cols["whole"], "quality": [q if m else None for q, m in zip(cols["quality"], cols["marked"], strict=True)], "x": [v.tolist() for v in x]}
-
-    found = map_batches(rows.select("text", "whole", "marked", "quality"), stats, "whole boolean, quality int, x array<double>").limit(4 * FIT_ROWS).collect()
-    x = np.array([r[2] for r in found]).reshape(-1, len(NAMES))
-    kind = np.array([-1 if r[1] is None else int(r[1] > 0) for r in found], np.int64)
-    everything = np.array([r[0] for r in found], bool)
-    if not (kind == 1).any() or not everything.any():
-        return None
-    model = Model(x[kind == 1], x[everything])
-    if (kind == 0).any():
-        good, bad = model.logit(x[kind == 1]), model.logit(x[kind == 0])
-        cuts = np.unique(np.r_[np.quantile(good, np.linspace(0, 1 - KEEP, 40)), good.min()])
-        caught = [(bad < c).mean() + (good >= c).mean() for c in cuts]
-        below = bad[bad < (cut := cuts[int(np.argmax(caught))])]
-        model.bias -= float((cut + below.max()) / 2) if len(below) else float(cut)
-    return model
+        key = [xxhash.xxh3_64_intdigest(utf8(t)) >> 1 for t in cols["text"]]
+        yield {"key": key, "whole": cols["whole"], "good": cols["good"], "x": [v.tolist() for v in x]}
+
+    found = sorted(map_batches(rows, stats, "key long, whole boolean, good boolean, x array<double>").collect())
+    x = np.array([r["x"] for r in found]).reshape(-1, len(NAMES))
+    whole, good = (np.array([r[k] for r in found], bool) for k in ("whole", "good"))
+    return trained(x[good], x[whole]) if good.any() and whole.any() else None
 
 
 def _scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
