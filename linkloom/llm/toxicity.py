@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters: words and word beginnings (lexicons), and shapes of texts (patterns), mined from at most ``MINE_ROWS``
+Voters: words and word beginnings (lexicons), and shapes of texts (patterns), mined from about ``MINE_ROWS``
 labelled training documents, equal texts once, as those that tell toxic ones apart; each votes on the documents that have it and
-abstains on others. Votes are gathered on at most ``MODEL_ROWS`` documents, labelled or not. The label model is
+abstains on others. Votes are gathered on about ``MODEL_ROWS`` different texts, labelled or not, chosen by a hash. The label model is
 fitted by expectation and maximisation without labels, from the voters' mined accuracies on: it estimates each
 voter's rate of voting on toxic and on other documents, and the correlation of voters given the class, by which
 those that repeat each other share one vote. Its posteriors train a linear classifier on the presence of words and
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def fitted(docs: DataFrame, labels: DataFrame):
     marks = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n_docs, n_labels = docs.count(), marks.count()
     train = docs.where(sampled(F.col("doc_id"), MINE_ROWS / max(1, n_labels))).join(marks, "doc_id").select("text", "toxic")
-    texts = train.groupBy("text").agg(F.max("toxic").alias("toxic"))  # a group of copies counts once
+    texts = train.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))  # a group of copies counts once
     counts = dict(texts.groupBy(F.col("toxic") > 0).count().collect())
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     if not toxic or not clean:
@@ -121,11 +122,15 @@ def fitted(docs: DataFrame, labels: DataFrame):
 
     def found(cols):
         get = shared.value.get
-        yield {"has": [sorted(k for k in map(get, features(t)) if k is not None) for t in cols["text"]], "toxic": cols["toxic"]}
+        has = [sorted(k for k in map(get, features(t)) if k is not None) for t in cols["text"]]
+        yield {"has": has, "key": [xxhash.xxh3_64_intdigest(utf8(t)) >> 1 for t in cols["text"]], "toxic": cols["toxic"]}
 
-    sample = docs.where(sampled(F.concat(F.coalesce("doc_id", F.lit(0)).cast("string"), F.lit("m")), MODEL_ROWS / max(1, n_docs)))
-    sample = sample.select("text", F.lit(None).cast("int").alias("toxic"))
-    rows = map_batches(sample, found, "has array<int>, toxic int").limit(2 * MODEL_ROWS).collect()
+    def gathered(rows):  # in the order of a hash, whatever the partitions
+        return sorted(map_batches(rows, found, "has array<int>, key long, toxic int").collect(), key=lambda r: (r["key"], r["has"]))
+
+    text = F.coalesce("text", F.lit(""))
+    sample = docs.where(sampled(F.xxhash64(text, F.lit("m")), MODEL_ROWS / max(1, n_docs)))
+    rows = gathered(sample.select(text.alias("text")).distinct().select("text", F.lit(None).cast("int").alias("toxic")))
     has = [np.array(r[0], np.int64) for r in rows]
     place = np.full(len(names), -1)
     place[voters] = np.arange(len(voters))
@@ -133,9 +138,9 @@ def fitted(docs: DataFrame, labels: DataFrame):
     post = label_model(votes, p[voters], q[voters], toxic / (toxic + clean))
     data = Rows(has, len(names))
     weights, bias = logistic(data, post, np.ones(len(has)))
-    known = map_batches(train, found, "has array<int>, toxic int").limit(2 * MINE_ROWS).collect()
-    z = Rows([np.array(r[0], np.int64) for r in known], len(names)).dot(weights) + bias
-    return number, weights, bias - _cut(z, np.array([r[1] > 0 for r in known]))
+    known = gathered(texts)
+    z = Rows([np.array(r["has"], np.int64) for r in known], len(names)).dot(weights) + bias
+    return number, weights, bias - _cut(z, np.array([r["toxic"] > 0 for r in known]))
 
 
 def _cut(z: np.ndarray, true: np.ndarray) -> float:
