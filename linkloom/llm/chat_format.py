@@ -66,7 +66,8 @@ def _role(role: str) -> str:
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted conversation: an end mark counts where an even run of backslashes stands before it."""
+    """The turns of a formatted conversation: an end mark counts where an even run of backslashes stands before it. What
+    was not written by ``format_turns`` is a ValueError."""
     turns, at = [], 0
     kinds = {v[0]: k for k, v in TEMPLATE.items()}
     while at < len(formatted):
@@ -75,11 +76,14 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
                 at, end = at + len(mark), TEMPLATE[role][1]
                 break
         else:
-            m = _ROLE.match(formatted, at)
+            if (m := _ROLE.match(formatted, at)) is None:
+                raise ValueError(f"no turn begins at {at}")
             role, at, end = re.sub(r"\\(.)", r"\1", m[1], flags=re.S), m.end(), OTHER[2]
         control = end.strip()
         stop = formatted.find(control, at)
         while True:
+            if stop < 0:
+                raise ValueError(f"the turn before {at} has no end")
             slashes = stop
             while slashes > at and formatted[slashes - 1] == "\\":
                 slashes -= 1
