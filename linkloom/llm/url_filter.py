@@ -1,17 +1,21 @@
 """URL filters: rules by host and path, and link-graph propagation for what no rule fits.
 
 Rules: a rule is ``host/path``; it fits its host and all subdomains if the url's path starts with the rule's
-path, and the longest rule that fits wins. Hosts are exploded into their suffixes, joined with the lengths that
-rules of that host have, and paths cut to these and joined with the rules by equality, so any number of rules can be
-used.
+path, and the longest rule that fits wins; of two of one length that with the longer host. A rule that is given both
+ways blocks. Hosts are exploded into their suffixes, joined with the lengths that rules of that host have, and paths
+cut to these and joined with the rules by equality, so any number of rules can be used.
 
 Propagation: hosts are nodes, links between different hosts edges, weighted by their number. Personalised
 PageRank spreads trust along links from the hosts that an allow rule fits; distrust spreads against links, from the
 hosts that a block rule fits to those that link to them. A host that no rule decides is blocked if its share of
 all distrust exceeds ``MARGIN`` times its share of all trust, however small both are; shares up to ``FLOOR``,
-about what rounding leaves in sums, count as none. Each round
-is a join and a sum by host, summed before the shuffle, in a written table; rounds end when the change is below
-``TOLERANCE``, after about 85 at most as a round moves ``DAMPING`` of what the last one did, or after ``ROUNDS``.
+about what rounding leaves in sums, count as none.
+
+A rank is the sum over all walks from the seeds, damped by their length; that of a walk that ends at a host without
+links goes back to the seeds, which is the same as dividing all ranks by their sum at the end. So a round lengthens
+all walks by one link: a join and a sum by host, summed before the shuffle, for trust and distrust at once, in a written
+table. Rounds end when the walks of a round weigh less than ``TOLERANCE``, after about 85 as each round weighs at
+most ``DAMPING`` of the one before, or after ``ROUNDS``.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; so is a
 host that neither trust nor distrust reaches; null html has no links; repeated pages get a row each and their
@@ -20,10 +24,10 @@ links count each; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm._common import stored
+from linkloom.llm._common import discard, stored
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 MARGIN, FLOOR = 1.0, 1e-15
@@ -31,7 +35,7 @@ MARGIN, FLOOR = 1.0, 1e-15
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']?([^\"'\s>]+)"
+_LINK = r"(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*[\"']?([^\"'\s<>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -48,7 +52,7 @@ def path_of(url: Column) -> Column:
 def rule_table(spark: SparkSession, rules) -> DataFrame:
     """rule, rule_host, rule_path, action from pairs (rule, action)."""
     rows = spark.createDataFrame([(r, r.partition("/")[0], "/" + r.partition("/")[2], a) for r, a in rules], "rule string, rule_host string, rule_path string, action string")
-    return rows.dropDuplicates(["rule"])
+    return rows.groupBy("rule", "rule_host", "rule_path").agg(F.max("action").alias("action"))  # block rather than allow
 
 
 def decided(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -60,8 +64,8 @@ def decided(urls: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = rules.select("rule_host", F.length("rule_path").alias("size")).distinct()
     places = places.join(lengths, "rule_host").where(F.col("size") <= F.length("path"))
     places = places.withColumn("rule_path", F.substring(F.col("path"), F.lit(1), F.col("size")))
-    best = F.max_by(F.struct("rule", "action"), F.length("rule")).alias("best")
-    return places.join(rules, ["rule_host", "rule_path"]).groupBy("host", "path").agg(best).select("host", "path", "best.*")
+    best = F.max(F.struct(F.length("rule"), F.length("rule_host"), "rule", "action")).alias("best")
+    return places.join(rules, ["rule_host", "rule_path"]).groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.action")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -73,25 +77,25 @@ def links(pages: DataFrame) -> DataFrame:
     return found.where("target <> '' and source <> target").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): personalised PageRank along edges (source, target, weight) from seeds (host, seed), whose
-    seeds sum up to 1. Hosts without edges give their rank back to the seeds."""
-    out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
-    shares = stored(edges.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    seeds = stored(seeds, "seeds")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank): for each kind personalised PageRank along its edges (kind, source, target, weight) from its
+    seeds (kind, host, seed), whose seeds sum up to 1. Hosts without edges give their rank back to the seeds."""
+    out = edges.groupBy("kind", "source").agg(F.sum("weight").alias("total"))
+    share = (damping * F.col("weight") / F.col("total")).alias("share")
+    shares = stored(edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", share), "shares")
+    terms = [stored(seeds.select("kind", "host", F.col("seed").alias("part")), "walks")]
     for _ in range(rounds):
-        sent = rank.join(shares, rank.host == shares.source).select(F.col("target").alias("host"), (damping * F.col("rank") * F.col("share")).alias("part"))
-        sent = sent.groupBy("host").agg(F.sum("part").alias("part"))
-        kept = sent.agg(F.sum("part")).head()[0] or 0.0
-        back = seeds.select("host", (F.col("seed") * (1 - kept)).alias("part"))
-        new = sent.unionByName(back).groupBy("host").agg(F.sum("part").alias("rank"))
-        new = stored(new, "rank")
-        change = new.withColumnRenamed("rank", "new").join(rank, "host", "full")
-        moved = change.agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).head()[0]
-        rank = new
-        if (moved or 0.0) < TOLERANCE:
+        step = terms[-1].join(shares, ["kind", "host"]).groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("part") * F.col("share")).alias("part"))
+        seen = Observation()
+        terms.append(stored(step.observe(seen, F.sum("part").alias("weight")), "walks"))
+        if (seen.get["weight"] or 0.0) < tolerance:
             break
+    whole = terms[0]
+    for term in terms[1:]:
+        whole = whole.unionByName(term)
+    rank = whole.groupBy("kind", "host").agg(F.sum("part").alias("rank"))
+    rank = stored(rank.join(rank.groupBy("kind").agg(F.sum("rank").alias("all")), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank")), "rank")
+    discard(shares, *terms)
     return rank
 
 
@@ -102,15 +106,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, margin: float = MARGIN, floor
     fits = stored(decided(urls, rules), "fits")
     edges = stored(links(pages), "links")
 
-    def seeds(action: str) -> DataFrame:
-        hosts = fits.where(F.col("action") == action).groupBy("host").count()
-        total = hosts.agg(F.sum("count")).head()[0] or 1
-        return hosts.select("host", (F.col("count") / total).alias("seed"))
-
-    trust = spread(edges, seeds("allow")).withColumnRenamed("rank", "trust")
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
-    distrust = spread(back, seeds("block")).withColumnRenamed("rank", "distrust")
-    hosts = trust.join(distrust, "host", "full").select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    forth = edges.withColumn("kind", F.lit("allow"))
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight", F.lit("block").alias("kind"))
+    seeds = fits.groupBy(F.col("action").alias("kind"), "host").agg(F.count("*").alias("n"))
+    seeds = seeds.join(seeds.groupBy("kind").agg(F.sum("n").alias("all")), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("seed"))
+    rank = spread(forth.unionByName(back), seeds)
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+    hosts = rank.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     bad = (F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") > floor)
     hosts = stored(hosts.where(bad).select("host", F.lit("block").alias("spread")), "hosts")
     out = urls.join(fits, ["host", "path"], "left").join(hosts, "host", "left")
