@@ -21,7 +21,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,9 @@ PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 
+SEQUENCES = "sequence_id long, input_ids array<int>, doc_ids array<long>, lengths array<long>"
+#: Tokens of pieces that a task gives at once.
+BATCH_TOKENS = 1 << 20
 
 #: A chunk of letters below U+0180, each with one lower case and its own normal form, and of marks behind them.
 _LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -277,7 +280,8 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[tu
 
 
 class Packer:
-    """Packs one task's documents; a piece is (doc, start, length) with doc = (doc_id, ids, n)."""
+    """Packs one task's documents; a piece is (doc, start, length) with doc = (doc_id, ids, n). Gives pieces as (doc_id,
+    start, length, the piece's ids, n, sequence, offset), those of a sequence one after the other."""
 
     def __init__(self, patterns: list[tuple[tuple[int, ...], float]], window: int, task: int) -> None:
         self.patterns, self.window, self.next = patterns, window, task << 33
@@ -288,8 +292,7 @@ class Packer:
         offset, sequence = 0, self.next
         self.next += 1
         for (doc_id, ids, n), start, length in pieces:
-            crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
-            yield doc_id, start, length, crc, n, sequence, offset
+            yield doc_id, start, length, ids[start : start + length], n, sequence, offset
             offset += length
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
@@ -377,27 +380,50 @@ class Packer:
             yield from self._emit(one)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """A row for each piece of a document: where it lies in the document and in its sequence, and a checksum."""
+def _packed(docs: DataFrame, tokenizer_path: str, window: int, end: int, schema: str, shown) -> DataFrame:
+    """What ``shown`` makes of the pieces of each task, a list of them at a time that ends with a sequence."""
     table = stored(tokens(docs, tokenizer_path, end), "tokens")
     left = F.col("n") % window
     histogram = {r[0]: r[1] for r in table.groupBy(left.alias("left")).count().collect()}  # at most window rows
     shared = table.sparkSession.sparkContext.broadcast(plan(histogram, window)[0])
-    arrow = to_arrow_schema(T.StructType.fromDDL(PIECES))
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+    def batch(pieces: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*shown(pieces), strict=True)) or [()] * len(arrow)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, out = Packer(shared.value, window, TaskContext.get().partitionId()), []
+        packer, out, held = Packer(shared.value, window, TaskContext.get().partitionId()), [], 0
         for b in batches:
             for doc_id, ids, width in zip(*(b.column(c) for c in ("doc_id", "ids", "width")), strict=True):
-                out += packer.add(doc_id.as_py(), np.frombuffer(ids.as_py(), f"<u{width.as_py()}"))
-                if len(out) >= 10_000:
-                    yield batch(out)
-                    out = []
+                for piece in packer.add(doc_id.as_py(), np.frombuffer(ids.as_py(), f"<u{width.as_py()}")):
+                    if held >= BATCH_TOKENS and piece[6] == 0:
+                        yield batch(out)
+                        out, held = [], 0
+                    out.append(piece)
+                    held += piece[2]
         out += packer.close()
         yield batch(out)
 
-    return map_arrow(table.select("doc_id", "ids", "width"), run, PIECES)
+    return map_arrow(table.select("doc_id", "ids", "width"), run, schema)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END) -> DataFrame:
+    """A row for each piece of a document: where it lies in the document and in its sequence, and a checksum."""
+
+    def shown(pieces):
+        return [(d, start, n, zlib.crc32(ids.astype("<u4").tobytes()), whole, s, at) for d, start, n, ids, whole, s, at in pieces]
+
+    return _packed(docs, tokenizer_path, window, end, PIECES, shown)
+
+
+def sequences(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END) -> DataFrame:
+    """A row for each sequence, to be written and trained on: its ids, and the documents and lengths of its pieces in
+    their order. A sequence has window ids, or fewer by a power of two at the end of a task."""
+
+    def shown(pieces):
+        for number, group in groupby(pieces, key=lambda p: p[5]):
+            own = list(group)
+            yield number, np.concatenate([p[3] for p in own]).astype(np.int32), [p[0] for p in own], [p[2] for p in own]
+
+    return _packed(docs, tokenizer_path, window, end, SEQUENCES, shown)
