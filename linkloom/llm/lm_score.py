@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from linkloom.llm._common import WordHashes, mix, stored, utf8
+from linkloom.llm._common import WordHashes, kept_in_worker, map_arrow, mix, stored, utf8
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 #: Words in a chunk; its arrays take about 100 bytes a word while it is scored.
@@ -36,9 +36,8 @@ CHUNK_WORDS = 1 << 20
 #: Entries that one task of the count table holds.
 PART_ENTRIES = 2 << 20
 #: An entry's hash is its place among 256 classes of its part, and this many bytes.
-LOW_BYTES = 5
+LOW_BYTES = 6
 
-_hashes = WordHashes()
 CHUNKS = "chunk long, doc_ids array<long>, sizes binary, vocabulary binary, words binary, n long"
 SCORES = "doc_id long, n_words long, score double, log_score double"
 
@@ -65,6 +64,7 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, hashes, held = TaskContext.get().partitionId() << 32, [], [], 0
+        known = kept_in_worker("words", WordHashes)
 
         def close() -> pa.RecordBatch:
             vocabulary, words, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
@@ -76,7 +76,7 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                h = _hashes.of(words_of(batch.column(1)[k].as_py()))
+                h = known.of(words_of(batch.column(1)[k].as_py()))
                 if held and held + len(h) > chunk_words:
                     yield close()
                     number, ids, hashes, held = number + 1, [], [], 0
@@ -87,7 +87,7 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
             yield close()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, CHUNKS)
+    return map_arrow(docs, run, CHUNKS)
 
 
 class Chunk:
@@ -180,8 +180,8 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
             yield from answer()
 
     body = held.select("chunk", "sizes", "vocabulary", "words")
-    asked = body.mapInArrow(ask, ASKED)
-    told = asked.repartition(parts, "part").sortWithinPartitions("part", "n", "chunk").mapInArrow(tell, TOLD)
+    asked = map_arrow(body, ask, ASKED)
+    told = map_arrow(asked.repartition(parts, "part").sortWithinPartitions("part", "n", "chunk"), tell, TOLD)
     answers = told.groupBy("chunk").agg(F.collect_list(F.struct("n", "part", "counts")).alias("answers"))
     scored_arrow = to_arrow_schema(T.StructType.fromDDL(SCORES))
 
@@ -212,7 +212,8 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
                 yield _batch(scored_arrow, list(zip(row["doc_ids"], chunk.sizes.tolist(), mean, [float(s) if t else None for s, t in zip(summed, some, strict=True)], strict=True)))
 
     starts = _texts_with_words(held)
-    return held.select("chunk", "doc_ids", "sizes", "vocabulary", "words").join(answers, "chunk", "left").mapInArrow(sums, SCORES)
+    body = held.select("chunk", "doc_ids", "sizes", "vocabulary", "words")
+    return map_arrow(body.join(answers, "chunk", "left"), sums, SCORES)
 
 
 def _texts_with_words(held: DataFrame) -> int:
