@@ -60,7 +60,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_url_filter has before links are looked at: for those pages SQL gives the same."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_quality_rules that no forest decides."""
+    return op5_quality_rules(spark, sf_dir).drop("kept", "anomaly")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op6_pii, whose spans SQL does not give."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``corpus_pipeline.py`` stands beside the package, for the check tool too."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -69,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontaminate, op2_url_filter, op3_ngram_jaccard_join, op4_packing, op5_quality_rules, op6_pii, op7_lm_score,
-        op8_chat_format, op9_toxicity, op10_quality_classifier, pipeline,
+        op8_chat_format, op9_toxicity, op10_quality_classifier, pipeline, url_rules, quality_base, pii_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -115,6 +131,34 @@ string_agg(shown, '' ORDER BY turn, role, text) AS formatted FROM f GROUP BY 1)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, length(formatted) AS formatted_chars, formatted FROM g"""
 
 
+_RULES = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for r, _ in url_filter.RULES)
+_URL_RULES = f"""WITH u AS (SELECT row_number() OVER () AS id, page_id,
+translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), r(rule, rule_host, rule_path) AS (VALUES {_RULES}),
+fit AS (SELECT id, arg_max(rule, length(rule)) AS rule FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
+SELECT page_id, host, path, rule FROM u LEFT JOIN fit USING (id)"""
+_QUALITY_BASE = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT r, i, w[i:i + 7] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+p AS (SELECT r, unnest(range(i, i + 8)) AS p FROM g JOIN twice USING (r, g)), again AS (SELECT r, count(DISTINCT p) AS n FROM p GROUP BY 1),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+coalesce(again.n, 0) AS n_repeat_words FROM d LEFT JOIN again USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b"""
+_PII_COUNTS = r"""WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email,
+regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS ip, regexp_extract_all(coalesce(text, ''), '[0-9](?:[\x20-]?[0-9])+') AS card,
+regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM documents),
+n AS (SELECT doc_id, email, list_filter(ip, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda y: coalesce(TRY_CAST(y AS UBIGINT) <= 255, false)))) AS ip,
+list_filter(list_transform(card, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 14 AND 19) AS card,
+list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15) AS phone FROM m)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(len(list_filter(card, lambda x:
+list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[length(x) - i + 1] AS INT)
+ELSE 2 * CAST(x[length(x) - i + 1] AS INT) - CASE WHEN CAST(x[length(x) - i + 1] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+CAST(len(phone) AS BIGINT) AS n_phone FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it within a short time; the others are tested against brute force or held-out labels."""
-    return {"op1_decontaminate": _OP1, "op3_ngram_jaccard_join": _OP3, "op7_lm_score": _OP7, "op8_chat_format": _OP8}
+    whole = {"op1_decontaminate": _OP1, "op3_ngram_jaccard_join": _OP3, "op7_lm_score": _OP7, "op8_chat_format": _OP8}
+    return whole | {"url_rules": _URL_RULES, "quality_base": _QUALITY_BASE, "pii_counts": _PII_COUNTS}

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,6 +121,38 @@ def test_packing_round_trip(spark, monkeypatch, buffer):
     assert packing.pack(frame(spark, rows).limit(0), PATH).count() == 0
 
 
+def test_sequences_hold_the_ids(spark):
+    rows = list(enumerate(TEXTS))
+    tokenizer = Tokenizer.from_file(PATH)
+    parts = {}
+    for r in packing.sequences(frame(spark, rows), PATH).collect():
+        assert len(r["input_ids"]) == sum(r["lengths"])
+        at = 0
+        for doc_id, n in zip(r["doc_ids"], r["lengths"], strict=True):
+            parts.setdefault(doc_id, []).append(r["input_ids"][at : at + n])
+            at += n
+    for i, t in rows:
+        wanted = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert sorted(x for p in parts[i] for x in p) == sorted(wanted) and (len(parts[i]) > 1 or parts[i][0] == wanted)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_matches_the_tokenizer(name):
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    assert (encoder.words is not None) == name.startswith("word")
+    encoder.LIMIT = 40  # forgets often
+    rng = random.Random(7)
+    pieces = ["İx", "ΣΑΣ", "naïve's", "it's", "'S", "<|endoftext|>", "x<|startoftext|>y", "don't!!", "\t", "\x85", "\u00a0", "²½", "12ab", "\n", "  ", "é", "e\u0301", "ﬁ", "ŉ", "ſt", "\u00ad", "日本語", "ẞ", "K", "\x00", "Word,", "word", "WORD..."]
+    for _ in range(150):
+        texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12))) for _ in range(4)] + [None]
+        ids, n = encoder.ids(pa.array(texts, pa.string()))
+        wanted = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(wanted, []) and n.tolist() == list(map(len, wanted)), texts
+
+
 def test_least_squares():
     rng = np.random.default_rng(0)
     a = rng.random((12, 40))
@@ -168,6 +201,12 @@ def test_chat_round_trip(turns):
     assert [chat_format.unescape(text[a:b]) for a, b in mask] == [t for r, t in turns if r == "assistant"]
 
 
+@pytest.mark.parametrize("text", ["[INST] abc", "abc", "[INST] a [/INST]\n[ANS] b", "[ROLE:x] y", "[ROLE:x"])
+def test_what_is_no_conversation_is_an_error(text):
+    with pytest.raises(ValueError):
+        chat_format.read_turns(text)
+
+
 def test_reply_trees(spark):
     long = [("long", k, k - 1 if k else None, "user", str(k), 1.0) for k in range(70)]
     tree = [("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "good", 0.9), ("t", 4, 3, "user", "thanks", 0.5), ("t", 9, 8, None, None, None), ("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "y", 1.0)]
@@ -207,6 +246,39 @@ def test_url_rules_and_spread(spark):
     assert url_filter.url_filter(frame_.limit(0), url_filter.rule_table(spark, [])).count() == 0
 
 
+def test_rank_matches_dense_pagerank(spark):
+    rng = np.random.default_rng(3)
+    n, kinds = 60, ("allow", "block")
+    edges, seeds, wanted = [], [], {}
+    for kind in kinds:
+        w = np.where(rng.random((n, n)) < 0.08, rng.integers(1, 9, (n, n)), 0) * (1 - np.eye(n))
+        w[rng.choice(n, 12, replace=False)] = 0  # hosts without links
+        w[:, 7] += 50 * (w[:, 7] > 0)  # a hot host
+        v = np.where(rng.random(n) < 0.1, rng.random(n), 0)
+        v /= v.sum()
+        edges += [(kind, f"h{i}", f"h{j}", float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)]
+        seeds += [(kind, f"h{i}", float(v[i])) for i in np.flatnonzero(v)]
+        p = np.divide(w, w.sum(1, keepdims=True), out=np.tile(v, (n, 1)), where=w.sum(1, keepdims=True) > 0)
+        rank = v
+        for _ in range(300):
+            rank = 0.85 * rank @ p + 0.15 * v
+        wanted |= {(kind, f"h{i}"): rank[i] for i in range(n) if rank[i] > 0}
+    frames = spark.createDataFrame(edges, "kind string, source string, target string, weight double"), spark.createDataFrame(seeds, "kind string, host string, seed double")
+    got = {(r["kind"], r["host"]): r["rank"] for r in url_filter.spread(*frames).collect()}
+    assert got.keys() >= {k for k, r in wanted.items() if r > 1e-6} and sum(abs(got.get(k, 0) - r) for k, r in wanted.items()) < 2e-5
+    assert max(abs(got.get(k, 0) - r) for k, r in wanted.items()) < 1e-6
+
+
+def test_rules_of_one_length_and_clashing_columns(spark):
+    rules = url_filter.rule_table(spark, [("b.com/", "allow"), ("b.com/", "block"), ("a.b.com/x", "block"), ("b.com/xab", "allow")])
+    pages = [(1, "http://b.com/q", "", "h", 1.0), (2, "http://a.b.com/xabc", "", "h", 1.0), (3, "http://www.b.com/xab", None, None, None)]
+    pages += [(4, "http://c.com/", "<a " * 50_000 + "<a href=" * 20_000, "x", 2.0)]
+    frame_ = spark.createDataFrame(pages, "page_id long, url string, html string, host string, rank double")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(frame_, rules).collect()}
+    assert got == {1: ("b.com/", "block"), 2: ("a.b.com/x", "block"), 3: ("b.com/xab", "allow"), 4: (None, "allow")}
+    assert url_filter.url_filter(frame_.limit(0), rules).count() == 0
+
+
 def test_distrust_of_small_hosts(spark):
     hot = [(k, f"http://hot.net/{k}", None) for k in range(60)]
     small = [(100 + k, f"http://s{k // 2}.com/{'bad' if k % 2 else 'other'}/", None) for k in range(40)]
@@ -257,6 +329,27 @@ def test_classifiers_on_held_out_labels(spark, kind, run, folds, held):
     assert run(docs, labels.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_class_prior(share):
+    rng = np.random.default_rng(2)
+    width = len(quality_pu.NAMES)
+    draw = lambda n, at: rng.normal(at, 1, (n, width))
+    n = 6000
+    good = rng.random(n) < share
+    unlabelled = np.where(good[:, None], draw(n, 0.6), draw(n, -0.6))
+    model = quality_pu.trained(draw(2000, 0.6), unlabelled)
+    assert model.prior == pytest.approx(share, abs=0.05)
+    assert ((model.logit(unlabelled) >= 0) == good).mean() > 0.93
+
+
+def test_classifiers_do_not_depend_on_partitions(spark):
+    for kind, run in (("toxic", toxicity.toxicity), ("quality", quality_pu.quality)):
+        rows, marks = labelled(kind)
+        docs, labels = frame(spark, rows), spark.createDataFrame(marks, f"doc_id long, {kind} int")
+        first, again = ({(r[0], r[1]): r["score"] for r in run(docs.repartition(n), labels.repartition(n)).collect()} for n in (2, 5))
+        assert first.keys() == again.keys() and all(first[k] == pytest.approx(again[k], abs=1e-9) for k in first)
+
+
 def test_toxicity_cut_does_not_depend_on_the_document_sample(spark, monkeypatch):
     rows, marks = labelled("toxic")
     few, truth = marks[:450], dict(marks)
@@ -265,7 +358,7 @@ def test_toxicity_cut_does_not_depend_on_the_document_sample(spark, monkeypatch)
     monkeypatch.setattr(toxicity, "MODEL_ROWS", 100)
     monkeypatch.setattr(toxicity, "_cut", lambda z, true: seen.append((len(true), int(true.sum()))) or cut(z, true))
     number, weights, bias = toxicity.fitted(docs.select("doc_id", "text"), labels)
-    assert seen == [(len(few) + 1, sum(v for _, v in few))]  # row 1 is there twice
+    assert seen == [(len(few), sum(v for _, v in few))]  # row 1 is there twice, and counts once
     right = [(bias + sum(weights[number[x]] for x in toxicity.features(t) if x in number) >= 0) == truth[i] for i, t in rows[450:900]]
     assert np.mean(right) > 0.97
 

@@ -105,6 +105,41 @@ def test_quality_rules(spark):
     assert empty.count() == 0
 
 
+def brute_anomaly(forest, row):
+    total = 0.0
+    for feature, cut, left, path in forest.trees:
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] + (row[feature[node]] >= cut[node])
+        total += path[node]
+    n = forest.size
+    harmonic = sum(1 / k for k in range(1, n))
+    return total / len(forest.trees), 2 * harmonic - 2 * (n - 1) / n
+
+
+def test_verdicts_by_hand_and_in_any_partitioning(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(k, t if k % 5 else t.upper().replace(" ", "!!### "), "en", None, 1, "k") for k, t in ((k, text(rng.randint(15, 80))) for k in range(700))]
+    rows += [(5000 + k, rows[k][1], "en", None, 1, "k") for k in range(0, 100, 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(600)], "doc_id long, quality int")
+    own = docs.select("doc_id", "text")
+    forest, limit = quality_rules.fitted(own, labels)
+    first = {r["doc_id"]: tuple(r) for r in quality_rules.quality_rules(docs, labels).collect()}
+    for parts in (3, 7):
+        again = quality_rules.quality_rules(docs.repartition(parts), labels.repartition(parts))
+        assert {r["doc_id"]: tuple(r) for r in again.collect()} == first
+    names = [f.split()[0] for f in quality_rules.RESULT.split(", ")]
+    for k, t, *_ in rows[::7]:
+        base, x = quality_rules.measured([t])
+        mean, usual = brute_anomaly(forest, x[0])
+        got = dict(zip(names, first[k], strict=True))
+        assert got["anomaly"] == pytest.approx(2 ** (-mean / usual), rel=2e-3)
+        n, again = base[0, 0], base[0, 4]
+        assert got["kept"] == (not (n < 20 or 100 * again > 30 * n) and got["anomaly"] <= limit)
+
+
 def test_few_labels_on_many_documents(spark, monkeypatch):
     rng = random.Random(2)
     text = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(40, 80)))
@@ -113,7 +148,7 @@ def test_few_labels_on_many_documents(spark, monkeypatch):
     marks = [(k, int(k % 5 > 0)) for k in range(500)] + [(k, 1) for k in range(10_000, 30_000)]
     labels = spark.createDataFrame([*marks, (None, 1)], "doc_id long, quality int")
     own = docs.select("doc_id", "text")
-    forest, limit = quality_rules.fitted(own, labels, fit_rows=30, label_rows=600)
+    forest, limit = quality_rules.fitted(own, labels, label_rows=600)
     assert np.isfinite(limit) and forest.size == quality_rules.SAMPLE
     _, x = quality_rules.measured([r[1] for r in rows])
     caught = forest.score(x) > limit
@@ -158,6 +193,34 @@ def test_very_long_texts_are_linear():
         pii.spans(part * 300_000)
 
 
+@pytest.mark.parametrize(("text", "kinds"), [
+    ("the hotel lies (212) 555-0199", []), ("locally (212) 555-0199", []), ("(212) 555-0199 is my phone", ["local_phone"]), ("tel: (212) 555-0199", ["local_phone"]),
+    ("call, at the border, (212) 555-0199", ["local_phone"]), ("call for order (212) 555-0199", ["local_phone"]), ("order no (212) 555-0199", []),
+    ("x" * 50 + "tel " + "y" * 37 + " (212) 555-0199", []), ("AT61 1904 3002 3457 3201 OR call", ["iban"]), ("AT61 1904 3002 3457 3201 or", ["iban"]), ("AT611904300234573201X", []),
+    ("ZZ61 1904 3002 3457 3201", []), ("NO9386011117947.", ["iban"]), ("SSN 123-45-6789", ["national_id"]), ("assn 123-45-6789", []), ("an example AT61 1904 3002 3457 3201", []),
+])
+def test_contexts_are_whole_words_on_both_sides(text, kinds):
+    assert [s[2] for s in pii.spans(text)] == kinds
+
+
+def brute_context(text, a, b):
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", text)]
+    return {w for s, e, w in words if (s >= a - pii.NEAR and e <= a) or (s >= b and e <= b + pii.NEAR)}
+
+
+def test_added_spans_match_brute_force():
+    rng = random.Random(9)
+    parts = ["(212) 555-0199", "call", "border", "order", "phone", "hotel", "telephone", "xx", ",", "a_tel", "é", "fax9", "example"]
+    for _ in range(1500):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        wanted = []
+        for m in re.finditer(r"\(212\) 555-0199", text):
+            near = brute_context(text, *m.span())
+            if 0.5 + 0.3 * bool(near & {"phone", "tel", "telephone", "call", "mobile", "fax"}) - 0.2 * bool(near & {"order", "example"}) >= pii.LEAST:
+                wanted.append((*m.span(), "local_phone"))
+        assert pii.more_spans(text, []) == wanted, text
+
+
 def test_added_spans_and_masks(spark):
     text = "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765433 now; call (212) 555-0199; " + "x " * 30 + "order (212) 555-0199; password=da3fe1beadc3e135f8 x@y.org"
     kinds = [s[2] for s in pii.spans(text)]
