@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.schema import INDEX, KEY
+from linkloom.schema import INDEX, KEY, VERSION
 
 #: What a later row of the same key replaces: always, where it is not null, where it is not empty.
 REPLACED = ("last_seen_at", "verification_status", "live_backlink_present", "updated_at")
@@ -83,7 +83,24 @@ def integrity(index: DataFrame) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2]).agg(*(F.sum(x).alias(x) for x in names))
 
 
-def upgraded(index: DataFrame) -> DataFrame:
-    """An index written under an earlier version: columns it lacks get their defaults."""
-    nullable = ("source_http_status", "live_backlink_present", "last_checked_at", "record_offset", "record_length")
-    return index.select(*(F.col(f.name) if f.name in index.columns else F.lit(None if f.name in nullable else "").cast(f.dataType).alias(f.name) for f in INDEX))
+#: What each schema version added to the index: columns and their defaults, in the order of versions.
+ADDED: dict[int, dict[str, object]] = {
+    2: {"first_discovered_at": "", "last_seen_at": ""},
+    3: {"verification_status": "UNVERIFIED", "live_backlink_present": None, "last_checked_at": None},
+    4: {"collection": "", "dataset_type": "", "record_filename": "", "record_offset": None, "record_length": None},
+    5: {"redirect_chain": "", "evidence_hash": ""},
+    6: {"created_at": "", "updated_at": ""},
+}
+
+
+def upgraded(index: DataFrame, version: int = 1) -> DataFrame:
+    """An index written under an earlier version, step by step: columns that a later version added, where they are
+    missing, get their defaults. A version that this one does not know is an error."""
+    if version > VERSION:
+        raise ValueError(f"the index has schema version {version}, known are versions up to {VERSION}")
+    types = {f.name: f.dataType for f in INDEX}
+    for step in range(2, VERSION + 1):
+        new = {c: F.lit(v).cast(types[c]) for c, v in ADDED[step].items() if c not in index.columns}
+        index = index.withColumns(new) if new else index
+    rest = {c: F.lit(None if t.simpleString() != "string" else "").cast(t) for c, t in types.items() if c not in index.columns}
+    return (index.withColumns(rest) if rest else index).select(*INDEX.names)

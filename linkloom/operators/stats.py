@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,12 @@ def index_stats(index: DataFrame, approximate: bool = False) -> DataFrame:
     return index.agg(F.count("*").alias("backlinks"), *(distinct(c).alias(n) for n, c in names.items()))
 
 
+def overview(index: DataFrame, jobs, spark: SparkSession) -> dict[str, int]:
+    """The index's counts with those of the tables beside it (streaming.jobs.Jobs)."""
+    beside = {"errors": len(jobs.errors(limit=None)), "checkpoints": jobs.frame(spark, "checkpoints").count(), "active_jobs": len(jobs.list(active_only=True, limit=None))}
+    return index_stats(index).head().asDict() | beside
+
+
 def collection_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("collection").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "collection")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +25,15 @@ def page_evidence(final_url: Column, status: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(final_url, F.lit("")), status.cast("string"), F.sha2(body, 256)), 256)
 
 
-def verify(fetches: DataFrame, target: Target, had_archive: Column | None = None, checked_at: str = "") -> DataFrame:
-    """A result for each fetch: status, whether the link is there (null if the page gave nothing), evidence."""
+def verify(fetches: DataFrame, target: Target | Sequence[Target], had_archive: Column | None = None, checked_at: str = "") -> DataFrame:
+    """A result for each fetch: status, whether a link to the target, or to one of several, is there (null if the page
+    gave nothing), evidence."""
+    targets = [target] if isinstance(target, Target) else list(target)
     had = F.lit(True) if had_archive is None else had_archive
     keep = fetches.columns
     rows = fetches.withColumns({"_base": F.coalesce("final_url", "url"), "_had": had})
     rows = html.parsed(rows, "body", [*keep, "_base", "_had"], base="_base")
-    found = F.exists("anchors", lambda a: F.coalesce(matches_link(a["resolved_url"], target), F.lit(False)))
+    found = F.exists("anchors", lambda a: reduce(or_, (matches_link(a["resolved_url"], t) for t in targets), F.lit(False)))
     empty = F.coalesce(F.octet_length("body"), F.lit(0)) == 0
     present = F.coalesce(found, F.lit(False))
     status = decision(F.col("error"), F.col("status"), empty, present, F.col("_had"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +42,11 @@ def _feed(rows: DataFrame, collection: str, dataset_type: str, filled: bool = Fa
     return rows.select(*(value.get(c, F.lit("")).alias(c) for c in names), F.lit(dataset_type).alias("dataset_type"))
 
 
-def read_csv(spark: SparkSession, path: str, collection: str = "", dataset_type: str = "csv", sep: str = ",") -> DataFrame:
-    rows = spark.read.options(header=True, multiLine=True, escape='"', sep=sep, mode="PERMISSIVE").csv(path)
+def read_csv(
+    spark: SparkSession, path: str, collection: str = "", dataset_type: str = "csv", sep: str = ",", line_ends_in_cells: bool = True
+) -> DataFrame:
+    """Quoted cells may hold line ends, so a file is one task; without them a large file is split."""
+    rows = spark.read.options(header=True, multiLine=line_ends_in_cells, escape='"', sep=sep, mode="PERMISSIVE").csv(path)
     return _feed(rows, collection, dataset_type)
 
 
@@ -69,14 +76,31 @@ def parse_jsonl(lines: DataFrame, collection: str = "", dataset_type: str = "jso
     return _objects(parsed.where("o is not null and o._broken is null"), collection, dataset_type)
 
 
+def _first_character(spark: SparkSession, path: str) -> str:
+    """The first character of a file, plain or compressed, that is no white space."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    conf, where = spark.sparkContext._jsc.hadoopConfiguration(), hadoop.fs.Path(path)
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+    stream = where.getFileSystem(conf).open(where)
+    stream = codec.createInputStream(stream) if codec else stream
+    try:
+        while (c := stream.read()) >= 0:
+            if chr(c) not in " \t\r\n":
+                return chr(c)
+        return ""
+    finally:
+        stream.close()
+
+
 def read_json_array(spark: SparkSession, path: str, collection: str = "", dataset_type: str = "jsonl") -> DataFrame:
     """A file that holds one array; what is no object in it is skipped, any other root is an error."""
+    for file in expanded(spark, [path]):
+        if _first_character(spark, file) != "[":
+            raise SourceError(f"{file}: not a JSON array")
     whole = spark.read.text(path, wholetext=True)
     item = F.from_json("value", T.ArrayType(T.StringType()))
-    bad = whole.where(item.isNull() | ~F.col("value").rlike(r"^\s*\["))
-    if not bad.isEmpty():
-        raise SourceError(f"{path}: not a JSON array")
-    items = whole.select(F.explode(item).alias("value"))
+    refused = F.raise_error(F.concat(F.lit("not a JSON array: "), F.input_file_name()))
+    items = whole.select(F.explode(F.when(item.isNotNull(), item).otherwise(refused)).alias("value"))
     return parse_jsonl(items, collection, dataset_type)
 
 
@@ -89,21 +113,56 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("value")).where("value <> ''")
 
 
-def read_archive(spark: SparkSession, path: str, kind: str, collection: str = "") -> DataFrame:
-    from linkloom.sources.warc import read_wat, read_warc
+#: Endings of files by kind, and the reader of those that are tables.
+KINDS = {
+    "warc": (".warc", ".warc.gz"), "wat": (".wat", ".wat.gz"), "csv": (".csv", ".csv.gz"),
+    "jsonl": (".jsonl", ".jsonl.gz", ".ndjson"), "json": (".json", ".json.gz"), "parquet": (".parquet",),
+}
+_TABLES = {"csv": read_csv, "jsonl": read_jsonl, "json": read_json_array, "parquet": read_parquet}
 
-    feed = links_of_responses(read_warc(spark, path)) if kind == "warc" else links_of_wat(read_wat(spark, path))
+
+def kind_of(path: str) -> str:
+    name = path.lower().rstrip("/")
+    for kind, endings in KINDS.items():
+        if name.endswith(endings):
+            return kind
+    raise SourceError(f"unknown kind of file: {path}")
+
+
+def _links(spark: SparkSession, path: str, kind: str, collection: str, records: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    from linkloom.sources import warc
+
+    if kind == "warc":
+        feed = links_of_responses(records(warc.read_warc(spark, path)))
+    elif kind == "wat":
+        feed = links_of_wat(records(warc.read_wat(spark, path)))
+    else:
+        return records(_TABLES[kind](spark, path, collection))
     return feed.withColumn("collection", F.lit(collection))
 
 
-def read_links(spark: SparkSession, path: str, collection: str = "") -> DataFrame:
-    """A feed from a file by its ending, or from all files of a folder that have one ending (``*.csv``)."""
-    name = path.lower()
-    for kind, ends, read in (
-        ("warc", (".warc", ".warc.gz"), None), ("wat", (".wat", ".wat.gz"), None), ("csv", (".csv", ".csv.gz"), read_csv),
-        ("jsonl", (".jsonl", ".jsonl.gz", ".ndjson"), read_jsonl), ("json", (".json", ".json.gz"), read_json_array),
-        ("parquet", (".parquet",), read_parquet),
-    ):
-        if name.endswith(ends):
-            return read_archive(spark, path, kind, collection) if read is None else read(spark, path, collection)
-    raise SourceError(f"unknown kind of file: {path}")
+def read_links(spark: SparkSession, path: str, collection: str = "", records: Callable[[DataFrame], DataFrame] = lambda r: r) -> DataFrame:
+    """A feed from a file by its ending, from a pattern of files of one ending (``*.csv``), or from a folder's files of
+    any known endings. ``records`` is applied to records before their links are taken, such as a limit."""
+    try:
+        return _links(spark, path, kind_of(path), collection, records)
+    except SourceError:
+        found = [f for f in expanded(spark, [path]) if f != path]
+        if not found:
+            raise
+    feeds = [_links(spark, f, kind_of(f), collection, records) for f in found]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
+
+
+def expanded(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that are meant, a folder's in the order of their names; what is no known kind stays, to be an error of
+    that file alone. Spark's own folders of parts count as one file."""
+    from linkloom.sources.warc import list_files
+
+    out = []
+    for p in paths:
+        try:
+            out += [p] if kind_of(p) == "parquet" or not re.search(r"[*?{\[]", p) else list_files(spark, p)
+        except SourceError:
+            out += list_files(spark, p) or [p]
+    return [p for p in out if not p.rpartition("/")[2].startswith(("_", "."))]

@@ -1,19 +1,24 @@
-"""Incremental ingestion with Structured Streaming: files become micro-batches of the index's upsert.
+"""Ingestion: jobs over files of any kind, and Structured Streaming over folders of JSON lines.
 
-Progress is Spark's own: the checkpoint folder says which files are done, so a stopped run goes on where it was and
+A job goes through its files in groups; after each group its checkpoint says how many files and records are done, so
+a stopped job goes on there, and a group that is repeated changes nothing but times. A file that cannot be read becomes an
+error of the job, and the others of its group are read without it.
+
+Of a stream, files become micro-batches of the index's upsert. Progress is Spark's own: the checkpoint folder says which files are done, so a stopped run goes on where it was and
 a batch that is repeated changes nothing but times. Stopping and pausing a job stop its query."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linkloom.operators.build import build_links
-from linkloom.sources.files import parse_jsonl
+from linkloom.operators.build import build_links, conform
+from linkloom.sources.files import expanded, parse_jsonl, read_links
 from linkloom.sources.sinks import StoredIndex
 from linkloom.streaming.jobs import Jobs
 
@@ -73,6 +78,58 @@ def run_job(spark: SparkSession, jobs: Jobs, job_id: int, folder: str, index: St
     return state
 
 
+def _merge_files(spark: SparkSession, index: StoredIndex, paths: list[str], as_of: str, collection: str, most: int | None) -> dict[str, int]:
+    """Files as one batch of the index; counts of records, links and keys. ``most`` bounds the records of all."""
+    seen, feeds = [], []
+    for number, path in enumerate(paths):
+        seen.append(Observation())
+
+        def records(rows: DataFrame, noted: Observation = seen[-1]) -> DataFrame:
+            return (rows if most is None else rows.limit(most)).observe(noted, F.count("*").alias("n"))
+
+        feed = read_links(spark, path, collection, records)
+        place = F.lit(number << 48) + F.monotonically_increasing_id()  # files in order, and their rows
+        feeds.append(conform(feed.withColumn("_at", place), "_at"))
+    feed = reduce(lambda a, b: a.unionByName(b), feeds)
+    rows = build_links(feed, as_of, arrival=F.col("_at"))
+    links = Observation()
+    counts = index.upsert(rows.observe(links, F.count("*").alias("n")))
+    return {"records_read": sum(o.get["n"] for o in seen), "links": links.get["n"], **counts}
+
+
+def run_files(
+    spark: SparkSession, jobs: Jobs, job_id: int, paths: list[str], index: StoredIndex, as_of: str, collection: str = "user-import",
+    max_files: int | None = None, max_records: int | None = None, at_once: int = 20,
+) -> str:
+    """Ingests files and folders of link datasets and archives under a job's row, from its checkpoint on; returns the
+    job's state then. With ``max_records`` files are read one by one, and no more records than that in all."""
+    files = expanded(spark, paths)[:max_files]
+    done = jobs.load_checkpoint(job_id, "files") or {"files": 0, "records": 0}
+    jobs.update(job_id, status="running")
+    while done["files"] < len(files) and (max_records is None or done["records"] < max_records):
+        if state := jobs.wants_stop(job_id):
+            jobs.update(job_id, status=state)
+            return state
+        group = files[done["files"] :][: 1 if max_records else at_once]
+        left = None if max_records is None else max_records - done["records"]
+        try:
+            parts = [_merge_files(spark, index, group, as_of, collection, left)]
+        except Exception:  # one of them: each alone
+            parts = []
+            for path in group:
+                try:
+                    parts.append(_merge_files(spark, index, [path], as_of, collection, left))
+                except Exception as e:
+                    jobs.record_error("import", str(e)[:500], job_id, path)
+                    jobs.bump(job_id, errors=1)
+        total = {k: sum(p[k] for p in parts) for k in ("records_read", "links", "inserted", "duplicates")}
+        jobs.bump(job_id, files=len(group), **total)
+        done = {"files": done["files"] + len(group), "records": done["records"] + total["records_read"]}
+        jobs.checkpoint(job_id, "files", done)
+    jobs.update(job_id, status="completed")
+    return "completed"
+
+
 def domain_counts(lines: DataFrame, as_of: str) -> DataFrame:
     """A stream's running count of links by target domain: a keyed aggregation, no window."""
     rows = build_links(parse_jsonl(lines), as_of)

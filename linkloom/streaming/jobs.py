@@ -91,7 +91,7 @@ class Jobs:
         job = self.get(job_id) or {}
         return "stopped" if job.get("cancel") else "paused" if job.get("pause") else None
 
-    def list(self, active_only: bool = False, limit: int = 50) -> list[dict]:
+    def list(self, active_only: bool = False, limit: int | None = 50) -> list[dict]:
         rows = sorted({r["id"]: r for r in self._rows("jobs")}.values(), key=lambda r: -r["id"])
         return [r for r in rows if not active_only or r["status"] in JOB_STATES[:4]][:limit]
 
@@ -106,7 +106,7 @@ class Jobs:
             number = len(self._rows("errors")) + 1
             self._append("errors", {"id": number, "job_id": job_id, "context": context, "message": message, "detail": detail, "created_at": now()})
 
-    def errors(self, limit: int = 200) -> list[dict]:
+    def errors(self, limit: int | None = 200) -> list[dict]:
         return self._rows("errors")[::-1][:limit]
 
     def clear_errors(self) -> None:

@@ -4,9 +4,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom import logs
+from linkloom.functions import robots
 from linkloom.operators import build, merge, stats, verify
 from linkloom.operators.search import Search, Target, total_pages
 from linkloom.plans import catalogue
+from linkloom.schema import INDEX
 from linkloom.sources import crawl, files, sinks, warc
 from linkloom.streaming import ingest, jobs
 
@@ -186,6 +189,93 @@ def test_frontier_over_all_orders(spark):
     assert len(got) == len(level) > 300 and {r["url"]: r["level"] for r in got} == level
 
 
+def test_stored_index_by_buckets(spark, tmp_path):
+    index = sinks.StoredIndex(spark, f"{tmp_path}/index", buckets=8)
+    assert index.read() is None and index.upsert(rows(spark, [])) == {"inserted": 0, "duplicates": 0}
+    assert index.upsert(rows(spark, DATA)) == {"inserted": 4, "duplicates": 1}
+    before = index.manifest()["folders"]
+    plain = merge.upsert(None, rows(spark, DATA))
+    later = rows(spark, [("http://b.org/", "http://t.com/docs/a_b", "changed", "nofollow"), ("http://n.com/", "http://t.com/", "new", "")], LATER)
+    assert index.upsert(later) == {"inserted": 1, "duplicates": 1}
+    after = index.manifest()["folders"]
+    assert len([b for b in before if before[b] != after[b]]) == 1 < len(before)  # one domain, one bucket
+    whole = merge.upsert(plain, later)
+    key = lambda r: str(tuple(r.drop("id").collect()) and sorted(map(str, r.drop("id").collect())))
+    assert key(index.read()) == key(whole) and merge.integrity(index.read()).head() == (0, 0, 0)
+    found = index.search(Search(target="t.com"))
+    assert key(found) == key(Search(target="t.com").rows(whole))
+    assert len(found.inputFiles()) == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(normalized_target_domain), EqualTo(normalized_target_domain,t.com)]" in plan
+    assert index.search(Search(target="www.t.com", mode="exact_hostname")).count() == 1
+    assert index.vacuum(keep=1) == 1 and key(index.read()) == key(whole)
+    (tmp_path / f"index/manifest-{index.version() + 1}.json").write_text(json.dumps(index.manifest() | {"schema": 99}))
+    with pytest.raises(ValueError, match="schema version"):
+        index.read()
+
+
+def test_old_schemas_gain_columns(spark):
+    old = merge.upsert(None, rows(spark, DATA)).drop("evidence_hash", "redirect_chain", "verification_status", "record_offset")
+    new = merge.upgraded(old, 2)
+    assert new.columns == [f.name for f in INDEX] and {tuple(r) for r in new.select("verification_status", "record_offset", "evidence_hash").collect()} == {("UNVERIFIED", None, "")}
+
+
+def write_inputs(folder):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<a href=http://t.com/w>x\xff</a>"
+    meta = {"Envelope": {"WARC-Header-Metadata": {"WARC-Target-URI": "http://m.com/"}, "Payload-Metadata": {"HTTP-Response-Metadata": {"HTML-Metadata": {"Links": [{"url": "http://t.com/m"}]}}}}}
+    (folder / "a.csv").write_text("source_url,target_url\nhttp://c.com/,http://t.com/c\nhttp://c.com/2,http://t.com/c\n")
+    (folder / "b.json").write_text('{"no": "array"}')
+    (folder / "c.jsonl").write_text('{"source_url": "http://j.com/", "target_url": "http://t.com/j"}\n')
+    (folder / "d.warc.gz").write_bytes(gzip.compress(record("response", "http://w.com/", page)) + gzip.compress(record("response", "http://w.com/2", page)))
+    (folder / "e.wat").write_bytes(record("metadata", "", json.dumps(meta).encode()))
+    (folder / "f.xyz").write_text("?")
+
+
+def test_jobs_over_files_of_any_kind(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_inputs(tmp_path / "in")
+    spark.createDataFrame([("http://p.com/", "http://t.com/p")], "source_url string, target_url string").write.parquet(f"{tmp_path}/g.parquet")
+    paths = [f"{tmp_path}/in", f"{tmp_path}/g.parquet"]
+    index, log = sinks.StoredIndex(spark, f"{tmp_path}/index", buckets=4), jobs.Jobs(f"{tmp_path}/jobs")
+    number = log.create("files", {})
+    run = lambda job=number, **o: ingest.run_files(spark, log, job, paths, index, NOW, **o)
+    assert run(max_files=2, at_once=1) == "completed"
+    assert index.read().count() == 2 and log.load_checkpoint(number, "files") == {"files": 2, "records": 2}
+    assert [e["context"] for e in log.errors()] == ["import"] and "b.json" in log.errors()[0]["detail"]
+    log.control(number, pause=True)
+    assert run() == "paused" and index.read().count() == 2
+    log.control(number, pause=False)
+    assert run(at_once=3) == "completed"
+    wanted = {"http://c.com/", "http://c.com/2", "http://j.com/", "http://w.com/", "http://w.com/2", "http://m.com/", "http://p.com/"}
+    assert {r["source_url"] for r in index.read().collect()} == wanted
+    stats_ = log.get(number)["stats"]
+    assert (stats_["files"], stats_["errors"], stats_["records_read"], stats_["inserted"]) == (7, 2, 7, 7)
+    again = log.create("files", {})
+    assert run(again) == "completed" and log.get(again)["stats"]["inserted"] == 0 and log.get(again)["stats"]["duplicates"] == 7
+    few = log.create("files", {})
+    assert run(few, max_records=3) == "completed" and log.load_checkpoint(few, "files")["records"] == 3
+    assert stats.overview(index.read(), log, spark)["errors"] == 5 and stats.overview(index.read(), log, spark)["backlinks"] == 7
+    feed = files.read_links(spark, f"{tmp_path}/in/[a]*")
+    assert feed.count() == 2
+
+
+def test_robots_and_logs(tmp_path):
+    text = "User-agent: *\nDisallow: /private\n"
+    assert robots.can_fetch(text, "x", "http://a.com/") and not robots.can_fetch(text, "x", "http://a.com/private/1") and robots.can_fetch(None, "x", "http://a.com/private")
+    log = logs.logger(str(tmp_path), "t", most_bytes=200, older=1)
+    assert logs.logger(str(tmp_path), "t") is log and len(log.handlers) == 1
+    for _ in range(20):
+        log.info("a line of some length")
+    assert (tmp_path / "t.log.1").exists() and (tmp_path / "t.log").stat().st_size < 300
+
+
+def test_verification_of_several_targets(spark):
+    frame = spark.createDataFrame([("http://a/", 200, b"<a href=http://t.com/>", None), ("http://b/", 200, b"<a href=http://u.com/x>", None), ("http://c/", 200, b"<a href=http://v.com/>", None)], "url string, status int, body binary, error string")
+    frame = frame.withColumns({"final_url": F.lit(None).cast("string"), "content_type": F.lit(""), "redirect_chain": F.lit(None).cast("array<string>")})
+    got = verify.verify(frame, [Target("t.com"), Target("http://u.com/x", "exact_url")]).collect()
+    assert [r["live_backlink_present"] for r in got] == [1, 1, 0]
+
+
 def test_streaming_ingestion_and_jobs(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.jsonl").write_text('{"source_url": "http://a.com/", "target_url": "http://t.com/"}\nbroken\n')
@@ -197,7 +287,7 @@ def test_streaming_ingestion_and_jobs(spark, tmp_path):
     (tmp_path / "in" / "2.jsonl").write_text('{"source_url": "http://a.com/", "target_url": "http://t.com/"}\n{"source_url": "http://b.com/", "target_url": "http://t.com/", "collection": "c"}\n')
     assert run() == "completed" and index.read().count() == 2  # only the new file is read
     assert log.get(number)["stats"]["duplicates"] == 1 and log.load_checkpoint(number, "batch") == {"batch": 1}
-    assert index.delete_collection("c") == 1 and index.read().count() == 1 and index.compact() == 4
+    assert index.delete_collection("c") == 1 and index.read().count() == 1 and index.compact() == index.version()
     log.record_error("x", "m", number)
     log.add_history("t.com", "root_domain", 3)
     assert log.frame(spark, "errors").count() == 1 and log.history()[0]["result_count"] == 3
