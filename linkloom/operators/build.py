@@ -68,7 +68,7 @@ def links_of_responses(records: DataFrame, filename: str = "") -> DataFrame:
 def links_of_wat(pages: DataFrame) -> DataFrame:
     """A feed from pages of a metadata archive (source_url, title, links, filename): urls are resolved."""
     rows = pages.select(F.col("source_url"), F.col("title").alias("source_title"), F.col("filename").alias("record_filename"), F.inline("links"))
-    rows = rows.withColumn("target_url", urls.resolve(F.col("source_url"), F.col("url"))).where("target_url is not null")
+    rows = urls.with_resolved(rows, "source_url", "url", "target_url").where("target_url is not null")
     return rows.select(
         "source_url", "target_url", F.col("text").alias("anchor_text"), F.col("alt").alias("image_alt"), "rel", "source_title",
         "record_filename", F.lit("wat").alias("dataset_type"),

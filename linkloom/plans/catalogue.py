@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from linkloom.operators.search import Search, Target, first_rows, matches_link,
 from linkloom.plans import feed
 from linkloom.schema import EXPORT_COLUMNS, INDEX, KEY
 from linkloom.sources import crawl, files, sinks, warc
+from linkloom.streaming import ingest, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +89,9 @@ def _temporary(spark: SparkSession) -> str:
     return f"{base}/linkloom-{uuid.uuid4().hex}"
 
 
+_RAW = ("source_url", "target_url", "anchor_text", "image_alt", "rel", "source_title", "collection")
+
+
 # functions
 
 
@@ -102,6 +107,33 @@ def registrable_domain(spark, sf_dir):
     return rows.groupBy("host", urls.registrable_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("n"))
 
 
+_HOSTS = {"Bücher.DE": "xn--bcher-kva.de", "faß.de.": "fass.de", "a..bü.de": "a..b.de", "KÖLN.example.org": "xn--kln-sna.example.org", "ascii.org": "ascii.org"}
+_HOST_CASE = " ".join(f"WHEN {k} THEN 'http://{h}:80/ä?ü'" for k, h in enumerate(_HOSTS))
+_IDNA_CASE = " ".join(f"WHEN {k} THEN 'http://{h}/ä?ü'" for k, h in enumerate(_HOSTS.values()))
+
+
+@registered(f"SELECT CASE o_orderkey % {len(_HOSTS)} {_HOST_CASE} END AS url, CASE o_orderkey % {len(_HOSTS)} {_IDNA_CASE} END AS normalized, count(*) AS n FROM orders GROUP BY ALL")
+def idna_hosts(spark, sf_dir):
+    rows = feed.read(spark, sf_dir, "orders").select(F.expr(f"CASE o_orderkey % {len(_HOSTS)} {_HOST_CASE} END").alias("url"))
+    return urls.with_normalized(rows, {"url": ("normalized", "_host")}).groupBy("url", "normalized").agg(F.count("*").alias("n"))
+
+
+#: What these mean on http://Site.com/a/b/c?q
+_REFERENCES = {
+    "d": "/a/b/d", "./d": "/a/b/d", "../d": "/a/d", "../../../d": "/d", "/x/./y/../z": "/x/z", "?r": "/a/b/c?r", "d?s#t": "/a/b/d?s",
+    "..": "/a/", ".": "/a/b/", "d//e": "/a/b/d/e", "http:e": "/a/b/e", "d;p": "/a/b/d;p",
+}
+_REFERENCE_CASE = " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(_REFERENCES))
+_MEANT_CASE = " ".join(f"WHEN {k} THEN 'http://site.com{m}'" for k, m in enumerate(_REFERENCES.values()))
+
+
+@registered(f"SELECT CASE o_orderkey % {len(_REFERENCES)} {_REFERENCE_CASE} END AS href, CASE o_orderkey % {len(_REFERENCES)} {_MEANT_CASE} END AS resolved, count(*) AS n FROM orders GROUP BY ALL")
+def resolve_references(spark, sf_dir):
+    rows = feed.read(spark, sf_dir, "orders").select(F.expr(f"CASE o_orderkey % {len(_REFERENCES)} {_REFERENCE_CASE} END").alias("href"))
+    rows = urls.with_resolved(rows.withColumn("page", F.lit("http://Site.com/a/b/c?q")), "page", "href", "resolved")
+    return rows.groupBy("href", "resolved").agg(F.count("*").alias("n"))
+
+
 @registered(f"WITH {_FEED} SELECT rel, CASE WHEN rel = '' THEN 'FOLLOW' ELSE {_TYPE} END AS link_type, count(*) AS n FROM feed GROUP BY ALL")
 def rel_classify(spark, sf_dir):
     return feed.feed(spark, sf_dir).groupBy("rel", links.classify_rel(F.col("rel")).alias("link_type")).agg(F.count("*").alias("n"))
@@ -292,6 +324,32 @@ def recent_rows(spark, sf_dir):
     return recent(feed.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("message")), 50)
 
 
+@registered(_where("normalized_target_domain = 'target6.co.uk'"))
+def stored_search(spark, sf_dir):
+    """A written index: of its buckets one is opened, and the domain's filter reaches the scan."""
+    index = sinks.StoredIndex(spark, _temporary(spark))
+    index.replace(feed.index(spark, sf_dir))
+    return index.search(Search(target="target6.co.uk"))
+
+
+@registered(f"WITH {_LINKS} SELECT DISTINCT {', '.join(KEY)}, normalized_target_domain, source_domain FROM links")
+def resume_files(spark, sf_dir):
+    """A job over files of three kinds that ends after the first and is then resumed."""
+    folder, links_ = _temporary(spark), feed.feed(spark, sf_dir)
+    paths = []
+    for k, (kind, options) in enumerate((("csv", {"header": True, "escape": '"', "emptyValue": ""}), ("json", {}), ("parquet", {}))):
+        paths.append(f"{folder}/{k}.{'jsonl' if kind == 'json' else kind}")
+        part = links_.where(f"id % 3 = {k}").select(*_RAW)
+        part.write.format(kind).options(**options).save(paths[-1])
+    index = sinks.StoredIndex(spark, f"{folder}/index")
+    with tempfile.TemporaryDirectory() as state:
+        log = jobs.Jobs(state)
+        number = log.create("files", {"paths": paths})
+        ingest.run_files(spark, log, number, paths, index, "2024-01-01T00:00:00+00:00", max_files=1)
+        ingest.run_files(spark, log, number, paths, index, "2024-01-01T00:00:00+00:00")
+    return index.read().select(*KEY, "normalized_target_domain", "source_domain")
+
+
 # counts
 
 
@@ -368,9 +426,11 @@ CASE WHEN gone OR error = 'blocked' THEN '' ELSE sha256(url || '|' || CAST(statu
 CASE WHEN gone OR error = 'blocked' THEN NULL ELSE CAST(present AS INT) END AS live_backlink_present FROM v)"""
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str, around: str = "") -> DataFrame:
+    """around: bytes in hex that stand before and behind each page."""
     rows = feed.read(spark, sf_dir, "orders").selectExpr(*(f"{v} AS {k}" for k, v in _FETCH.items()))
-    body = F.when(F.col("html") != "", F.encode("html", "UTF-8"))
+    more = F.unhex(F.lit(around))
+    body = F.when(F.col("html") != "", F.concat(more, F.encode("html", "UTF-8"), more))
     rows = rows.select("url", F.col("url").alias("final_url"), "status", F.lit("text/html").alias("content_type"), body.alias("body"), F.lit(None).cast("array<string>").alias("redirect_chain"), "error", "had_archive")
     return verify.verify(rows, Target("target.com"), F.col("had_archive"), "2024-01-01T00:00:00+00:00")
 
@@ -380,6 +440,12 @@ def verify_decision(spark, sf_dir):
     return _results(spark, sf_dir).select("source_url", "verification_status", "live_backlink_present")
 
 
+@registered(f"WITH {_FETCHES}, {_VERDICT} SELECT url AS source_url, verification_status, live_backlink_present FROM r")
+def verify_malformed(spark, sf_dir):
+    """The same pages with bytes before and behind them that are no UTF-8."""
+    return _results(spark, sf_dir, "C328FF").select("source_url", "verification_status", "live_backlink_present")
+
+
 @registered(f"WITH {_FETCHES}, {_VERDICT} SELECT url AS source_url, evidence_hash FROM r")
 def verify_evidence(spark, sf_dir):
     return _results(spark, sf_dir).select("source_url", "evidence_hash")
@@ -417,7 +483,6 @@ def safe_url(spark, sf_dir):
 
 # sources
 
-_RAW = ("source_url", "target_url", "anchor_text", "image_alt", "rel", "source_title", "collection")
 _RAW_SQL = f"WITH {_FEED} SELECT {', '.join(_RAW)} FROM feed"
 
 

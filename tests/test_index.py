@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom import logs
+from linkloom import cli, logs
 from linkloom.functions import robots
 from linkloom.operators import build, merge, stats, verify
 from linkloom.operators.search import Search, Target, total_pages
@@ -293,3 +293,29 @@ def test_streaming_ingestion_and_jobs(spark, tmp_path):
     assert log.frame(spark, "errors").count() == 1 and log.history()[0]["result_count"] == 3
     log.clear_errors()
     assert log.errors() == [] and log.list(active_only=True) == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    write_inputs(tmp_path / "in")
+    run = lambda *words: cli.main([f"--index={tmp_path}/index", f"--jobs={tmp_path}/jobs", *words], spark)
+    assert run("search", "t.com") == 1 and run("pause", "7") == 1
+    assert run("build", f"{tmp_path}/in", "--max-files", "1") == 0
+    assert run("pause", "1") == 0 and run("build", f"{tmp_path}/in", "--job", "1") == 0
+    assert '"state": "paused"' in capsys.readouterr().out
+    assert run("resume", "1") == 0 and run("build", f"{tmp_path}/in", "--job", "1") == 0
+    assert '"state": "completed"' in capsys.readouterr().out
+    assert run("search", "http://T.com/any", "--size", "4", "--sort", "source_url", "--ascending") == 0
+    out = capsys.readouterr().out
+    assert "page 2 of 2" in out and out.count("http://t.com/") == 6
+    assert run("search", "t.com", "--where", "link_types=UNKNOWN", "--where", "unique_source_domain", "--pages", "1") == 0
+    assert capsys.readouterr().out.count("http://t.com/") == 4
+    assert run("search", "t.com", "--export", "source_urls", "--to", f"{tmp_path}/out") == 0
+    assert spark.read.text(f"{tmp_path}/out").count() == 6
+    frame = spark.createDataFrame([("http://a/", 200, b"<a href=http://t.com/>")], "url string, status int, body binary")
+    frame.withColumns({"final_url": F.col("url"), "content_type": F.lit(""), "error": F.lit(None).cast("string"), "redirect_chain": F.array().cast("array<string>")}).write.parquet(f"{tmp_path}/f")
+    capsys.readouterr()
+    assert run("verify", f"{tmp_path}/f", "t.com", "u.com") == 0
+    assert json.loads(capsys.readouterr().out)["live_backlink_present"] == 1
+    assert run("status") == 0 and '"errors": 2' in capsys.readouterr().out
+    assert run("selftest") == 0

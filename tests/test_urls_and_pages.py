@@ -51,8 +51,14 @@ def test_ignored_and_resolved(spark):
         ("http://a.com/", "mailto:x@y", None), ("http://a.com/", " #top", None), ("http://a.com/", "", None), ("http://a.com/", None, None),
         ("http://a.com/x/", "../../w", "http://a.com/w"), ("http://a.com/", "HTTPS://C.com:443/ä", "https://c.com/ä"), ("http://a.com/", "foo:bar", None), ("http://a.com/", "JavaScript:void(0)", None),
     ]
+    rng = random.Random(5)
+    bases = ["http://a.com", "https://A.com/x/y?q", "http://a.com/x/", "ftp://a.com/x", "//a.com/x", "http://[::1]/x", "", "http://ü.de/a//b"]
+    parts = ["..", ".", "/", "//", "a", "b.c", "?", "#", "http:", "https:", "HTTP://h", ":", " ", "ü", "[", "mailto:"]
+    for _ in range(800):
+        base, href = rng.choice(bases), "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))
+        pairs.append((base, href, urls.link_target(base, href)))
     frame = spark.createDataFrame(pairs, "base string, href string, expected string")
-    for r in frame.withColumn("got", urls.resolve(F.col("base"), F.col("href"))).collect():
+    for r in urls.with_resolved(frame, "base", "href", "got").collect():
         assert r["got"] == r["expected"] == urls.link_target(r["base"], r["href"] or ""), r
 
 
