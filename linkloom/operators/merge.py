@@ -21,7 +21,8 @@ def fold(rows: DataFrame, order: Column) -> DataFrame:
     rows = rows.withColumn("_order", F.struct(order.alias("o"), F.xxhash64(*(f.name for f in INDEX)).alias("h")))
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)
-    out = rows.groupBy(*KEY).agg(
+    # a number first: rows are sorted by it, and by the long urls behind it only where it is the same
+    out = rows.groupBy(F.xxhash64(*KEY).alias("_key"), *KEY).agg(
         F.min_by(F.struct(*first), "_order").alias("a"), F.max_by(F.struct(*REPLACED), "_order").alias("b"),
         *map(known, IF_KNOWN), *map(filled, IF_FILLED),
     )

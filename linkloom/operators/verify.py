@@ -70,15 +70,15 @@ def had_archive(dataset_type: Column) -> Column:
 
 def crawl(links: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """(url, level) of pages reached from seeds (url) within so many links of (source, target), nearest first. Each
-    level is an anti join with what was seen; tables are cut so that the plan does not grow."""
-    seen = seeds.select("url").distinct().withColumn("level", F.lit(0)).checkpoint()
-    edge = seen
+    level is an anti join with all levels before, which stay as they were written; tables cut the lineage."""
+    levels = [seeds.select("url").distinct().withColumn("level", F.lit(0)).checkpoint()]
+    seen = levels[0]
     for level in range(1, depth + 1):
-        edge = edge.join(links, edge.url == links.source).select(F.col("target").alias("url")).distinct()
-        edge = edge.join(seen, "url", "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        if edge.isEmpty():
+        edge = links.join(levels[-1], links.source == levels[-1].url).select(F.col("target").alias("url")).distinct()
+        levels.append(edge.join(seen, "url", "left_anti").withColumn("level", F.lit(level)).checkpoint())
+        if levels[-1].isEmpty():
             break
-        seen = seen.unionByName(edge).checkpoint()
+        seen = seen.unionByName(levels[-1])
     return seen if most is None else seen.orderBy("level", "url").limit(most)
 
 
