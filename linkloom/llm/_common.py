@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -165,7 +165,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as a written table in the shared folder: computed once, and no lineage behind it. With the number of its rows,
-    or a bound on it, it is written in as few files as its size asks for."""
+    or a bound on it, it is written in as few files as its size asks for; not for joins by hash tables, as a task keeps
+    those of all partitions that it goes through."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
@@ -183,6 +184,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, group: str, ranges: list, order: list, name: str) -> DataFrame:
+    """df, written, with each row's place from 1 on among the rows of its group, in an order that starts with ``ranges``.
+    Groups are cut into ranges, numbered each alone and moved up by the rows before, so a large group is many tasks."""
+    ranged = df.repartitionByRange(group, *ranges).withColumn("_range", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("_range", group).orderBy(*ranges, *order))
+    table = stored(ranged.withColumn("_place", place), "numbered")
+    before = Window.partitionBy("_group").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = table.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_own")).agg(F.max("_place").alias("_size"))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(before)).where("_before is not null")  # of cut groups
+    table = table.join(sizes, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_own")), "left")
+    number = (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("long").alias(name)
+    return table.select(*df.columns, number)
+
+
 def hashed(df: DataFrame) -> DataFrame:
     """df as the side of a join that is held in hash tables, so that the other, larger one is not sorted. For sides whose
     keys are spread evenly, so that each of their partitions is of bounded size."""

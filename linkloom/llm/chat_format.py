@@ -19,10 +19,10 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._common import map_batches, stored
+from linkloom.llm._common import discard, map_batches, numbered, stored
 
 #: What stands before and after a turn's text. The end mark of the assistant's turn is no loss.
 TEMPLATE = {
@@ -103,8 +103,7 @@ def linear(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
+    rows = numbered(rows, "tree", ["turn"], ["role", "text"], "node")
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
     return rows.select("tree", "node", parent.alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
@@ -119,31 +118,32 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     # null trees are a tree too: keys that compare
     rows = rows.withColumn("tree", F.to_json(F.struct("tree"))).where("node is not null")
     rows = stored(rows, "messages")
+    longest = max(1, rows.count())  # no table here has more rows, but that of paths
     slim = rows.select(*keys, "parent", "score")
     known = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     slim = slim.join(known, ["tree", "parent"], "left")
     up = F.when(F.col("known") & (F.col("parent") != F.col("node")), F.col("parent"))
     names = ["tree", "node", "up", "total", "steps"]
-    first = stored(slim.select(*keys, up.alias("up"), F.col("score").alias("total"), F.lit(1).alias("steps")), "jumps")
+    first = stored(slim.select(*keys, up.alias("up"), F.col("score").alias("total"), F.lit(1).alias("steps")), "jumps", longest)
     whole, jumps = first.where("up is null"), [first.where("up is not null")]  # at their root, and on their way
-    longest = max(1, rows.count())
     while 1 << len(jumps) <= 2 * longest and not jumps[-1].isEmpty():  # a circle would go on for ever
         last = jumps[-1]
         ahead = last.unionByName(whole).toDF("tree", "up", "up2", "total2", "steps2")
         joined = last.join(ahead, ["tree", "up"])
-        further = stored(joined.select(*keys, F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps")), "jumps")
+        further = stored(joined.select(*keys, F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps")), "jumps", longest)
         whole = whole.unionByName(further.where("up is null")).select(*names)
         jumps.append(further.where("up is not null"))
     inner = jumps[0].select("tree", F.col("up").alias("node")).distinct()
     leaves = whole.join(inner, keys, "left_anti").withColumn("mean", F.col("total") / F.col("steps"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "node"))
-    leaves = leaves.withColumn("rank", rank)
+    leaves = stored(leaves.select(*keys, "mean"), "ends", longest)
+    leaves = numbered(leaves, "tree", [F.desc("mean"), "node"], [], "rank").withColumn("rank", F.col("rank").cast("int"))
     if best is not None:
         leaves = leaves.where(F.col("rank") <= best)
-    found = stored(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node"), "leaves")
+    found = stored(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node"), "leaves", longest)
     for jump in reversed(jumps):
         above = found.join(jump.select("tree", "node", "up"), keys)
-        found = stored(found.unionByName(above.select("tree", "leaf", "rank", F.col("up").alias("node"))), "leaves")
+        found, last = stored(found.unionByName(above.select("tree", "leaf", "rank", F.col("up").alias("node"))), "leaves", 2 * found.count()), found
+        discard(last)
     depth = whole.select(*keys, F.col("steps").alias("depth"))
     return found.join(depth, keys).join(rows.select(*keys, "role", "text"), keys)
 
