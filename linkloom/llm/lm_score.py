@@ -12,7 +12,8 @@ start marks and has no end mark; its score is the mean of log S over its words.
 
 Defined cases: a null or empty text has no words, no score (null) and adds nothing to the counts; repeated
 documents count each time and get a row each; an empty table gives an empty result; a text larger than a chunk
-is a chunk of its own; other columns are ignored, whatever their names.
+is cut into pieces, each with the words before it as context, whose sums meet at the end; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ PART_ENTRIES = 2 << 20
 #: An entry's hash is its place among 256 classes of its part, and this many bytes.
 LOW_BYTES = 6
 
-CHUNKS = "chunk long, doc_ids array<long>, sizes binary, vocabulary binary, words binary, n long"
-SCORES = "doc_id long, n_words long, score double, log_score double"
+CHUNKS = "chunk long, doc_ids array<long>, pieces binary, vocabulary binary, words binary, n long"
+SCORES = "piece long, doc_id long, n long, log double"
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -58,31 +59,41 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
-def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Documents by the chunk: ids, numbers of words, word hashes, and the words as numbers of these."""
-    arrow = to_arrow_schema(T.StructType.fromDDL(CHUNKS))
+#: A piece of a text: its row's number, words of context, words of its own, the place of its first own word.
+PIECE = np.dtype([("row", "<i8"), ("context", "<u4"), ("own", "<u4"), ("start", "<i8")])
+
+
+def chunks(docs: DataFrame, context: int, chunk_words: int | None = None) -> DataFrame:
+    """Documents by the chunk: ids, pieces, word hashes, and the words as numbers of these. A text's further pieces begin
+    with ``context`` words of the one before."""
+    arrow, most = to_arrow_schema(T.StructType.fromDDL(CHUNKS)), chunk_words or CHUNK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, hashes, held = TaskContext.get().partitionId() << 32, [], [], 0
+        first = TaskContext.get().partitionId() << 32
+        number, row, ids, hashes, pieces, held = first, first, [], [], [], 0
         known = kept_in_worker("words", WordHashes)
 
         def close() -> pa.RecordBatch:
             vocabulary, words, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
             often = np.argsort(-count, kind="stable")  # frequent words get small numbers, which take little room
             vocabulary, words = vocabulary[often], np.argsort(often)[words]
-            sizes = np.array([len(h) for h in hashes], "<u4")
-            row = [number], [ids], [sizes.tobytes()], [vocabulary.tobytes()], [_squeeze(words)], [len(words)]
-            return pa.RecordBatch.from_pydict(dict(zip(arrow.names, row, strict=True)), schema=arrow)
+            own = np.array(pieces, PIECE)
+            out = [number], [ids], [own.tobytes()], [vocabulary.tobytes()], [_squeeze(words)], [int(own["own"].sum())]
+            return pa.RecordBatch.from_pydict(dict(zip(arrow.names, out, strict=True)), schema=arrow)
 
         for batch in batches:
             for k in range(batch.num_rows):
                 h = known.of(words_of(batch.column(1)[k].as_py()))
-                if held and held + len(h) > chunk_words:
-                    yield close()
-                    number, ids, hashes, held = number + 1, [], [], 0
-                ids.append(batch.column(0)[k].as_py())
-                hashes.append(h)
-                held += len(h)
+                for at in range(0, max(1, len(h)), most):
+                    before, size = min(at, context), min(len(h) - at, most)
+                    if held and held + size > most:
+                        yield close()
+                        number, ids, hashes, pieces, held = number + 1, [], [], [], 0
+                    ids.append(batch.column(0)[k].as_py())
+                    hashes.append(h[at - before : at + size])
+                    pieces.append((row, before, size, at))
+                    held += size
+                row += 1
         if ids:
             yield close()
 
@@ -93,12 +104,14 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
 class Chunk:
     """The n-grams of a chunk: for each order their hashes, sorted, and where each word's n-gram is among them."""
 
-    def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, order: int) -> None:
-        self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
-        vocabulary = np.frombuffer(vocabulary, np.uint64)
-        words = _unsqueeze(words)
-        first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(words)) - np.repeat(first, self.sizes)  # in its text
+    def __init__(self, pieces: bytes, vocabulary: bytes, words: bytes, order: int) -> None:
+        self.pieces = np.frombuffer(pieces, PIECE)
+        context, own = self.pieces["context"].astype(np.int64), self.pieces["own"].astype(np.int64)
+        vocabulary, words, size = np.frombuffer(vocabulary, np.uint64), _unsqueeze(words), context + own
+        inside = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+        self.piece = np.repeat(np.arange(len(size)), size)
+        self.own = inside >= np.repeat(context, size)  # others are context alone
+        self.place = inside + np.repeat(self.pieces["start"] - context, size)  # in its text
         h = mix(vocabulary ^ np.uint64(0x5DEECE66D))[words]
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
@@ -115,7 +128,7 @@ class Chunk:
             self.at.append(at)
 
     def counts(self, n: int) -> np.ndarray:
-        return np.bincount(self.at[n], minlength=len(self.keys[n]))
+        return np.bincount(self.at[n], weights=self.own, minlength=len(self.keys[n])).astype(np.int64)
 
 
 def _batch(arrow: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -131,7 +144,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
     """A row for each document: its words, and the mean and the sum of log S over them."""
     if order < 1 or min_count < 1:
         raise ValueError("order and min_count are 1 at least")
-    held = stored(chunks(docs), "chunks")
+    held = stored(chunks(docs, order - 1), "chunks")
     total = held.agg(F.sum("n")).head()[0] or 0
     parts = max(1, -(-total * order // PART_ENTRIES))
     asked_arrow, told_arrow = (to_arrow_schema(T.StructType.fromDDL(s)) for s in (ASKED, TOLD))
@@ -179,7 +192,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
         if rows:
             yield from answer()
 
-    body = held.select("chunk", "sizes", "vocabulary", "words")
+    body = held.select("chunk", "pieces", "vocabulary", "words")
     asked = map_arrow(body, ask, ASKED)
     told = map_arrow(asked.repartition(parts, "part").sortWithinPartitions("part", "n", "chunk"), tell, TOLD)
     answers = told.groupBy("chunk").agg(F.collect_list(F.struct("n", "part", "counts")).alias("answers"))
@@ -189,7 +202,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                chunk = Chunk(row["sizes"], row["vocabulary"], row["words"], order)
+                chunk = Chunk(row["pieces"], row["vocabulary"], row["words"], order)
                 found: list[np.ndarray] = []
                 for n in range(order):
                     own = sorted((a["part"], a["counts"]) for a in row["answers"] or () if a["n"] == n)
@@ -205,21 +218,23 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
                     with np.errstate(divide="ignore"):
                         own = np.log(found[n]) - np.log(context)
                     logs = np.where(hit, own, np.log(backoff) + logs)
-                text = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
-                summed = np.bincount(text, weights=logs, minlength=len(chunk.sizes))
-                some = chunk.sizes > 0
-                mean = [float(s / n) if n else None for s, n in zip(summed, chunk.sizes, strict=True)]
-                yield _batch(scored_arrow, list(zip(row["doc_ids"], chunk.sizes.tolist(), mean, [float(s) if t else None for s, t in zip(summed, some, strict=True)], strict=True)))
+                summed = np.bincount(chunk.piece, weights=np.where(chunk.own, logs, 0.0), minlength=len(chunk.pieces))
+                own = chunk.pieces
+                yield _batch(scored_arrow, list(zip(own["row"].tolist(), row["doc_ids"], own["own"].tolist(), summed.tolist(), strict=True)))
 
     starts = _texts_with_words(held)
-    body = held.select("chunk", "doc_ids", "sizes", "vocabulary", "words")
-    return map_arrow(body.join(answers, "chunk", "left"), sums, SCORES)
+    body = held.select("chunk", "doc_ids", "pieces", "vocabulary", "words")
+    scored = map_arrow(body.join(answers, "chunk", "left"), sums, SCORES)
+    scored = scored.groupBy("piece").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("log").alias("log"))
+    some = F.col("n_words") > 0
+    return scored.select("doc_id", "n_words", F.when(some, F.col("log") / F.col("n_words")).alias("score"), F.when(some, F.col("log")).alias("log_score"))
 
 
 def _texts_with_words(held: DataFrame) -> int:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = sum(int((np.frombuffer(b, "<u4") > 0).sum()) for b in batch.column(0).to_pylist())
+            pieces = (np.frombuffer(b, PIECE) for b in batch.column(0).to_pylist())
+            n = sum(int(((p["own"] > 0) & (p["start"] == 0)).sum()) for p in pieces)
             yield pa.RecordBatch.from_pydict({"n": [n]}, schema=pa.schema([("n", pa.int64())]))
 
-    return held.select("sizes").mapInArrow(count, "n long").agg(F.sum("n")).head()[0] or 0
+    return held.select("pieces").mapInArrow(count, "n long").agg(F.sum("n")).head()[0] or 0
