@@ -2,8 +2,10 @@
 
 The windows go to every executor as sorted hashes with the items' word ids; a text's words become ids of the
 same vocabulary, candidate windows are looked up by hash and then compared word by word. The benchmark is
-measured first: beyond ``BLOCK_BYTES`` it is cut into blocks of about that size, each broadcast alone and held
-against all texts, and the blocks' findings meet by text. An item that is larger than a block stays whole.
+measured first: beyond ``BLOCK_BYTES`` it is cut into blocks of about that size. The hashes alone of the windows of many
+blocks, up to ``FILTER_BYTES``, then go to every executor first; the texts that have one of them, which are few, are
+written to a table, and only they are held against the blocks, one block at a time, word by word. The blocks' findings
+meet by text. An item that is larger than a block stays whole.
 
 Defined cases: a null or empty text has no words and is clean; an item without words or with a null id has no
 windows; items that share an id count once; an empty benchmark leaves everything clean; repeated documents
@@ -15,15 +17,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from linkloom.llm._common import ITEM_WORDS, edit_rows, item_words, map_batches, mix, utf8, window_hashes
+from linkloom.llm._common import ITEM_WORDS, WordHashes, edit_rows, item_words, kept_in_worker, map_batches, mix, stored, utf8, window_hashes
 
 #: Bytes of item texts that are broadcast at once; a block's words and windows take about ten times this.
 BLOCK_BYTES = 8 << 20
+#: Bytes of window hashes that are broadcast at once, eight for each window.
+FILTER_BYTES = 64 << 20
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -122,56 +129,116 @@ def _hits(windows: Windows, texts: list[str | None]) -> tuple[np.ndarray, list[n
     return sizes, places, items
 
 
-def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
-    """The benchmark's windows, a block of bounded size at a time."""
+Rows = list[tuple[object, str | None]]
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable[[int], Rows]]:
+    """The number of blocks of bounded size, and what gives a block's items."""
     sized = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     count = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    for b in range(count):
-        rows = (sized.where(block == b) if count > 1 else sized).collect()
-        yield count, Windows([(r[0], r[1]) for r in rows], n)
 
+    def items(b: int) -> Rows:
+        return [(r[0], r[1]) for r in (sized.where(block == b) if count > 1 else sized).collect()]
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document: its words, how many are hit, and a digest of the items that hit it."""
-    spark, sources = docs.sparkSession, []
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for count, windows in _blocks(benchmark, n, block_bytes):
-        shared = spark.sparkContext.broadcast(windows)
-        if count == 1:
+    return count, items
+
+
+class Suspects:
+    """Hashes of windows by their length, over words' own hashes; says which texts have one of them."""
 
-            def report(cols, shared=shared):
-                sizes, places, items = _hits(shared.value, cols["text"])
+    def __init__(self, n: int) -> None:
+        self.n, self.hashes = n, {}
+
+    def add(self, items: Rows) -> Suspects:
+        known, found = WordHashes(), {}
+        for item_id, text in items:
+            h = known.of(item_words(text)) if item_id is not None else ()
+            if len(h):
+                found.setdefault(min(self.n, len(h)), []).append(window_hashes(h, min(self.n, len(h))))
+        for size, parts in found.items():
+            self.hashes[size] = np.unique(np.concatenate([*parts, self.hashes.get(size, np.empty(0, np.uint64))]))
+        return self
+
+    @property
+    def bytes(self) -> int:
+        return sum(h.nbytes for h in self.hashes.values())
+
+    def among(self, texts: list[str | None]) -> np.ndarray:
+        known = kept_in_worker("words", WordHashes)
+        out = np.zeros(len(texts), bool)
+        for k, text in enumerate(texts):
+            h = known.of(item_words(text))
+            for size, hashes in self.hashes.items():
+                w = window_hashes(h, size)
+                out[k] |= bool(len(w)) and bool((hashes[np.minimum(np.searchsorted(hashes, w), len(hashes) - 1)] == w).any())
+        return out
+
+
+def _groups(count: int, items: Callable[[int], Rows], n: int) -> Iterator[tuple[Suspects, list[int]]]:
+    """Blocks whose windows' hashes are broadcast together."""
+    suspects, blocks = Suspects(n), []
+    for b in range(count):
+        suspects.add(items(b))
+        blocks.append(b)
+        if suspects.bytes >= FILTER_BYTES:
+            yield suspects, blocks
+            suspects, blocks = Suspects(n), []
+    if blocks:
+        yield suspects, blocks
+
+
+def _found(docs: DataFrame, count: int, items_of: Callable[[int], Rows], n: int) -> DataFrame:
+    """(key, places, items) of each different text that a window of some block hits: a row of places for each block."""
+    spark, texts, sources = docs.sparkSession, docs.select("text").where("text is not null"), []
+    for suspects, blocks in _groups(count, items_of, n):
+        shared = spark.sparkContext.broadcast(suspects)
+        some = edit_rows(texts, "text", lambda t, shared=shared: (shared.value.among(t), {})).distinct()
+        some = stored(some.withColumn("key", F.sha2("text", 256)), "suspects")
+        for block in blocks:
+            windows = spark.sparkContext.broadcast(Windows(items_of(block), n))
+
+            def partial(cols, windows=windows):
+                _, places, items = _hits(windows.value, cols["text"])
+                hit = [k for k, p in enumerate(places) if len(p)]
                 yield {
-                    "doc_id": cols["doc_id"], "n_words": sizes, "n_hit": [len(p) for p in places],
-                    "n_items": [len(x) for x in items], "items_sha256": [_digest(x) for x in items],
-                    "contaminated": [len(p) > 0 for p in places],
+                    "key": [cols["key"][k] for k in hit], "places": [places[k].astype("<i4").tobytes() for k in hit],
+                    "items": [items[k] for k in hit],
                 }
 
-            return map_batches(docs, report, REPORT)
+            sources.append(stored(map_batches(some, partial, "key string, places binary, items array<string>"), "hits"))
+    hits = sources[0]
+    for more in sources[1:]:
+        hits = hits.unionByName(more)
+    return hits.groupBy("key").agg(F.collect_list("places").alias("places"), F.flatten(F.collect_list("items")).alias("items"))
+
+
+def _places(parts: list[bytes] | None) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(b, "<i4") for b in parts])) if parts else np.empty(0, np.int32)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each document: its words, how many are hit, and a digest of the items that hit it."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    count, items_of = _blocks(benchmark, block_bytes)
+    if count == 1:
+        shared = spark.sparkContext.broadcast(Windows(items_of(0), n))
 
-        def partial(cols, shared=shared, block=len(sources)):
-            _, places, items = _hits(shared.value, cols["text"])
-            hit = [k for k, p in enumerate(places) if len(p)]
+        def report(cols):
+            sizes, places, items = _hits(shared.value, cols["text"])
             yield {
-                "key": [cols["key"][k] for k in hit], "block": [block] * len(hit),
-                "places": [places[k].astype("<i4").tobytes() for k in hit], "items": [items[k] for k in hit],
+                "doc_id": cols["doc_id"], "n_words": sizes, "n_hit": [len(p) for p in places],
+                "n_items": [len(x) for x in items], "items_sha256": [_digest(x) for x in items],
+                "contaminated": [len(p) > 0 for p in places],
             }
 
-        keyed = docs.select(F.sha2("text", 256).alias("key"), "text")
-        sources.append(map_batches(keyed, partial, "key string, block int, places binary, items array<string>"))
-    hits = sources[0]
-    for more in sources[1:]:
-        hits = hits.unionByName(more)
-    merged = (  # equal texts have equal findings; at most one row for each block is left of a text
-        hits.dropDuplicates(["key", "block"])
-        .groupBy("key")
-        .agg(F.collect_list("places").alias("places"), F.flatten(F.collect_list("items")).alias("items"))
-    )
+        return map_batches(docs, report, REPORT)
+    merged = _found(docs, count, items_of, n)
 
     def joined(cols):
-        places = [np.unique(np.concatenate([np.frombuffer(b, "<i4") for b in p])) if p else () for p in cols["places"]]
+        places = [_places(p) for p in cols["places"]]
         items = [sorted(set(x or ())) for x in cols["items"]]
         yield {
             "doc_id": cols["doc_id"], "n_words": [len(item_words(t)) for t in cols["text"]],
@@ -201,14 +268,32 @@ def decontaminate(
     the hit words cut from the text (``remove="spans"``)."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    for _, windows in _blocks(benchmark, n, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-        def edit(texts, shared=shared):
-            _, places, _ = _hits(shared.value, texts)
-            if remove == "documents":
-                return np.array([len(p) == 0 for p in places], bool), {}
-            return None, {"text": [_cut(t, p) if len(p) else t for t, p in zip(texts, places, strict=True)]}
-
-        docs = edit_rows(docs, "text", edit)  # narrow: a block's removal needs no shuffle, nor do many
-    return docs
+    count, items_of = _blocks(benchmark, block_bytes)
+    if count == 1:  # narrow: no shuffle
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(items_of(0), n))
+
+        def edit(texts):
+            return _edited(texts, _hits(shared.value, texts)[1], remove)
+
+        return edit_rows(docs, "text", edit)
+    names = docs.columns
+    own = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names of the input cannot clash with ours
+    text = F.col(f"c{names.index('text')}")
+    found = _found(own.select(text.cast("string").alias("text")), count, items_of, n)
+    own = own.withColumn("_key", F.sha2(text.cast("string"), 256)).join(found.select(F.col("key").alias("_key"), "places"), "_key", "left")
+    if remove == "documents":
+        own = own.where("places is null")
+    else:
+        own = own.withColumn(f"c{names.index('text')}", F.when(F.col("places").isNull(), text).otherwise(_cut_all(text, F.col("places"))))
+    return own.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+
+
+@F.pandas_udf(T.StringType())
+def _cut_all(texts: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([t if p is None else _cut(t, _places(list(p))) for t, p in zip(texts, places, strict=True)], dtype="object")
+
+
+def _edited(texts: list[str | None], places: list[np.ndarray], remove: str) -> tuple[np.ndarray | None, dict[str, list]]:
+    if remove == "documents":
+        return np.array([len(p) == 0 for p in places], bool), {}
+    return None, {"text": [_cut(t, p) if len(p) else t for t, p in zip(texts, places, strict=True)]}
