@@ -46,8 +46,6 @@ LABEL = FIRST + NEXT * (DEPTH - 1)
 BLOCK_WEIGHT, NODE_WEIGHT = 400_000, 400
 #: A node that has more than one in so many rows of a join in the component search is a hub.
 HUBS = 200
-#: Rows of keys and numbers that a row with a text is reckoned as, when files are sized.
-TEXT_ROWS = 10
 #: Classes of similarity, from the threshold to 1, by which found pairs are counted.
 BINS = 40
 
@@ -293,16 +291,16 @@ def _candidates(docs: DataFrame, nodes: DataFrame, depth: int, trees: int) -> Da
     placed = nodes.where("labels is not null").select("key", F.posexplode(prefixes(F.col("labels"), depth, trees)).alias("tree", "node"))
     shared = placed.groupBy("tree", "node").agg(F.count("*").alias("members")).where("members > 1")
     wanted = placed.join(hashed(shared), ["tree", "node"], "left_semi").select("key").distinct()
-    wanted = nodes.join(hashed(wanted), "key", "left_semi").withColumnRenamed("doc_id", "own_id")
+    wanted = nodes.join(wanted, "key", "left_semi").withColumnRenamed("doc_id", "own_id")
     wanted = stored(wanted, "wanted", nodes.count())
     texts = _rows(docs).join(hashed(wanted), "key").where(F.col("own_id").eqNullSafe(F.col("doc_id")))
-    out = stored(texts.select("key", "copies", "weight", "labels", "text"), "candidates", TEXT_ROWS * wanted.count())
+    out = stored(texts.select("key", "copies", "weight", "labels", "text"), "candidates")
     discard(wanted)
     return out
 
 
 def _met(candidates: DataFrame, count: int, depth: int, deeper: int | None, trees: int) -> DataFrame:
-    """(key, links, root, pairs) of the similar texts that meet at this depth, but at none of the deeper round."""
+    """(key, links, root, pairs) of the similar ones of count texts that meet at this depth, but at none of the deeper round."""
     own = prefixes(F.col("labels"), depth, trees)
     before = prefixes(F.col("labels"), deeper, trees) if deeper else F.array().cast("array<long>")
     texts = candidates.select("key", "copies", own.alias("labels"), before.alias("before"), "text")
@@ -313,7 +311,7 @@ def _met(candidates: DataFrame, count: int, depth: int, deeper: int | None, tree
     texts_of = [F.count("*").alias("n"), F.sum("weight").alias("total"), *(F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
     nodes = members.groupBy("tree", "node").agg(*texts_of).where("n > 1")
     nodes = nodes.groupBy("n", "total", "x1", "x2").agg(F.min(F.struct("tree", "node")).alias("f")).select("f.*", "total")
-    places = stored(members.join(hashed(nodes), ["tree", "node"]), "places", trees * count)
+    places = stored(members.join(nodes, ["tree", "node"]), "places", trees * count)
     # nor those whose texts all met before, at an earlier node of this round or in the one before
     arrays = candidates.select("key", own.alias("labels"), before.alias("before"))
     alike = lambda c, t: F.min(F.col(c)[t]) == F.max(F.col(c)[t])
@@ -321,7 +319,7 @@ def _met(candidates: DataFrame, count: int, depth: int, deeper: int | None, tree
     old = F.greatest(*(alike("before", t) for t in range(trees))) if deeper else F.lit(False)
     nodes = places.select("tree", "node", "key").join(arrays, "key").groupBy("tree", "node").agg(F.array(*same).alias("same"), old.alias("old"))
     nodes = nodes.where(~F.col("old") & (F.array_position("same", True) - 1 == F.col("tree"))).select("tree", "node")
-    members = places.join(hashed(nodes), ["tree", "node"]).withColumn("size", F.when(F.col("total") > BLOCK_WEIGHT, F.col("size")).otherwise(-1))
+    members = places.join(nodes, ["tree", "node"]).withColumn("size", F.when(F.col("total") > BLOCK_WEIGHT, F.col("size")).otherwise(-1))
     members = stored(members, "members", trees * count)
     discard(places)
     blocks = members.groupBy("tree", "node", "size").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("int").alias("blocks"))
