@@ -84,10 +84,11 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     share = (damping * F.col("weight") / F.col("total")).alias("share")
     shares = stored(edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", share), "shares")
     terms = [stored(seeds.select("kind", "host", F.col("seed").alias("part")), "walks")]
+    most = shares.count()  # rows of a term, one for each host with a link to it
     for _ in range(rounds):
         step = terms[-1].join(shares, ["kind", "host"]).groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("part") * F.col("share")).alias("part"))
         seen = Observation()
-        terms.append(stored(step.observe(seen, F.sum("part").alias("weight")), "walks"))
+        terms.append(stored(step.observe(seen, F.sum("part").alias("weight")), "walks", most))
         if (seen.get["weight"] or 0.0) < tolerance:
             break
     whole = terms[0]
