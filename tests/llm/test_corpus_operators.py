@@ -12,10 +12,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from linkloom.llm import chat_format, lm_score, near_duplicates, packing, quality_pu, toxicity, url_filter
-from linkloom.llm._common import item_words
+from linkloom.llm._common import item_words, numbered
 
 DOCS = "doc_id long, text string, lang string, key string, n_words int"
 
@@ -164,9 +165,10 @@ def test_least_squares():
     assert (packing.combinations() @ np.arange(1, packing.CLASSES + 1) == packing.CLASSES).all()
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores_match_brute_force(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "chunk_words"), [(1, 1 << 20), (2, 1 << 20), (3, 1 << 20), (2, 7), (3, 2), (1, 1)])
+def test_lm_scores_match_brute_force(spark, monkeypatch, order, chunk_words):
     monkeypatch.setattr(lm_score, "PART_ENTRIES", 100)
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", chunk_words)
     rng = random.Random(order)
     texts = [" ".join(rng.choice(["the", "The", "cat", "sat", "é", "on"]) for _ in range(rng.randint(0, 25))) for _ in range(40)] + [None, "", "the cat " * 200]
     rows = [*enumerate(texts), (3, texts[3]), (None, "the cat")]
@@ -222,6 +224,17 @@ def test_reply_trees(spark):
     assert chat_format.digests(chat_format.conversations(chat_format.linear(empty))).count() == 0
 
 
+def test_numbers_within_large_groups(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.randrange(40), rng.randrange(1000)) for _ in range(3000)]
+    got = numbered(spark.createDataFrame(rows, "g string, x long, y long").repartition(5), "g", [F.desc("x")], ["y"], "n").collect()
+    assert sorted(map(str, ((r["g"], r["x"], r["y"]) for r in got))) == sorted(map(str, rows))
+    for g in ("hot", "a", "b", None):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: r["n"])
+        assert [r["n"] for r in own] == list(range(1, len(own) + 1))
+        assert [(r["x"], r["y"]) for r in own] == sorted(((r["x"], r["y"]) for r in own), key=lambda t: (-t[0], t[1]))
+
+
 def test_linear_conversations(spark):
     rows = [(1, 1, "assistant", "</s>"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, "user", "x"), (2, None, None, "y")]
     got = chat_format.digests(chat_format.conversations(chat_format.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()

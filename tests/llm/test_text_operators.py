@@ -45,8 +45,9 @@ def texts():
     return [*docs, (60, None), (61, ""), (5, docs[5][1]), (None, "the zz yy xx!")], items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_contamination_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "filter_bytes"), [(1 << 20, 1), (60, 1 << 20), (60, 100)])
+def test_contamination_matches_brute_force(spark, monkeypatch, block_bytes, filter_bytes):
+    monkeypatch.setattr(decontaminate, "FILTER_BYTES", filter_bytes)
     docs, items = texts()
     frame = spark.createDataFrame([(i, t, None, "x", 1, "k") for i, t in docs], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -63,6 +64,11 @@ def test_decontaminate_removes_documents_or_spans(spark):
     cut = decontaminate.decontaminate(docs, bench, remove="spans")
     assert [r["text"] for r in cut.collect()] == ["a ! runs", "clean", None]
     assert cut.columns == docs.columns
+    more = bench.unionByName(spark.createDataFrame([(2, "clean"), (3, "runs")], bench.schema))
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, more, block_bytes=6).collect()] == [3]
+    cut = decontaminate.decontaminate(docs, more, remove="spans", block_bytes=6).orderBy("doc_id").collect()
+    assert cut == decontaminate.decontaminate(docs, more, remove="spans").orderBy("doc_id").collect()
+    assert {r["doc_id"]: r["text"] for r in cut} == {1: "a ", 2: "", 3: None}
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, none).count() == 3
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
