@@ -48,6 +48,14 @@ def verify(fetches: DataFrame, target: Target | Sequence[Target], had_archive: C
     )
 
 
+def matching_links(fetches: DataFrame, target: Target | Sequence[Target]) -> DataFrame:
+    """The links to a target, or to one of several, on fetched pages: a search of live pages, without an index."""
+    targets = [target] if isinstance(target, Target) else list(target)
+    pages = fetches.where("error is null and status < 400")
+    pages = pages.select(F.coalesce("final_url", "url").alias("url"), F.col("body").alias("html"))
+    return links_of_pages(pages).where(reduce(or_, (matches_link(F.col("target_url"), t) for t in targets), F.lit(False)))
+
+
 def source_list(lines: DataFrame) -> DataFrame:
     """Urls of a list, one a line: stripped, none blank."""
     return lines.select(urls.strip(F.col("value")).alias("url")).where("url <> ''")

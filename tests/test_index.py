@@ -274,6 +274,8 @@ def test_verification_of_several_targets(spark):
     frame = frame.withColumns({"final_url": F.lit(None).cast("string"), "content_type": F.lit(""), "redirect_chain": F.lit(None).cast("array<string>")})
     got = verify.verify(frame, [Target("t.com"), Target("http://u.com/x", "exact_url")]).collect()
     assert [r["live_backlink_present"] for r in got] == [1, 1, 0]
+    found = verify.matching_links(frame, [Target("t.com"), Target("http://u.com/x", "exact_url")]).collect()
+    assert {(r["source_url"], r["target_url"]) for r in found} == {("http://a/", "http://t.com/"), ("http://b/", "http://u.com/x")}
 
 
 def test_streaming_ingestion_and_jobs(spark, tmp_path):

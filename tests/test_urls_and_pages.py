@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.functions import html, links, safety, urls
+from linkloom.functions import fetching, html, links, safety, urls
 
 CASES = {
     "HTTP://User:pw@WWW.Example.COM:80": "http://www.example.com/",
@@ -125,3 +125,36 @@ def test_files_stay_in_their_folder(tmp_path):
         assert name.endswith(".warc") and (tmp_path / "in" / name).exists()
         assert folder.remove("a.csv") and not folder.remove("a.csv")
     assert not (tmp_path / "in" / name).exists()
+
+
+def test_pace_and_pauses():
+    now, slept = [100.0], []
+    pace = fetching.Pace(overall=5, per_host=1, clock=lambda: now[0], sleep=slept.append)
+    assert [round(pace.wait(h), 3) for h in ("a", "b", "a", "c")] == [0, 0.2, 1.0, 1.2] and len(slept) == 3
+    assert [fetching.pause(k) for k in range(7)] == [1, 2, 4, 8, 16, 30, 30]
+    assert fetching.pause(0, "7") == 7 and fetching.pause(0, "900") == 60 and fetching.pause(1, "soon") == 2
+    assert fetching.pause(0, "Thu, 01 Jan 1970 00:00:50 GMT", now=20) == 30 and fetching.pause(0, "Thu, 01 Jan 1970 00:00:50 GMT", now=80) == 0
+
+
+def test_fetches_with_redirects_retries_and_limits():
+    answers = {
+        "http://a.org/": [(302, {"Location": "/b"}, [])], "http://a.org/b": [(503, {"Retry-After": "2"}, []), (200, {"Content-Type": "text/html"}, [b"<a>", b"x"])],
+        "http://in.org/": [(301, {"location": "http://127.0.0.1/"}, [])], "http://loop.org/": [(302, {"location": "http://loop.org/"}, [])] * 9,
+        "http://big.org/": [(200, {}, [b"x" * 90] * 3)], "http://busy.org/": [(429, {}, [])] * 4, "http://a.org/no": [(200, {}, [])],
+    }
+    asked, slept = [], []
+
+    def send(url, headers):
+        asked.append((url, headers["User-Agent"]))
+        if not answers.get(url):
+            raise OSError("no answer")
+        return answers[url].pop(0)
+
+    pace = fetching.Pace(overall=1e9, per_host=1e9, sleep=slept.append)
+    fetcher = fetching.Fetcher(send, lambda h: ["8.8.8.8"], "me", lambda site: "User-agent: me\nDisallow: /no\n", pace, most_bytes=200)
+    row = fetcher.fetch("http://a.org/")
+    assert (row["final_url"], row["status"], row["content_type"], row["body"], row["redirect_chain"], row["error"]) == ("http://a.org/b", 200, "text/html", b"<a>x", ["http://a.org/"], None)
+    assert 2 in slept and asked[0] == ("http://a.org/", "me")
+    assert [fetcher.fetch(f"http://{u}")["error"] for u in ("in.org/", "loop.org/", "big.org/", "gone.org/", "a.org/no", "localhost/")] == ["blocked", "fetch", "fetch", "fetch", "blocked", "blocked"]
+    assert fetcher.fetch("http://busy.org/")["status"] == 429 and slept[-3:] == [1, 2, 4]
+    assert fetching.site_of("https://a.org:8/x?y") == "https://a.org:8/robots.txt"
