@@ -31,6 +31,8 @@ from linkloom.llm.linear import Rows, logistic, sigmoid
 MINE_ROWS, MODEL_ROWS = 20_000, 20_000
 VOTERS, FEATURES, LEAST_ROWS, LEAST_GAIN = 400, 4000, 5, 4.0
 BEGINNINGS = (4, 5, 6)
+#: Documents that a voter's mined rate counts as beside those that the label model sees: its prior, for rare voters.
+MINED_AS = 200.0
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -96,9 +98,8 @@ def label_model(votes: Rows, on_toxic: np.ndarray, on_clean: np.ndarray, prior:
         evidence = dense @ (share * np.log(a / b))
         evidence += np.where(silent, np.log(quiet / mute), np.log((1 - quiet) / (1 - mute)))
         post = sigmoid(evidence + np.log(prior / (1 - prior)))
-        weight = 200.0  # mined rates count as so many documents
-        a = (dense.T @ post + weight * on_toxic) / (post.sum() + weight)
-        b = (dense.T @ (1 - post) + weight * on_clean) / ((1 - post).sum() + weight)
+        a = (dense.T @ post + MINED_AS * on_toxic) / (post.sum() + MINED_AS)
+        b = (dense.T @ (1 - post) + MINED_AS * on_clean) / ((1 - post).sum() + MINED_AS)
         quiet = (post[silent].sum() + 1) / (post.sum() + 2)
         mute = ((1 - post)[silent].sum() + 1) / ((1 - post).sum() + 2)
         prior = float(np.clip(post.mean(), 1e-3, 0.5))
