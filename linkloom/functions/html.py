@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from linkloom.functions import urls
 from linkloom.functions.links import classify_rel
 
-LINK = "struct<position:int,href:string,rel:string,anchor_text:string,image_alt:string,is_image:boolean,resolved_url:string>"
+LINK = "struct<position:int,href:string,rel:string,anchor_text:string,image_alt:string,is_image:boolean,resolved_url:string,hostname:string>"
 
 
 class Tokens(HTMLParser):
@@ -101,7 +101,10 @@ def parse(html: str | bytes | None, base: str | None = None) -> tuple[str, list[
     found = tokens(text_of(html))
     anchors = anchors_of(found)
     for a in anchors:
-        a["resolved_url"] = None if base is None else urls.link_target(base, a["href"])
+        place = None if base is None else urls.link_address(base, a["href"])
+        a["resolved_url"] = place and place.normal()
+        # a numbered host of many parts has no place in a url without its brackets
+        a["hostname"] = place.host if place and ":" not in place.host else ""
     return title_of(found), anchors
 
 
@@ -130,6 +133,5 @@ def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each link that resolves: the kept columns, position, href, url, host, text, alt, rel, type."""
     rows = parsed(pages, html, list(dict.fromkeys((*keep, url))), base=url)
-    rows = rows.select("*", F.inline("anchors")).drop("anchors").where("resolved_url is not null")
-    rows = rows.withColumn("hostname", urls.hostname(F.col("resolved_url"))).where("hostname <> ''")
+    rows = rows.select("*", F.inline("anchors")).drop("anchors").where("resolved_url is not null and hostname <> ''")
     return rows.withColumn("link_type", classify_rel(F.col("rel")))

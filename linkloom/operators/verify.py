@@ -33,7 +33,7 @@ def verify(fetches: DataFrame, target: Target | Sequence[Target], had_archive: C
     keep = fetches.columns
     rows = fetches.withColumns({"_base": F.coalesce("final_url", "url"), "_had": had})
     rows = html.parsed(rows, "body", [*keep, "_base", "_had"], base="_base")
-    found = F.exists("anchors", lambda a: reduce(or_, (matches_link(a["resolved_url"], t) for t in targets), F.lit(False)))
+    found = F.exists("anchors", lambda a: reduce(or_, (matches_link(a["resolved_url"], t, a["hostname"]) for t in targets), F.lit(False)))
     empty = F.coalesce(F.octet_length("body"), F.lit(0)) == 0
     present = F.coalesce(found, F.lit(False))
     status = decision(F.col("error"), F.col("status"), empty, present, F.col("_had"))
