@@ -34,9 +34,10 @@ def verify(fetches: DataFrame, target: Target | Sequence[Target], had_archive: C
     rows = fetches.withColumns({"_base": F.coalesce("final_url", "url"), "_had": had})
     rows = html.parsed(rows, "body", [*keep, "_base", "_had"], base="_base")
     found = F.exists("anchors", lambda a: reduce(or_, (matches_link(a["resolved_url"], t, a["hostname"]) for t in targets), F.lit(False)))
+    rows = rows.withColumn("_present", F.coalesce(found, F.lit(False)))  # columns of their own: computed once
     empty = F.coalesce(F.octet_length("body"), F.lit(0)) == 0
-    present = F.coalesce(found, F.lit(False))
-    status = decision(F.col("error"), F.col("status"), empty, present, F.col("_had"))
+    rows = rows.withColumn("_verdict", decision(F.col("error"), F.col("status"), empty, F.col("_present"), F.col("_had")))
+    present, status = F.col("_present"), F.col("_verdict")
     parsed = status.isin("ARCHIVED_CONFIRMED", "LIVE_CONFIRMED", "REMOVED")
     chain = F.to_json(F.coalesce("redirect_chain", F.array().cast("array<string>")))
     return rows.select(

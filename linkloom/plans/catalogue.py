@@ -156,14 +156,14 @@ l AS (SELECT page_id, url, CAST(unnest(range(len(h))) AS INT) AS position, unnes
 r AS (SELECT *, {_norm("(regexp_extract(url, '^[a-z]+://[^/?#]*') || href)")} AS resolved_url FROM l)
 SELECT page_id, position, href, anchor_text, resolved_url, {_host("resolved_url")} AS hostname, 'FOLLOW' AS link_type FROM r""")
 def pages_links(spark, sf_dir):
-    rows = html.page_links(feed.read(spark, sf_dir, "pages"), keep=("page_id",))
+    rows = html.page_links(feed.read(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("page_id",))
     return rows.select("page_id", "position", "href", "anchor_text", "resolved_url", "hostname", "link_type")
 
 
 @registered("""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'),
 '&quot;', '"'), '&amp;', '&'), '&amp', '&')) AS title FROM pages""")
 def pages_title(spark, sf_dir):
-    return html.parsed(feed.read(spark, sf_dir, "pages"), "html", ["page_id"], anchors=False)
+    return html.parsed(feed.read(spark, sf_dir, "pages", "page_id", "html"), "html", ["page_id"], anchors=False)
 
 
 @registered("SELECT id, n, bytes FROM (SELECT o_orderkey AS id, o_orderkey % 7 AS n, (o_orderkey % 7) * 40 * 320 AS bytes FROM orders)")
@@ -189,7 +189,7 @@ def evidence_hash(spark, sf_dir):
 r AS (SELECT DISTINCT {_norm("url")} AS s, {_norm("(regexp_extract(url, '^[a-z]+://[^/?#]*') || href)")} AS t FROM l), d AS (SELECT s, {_host("t")} AS h FROM r)
 SELECT {_domain("h")} AS normalized_target_domain, count(DISTINCT s) AS referring_pages, count(*) AS links FROM d GROUP BY 1""")
 def referring_pages(spark, sf_dir):
-    rows = build.links_of_pages(feed.read(spark, sf_dir, "pages"), keep=("page_id",))
+    rows = build.links_of_pages(feed.read(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("page_id",))
     rows = build.build_links(rows, "2024-01-01T00:00:00+00:00", arrival=F.col("page_id") * 100_000 + F.col("position"))
     found = merge.upsert(None, rows).groupBy("normalized_target_domain")
     return found.agg(F.count_distinct("normalized_source_url").alias("referring_pages"), F.count("*").alias("links"))
@@ -428,7 +428,7 @@ CASE WHEN gone OR error = 'blocked' THEN NULL ELSE CAST(present AS INT) END AS l
 
 def _results(spark: SparkSession, sf_dir: str, around: str = "") -> DataFrame:
     """around: bytes in hex that stand before and behind each page."""
-    rows = feed.read(spark, sf_dir, "orders").selectExpr(*(f"{v} AS {k}" for k, v in _FETCH.items()))
+    rows = feed.read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority").selectExpr(*(f"{v} AS {k}" for k, v in _FETCH.items()))
     more = F.unhex(F.lit(around))
     body = F.when(F.col("html") != "", F.concat(more, F.encode("html", "UTF-8"), more))
     rows = rows.select("url", F.col("url").alias("final_url"), "status", F.lit("text/html").alias("content_type"), body.alias("body"), F.lit(None).cast("array<string>").alias("redirect_chain"), "error", "had_archive")
@@ -518,7 +518,7 @@ SELECT event_id, event_type, user_id, concat('http://site', user_id % 50, '.com/
 UNION ALL SELECT event_id, event_type, user_id, concat('http://x', user_id % 5, '.org/'), '', 'nofollow' FROM e)
 SELECT concat('http://Site', user_id % 50, '.com/p/') AS source_url, target_url, anchor_text, rel, event_type AS source_title, count(*) AS n FROM l GROUP BY ALL""")
 def wat_links(spark, sf_dir):
-    rows = feed.read(spark, sf_dir, "events").select(F.lit("f").alias("filename"), F.expr(_WAT).alias("json"))
+    rows = feed.read(spark, sf_dir, "events", "event_id", "event_type", "user_id").select(F.lit("f").alias("filename"), F.expr(_WAT).alias("json"))
     found = build.links_of_wat(warc.wat_pages(rows))
     return found.groupBy("source_url", "target_url", "anchor_text", "rel", "source_title").agg(F.count("*").alias("n"))
 
