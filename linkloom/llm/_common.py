@@ -23,7 +23,9 @@ ITEM_WORDS = bytes(
 )
 #: Rows, and bytes of its columns, in a batch that a Python worker handles at once; a larger row is a batch alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 6 << 20
-BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What a session is set to where it has no value of its own: bytes in a batch on its way to a Python worker, and rows in
+#: one that a scan holds, as these are whole texts.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": 512}
 #: Of intermediate tables: small row groups, as a task holds one until it is full; and in a folder of the local file
 #: system, such as a mounted one, no checksum files beside them, for which two processes are started a file to set modes.
 WRITING = {
@@ -144,14 +146,18 @@ def edit_rows(
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, with batches bounded by bytes where the session has no bound of its own, as a batch stands in the
-    memory of the JVM and of the worker at once."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_CONF, None) is None:
-        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    """df.mapInArrow in batches of bounded size (``BOUNDS``), as a batch stands in the memory of the JVM and of the worker
+    at once."""
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def bounded(spark: SparkSession) -> None:
+    for name, value in BOUNDS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(value))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset, if the driver
     and the executors are one process."""
@@ -205,10 +211,12 @@ def hashed(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
