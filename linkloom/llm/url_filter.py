@@ -116,6 +116,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, margin: float = MARGIN, floor
     hosts = rank.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     bad = (F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") > floor)
     hosts = stored(hosts.where(bad).select("host", F.lit("block").alias("spread")), "hosts")
-    out = urls.join(fits, ["host", "path"], "left").join(hosts, "host", "left")
+    # there may be as many places that a rule fits as pages, though their file looks small: no broadcast
+    out = urls.join(fits.hint("merge"), ["host", "path"], "left").join(hosts, "host", "left")
     verdict = F.coalesce("action", "spread", F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
