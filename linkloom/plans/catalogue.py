@@ -58,20 +58,30 @@ def _domain(h: str) -> str:
     return f"CASE WHEN {last} IN ({_SUFFIXES}) THEN array_to_string(string_split({h}, '.')[-3:], '.') ELSE {last} END"
 
 
-_TYPE = """CASE WHEN rel = '' THEN 'UNKNOWN' WHEN rel = 'nofollow' THEN 'NOFOLLOW' WHEN rel = 'ugc, NoFollow' THEN 'MULTIPLE_REL_VALUES' ELSE 'FOLLOW' END"""
+_TYPE = """CASE WHEN rel = '' THEN 'UNKNOWN' WHEN rel = 'nofollow' THEN 'NOFOLLOW' WHEN rel = 'ugc, NoFollow'
+THEN 'MULTIPLE_REL_VALUES' ELSE 'FOLLOW' END"""
 _FEED = f"feed AS ({feed.FEED_SQL})"
 _LINKS = f"""{_FEED}, n AS (SELECT *, {_norm("source_url")} AS ns, {_norm("target_url")} AS nt FROM feed),
 h AS (SELECT *, {_host("ns")} AS sh, {_host("nt")} AS th FROM n),
-links AS (SELECT id, {_domain("th")} AS normalized_target_domain, th AS normalized_target_hostname, nt AS normalized_target_url,
-  ns AS normalized_source_url, source_url, {_domain("sh")} AS source_domain, sh AS source_hostname, source_title, target_url, th AS target_hostname,
-  anchor_text, image_alt, {_TYPE} AS link_type, rel AS rel_original, source_http_status, content_type, status AS verification_status,
-  live AS live_backlink_present, seen_at AS first_discovered_at, seen_at AS last_seen_at, CAST(NULL AS VARCHAR) AS last_checked_at, collection,
-  dataset_type, record_filename, CAST(NULL AS BIGINT) AS record_offset, CAST(NULL AS BIGINT) AS record_length, '' AS redirect_chain,
-  sha256(ns || '|' || nt || '|' || collection || '|' || record_filename || '|None') AS evidence_hash, seen_at AS created_at, seen_at AS updated_at FROM h)"""
+links AS (SELECT id, {_domain("th")} AS normalized_target_domain, th AS normalized_target_hostname,
+nt AS normalized_target_url,
+  ns AS normalized_source_url, source_url, {_domain("sh")} AS source_domain, sh AS source_hostname, source_title,
+target_url, th AS target_hostname,
+  anchor_text, image_alt, {_TYPE} AS link_type, rel AS rel_original, source_http_status, content_type,
+status AS verification_status,
+  live AS live_backlink_present, seen_at AS first_discovered_at, seen_at AS last_seen_at,
+CAST(NULL AS VARCHAR) AS last_checked_at, collection,
+  dataset_type, record_filename, CAST(NULL AS BIGINT) AS record_offset, CAST(NULL AS BIGINT) AS record_length,
+'' AS redirect_chain,
+  sha256(ns || '|' || nt || '|' || collection || '|' || record_filename || '|None') AS evidence_hash,
+seen_at AS created_at, seen_at AS updated_at FROM h)"""
 _FIRST = [n for n in INDEX.names if n not in (*KEY, *merge.REPLACED, *merge.IF_KNOWN, *merge.IF_FILLED)]
-_INDEX = f"""{_LINKS}, folded AS (SELECT {", ".join(KEY)}, arg_min({{{", ".join(f"'{c}': {c}" for c in _FIRST)}}}, id) AS a,
-  arg_max({{{", ".join(f"'{c}': {c}" for c in merge.REPLACED)}}}, id) AS b, arg_max(source_http_status, id) AS source_http_status,
-  arg_max(last_checked_at, id) AS last_checked_at, '' AS redirect_chain, arg_max(evidence_hash, id) AS evidence_hash FROM links GROUP BY ALL),
+_INDEX = f"""{_LINKS}, folded AS (SELECT {", ".join(KEY)}, arg_min({{{", ".join(f"'{c}': {c}" for c in _FIRST)}}},
+id) AS a,
+  arg_max({{{", ".join(f"'{c}': {c}" for c in merge.REPLACED)}}}, id) AS b, arg_max(source_http_status,
+id) AS source_http_status,
+  arg_max(last_checked_at, id) AS last_checked_at, '' AS redirect_chain, arg_max(evidence_hash, id) AS evidence_hash
+FROM links GROUP BY ALL),
 idx AS (SELECT {", ".join(f"a.{c} AS {c}" if c in _FIRST else f"b.{c} AS {c}" if c in merge.REPLACED else c for c in INDEX.names)} FROM folded)"""
 _ALL = ", ".join(INDEX.names)
 
@@ -101,7 +111,8 @@ def url_normalize(spark, sf_dir):
     return rows.select("id", "source", "target")
 
 
-@registered(f"WITH {_FEED}, h AS (SELECT {_host('source_url')} AS host FROM feed) SELECT host, {_domain('host')} AS domain, count(*) AS n FROM h GROUP BY ALL")
+@registered(f"""WITH {_FEED}, h AS (SELECT {_host('source_url')} AS host FROM feed) SELECT host,
+{_domain('host')} AS domain, count(*) AS n FROM h GROUP BY ALL""")
 def registrable_domain(spark, sf_dir):
     rows = feed.feed(spark, sf_dir).select(urls.hostname(F.col("source_url")).alias("host"))
     return rows.groupBy("host", urls.registrable_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("n"))
@@ -112,7 +123,8 @@ _HOST_CASE = " ".join(f"WHEN {k} THEN 'http://{h}:80/ä?ü'" for k, h in enumera
 _IDNA_CASE = " ".join(f"WHEN {k} THEN 'http://{h}/ä?ü'" for k, h in enumerate(_HOSTS.values()))
 
 
-@registered(f"SELECT CASE o_orderkey % {len(_HOSTS)} {_HOST_CASE} END AS url, CASE o_orderkey % {len(_HOSTS)} {_IDNA_CASE} END AS normalized, count(*) AS n FROM orders GROUP BY ALL")
+@registered(f"""SELECT CASE o_orderkey % {len(_HOSTS)} {_HOST_CASE} END AS url,
+CASE o_orderkey % {len(_HOSTS)} {_IDNA_CASE} END AS normalized, count(*) AS n FROM orders GROUP BY ALL""")
 def idna_hosts(spark, sf_dir):
     rows = feed.read(spark, sf_dir, "orders").select(F.expr(f"CASE o_orderkey % {len(_HOSTS)} {_HOST_CASE} END").alias("url"))
     return urls.with_normalized(rows, {"url": ("normalized", "_host")}).groupBy("url", "normalized").agg(F.count("*").alias("n"))
@@ -127,14 +139,16 @@ _REFERENCE_CASE = " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(_REFEREN
 _MEANT_CASE = " ".join(f"WHEN {k} THEN 'http://site.com{m}'" for k, m in enumerate(_REFERENCES.values()))
 
 
-@registered(f"SELECT CASE o_orderkey % {len(_REFERENCES)} {_REFERENCE_CASE} END AS href, CASE o_orderkey % {len(_REFERENCES)} {_MEANT_CASE} END AS resolved, count(*) AS n FROM orders GROUP BY ALL")
+@registered(f"""SELECT CASE o_orderkey % {len(_REFERENCES)} {_REFERENCE_CASE} END AS href,
+CASE o_orderkey % {len(_REFERENCES)} {_MEANT_CASE} END AS resolved, count(*) AS n FROM orders GROUP BY ALL""")
 def resolve_references(spark, sf_dir):
     rows = feed.read(spark, sf_dir, "orders").select(F.expr(f"CASE o_orderkey % {len(_REFERENCES)} {_REFERENCE_CASE} END").alias("href"))
     rows = urls.with_resolved(rows.withColumn("page", F.lit("http://Site.com/a/b/c?q")), "page", "href", "resolved")
     return rows.groupBy("href", "resolved").agg(F.count("*").alias("n"))
 
 
-@registered(f"WITH {_FEED} SELECT rel, CASE WHEN rel = '' THEN 'FOLLOW' ELSE {_TYPE} END AS link_type, count(*) AS n FROM feed GROUP BY ALL")
+@registered(f"""WITH {_FEED} SELECT rel, CASE WHEN rel = '' THEN 'FOLLOW' ELSE {_TYPE} END AS link_type, count(*) AS n
+FROM feed GROUP BY ALL""")
 def rel_classify(spark, sf_dir):
     return feed.feed(spark, sf_dir).groupBy("rel", links.classify_rel(F.col("rel")).alias("link_type")).agg(F.count("*").alias("n"))
 
@@ -142,7 +156,8 @@ def rel_classify(spark, sf_dir):
 _HREF = "concat(CASE l_linenumber WHEN 1 THEN ' MailTo:a@b' WHEN 2 THEN '#x' WHEN 3 THEN '//tel:1' WHEN 4 THEN 'tel:+1' WHEN 5 THEN '  ' ELSE '/p:' END, CASE WHEN l_linenumber = 5 THEN '' ELSE l_returnflag END)"
 
 
-@registered(f"SELECT href, href LIKE '#%' OR trim(href) = '' OR lower(trim(href)) LIKE 'mailto:%' OR href LIKE 'tel:%' AS ignored, count(*) AS n FROM (SELECT {_HREF} AS href FROM lineitem) GROUP BY ALL")
+@registered(f"""SELECT href, href LIKE '#%' OR trim(href) = '' OR lower(trim(href)) LIKE 'mailto:%'
+OR href LIKE 'tel:%' AS ignored, count(*) AS n FROM (SELECT {_HREF} AS href FROM lineitem) GROUP BY ALL""")
 def ignored_href(spark, sf_dir):
     rows = feed.read(spark, sf_dir, "lineitem").select(F.expr(_HREF).alias("href"))
     return rows.groupBy("href", urls.is_ignored(F.col("href")).alias("ignored")).agg(F.count("*").alias("n"))
@@ -151,22 +166,27 @@ def ignored_href(spark, sf_dir):
 _A = '<a href="([^"]*)"[^>]*>([^<]*)</a>'
 
 
-@registered(f"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '{_A}', 1) AS h, regexp_extract_all(html, '{_A}', 2) AS t FROM pages),
-l AS (SELECT page_id, url, CAST(unnest(range(len(h))) AS INT) AS position, unnest(h) AS href, trim(unnest(t)) AS anchor_text FROM a),
+@registered(f"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '{_A}', 1) AS h, regexp_extract_all(html,
+'{_A}', 2) AS t FROM pages),
+l AS (SELECT page_id, url, CAST(unnest(range(len(h))) AS INT) AS position, unnest(h) AS href,
+trim(unnest(t)) AS anchor_text FROM a),
 r AS (SELECT *, {_norm("(regexp_extract(url, '^[a-z]+://[^/?#]*') || href)")} AS resolved_url FROM l)
-SELECT page_id, position, href, anchor_text, resolved_url, {_host("resolved_url")} AS hostname, 'FOLLOW' AS link_type FROM r""")
+SELECT page_id, position, href, anchor_text, resolved_url, {_host("resolved_url")} AS hostname, 'FOLLOW' AS link_type
+FROM r""")
 def pages_links(spark, sf_dir):
     rows = html.page_links(feed.read(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("page_id",))
     return rows.select("page_id", "position", "href", "anchor_text", "resolved_url", "hostname", "link_type")
 
 
-@registered("""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'),
+@registered("""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html,
+'<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'),
 '&quot;', '"'), '&amp;', '&'), '&amp', '&')) AS title FROM pages""")
 def pages_title(spark, sf_dir):
     return html.parsed(feed.read(spark, sf_dir, "pages", "page_id", "html"), "html", ["page_id"], anchors=False)
 
 
-@registered("SELECT id, n, bytes FROM (SELECT o_orderkey AS id, o_orderkey % 7 AS n, (o_orderkey % 7) * 40 * 320 AS bytes FROM orders)")
+@registered("""SELECT id, n, bytes FROM (SELECT o_orderkey AS id, o_orderkey % 7 AS n,
+(o_orderkey % 7) * 40 * 320 AS bytes FROM orders)""")
 def storage_estimate(spark, sf_dir):
     n = F.col("o_orderkey") % 7
     return feed.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), n.alias("n"), links.storage_estimate(n).alias("bytes"))
@@ -185,9 +205,12 @@ def evidence_hash(spark, sf_dir):
     return feed.rows(spark, sf_dir).select("id", "evidence_hash")
 
 
-@registered(f"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '{_A}', 1) AS h FROM pages), l AS (SELECT url, unnest(h) AS href FROM a),
-r AS (SELECT DISTINCT {_norm("url")} AS s, {_norm("(regexp_extract(url, '^[a-z]+://[^/?#]*') || href)")} AS t FROM l), d AS (SELECT s, {_host("t")} AS h FROM r)
-SELECT {_domain("h")} AS normalized_target_domain, count(DISTINCT s) AS referring_pages, count(*) AS links FROM d GROUP BY 1""")
+@registered(f"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '{_A}', 1) AS h FROM pages),
+l AS (SELECT url, unnest(h) AS href FROM a),
+r AS (SELECT DISTINCT {_norm("url")} AS s, {_norm("(regexp_extract(url, '^[a-z]+://[^/?#]*') || href)")} AS t FROM l),
+d AS (SELECT s, {_host("t")} AS h FROM r)
+SELECT {_domain("h")} AS normalized_target_domain, count(DISTINCT s) AS referring_pages, count(*) AS links FROM d
+GROUP BY 1""")
 def referring_pages(spark, sf_dir):
     rows = build.links_of_pages(feed.read(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("page_id",))
     rows = build.build_links(rows, "2024-01-01T00:00:00+00:00", arrival=F.col("page_id") * 100_000 + F.col("position"))
@@ -211,9 +234,11 @@ def upsert_batches(spark, sf_dir):
 _OLD = "id % 3 = 0"
 
 
-@registered(f"""WITH {_LINKS}, old AS (SELECT DISTINCT {", ".join(KEY)} FROM links WHERE {_OLD}), new AS (SELECT * FROM links WHERE NOT ({_OLD})),
+@registered(f"""WITH {_LINKS}, old AS (SELECT DISTINCT {", ".join(KEY)} FROM links WHERE {_OLD}), new AS (SELECT *
+FROM links WHERE NOT ({_OLD})),
 fresh AS (SELECT DISTINCT {", ".join(KEY)} FROM new EXCEPT SELECT * FROM old)
-SELECT (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM new) - (SELECT count(*) FROM fresh) AS duplicates""")
+SELECT (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM new) - (SELECT count(*)
+FROM fresh) AS duplicates""")
 def dup_counts(spark, sf_dir):
     rows = feed.rows(spark, sf_dir)
     return merge.insert_counts(merge.upsert(None, rows.where(_OLD)), rows.where(f"NOT ({_OLD})"))
@@ -227,8 +252,10 @@ def delete_collection(spark, sf_dir):
 _LEGACY = "SELECT o_orderkey AS id, concat('http://old', CAST(o_orderkey % 30 AS STRING), '.com/') AS source, concat('http://new', CAST(o_custkey % 9 AS STRING), '.org/') AS to_url, o_orderpriority AS anchor FROM orders"
 
 
-@registered(f"""WITH l AS ({_LEGACY}) SELECT source AS normalized_source_url, to_url AS normalized_target_url, arg_min(anchor, id) AS anchor_text, 'legacy' AS dataset_type,
-'UNKNOWN' AS link_type, 'UNVERIFIED' AS verification_status, '' AS normalized_target_domain, '2024-01-01 00:00:00' AS created_at FROM l GROUP BY 1, 2""")
+@registered(f"""WITH l AS ({_LEGACY}) SELECT source AS normalized_source_url, to_url AS normalized_target_url,
+arg_min(anchor, id) AS anchor_text, 'legacy' AS dataset_type,
+'UNKNOWN' AS link_type, 'UNVERIFIED' AS verification_status, '' AS normalized_target_domain,
+'2024-01-01 00:00:00' AS created_at FROM l GROUP BY 1, 2""")
 def legacy_migration(spark, sf_dir):
     rows = feed.read(spark, sf_dir, "orders").selectExpr(*(x.strip() for x in (
         "o_orderkey AS id", "concat('http://old', CAST(o_orderkey % 30 AS STRING), '.com/') AS source",
@@ -271,7 +298,8 @@ _search("filter_dates", "first_discovered_at >= '1995-03-01' AND last_seen_at <=
 _search("exclude_blank_anchor", "anchor_text <> '' OR image_alt <> ''", exclude_blank_anchor=True)
 
 
-@registered(f"WITH {_FEED}, t AS (SELECT id, {_norm('target_url')} AS u FROM feed) SELECT id FROM t WHERE u LIKE '%://%target6.co.uk/docs/%' AND {_domain(_host('u'))} = 'target6.co.uk'")
+@registered(f"""WITH {_FEED}, t AS (SELECT id, {_norm('target_url')} AS u FROM feed) SELECT id FROM t
+WHERE u LIKE '%://%target6.co.uk/docs/%' AND {_domain(_host('u'))} = 'target6.co.uk'""")
 def match_prefix_strict(spark, sf_dir):
     rows = feed.feed(spark, sf_dir)
     return rows.where(matches_link(F.col("target_url"), Target("target6.co.uk/docs/", "path_prefix"))).select("id")
@@ -307,12 +335,14 @@ def count_plain(spark, sf_dir):
     return Search(target="target6.co.uk").count(feed.index(spark, sf_dir))
 
 
-@registered(_on_index(f"SELECT {_ALL} FROM idx ORDER BY source_http_status DESC NULLS LAST, id DESC LIMIT 25 OFFSET 50"))
+@registered(_on_index(f"""SELECT {_ALL} FROM idx ORDER BY source_http_status DESC NULLS LAST,
+id DESC LIMIT 25 OFFSET 50"""))
 def sorted_page(spark, sf_dir):
     return Search(sort_by="source_http_status").page(feed.index(spark, sf_dir), number=3, size=25)
 
 
-@registered(_on_index(f"SELECT {_ALL} FROM idx WHERE link_type = 'FOLLOW' ORDER BY anchor_text ASC NULLS FIRST, id ASC LIMIT 50"))
+@registered(_on_index(f"""SELECT {_ALL} FROM idx WHERE link_type = 'FOLLOW' ORDER BY anchor_text ASC NULLS FIRST,
+id ASC LIMIT 50"""))
 def sorted_page_ascending(spark, sf_dir):
     return Search(sort_by="anchor_text", descending=False, link_types=["FOLLOW"]).page(feed.index(spark, sf_dir))
 
@@ -358,7 +388,8 @@ def total_backlinks(spark, sf_dir):
     return stats.total(feed.index(spark, sf_dir))
 
 
-@registered(_on_index("""SELECT count(*) AS backlinks, count(DISTINCT normalized_source_url) AS source_pages, count(DISTINCT source_domain) AS source_domains,
+@registered(_on_index("""SELECT count(*) AS backlinks, count(DISTINCT normalized_source_url) AS source_pages,
+count(DISTINCT source_domain) AS source_domains,
 count(DISTINCT normalized_target_domain) AS target_domains FROM idx"""))
 def index_stats(spark, sf_dir):
     return stats.index_stats(feed.index(spark, sf_dir))
@@ -374,7 +405,8 @@ def collections(spark, sf_dir):
     return stats.collections(feed.index(spark, sf_dir))
 
 
-@registered(_on_index("SELECT * FROM (SELECT source_domain, count(*) AS n FROM idx GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) WHERE source_domain <> ''"))
+@registered(_on_index("""SELECT * FROM (SELECT source_domain, count(*) AS n FROM idx GROUP BY 1 ORDER BY 2 DESC,
+1 LIMIT 20) WHERE source_domain <> ''"""))
 def top_source_domains(spark, sf_dir):
     return stats.top_source_domains(feed.index(spark, sf_dir), 20)
 
@@ -396,7 +428,8 @@ def export_columns(spark, sf_dir):
     return sinks.export_view(feed.index(spark, sf_dir), Search(target="target6.co.uk"))
 
 
-@registered(_on_index("SELECT DISTINCT trim(source_url) AS source_url FROM idx WHERE live_backlink_present = 1 AND trim(source_url) <> ''"))
+@registered(_on_index("""SELECT DISTINCT trim(source_url) AS source_url FROM idx WHERE live_backlink_present = 1
+AND trim(source_url) <> ''"""))
 def distinct_values(spark, sf_dir):
     search = Search(live_only=True)
     return ordered_values(search.rows(feed.index(spark, sf_dir)), search, ["source_url"])
@@ -419,10 +452,14 @@ _FETCH = {
     "had_archive": "o_custkey % 2 = 0",
 }
 _FETCHES = "f AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _FETCH.items()) + " FROM orders)"
-_VERDICT = """v AS (SELECT *, error IS NOT NULL OR status >= 400 OR html = '' AS gone, contains(html, 'www.Target.com') AS present FROM f),
-r AS (SELECT *, CASE WHEN error = 'blocked' THEN 'VERIFICATION_FAILED' WHEN gone THEN CASE WHEN had_archive THEN 'ARCHIVED_ONLY' ELSE 'SOURCE_UNAVAILABLE' END
-WHEN present THEN CASE WHEN had_archive THEN 'ARCHIVED_CONFIRMED' ELSE 'LIVE_CONFIRMED' END ELSE 'REMOVED' END AS verification_status,
-CASE WHEN gone OR error = 'blocked' THEN '' ELSE sha256(url || '|' || CAST(status AS VARCHAR) || '|' || sha256(html)) END AS evidence_hash,
+_VERDICT = """v AS (SELECT *, error IS NOT NULL OR status >= 400 OR html = '' AS gone, contains(html,
+'www.Target.com') AS present FROM f),
+r AS (SELECT *, CASE WHEN error = 'blocked' THEN 'VERIFICATION_FAILED' WHEN gone THEN CASE WHEN had_archive
+THEN 'ARCHIVED_ONLY' ELSE 'SOURCE_UNAVAILABLE' END
+WHEN present THEN CASE WHEN had_archive THEN 'ARCHIVED_CONFIRMED' ELSE 'LIVE_CONFIRMED' END
+ELSE 'REMOVED' END AS verification_status,
+CASE WHEN gone OR error = 'blocked' THEN '' ELSE sha256(url || '|' || CAST(status AS VARCHAR) || '|' || sha256(html))
+END AS evidence_hash,
 CASE WHEN gone OR error = 'blocked' THEN NULL ELSE CAST(present AS INT) END AS live_backlink_present FROM v)"""
 
 
@@ -435,12 +472,14 @@ def _results(spark: SparkSession, sf_dir: str, around: str = "") -> DataFrame:
     return verify.verify(rows, Target("target.com"), F.col("had_archive"), "2024-01-01T00:00:00+00:00")
 
 
-@registered(f"WITH {_FETCHES}, {_VERDICT} SELECT url AS source_url, verification_status, live_backlink_present FROM r")
+@registered(f"""WITH {_FETCHES}, {_VERDICT} SELECT url AS source_url, verification_status, live_backlink_present
+FROM r""")
 def verify_decision(spark, sf_dir):
     return _results(spark, sf_dir).select("source_url", "verification_status", "live_backlink_present")
 
 
-@registered(f"WITH {_FETCHES}, {_VERDICT} SELECT url AS source_url, verification_status, live_backlink_present FROM r")
+@registered(f"""WITH {_FETCHES}, {_VERDICT} SELECT url AS source_url, verification_status, live_backlink_present
+FROM r""")
 def verify_malformed(spark, sf_dir):
     """The same pages with bytes before and behind them that are no UTF-8."""
     return _results(spark, sf_dir, "C328FF").select("source_url", "verification_status", "live_backlink_present")
@@ -451,7 +490,8 @@ def verify_evidence(spark, sf_dir):
     return _results(spark, sf_dir).select("source_url", "evidence_hash")
 
 
-@registered(f"WITH {_FETCHES}, {_VERDICT} SELECT count(*) FILTER (WHERE live_backlink_present = 1) AS live, count(*) AS total FROM r")
+@registered(f"""WITH {_FETCHES}, {_VERDICT} SELECT count(*) FILTER (WHERE live_backlink_present = 1) AS live,
+count(*) AS total FROM r""")
 def verified_live(spark, sf_dir):
     return stats.live_count(_results(spark, sf_dir))
 
@@ -459,9 +499,12 @@ def verified_live(spark, sf_dir):
 _SHOWN = ("id", "verification_status", "source_http_status", "live_backlink_present", "evidence_hash", "last_checked_at", "updated_at")
 
 
-@registered(_on_index("""SELECT id, CASE WHEN id % 2 = 0 THEN 'REMOVED' ELSE verification_status END AS verification_status,
-CASE WHEN id % 2 = 0 THEN 410 ELSE source_http_status END AS source_http_status, CASE WHEN id % 2 = 0 THEN 0 ELSE live_backlink_present END AS live_backlink_present,
-CASE WHEN id % 4 = 0 THEN 'new' ELSE evidence_hash END AS evidence_hash, CASE WHEN id % 2 = 0 THEN 'c' ELSE last_checked_at END AS last_checked_at,
+@registered(_on_index("""SELECT id, CASE WHEN id % 2 = 0 THEN 'REMOVED'
+ELSE verification_status END AS verification_status,
+CASE WHEN id % 2 = 0 THEN 410 ELSE source_http_status END AS source_http_status, CASE WHEN id % 2 = 0 THEN 0
+ELSE live_backlink_present END AS live_backlink_present,
+CASE WHEN id % 4 = 0 THEN 'new' ELSE evidence_hash END AS evidence_hash, CASE WHEN id % 2 = 0 THEN 'c'
+ELSE last_checked_at END AS last_checked_at,
 CASE WHEN id % 2 = 0 THEN 'now' ELSE updated_at END AS updated_at FROM idx"""))
 def apply_verification(spark, sf_dir):
     index = feed.index(spark, sf_dir)
@@ -475,7 +518,8 @@ def apply_verification(spark, sf_dir):
 _URLS = "concat(CASE o_orderkey % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'https' ELSE 'ftp' END, '://', CASE o_custkey % 5 WHEN 0 THEN 'LOCALHOST' WHEN 1 THEN '10.1.2.3' WHEN 2 THEN '[::1]' WHEN 3 THEN '8.8.8.8' ELSE 'example.org' END, ':', CAST(o_orderkey % 9 AS STRING), '/')"
 
 
-@registered(f"SELECT url, count(*) AS n, url NOT LIKE 'ftp%' AND (url LIKE '%8.8.8.8%' OR url LIKE '%example.org%') AS safe FROM (SELECT {_URLS} AS url FROM orders) GROUP BY ALL")
+@registered(f"""SELECT url, count(*) AS n, url NOT LIKE 'ftp%' AND (url LIKE '%8.8.8.8%'
+OR url LIKE '%example.org%') AS safe FROM (SELECT {_URLS} AS url FROM orders) GROUP BY ALL""")
 def safe_url(spark, sf_dir):
     rows = feed.read(spark, sf_dir, "orders").select(F.expr(_URLS).alias("url")).groupBy("url").agg(F.count("*").alias("n"))
     return rows.withColumn("safe", safety.is_safe_url(F.col("url")))
@@ -508,22 +552,27 @@ def parquet_import(spark, sf_dir):
     return _round_trip(spark, sf_dir, lambda d, p: d.write.parquet(p), lambda p: files.read_parquet(spark, p, "given"))
 
 
-_WAT = """CASE WHEN event_id % 10 = 0 THEN '{broken' ELSE concat('{"Envelope":{"WARC-Header-Metadata":{"WARC-Target-URI":"',
-CASE WHEN event_id % 10 = 1 THEN '' ELSE concat('http://Site', CAST(user_id % 50 AS STRING), '.com/p/') END, '"},"Payload-Metadata":{"HTTP-Response-Metadata":{"HTML-Metadata":{"Head":{"Title":"',
+_WAT = """CASE WHEN event_id % 10 = 0 THEN
+'{broken' ELSE concat('{"Envelope":{"WARC-Header-Metadata":{"WARC-Target-URI":"',
+CASE WHEN event_id % 10 = 1 THEN '' ELSE concat('http://Site', CAST(user_id % 50 AS STRING), '.com/p/') END,
+'"},"Payload-Metadata":{"HTTP-Response-Metadata":{"HTML-Metadata":{"Head":{"Title":"',
 event_type, '"},"Links":[{"url":"q', CAST(event_id % 7 AS STRING), '","text":"t","path":"A@/href"},"junk",{"href":"http://x', CAST(user_id % 5 AS STRING), '.org","rel":"nofollow"},{"path":"IMG@/src"}]}}}}}') END"""
 
 
 @registered("""WITH e AS (SELECT event_id, event_type, user_id FROM events WHERE event_id % 10 > 1), l AS (
-SELECT event_id, event_type, user_id, concat('http://site', user_id % 50, '.com/p/q', event_id % 7) AS target_url, 't' AS anchor_text, '' AS rel FROM e
+SELECT event_id, event_type, user_id, concat('http://site', user_id % 50, '.com/p/q', event_id % 7) AS target_url,
+'t' AS anchor_text, '' AS rel FROM e
 UNION ALL SELECT event_id, event_type, user_id, concat('http://x', user_id % 5, '.org/'), '', 'nofollow' FROM e)
-SELECT concat('http://Site', user_id % 50, '.com/p/') AS source_url, target_url, anchor_text, rel, event_type AS source_title, count(*) AS n FROM l GROUP BY ALL""")
+SELECT concat('http://Site', user_id % 50, '.com/p/') AS source_url, target_url, anchor_text, rel,
+event_type AS source_title, count(*) AS n FROM l GROUP BY ALL""")
 def wat_links(spark, sf_dir):
     rows = feed.read(spark, sf_dir, "events", "event_id", "event_type", "user_id").select(F.lit("f").alias("filename"), F.expr(_WAT).alias("json"))
     found = build.links_of_wat(warc.wat_pages(rows))
     return found.groupBy("source_url", "target_url", "anchor_text", "rel", "source_title").agg(F.count("*").alias("n"))
 
 
-@registered("SELECT concat('http://a', o_custkey % 7, '.site.org/', o_orderkey) AS url, '200' AS status FROM orders WHERE o_custkey % 7 < 3 AND o_orderkey % 3 <> 0")
+@registered("""SELECT concat('http://a', o_custkey % 7, '.site.org/', o_orderkey) AS url, '200' AS status FROM orders
+WHERE o_custkey % 7 < 3 AND o_orderkey % 3 <> 0""")
 def captures(spark, sf_dir):
     rows = feed.read(spark, sf_dir, "orders").select(
         F.expr("concat('http://a', o_custkey % 7, CASE WHEN o_custkey % 7 < 3 THEN '.site.org/' ELSE '.notsite.org/' END, o_orderkey)").alias("url"),
@@ -535,7 +584,8 @@ def captures(spark, sf_dir):
 _EDGES = "SELECT concat('u', CAST(o_custkey % 300 AS STRING)) AS source, concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target FROM orders"
 
 
-@registered(f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), w AS (SELECT 'u1' AS url, 0 AS level UNION SELECT e.target, w.level + 1 FROM w JOIN e ON e.source = w.url WHERE w.level < 4)
+@registered(f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), w AS (SELECT 'u1' AS url, 0 AS level UNION
+SELECT e.target, w.level + 1 FROM w JOIN e ON e.source = w.url WHERE w.level < 4)
 SELECT url, CAST(min(level) AS INT) AS level FROM w GROUP BY 1""")
 def frontier_bfs(spark, sf_dir):
     edges = feed.read(spark, sf_dir, "orders").selectExpr(
