@@ -74,7 +74,7 @@ class Model:
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled. Each half of the rows is scored by a model of the other half; of
-    the ratios of unlabelled to positive mass above a score the least counts, each with its standard error."""
+    the ratios of unlabelled to positive mass above a score the least counts, each with half its standard error."""
     prior = 0.5
     if min(len(positive), len(unlabelled)) < 4:
         return prior
@@ -86,7 +86,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         cuts = np.quantile(zp, np.linspace(0.02, 0.5, 49))
         p, u = ((z[:, None] >= cuts).mean(0) for z in (zp, zu))
         error = np.sqrt((1 - u) / np.maximum(u * len(zu), 1e-9) + (1 - p) / (p * len(zp)))
-        prior = float(np.clip((u / p * (1 + error)).min(), 0.05, 0.98))
+        prior = float(np.clip((u / p * (1 + error / 2)).min(), 0.05, 0.98))
     return prior
 
 
