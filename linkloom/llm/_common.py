@@ -190,12 +190,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, group: str, ranges: list, order: list, name: str) -> DataFrame:
-    """df, written, with each row's place from 1 on among the rows of its group, in an order that starts with ``ranges``.
+def numbered(df: DataFrame, group: str, ranges: list, order: list, name: str, rows: int) -> DataFrame:
+    """df, of so many rows at most, written, with each row's place from 1 on among the rows of its group, in an order that starts with ``ranges``.
     Groups are cut into ranges, numbered each alone and moved up by the rows before, so a large group is many tasks."""
     ranged = df.repartitionByRange(group, *ranges).withColumn("_range", F.spark_partition_id())
     place = F.row_number().over(Window.partitionBy("_range", group).orderBy(*ranges, *order))
-    table = stored(ranged.withColumn("_place", place), "numbered")
+    table = stored(ranged.withColumn("_place", place), "numbered", rows)
     before = Window.partitionBy("_group").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
     sizes = table.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_own")).agg(F.max("_place").alias("_size"))
     sizes = sizes.withColumn("_before", F.sum("_size").over(before)).where("_before is not null")  # of cut groups

@@ -103,7 +103,7 @@ def linear(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = numbered(rows, "tree", ["turn"], ["role", "text"], "node")
+    rows = numbered(rows, "tree", ["turn"], ["role", "text"], "node", conversations.count())
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
     return rows.select("tree", "node", parent.alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
@@ -136,7 +136,7 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     inner = jumps[0].select("tree", F.col("up").alias("node")).distinct()
     leaves = whole.join(inner, keys, "left_anti").withColumn("mean", F.col("total") / F.col("steps"))
     leaves = stored(leaves.select(*keys, "mean"), "ends", longest)
-    leaves = numbered(leaves, "tree", [F.desc("mean"), "node"], [], "rank").withColumn("rank", F.col("rank").cast("int"))
+    leaves = numbered(leaves, "tree", [F.desc("mean"), "node"], [], "rank", longest).withColumn("rank", F.col("rank").cast("int"))
     if best is not None:
         leaves = leaves.where(F.col("rank") <= best)
     found = stored(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node"), "leaves", longest)

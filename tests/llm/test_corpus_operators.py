@@ -227,7 +227,7 @@ def test_reply_trees(spark):
 def test_numbers_within_large_groups(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.randrange(40), rng.randrange(1000)) for _ in range(3000)]
-    got = numbered(spark.createDataFrame(rows, "g string, x long, y long").repartition(5), "g", [F.desc("x")], ["y"], "n").collect()
+    got = numbered(spark.createDataFrame(rows, "g string, x long, y long").repartition(5), "g", [F.desc("x")], ["y"], "n", len(rows)).collect()
     assert sorted(map(str, ((r["g"], r["x"], r["y"]) for r in got))) == sorted(map(str, rows))
     for g in ("hot", "a", "b", None):
         own = sorted((r for r in got if r["g"] == g), key=lambda r: r["n"])
