@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import (
-    chat_format, decontaminate, lm_score, near_duplicates, packing, pii, quality_pu, quality_rules, toxicity, url_filter,
+    chat_format, decontaminate, divergence, filter_audit, lm_score, near_duplicates, packing, pii, quality_pu, quality_rules, toxicity,
+    url_filter,
 )
 from linkloom.llm._common import documents, table
 
@@ -60,6 +61,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2_url_filter has before links are looked at: for those pages SQL gives the same."""
     return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
@@ -85,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontaminate, op2_url_filter, op3_ngram_jaccard_join, op4_packing, op5_quality_rules, op6_pii, op7_lm_score,
-        op8_chat_format, op9_toxicity, op10_quality_classifier, pipeline, url_rules, quality_base, pii_counts,
+        op8_chat_format, op9_toxicity, op10_quality_classifier, op11_filter_audit, op13_source_divergence, pipeline, url_rules, quality_base, pii_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -129,6 +138,32 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
 string_agg(shown, '' ORDER BY turn, role, text) AS formatted FROM f GROUP BY 1)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, length(formatted) AS formatted_chars, formatted FROM g"""
+_OP11 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(coalesce(quality, 0) = 1 AS INT)) AS g, max(CAST(coalesce(toxic, 0) = 1 AS INT)) AS t FROM labels GROUP BY 1),
+f AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END +
+CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END +
+CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS m, coalesce(g, 0) AS g, coalesce(t, 0) AS t FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, sum(g) AS g, sum(t) AS t FROM f GROUP BY 1, 2), b(x, v) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.v, q.v, r.v, s.v, t.v] AS v FROM b p, b q, b r, b s, b t WHERE p.v + q.v + r.v + s.v + t.v = 31 AND p.v | q.v | r.v | s.v | t.v = 31),
+z AS (SELECT filter_order, step, v[step] AS own, CAST(coalesce(list_sum(v[1:step - 1]), 0) AS INT) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+y AS (SELECT part, filter_order, step, own, sum(n) FILTER (m & (before + own) = 0) AS kept, sum(n) FILTER (m & before = 0 AND m & own <> 0) AS removed,
+sum(n) FILTER (m & before <> 0 AND m & own <> 0) AS redundant, sum(n) FILTER (m = own) AS unique_fails, sum(g) FILTER (m & before = 0 AND m & own <> 0) AS good_lost,
+sum(t) FILTER (m & before = 0 AND m & own <> 0) AS toxic_lost FROM c, z GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM y"""
+_OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d), g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term, count(*) AS lang_c FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30), c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY 1, 2, 3),
+x AS (SELECT lang, source, term, coalesce(c, 0) AS c, lang_c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT *, sum(c) OVER w AS n, count(*) OVER w AS v, sum(lang_c) OVER w AS lang_n FROM x WINDOW w AS (PARTITION BY lang, source)),
+p AS (SELECT lang, source, term, c, CAST(1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (lang_c + 5)) // (lang_n + 5 * v) AS BIGINT) AS q FROM s),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM u)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 50"""
 
 
 _RULES = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for r, _ in url_filter.RULES)
@@ -160,5 +195,5 @@ CAST(len(phone) AS BIGINT) AS n_phone FROM n"""
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it within a short time; the others are tested against brute force or held-out labels."""
-    whole = {"op1_decontaminate": _OP1, "op3_ngram_jaccard_join": _OP3, "op7_lm_score": _OP7, "op8_chat_format": _OP8}
+    whole = {"op1_decontaminate": _OP1, "op3_ngram_jaccard_join": _OP3, "op7_lm_score": _OP7, "op8_chat_format": _OP8, "op11_filter_audit": _OP11, "op13_source_divergence": _OP13}
     return whole | {"url_rules": _URL_RULES, "quality_base": _QUALITY_BASE, "pii_counts": _PII_COUNTS}
