@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import (
-    chat_format, decontaminate, divergence, filter_audit, lm_score, near_duplicates, packing, pii, quality_pu, quality_rules, toxicity,
-    url_filter,
+    chat_format, decontaminate, divergence, filter_audit, lm_score, near_dedup, near_duplicates, packing, pii, quality_pu, quality_rules,
+    toxicity, url_filter,
 )
 from linkloom.llm._common import documents, table
 
@@ -65,6 +65,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -94,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontaminate, op2_url_filter, op3_ngram_jaccard_join, op4_packing, op5_quality_rules, op6_pii, op7_lm_score,
-        op8_chat_format, op9_toxicity, op10_quality_classifier, op11_filter_audit, op13_source_divergence, pipeline, url_rules, quality_base, pii_counts,
+        op8_chat_format, op9_toxicity, op10_quality_classifier, op11_filter_audit, op12_near_dedup, op13_source_divergence, pipeline, url_rules, quality_base, pii_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -152,6 +156,16 @@ sum(t) FILTER (m & before = 0 AND m & own <> 0) AS toxic_lost FROM c, z GROUP BY
 SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
 CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
 CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM y"""
+_OP12 = r"""WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS text, min(doc_id) AS least FROM documents GROUP BY 1),
+n AS (SELECT row_number() OVER () AS id, text, least, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM texts),
+s AS (SELECT DISTINCT id, w[i:i + least(5, len(w)) - 1] AS g FROM (SELECT id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM n WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS size FROM s GROUP BY 1), z AS (SELECT id, g, size FROM s JOIN sizes USING (id)),
+e AS (SELECT a.id AS a, b.id AS b FROM z a JOIN z b ON a.g = b.g AND a.id < b.id AND 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)
+GROUP BY a.id, b.id, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))),
+pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT id, id AS other FROM sizes UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
+c AS (SELECT reach.id, min(least) AS component_id FROM reach JOIN n ON n.id = other GROUP BY 1)
+SELECT d.doc_id, coalesce(size, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM documents d JOIN n ON n.text = coalesce(d.text, '') LEFT JOIN sizes USING (id) LEFT JOIN c USING (id)"""
 _OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT r, lang, source, unnest(w) AS term FROM d), g AS (SELECT DISTINCT lang, source FROM d),
@@ -195,5 +209,5 @@ CAST(len(phone) AS BIGINT) AS n_phone FROM n"""
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it within a short time; the others are tested against brute force or held-out labels."""
-    whole = {"op1_decontaminate": _OP1, "op3_ngram_jaccard_join": _OP3, "op7_lm_score": _OP7, "op8_chat_format": _OP8, "op11_filter_audit": _OP11, "op13_source_divergence": _OP13}
+    whole = {"op1_decontaminate": _OP1, "op3_ngram_jaccard_join": _OP3, "op7_lm_score": _OP7, "op8_chat_format": _OP8, "op11_filter_audit": _OP11, "op12_near_dedup": _OP12, "op13_source_divergence": _OP13}
     return whole | {"url_rules": _URL_RULES, "quality_base": _QUALITY_BASE, "pii_counts": _PII_COUNTS}
