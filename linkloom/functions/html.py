@@ -7,6 +7,7 @@ from contextlib import suppress
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from linkloom.functions import urls
 from linkloom.functions.links import classify_rel
 
+#: Bytes of pages that a worker parses at once, and that are sent to it at once where the session says nothing else.
+MOST_BYTES = 8 << 20
 LINK = "struct<position:int,href:string,rel:string,anchor_text:string,image_alt:string,is_image:boolean,resolved_url:string,hostname:string>"
 
 
@@ -118,8 +121,14 @@ def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            at = 0
+            while at < batch.num_rows:  # few pages at once, and few bytes
+                end, held = at + 1, size[at]
+                while end < min(batch.num_rows, at + 500) and held + size[end] <= MOST_BYTES:
+                    held += size[end]
+                    end += 1
+                part, at = batch.slice(at, end - at), end
                 found = list(map(parse, part.column(part.num_columns - 1).to_pylist(), part.column(part.num_columns - 2).to_pylist()))
                 columns = [c.cast(f.type) for c, f in zip(part.columns[:-2], arrow, strict=False)]
                 columns.append(pa.array([f[0] for f in found], pa.string()))
@@ -127,6 +136,8 @@ def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None
                     columns.append(pa.array([f[1] for f in found], arrow.field("anchors").type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
+    if pages.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MOST_BYTES))
     return pages.select(*keep, F.lit(None).cast("string").alias("_base") if base is None else F.col(base).alias("_base_url"), F.col(html).alias("_html")).mapInArrow(run, schema)
 
 

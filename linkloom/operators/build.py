@@ -16,20 +16,29 @@ def conform(feed: DataFrame, *more: str) -> DataFrame:
     return feed.select(*more, *(F.col(f"`{have[f.name]}`").cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in FEED))
 
 
-def build_links(feed: DataFrame, as_of: str | Column, status: str = "ARCHIVED_ONLY", arrival: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def build_links(
+    feed: DataFrame, as_of: str | Column, status: str = "ARCHIVED_ONLY", arrival: Column | None = None, keep: tuple[str, ...] = (), reason: str = ""
+) -> DataFrame:
     """Rows of the index for a feed; links without a page, a target or a host are dropped, as are urls with an
     impossible port. ``arrival`` orders rows and becomes their id (null: none yet);
-    ``keep`` names columns of the feed to carry along."""
+    ``keep`` names columns of the feed to carry along. With ``reason`` nothing is dropped: a column of that name says why a link is
+    none, and is null for the others."""
     now = F.lit(as_of) if isinstance(as_of, str) else as_of
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     number = (F.lit(None) if arrival is None else arrival).cast("long").alias("id")
     feed = conform(feed.withColumn("_arrival", number), "_arrival", *keep).withColumnRenamed("_arrival", "id")
-    feed = feed.where((text("source_url") != "") & (text("target_url") != ""))
+    whole = (text("source_url") != "") & (text("target_url") != "")
+    feed = feed if reason else feed.where(whole)
     names = {"source_url": ("normalized_source_url", "source_hostname"), "target_url": ("normalized_target_url", "normalized_target_hostname")}
     feed = urls.with_normalized(feed, names)
     good = F.expr("normalized_source_url is not null and normalized_target_url is not null and source_hostname <> '' and normalized_target_hostname <> ''")
     # a filter would be pushed below the urls' expressions and compute them again; a generator is not
-    feed = feed.select("*", F.explode(F.when(good, F.array(F.lit(1)))).alias("_kept")).drop("_kept")
+    if reason:
+        port = F.expr("normalized_source_url is null or normalized_target_url is null")
+        feed = feed.withColumn(reason, F.when(~whole, "no source_url or no target_url").when(port, "an impossible port").when(~good, "no host"))
+        keep = (*keep, reason)
+    else:
+        feed = feed.select("*", F.explode(F.when(good, F.array(F.lit(1)))).alias("_kept")).drop("_kept")
     made = {
         "normalized_target_domain": urls.registrable_domain(F.col("normalized_target_hostname")),
         "source_domain": urls.registrable_domain(F.col("source_hostname")),
@@ -55,14 +64,21 @@ def links_of_pages(pages: DataFrame, url: str = "url", body: str = "html", keep:
 
 def links_of_responses(records: DataFrame, filename: str = "") -> DataFrame:
     """A feed from archived responses (see sources.warc): those of HTML pages with an address."""
+    keep = ("source_http_status", "content_type", "record_filename")
+    named = records if "filename" in records.columns else records.withColumn("filename", F.lit(filename))
+    return links_of_pages(html_responses(named), keep=keep).withColumn("dataset_type", F.lit("warc"))
+
+
+def html_responses(records: DataFrame, *keep: str, whole: bool = False) -> DataFrame:
+    """Pages (url, html) among archived records: responses of HTML with an address. With ``whole`` other records stay too, without
+    html."""
     kind = F.coalesce(F.nullif(F.coalesce(F.col("http_headers")["content-type"], F.lit("")), F.lit("")), F.col("content_type"))
-    pages = records.where("record_type = 'response' and target_uri <> ''").where(F.contains(F.lower(kind), F.lit("html")))
-    pages = pages.select(
-        F.col("target_uri").alias("url"), F.col("payload").alias("html"), F.col("http_status").alias("source_http_status"),
-        kind.alias("content_type"), *([F.col("filename").alias("record_filename")] if "filename" in records.columns else [F.lit(filename).alias("record_filename")]),
+    page = F.expr("record_type = 'response' and target_uri <> ''") & F.contains(F.lower(kind), F.lit("html"))
+    pages = records if whole else records.where(page)
+    return pages.select(
+        *keep, F.col("target_uri").alias("url"), F.when(page, F.col("payload")).alias("html"), F.col("http_status").alias("source_http_status"),
+        kind.alias("content_type"), F.col("filename").alias("record_filename"),
     )
-    keep = ("source_http_status", "content_type", "record_filename")
-    return links_of_pages(pages, keep=keep).withColumn("dataset_type", F.lit("warc"))
 
 
 def links_of_wat(pages: DataFrame) -> DataFrame:

@@ -11,28 +11,32 @@ from linkloom.schema import INDEX, KEY, VERSION
 REPLACED = ("last_seen_at", "verification_status", "live_backlink_present", "updated_at")
 IF_KNOWN = ("source_http_status", "last_checked_at")
 IF_FILLED = ("redirect_chain", "evidence_hash")
+#: What follows from the urls of the key, in rows that ``build_links`` made.
+PLACES = ("normalized_target_domain", "normalized_target_hostname", "source_domain", "source_hostname", "target_hostname")
 
 
-def fold(rows: DataFrame, order: Column) -> DataFrame:
+def fold(rows: DataFrame, order: Column, placed: bool = False) -> DataFrame:
     """One row for each key: the first one's columns, but for those that later rows replace. Every part is a
     minimum or maximum, so tasks fold their own rows before the one shuffle; rows of one key and one order are
-    told apart by all their columns."""
-    first = [f.name for f in INDEX if f.name not in (*KEY, *REPLACED, *IF_KNOWN, *IF_FILLED)]
+    told apart by all their columns. placed: the hosts and domains of all rows are those of their urls, so rows are grouped by
+    them too, and filters and counts of hosts and domains pass below the fold."""
+    by = (*KEY, *PLACES) if placed else KEY
+    first = [f.name for f in INDEX if f.name not in (*by, *REPLACED, *IF_KNOWN, *IF_FILLED)]
     rows = rows.withColumn("_order", F.struct(order.alias("o"), F.xxhash64(*(f.name for f in INDEX)).alias("h")))
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)
     # a number first: rows are sorted by it, and by the long urls behind it only where it is the same
-    out = rows.groupBy(F.xxhash64(*KEY).alias("_key"), *KEY).agg(
+    out = rows.groupBy(F.xxhash64(*KEY).alias("_key"), *by).agg(
         F.min_by(F.struct(*first), "_order").alias("a"), F.max_by(F.struct(*REPLACED), "_order").alias("b"),
         *map(known, IF_KNOWN), *map(filled, IF_FILLED),
     )
-    return out.select(*KEY, "a.*", "b.*", *IF_KNOWN, *IF_FILLED).select(*(f.name for f in INDEX))
+    return out.select(*by, "a.*", "b.*", *IF_KNOWN, *IF_FILLED).select(*(f.name for f in INDEX))
 
 
 def upsert(index: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The index with a batch whose ids are its order of arrival; new keys get ids above the index's."""
+    """The index with a batch of ``build_links`` whose ids are its order of arrival; new keys get ids above the index's."""
     if index is None:
-        return fold(batch, F.col("id"))
+        return fold(batch, F.col("id"), placed=True)
     top = index.agg(F.max("id")).head()[0] or 0
     later = batch.withColumn("id", F.col("id") + F.lit(top + 1))
     return fold(index.unionByName(later), F.col("id"))
@@ -54,7 +58,13 @@ def delete_collection(index: DataFrame, collection: str) -> DataFrame:
 
 
 def migrate_legacy(index: DataFrame, legacy: DataFrame, now: str) -> DataFrame:
-    """Rows of an older link table that the index lacks: no hosts or domains, status UNVERIFIED, type UNKNOWN."""
+    """The index with the rows of an older link table that it lacks."""
+    rows = legacy_rows(legacy, now).join(index.select(*KEY), list(KEY), "left_anti")
+    return index.unionByName(rows.select(*index.columns))
+
+
+def legacy_rows(legacy: DataFrame, now: str) -> DataFrame:
+    """Rows of an older link table: no hosts or domains, status UNVERIFIED, type UNKNOWN."""
     have = {c.lower() for c in legacy.columns}
     pick = lambda *names: F.coalesce(F.col(next(n for n in names if n in have)).cast("string"), F.lit("")) if have & set(names) else F.lit("")
     source, target = pick("source_url", "source", "from_url"), pick("target_url", "target", "to_url")
@@ -67,8 +77,7 @@ def migrate_legacy(index: DataFrame, legacy: DataFrame, now: str) -> DataFrame:
         values["id"] = F.col("id")
     nullable = ("id", "source_http_status", "live_backlink_present", "last_checked_at", "record_offset", "record_length")
     rows = legacy.select(*(values.get(f.name, F.lit(None if f.name in nullable else "")).cast(f.dataType).alias(f.name) for f in INDEX))
-    rows = fold(rows, F.col("id")).join(index.select(*KEY), list(KEY), "left_anti")
-    return index.unionByName(rows.select(*index.columns))
+    return fold(rows, F.col("id"))
 
 
 def integrity(index: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from linkloom.functions import html, urls
 from linkloom.operators.build import build_links, links_of_pages
@@ -49,12 +52,61 @@ def verify(fetches: DataFrame, target: Target | Sequence[Target], had_archive: C
     )
 
 
-def matching_links(fetches: DataFrame, target: Target | Sequence[Target]) -> DataFrame:
-    """The links to a target, or to one of several, on fetched pages: a search of live pages, without an index."""
-    targets = [target] if isinstance(target, Target) else list(target)
+def matching_links(fetches: DataFrame, target: Target | Sequence[Target] | DataFrame) -> DataFrame:
+    """The links to a target, or to one of several, on fetched pages: a search of live pages, without an index. Of a table of
+    targets (target, mode) each link comes with every one that it matches."""
     pages = fetches.where("error is null and status < 400")
-    pages = pages.select(F.coalesce("final_url", "url").alias("url"), F.col("body").alias("html"))
-    return links_of_pages(pages).where(reduce(or_, (matches_link(F.col("target_url"), t) for t in targets), F.lit(False)))
+    links = links_of_pages(pages.select(F.coalesce("final_url", "url").alias("url"), F.col("body").alias("html")))
+    if isinstance(target, DataFrame):
+        return links_to(links.withColumn("_host", urls.hostname(F.col("target_url"))), target, "target_url", "_host").drop("_host")
+    targets = [target] if isinstance(target, Target) else list(target)
+    return links.where(reduce(or_, (matches_link(F.col("target_url"), t) for t in targets), F.lit(False)))
+
+
+def target_keys(targets: DataFrame) -> DataFrame:
+    """(target, mode, kind, value, prefix) of a table of targets (target, mode): what of a link each asks for, a host, an url, a domain, or
+    a domain and the beginning of a path."""
+    schema = to_arrow_schema(T.StructType.fromDDL(TARGET_KEY))
+
+    def key(raw: str, mode: str) -> tuple:
+        t = Target(raw, mode)
+        kind = {"exact_hostname": "host", "exact_url": "url", "path_prefix": "path"}.get(mode, "domain")
+        return raw, mode, kind, {"host": t.hostname, "url": t.url}.get(kind, t.domain), t.prefix if kind == "path" else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [key(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    return targets.select("target", "mode").where("target is not null and mode is not null").distinct().mapInArrow(run, TARGET_KEY)
+
+
+TARGET_KEY = "target string, mode string, kind string, value string, prefix string"
+
+
+def links_to(links: DataFrame, targets: DataFrame, url: str, host: str) -> DataFrame:
+    """Links with each target (target, mode) that they match, as ``matches_link`` has it, for any number of targets: a link's host, url and
+    domain are looked up by equality; so are, where its domain has targets with paths, the beginnings of its path that are as
+    long as one of these. url and host name columns of the normalised url and its host."""
+    keys, domain = target_keys(targets), urls.registrable_domain(F.col(host))
+    links = links.where(F.col(host) != "")
+    own = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("host", F.col(host)), ("url", F.col(url)), ("domain", domain)))))
+    plain = links.withColumn("_k", own).withColumns({"_kind": F.col("_k.kind"), "_value": F.col("_k.value")}).drop("_k")
+    wanted = keys.where("kind <> 'path'").select("target", "mode", F.col("kind").alias("_kind"), F.col("value").alias("_value"))
+    plain = plain.join(wanted, ["_kind", "_value"]).drop("_kind", "_value")
+    paths = keys.where("kind = 'path'").select("target", "mode", F.col("value").alias("_value"), F.col("prefix").alias("_prefix"))
+    lengths = paths.groupBy("_value").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    below = links.withColumns({"_value": domain, "_path": urls.path_of(F.col(url))}).join(lengths, "_value")
+    below = below.withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length("_path"))
+    below = below.withColumn("_prefix", F.substring("_path", F.lit(1), F.col("_n"))).join(paths, ["_value", "_prefix"])
+    return plain.unionByName(below.drop("_value", "_prefix", "_path", "_lengths", "_n"))
+
+
+def in_order(listed: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of verification by the place of their url in a list (place, url); an url that the list has twice comes twice, one without
+    a result has nulls."""
+    rows = listed.select("place", F.col("url").alias("source_url")).join(results, "source_url", "left")
+    return rows.select("place", *results.columns).orderBy("place")
 
 
 def source_list(lines: DataFrame) -> DataFrame:
