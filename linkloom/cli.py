@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from linkloom.operators import merge, stats, verify
 from linkloom.operators.search import FILTERS, SORTABLE, VIEWS, Search, Target, total_pages
 from linkloom.schema import MATCH_MODES
-from linkloom.sources.sinks import EXPORTS, StoredIndex, export
+from linkloom.sources.sinks import EXPORTS, export
+from linkloom.sources.stored import StoredIndex
 from linkloom.streaming import ingest
 from linkloom.streaming.jobs import Jobs, now
 
@@ -22,8 +23,11 @@ def pages(index: DataFrame, search: Search, first: int, size: int, number: int |
     """(page, of how many, rows): so many pages from the first on, or all that follow."""
     last = total_pages(search.count(index).head()[0], size)
     stop = last if number is None else min(last, first + number - 1)
+    rows = search.page(index, first, size).collect()
     for page in range(first, stop + 1):
-        yield page, last, search.page(index, page, size).collect()
+        yield page, last, rows
+        if page < stop:
+            rows = search.after(index, (rows[-1][search.order_by], rows[-1]["id"]), size).collect()
 
 
 def _search_of(args: argparse.Namespace) -> Search:

@@ -14,7 +14,7 @@ from linkloom.operators import build, merge, stats, verify
 from linkloom.operators.search import Search, Target, first_rows, matches_link, ordered_values
 from linkloom.plans import feed
 from linkloom.schema import EXPORT_COLUMNS, INDEX, KEY
-from linkloom.sources import crawl, files, sinks, warc
+from linkloom.sources import crawl, files, records, sinks, stored, warc
 from linkloom.streaming import ingest, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -347,6 +347,17 @@ def sorted_page_ascending(spark, sf_dir):
     return Search(sort_by="anchor_text", descending=False, link_types=["FOLLOW"]).page(feed.index(spark, sf_dir))
 
 
+@registered(_on_index(f"""SELECT {_ALL} FROM idx WHERE link_type = 'FOLLOW' ORDER BY source_http_status ASC NULLS FIRST,
+id ASC LIMIT 40 OFFSET 80"""))
+def keyset_page(spark, sf_dir):
+    """The third page, each found by a seek behind the last row of the one before."""
+    search, index, last = Search(sort_by="source_http_status", descending=False, link_types=["FOLLOW"]), feed.index(spark, sf_dir), None
+    for _ in range(2):
+        row = search.after(index, last, 40).tail(1)[0]
+        last = (row["source_http_status"], row["id"])
+    return search.after(index, last, 40)
+
+
 @registered("SELECT o_orderkey AS id, o_orderpriority AS message FROM orders ORDER BY o_orderkey DESC LIMIT 50")
 def recent_rows(spark, sf_dir):
     from linkloom.operators.search import recent
@@ -357,21 +368,88 @@ def recent_rows(spark, sf_dir):
 @registered(_where("normalized_target_domain = 'target6.co.uk'"))
 def stored_search(spark, sf_dir):
     """A written index: of its buckets one is opened, and the domain's filter reaches the scan."""
-    index = sinks.StoredIndex(spark, _temporary(spark))
+    index = stored.StoredIndex(spark, _temporary(spark))
     index.replace(feed.index(spark, sf_dir))
     return index.search(Search(target="target6.co.uk"))
 
 
+_NO_ID = ", ".join(n for n in INDEX.names if n != "id")
+#: Where the feed is cut into batches, in its order.
+_BATCHES = ("id < 30000000000000", "id >= 30000000000000 AND id < 50000000000000", "id >= 50000000000000")
+
+
+@registered(_on_index(f"SELECT {_NO_ID} FROM idx WHERE normalized_target_domain = 'target6.co.uk'"))
+def stored_delta_search(spark, sf_dir):
+    """A base and two layers over it, which the search folds."""
+    index, rows = stored.StoredIndex(spark, _temporary(spark)), feed.rows(spark, sf_dir)
+    index.replace(merge.fold(rows.where(_BATCHES[0]), F.col("id"), placed=True))
+    for batch in _BATCHES[1:]:
+        index.upsert(rows.where(batch))
+    return index.search(Search(target="target6.co.uk")).drop("id")
+
+
+@registered(_on_index(f"SELECT {_NO_ID} FROM idx"))
+def stored_layers(spark, sf_dir):
+    """The whole index from layers alone, and then from a base that they were folded into and one layer more."""
+    index, rows = stored.StoredIndex(spark, _temporary(spark), buckets=8), feed.rows(spark, sf_dir)
+    for batch in _BATCHES[:2]:
+        index.upsert(rows.where(batch), count=False)
+    index.compact()
+    index.upsert(rows.where(_BATCHES[2]))
+    return index.read().drop("id")
+
+
+_TOLD = "CAST(id % 3 AS HUGEINT) * 1000000000000000000 + id"
+
+
+def _three_files(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
+    """The feed as files of three kinds, each in the order of its ids."""
+    links_, paths = feed.feed(spark, sf_dir), []
+    for k, (kind, options) in enumerate((("csv", {"header": True, "escape": '"', "emptyValue": ""}), ("json", {}), ("parquet", {}))):
+        paths.append(f"{folder}/{k}.{'jsonl' if kind == 'json' else kind}")
+        links_.where(f"id % 3 = {k}").orderBy("id").select(*_RAW).write.format(kind).options(**options).save(paths[-1])
+    return paths
+
+
+@registered(f"""WITH {_LINKS} SELECT {', '.join(KEY)}, normalized_target_domain, source_domain, arg_min(anchor_text, {_TOLD}) AS anchor_text,
+arg_min(source_title, {_TOLD}) AS source_title, arg_min(source_url, {_TOLD}) AS source_url, arg_min(collection, {_TOLD}) AS collection FROM links GROUP BY ALL""")
+def resume_records(spark, sf_dir):
+    """A job that stops twice within a file, and is resumed each time behind the last record that the index has."""
+    folder = _temporary(spark)
+    paths, index = _three_files(spark, sf_dir, folder), stored.StoredIndex(spark, f"{folder}/index", buckets=8)
+    with tempfile.TemporaryDirectory() as state:
+        log = jobs.Jobs(state)
+        number = log.create("files", {"paths": paths})
+        for most in (1001, 30_007, None):
+            ingest.run_files(spark, log, number, paths, index, "2024-01-01T00:00:00+00:00", "", max_records=most)
+    return index.read().select(*KEY, "normalized_target_domain", "source_domain", "anchor_text", "source_title", "source_url", "collection")
+
+
+_WRONG = """CASE o_orderkey % 7 WHEN 0 THEN '{"source_url": "http://a.org/"' WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{"source_url": "http://a.org/", "target_url": " "}'
+WHEN 3 THEN '{"source_url": "http://a.org/", "target_url": "http://h:99999/"}' WHEN 4 THEN '{"source_url": "http://a.org/", "target_url": "mailto:x"}'
+ELSE concat('{"source_url": "http://a.org/', CAST(o_orderkey % 40 AS STRING), '", "target_url": "http://t.org/"}') END"""
+
+
+@registered("""SELECT CASE WHEN o_orderkey % 7 < 3 THEN 'record' ELSE 'link' END AS context, CASE o_orderkey % 7 WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'no JSON object'
+WHEN 2 THEN 'no source_url or no target_url' WHEN 3 THEN 'an impossible port' ELSE 'no host' END AS message, count(*) AS n, count(DISTINCT o_orderkey) AS records
+FROM orders WHERE o_orderkey % 7 < 4 GROUP BY 1, 2""")
+def rejected_rows(spark, sf_dir):
+    """What a job over lines of all kinds refuses, as the index has it beside its rows."""
+    folder = _temporary(spark)
+    path, index = f"{folder}/lines.jsonl", stored.StoredIndex(spark, f"{folder}/index", buckets=2)
+    feed.read(spark, sf_dir, "orders", "o_orderkey").select(F.expr(_WRONG).alias("value")).write.text(path)
+    with tempfile.TemporaryDirectory() as state:
+        log = jobs.Jobs(state)
+        ingest.run_files(spark, log, log.create("files", {"paths": [path]}), [path], index, "2024-01-01T00:00:00+00:00")
+    return index.rejected().groupBy("context", "message").agg(F.count("*").alias("n"), F.count_distinct("file", "record").alias("records"))
+
+
 @registered(f"WITH {_LINKS} SELECT DISTINCT {', '.join(KEY)}, normalized_target_domain, source_domain FROM links")
 def resume_files(spark, sf_dir):
     """A job over files of three kinds that ends after the first and is then resumed."""
-    folder, links_ = _temporary(spark), feed.feed(spark, sf_dir)
-    paths = []
-    for k, (kind, options) in enumerate((("csv", {"header": True, "escape": '"', "emptyValue": ""}), ("json", {}), ("parquet", {}))):
-        paths.append(f"{folder}/{k}.{'jsonl' if kind == 'json' else kind}")
-        part = links_.where(f"id % 3 = {k}").select(*_RAW)
-        part.write.format(kind).options(**options).save(paths[-1])
-    index = sinks.StoredIndex(spark, f"{folder}/index")
+    folder = _temporary(spark)
+    paths = _three_files(spark, sf_dir, folder)
+    index = stored.StoredIndex(spark, f"{folder}/index")
     with tempfile.TemporaryDirectory() as state:
         log = jobs.Jobs(state)
         number = log.create("files", {"paths": paths})
@@ -515,6 +593,57 @@ def apply_verification(spark, sf_dir):
     return verify.apply_verification(index, even, "now").select(*_SHOWN)
 
 
+#: Targets of all modes: some 100 of each 2,000 parts.
+_TARGET_URL = """concat(CASE p_partkey % 3 WHEN 0 THEN 'HTTPS://' ELSE '' END, CASE p_partkey % 2 WHEN 0 THEN 'www.' ELSE '' END, 'Target', CAST(p_partkey % 25 AS STRING),
+CASE p_partkey % 4 WHEN 0 THEN '.de' WHEN 1 THEN '.com' WHEN 2 THEN '.co.uk' ELSE '.net' END, CASE p_partkey % 5 WHEN 0 THEN '/docs/' WHEN 1 THEN '/docs/3' WHEN 2 THEN '/Docs' ELSE '' END)"""
+_TARGET_MODE = """CASE p_partkey % 7 WHEN 0 THEN 'exact_hostname' WHEN 1 THEN 'exact_url' WHEN 2 THEN 'root_domain' ELSE 'path_prefix' END"""
+_TARGETS = f"SELECT DISTINCT {_TARGET_URL} AS target, {_TARGET_MODE} AS mode FROM part"
+_TARGET = """CASE WHEN contains(target, '://') THEN target ELSE 'https://' || target END"""
+
+
+@registered(f"""WITH {_FEED}, t AS ({_TARGETS}), k AS (SELECT target, mode, {_norm(_TARGET)} AS u FROM t), kk AS (SELECT *, {_host("u")} AS h FROM k),
+kkk AS (SELECT *, {_domain("h")} AS d, regexp_extract(u, '^[a-z]+://[^/]*(/.*)$', 1) AS p FROM kk), n AS (SELECT id, {_norm("target_url")} AS nu FROM feed),
+nn AS (SELECT *, {_host("nu")} AS nh FROM n), nnn AS (SELECT *, {_domain("nh")} AS nd, regexp_extract(nu, '^[a-z]+://[^/]*(/.*)$', 1) AS np FROM nn)
+SELECT target, mode, count(*) AS n FROM kkk JOIN nnn ON nd = d AND CASE mode WHEN 'exact_hostname' THEN nh = h WHEN 'exact_url' THEN nu = u WHEN 'path_prefix' THEN starts_with(np, p) ELSE true END
+GROUP BY 1, 2""")
+def targets_join(spark, sf_dir):
+    """Links by the targets of a table that they match, without a predicate for each."""
+    links_ = urls.with_normalized(feed.feed(spark, sf_dir).select("id", "target_url"), {"target_url": ("u", "h")})
+    targets = feed.read(spark, sf_dir, "part", "p_partkey").selectExpr(f"{_TARGET_URL} AS target", f"{_TARGET_MODE} AS mode")
+    found = verify.links_to(links_, targets, "u", "h")
+    return found.groupBy("target", "mode").agg(F.count("*").alias("n"))
+
+
+@registered(f"""WITH {_FETCHES}, {_VERDICT}, l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey FROM orders)
+SELECT place, url AS source_url, verification_status FROM l JOIN r ON r.id = l.o_orderkey WHERE l.o_orderkey % 5 <> 0""")
+def verify_list(spark, sf_dir):
+    """A list of urls, some of its lines blank, and its results in its order."""
+    folder = _temporary(spark)
+    lines = feed.read(spark, sf_dir, "orders").orderBy("o_orderkey")
+    lines.select(F.expr(f"CASE o_orderkey % 5 WHEN 0 THEN ' ' ELSE {_FETCH['url']} END").alias("value")).write.text(folder)
+    return verify.in_order(records.read_list(spark, folder), _results(spark, sf_dir)).select("place", "source_url", "verification_status")
+
+
+_CHECKED = "id % 4 = 1 AND normalized_target_domain = 'target6.co.uk'"
+
+
+@registered(_on_index(f"""SELECT id, CASE WHEN {_CHECKED} THEN 'REMOVED' ELSE verification_status END AS verification_status, CASE WHEN {_CHECKED} THEN 410 ELSE source_http_status END AS source_http_status,
+CASE WHEN {_CHECKED} THEN 'now' ELSE updated_at END AS updated_at FROM idx"""))
+def stored_verification(spark, sf_dir):
+    """Verified rows of a stored index: only the bucket that holds them is written anew."""
+    index = stored.StoredIndex(spark, _temporary(spark))
+    index.replace(feed.index(spark, sf_dir))
+    before = index.manifest()["base"]
+    results = index.read("target6.co.uk").where(_CHECKED).select(
+        "id", F.lit("REMOVED").alias("verification_status"), F.lit(410).alias("source_http_status"), F.lit("text/html").alias("content_type"),
+        F.lit(0).alias("live_backlink_present"), F.lit("[]").alias("redirect_chain"), F.lit("").alias("evidence_hash"), F.lit("c").alias("last_checked_at"),
+    )
+    index.apply_verification(results, "now")
+    if sum(u != before.get(k) for k, u in index.manifest()["base"].items()) > 1:
+        raise AssertionError("more than one bucket was written")
+    return index.read().select("id", "verification_status", "source_http_status", "updated_at")
+
+
 _URLS = "concat(CASE o_orderkey % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'https' ELSE 'ftp' END, '://', CASE o_custkey % 5 WHEN 0 THEN 'LOCALHOST' WHEN 1 THEN '10.1.2.3' WHEN 2 THEN '[::1]' WHEN 3 THEN '8.8.8.8' ELSE 'example.org' END, ':', CAST(o_orderkey % 9 AS STRING), '/')"
 
 
@@ -581,6 +710,41 @@ def captures(spark, sf_dir):
     return crawl.usable_captures(crawl.query_captures(rows, "site.org", limit=None)).select("url", "status")
 
 
+_ARCHIVED = f"""a AS (SELECT url, regexp_extract_all(html, '{_A}', 1) AS h, regexp_extract_all(html, '{_A}', 2) AS t FROM pages),
+l AS (SELECT url, unnest(h) AS href, trim(unnest(t)) AS anchor_text FROM a),
+r AS (SELECT url AS source_url, {_norm("(regexp_extract(url, '^[a-z]+://[^/?#]*') || href)")} AS target_url, anchor_text FROM l)"""
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> list[str]:
+    folder = warc.write_warc(feed.read(spark, sf_dir, "pages", "page_id", "url", "html"), _temporary(spark))
+    return warc.list_files(spark, folder)
+
+
+@registered(f"WITH {_ARCHIVED} SELECT source_url, target_url, anchor_text, count(*) AS n FROM r GROUP BY 1, 2, 3")
+def archive_links(spark, sf_dir):
+    """Pages written as archives, gone through for the places at which these can be cut, and read back range by range."""
+    ranges = warc.split(warc.members(spark, _archives(spark, sf_dir)), size=64 << 10)
+    found = records.archived_records(warc.scan_ranges(ranges), "warc").where("target_url is not null")
+    return found.groupBy("source_url", "target_url", "anchor_text").agg(F.count("*").alias("n"))
+
+
+_CAPTURED = "page_id % 5 < 2"
+
+
+@registered(f"""WITH p AS (SELECT url, html FROM pages WHERE {_CAPTURED}), {_ARCHIVED.replace("FROM pages", "FROM p")}
+SELECT source_url, target_url, anchor_text, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+def archived_captures(spark, sf_dir):
+    """An index of captures of the archived pages, those that are wanted, their records in few reads, and their links."""
+    archives = _archives(spark, sf_dir)
+    whole = warc.scan_ranges(warc.near(warc.members(spark, archives), most=64 << 10))  # each record with its place
+    pages = feed.read(spark, sf_dir, "pages", "page_id", "url").where(_CAPTURED)
+    files_ = spark.createDataFrame([(a, a.rpartition("/")[2]) for a in archives], "path string, filename string")
+    captures = whole.select(F.col("target_uri").alias("url"), "filename", F.col("record_offset").alias("offset"), F.col("record_length").alias("length"))
+    wanted = captures.join(pages.select("url"), "url", "left_semi").join(files_, "filename")
+    found = records.archived_records(warc.scan_ranges(warc.near(wanted)), "warc").where("target_url is not null")
+    return found.groupBy("source_url", "target_url", "anchor_text").agg(F.count("*").alias("n"))
+
+
 _EDGES = "SELECT concat('u', CAST(o_custkey % 300 AS STRING)) AS source, concat('u', CAST((o_orderkey * 7) % 400 AS STRING)) AS target FROM orders"
 
 

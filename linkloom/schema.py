@@ -54,5 +54,13 @@ CDX = _struct((
     ("urlkey", "string"), ("timestamp", "string"), ("url", "string"), ("mime", "string"), ("status", "string"),
     ("digest", "string"), ("length", "long"), ("offset", "long"), ("filename", "string"),
 ))
+#: A link of a record of a file, or a record without links. place and position: of the record in its file, null if the file is no
+#: good, and of the link in its record, null if it has none.
+RECORD = _struct((
+    ("place", "long"), ("position", "int"), ("error", "string"), ("refused", "string"), ("bytes", "long"), ("source_url", "string"),
+    ("source_title", "string"), ("collection", "string"), ("dataset_type", "string"), ("record_filename", "string"),
+    ("record_offset", "long"), ("record_length", "long"), ("source_http_status", "int"), ("content_type", "string"),
+    ("target_url", "string"), ("anchor_text", "string"), ("image_alt", "string"), ("rel", "string"),
+))
 #: Raised by additive changes of INDEX; a table written under a lower version gets the missing columns on reading.
 VERSION = 6

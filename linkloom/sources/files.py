@@ -25,8 +25,8 @@ def _text(c: Column) -> Column:
     return strip(F.coalesce(c.cast("string"), F.lit("")))
 
 
-def _feed(rows: DataFrame, collection: str, dataset_type: str, filled: bool = False) -> DataFrame:
-    """rows as a feed. A rel or collection column holds even where it is empty, unless ``filled``."""
+def feed_of(rows: DataFrame, collection: str, dataset_type: str, *keep: str, filled: bool = False) -> DataFrame:
+    """rows as a feed, with columns to keep. A rel or collection column holds even where it is empty, unless ``filled``."""
     by = {c.strip().lower(): F.col(f"`{c}`") for c in rows.columns}
     if missing := [c for c in REQUIRED if c not in by]:
         raise SourceError(f"missing columns: {', '.join(missing)}")
@@ -39,26 +39,29 @@ def _feed(rows: DataFrame, collection: str, dataset_type: str, filled: bool = Fa
     value["rel"] = other if rel is None else rel
     value["collection"] = F.lit(collection) if own is None else own
     names = [c for c in TEXT if c != "rel_original"]
-    return rows.select(*(value.get(c, F.lit("")).alias(c) for c in names), F.lit(dataset_type).alias("dataset_type"))
+    return rows.select(*keep, *(value.get(c, F.lit("")).alias(c) for c in names), F.lit(dataset_type).alias("dataset_type"))
+
+
+def scan_csv(spark: SparkSession, path: str, sep: str = ",", line_ends_in_cells: bool = True) -> DataFrame:
+    return spark.read.options(header=True, multiLine=line_ends_in_cells, escape='"', sep=sep, mode="PERMISSIVE").csv(path)
 
 
 def read_csv(
     spark: SparkSession, path: str, collection: str = "", dataset_type: str = "csv", sep: str = ",", line_ends_in_cells: bool = True
 ) -> DataFrame:
     """Quoted cells may hold line ends, so a file is one task; without them a large file is split."""
-    rows = spark.read.options(header=True, multiLine=line_ends_in_cells, escape='"', sep=sep, mode="PERMISSIVE").csv(path)
-    return _feed(rows, collection, dataset_type)
+    return feed_of(scan_csv(spark, path, sep, line_ends_in_cells), collection, dataset_type)
 
 
-_JSON = T.StructType([T.StructField(c, T.StringType()) for c in TEXT])
+JSON = T.StructType([T.StructField(c, T.StringType()) for c in TEXT])
 
 
-def _objects(items: DataFrame, collection: str, dataset_type: str) -> DataFrame:
-    """Feed of a column ``o`` of objects: per record, a key that is there holds even where it is empty."""
+def objects(items: DataFrame, collection: str, dataset_type: str, *keep: str) -> DataFrame:
+    """Feed of a column ``o`` of objects, with columns to keep: per record, a key that is there holds even where it is empty."""
     value = {c: _text(F.col(f"o.{c}")) for c in TEXT}
     rel = F.coalesce(F.col("o.rel"), F.col("o.rel_original"), F.lit(""))
     value |= {"rel": strip(rel), "collection": strip(F.coalesce(F.col("o.collection"), F.lit(collection)))}
-    rows = items.select(*(value[c].alias(c) for c in TEXT if c != "rel_original"), F.lit(dataset_type).alias("dataset_type"))
+    rows = items.select(*keep, *(value[c].alias(c) for c in TEXT if c != "rel_original"), F.lit(dataset_type).alias("dataset_type"))
     return rows
 
 
@@ -71,9 +74,9 @@ def read_jsonl(spark: SparkSession, path: str, collection: str = "", dataset_typ
 def parse_jsonl(lines: DataFrame, collection: str = "", dataset_type: str = "jsonl") -> DataFrame:
     """The same for a DataFrame of lines, also a streaming one."""
     lines = lines.where(F.col("value").rlike(r"^\s*\{"))
-    schema = T.StructType([*_JSON, T.StructField("_broken", T.StringType())])
+    schema = T.StructType([*JSON, T.StructField("_broken", T.StringType())])
     parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("o"))
-    return _objects(parsed.where("o is not null and o._broken is null"), collection, dataset_type)
+    return objects(parsed.where("o is not null and o._broken is null"), collection, dataset_type)
 
 
 def _first_character(spark: SparkSession, path: str) -> str:
@@ -105,7 +108,7 @@ def read_json_array(spark: SparkSession, path: str, collection: str = "", datase
 
 
 def read_parquet(spark: SparkSession, path: str, collection: str = "", dataset_type: str = "parquet") -> DataFrame:
-    return _feed(spark.read.parquet(path), collection, dataset_type, filled=True)
+    return feed_of(spark.read.parquet(path), collection, dataset_type, filled=True)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

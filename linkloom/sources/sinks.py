@@ -1,4 +1,4 @@
-"""Exports of a search's result, and the written index."""
+"""Exports of a search's result."""
 
 from __future__ import annotations
 
@@ -6,13 +6,11 @@ import json
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators import merge
 from linkloom.operators.search import Search, ordered_values
 from linkloom.schema import EXPORT_COLUMNS, INDEX, VERSION
 
@@ -115,131 +113,5 @@ def format_of(path: str) -> str:
     return {".json": "json", ".tsv": "tsv"}.get(os.path.splitext(path)[1].lower(), "csv")
 
 
-class StoredIndex:
-    """The index as files by bucket, a hash of the target domain, and manifests that say which files hold each bucket.
-
-    A change writes new files for the buckets that it touches, and then a manifest of the next number that names them
-    beside the old files of all other buckets; readers see one manifest or the next. Rows are ordered by target domain
-    within a bucket, so a search for one domain opens one bucket and there few row groups. ``vacuum`` deletes what only
-    older manifests name; nothing is deleted before, as a slow reader may still need it."""
-
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _manifests(self) -> list[int]:
-        found = self._fs.globStatus(self._path(f"{self.path}/manifest-*.json")) or []
-        return sorted(int(s.getPath().getName().removeprefix("manifest-").removesuffix(".json")) for s in found)
-
-    def version(self) -> int:
-        return max(self._manifests(), default=0)
-
-    def manifest(self, version: int | None = None) -> dict:
-        """Schema version, number of buckets, the highest id that was given, and the folder of each bucket with rows."""
-        if not (v := version or self.version()):
-            return {"schema": VERSION, "buckets": self.buckets, "top": -1, "folders": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest-{v}.json", wholetext=True).head()[0])
-
-    def _bucket(self, domain: Column, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(domain), F.lit(buckets)).cast("int")
-
-    def _rows(self, manifest: dict, wanted: set[int] | None = None) -> DataFrame | None:
-        folders = [f for b, f in manifest["folders"].items() if wanted is None or int(b) in wanted]
-        if not folders:
-            return None
-        return merge.upgraded(self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)), manifest["schema"])
-
-    def read(self, domain: str | None = None) -> DataFrame | None:
-        """All rows, or those of one target domain; None if nothing was ever written."""
-        if not (v := self.version()):
-            return None
-        manifest, wanted = self.manifest(v), None
-        if domain is not None:
-            wanted = {self.spark.range(1).select(self._bucket(F.lit(domain), manifest["buckets"])).head()[0]}
-        rows = self._rows(manifest, wanted)
-        if rows is None:
-            return self.spark.createDataFrame([], INDEX)
-        return rows if domain is None else rows.where(F.col("normalized_target_domain") == domain)
-
-    def search(self, search: Search) -> DataFrame:
-        """Rows that a search finds; of a search with a domain only that domain's bucket is opened."""
-        domain = search.target.domain if search.target and search.target.mode != "exact_hostname" and search.target.mode != "exact_url" else None
-        rows = self.read(domain)
-        return self.spark.createDataFrame([], INDEX) if rows is None else search.rows(rows)
-
-    def _write(self, rows: DataFrame, before: dict, touched: set[int] | None, top: int, fresh: Observation | None = None) -> int:
-        """New files for these buckets, or all, and the next manifest. fresh: counts the rows with new ids."""
-        v, data, n = self.version() + 1, f"data-{uuid.uuid4().hex}", before["buckets"]
-        rows = rows.select(*INDEX.names, self._bucket(F.col("normalized_target_domain"), n).alias("bucket"))
-        rows = rows.repartitionByRange("bucket", "normalized_target_domain", "normalized_source_url")
-        rows = rows.sortWithinPartitions("bucket", "normalized_target_domain", "normalized_source_url")
-        if fresh:  # behind the shuffle, as rows are also sampled before it
-            rows = rows.observe(fresh, F.coalesce(F.count_if(F.col("id") > before["top"]), F.lit(0)).alias("inserted"))
-        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{data}")
-        made = [s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.path}/{data}/bucket=*")) or []]
-        kept = {} if touched is None else {b: f for b, f in before["folders"].items() if int(b) not in touched}
-        folders = kept | {m.removeprefix("bucket="): f"{data}/{m}" for m in made}
-        text = json.dumps({"schema": VERSION, "buckets": n, "top": top, "folders": folders})
-        out = self._fs.create(self._path(f"{self.path}/manifest-{v}.json"), False)  # fails if another writer was first
-        out.write(bytearray(text.encode()))
-        out.close()
-        return v
-
-    def replace(self, rows: DataFrame) -> int:
-        top = rows.agg(F.max("id")).head()[0]
-        return self._write(rows, self.manifest() | {"buckets": self.buckets}, None, -1 if top is None else top)
-
-    def upsert(self, batch: DataFrame) -> dict[str, int]:
-        """Merges rows whose ids are their order of arrival; returns how many keys are new, how many rows not. Only the
-        buckets of the batch's domains are read and written, once."""
-        before = self.manifest()
-        batch = batch.persist()
-        try:
-            bucket = self._bucket(F.col("normalized_target_domain"), before["buckets"])
-            seen = batch.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows"), F.max("id").alias("top")).collect()  # one row a bucket
-            if not seen:
-                return {"inserted": 0, "duplicates": 0}
-            touched, start = {r["bucket"] for r in seen}, before["top"] + 1
-            rows = batch.withColumn("id", F.col("id") + F.lit(start))
-            old = self._rows(before, touched)
-            fresh = Observation()
-            merged = merge.fold(rows if old is None else old.unionByName(rows), F.col("id"))
-            self._write(merged, before, touched, start + max(r["top"] for r in seen), fresh)
-            inserted = fresh.get["inserted"]
-        finally:
-            batch.unpersist()
-        return {"inserted": inserted, "duplicates": sum(r["rows"] for r in seen) - inserted}
-
-    def delete_collection(self, collection: str) -> int:
-        before = self.manifest()
-        if (rows := self._rows(before)) is None:
-            return 0
-        bucket = self._bucket(F.col("normalized_target_domain"), before["buckets"])
-        gone = {r[0]: r[1] for r in rows.where(F.col("collection") == collection).groupBy(bucket).count().collect()}
-        if gone:
-            self._write(merge.delete_collection(self._rows(before, set(gone)), collection), before, set(gone), before["top"])
-        return sum(gone.values())
-
-    def compact(self) -> int:
-        rows = self.read()
-        return 0 if rows is None else self.replace(rows)
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Deletes manifests before the last ``keep`` and folders that none of these names; the number of folders."""
-        known = self._manifests()
-        used = {f for v in known[-keep:] for f in self.manifest(v)["folders"].values()}
-        folders = [s.getPath() for s in self._fs.globStatus(self._path(f"{self.path}/data-*/bucket=*")) or []]
-        gone = [f for f in folders if f"{f.getParent().getName()}/{f.getName()}" not in used]
-        for v in known[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/manifest-{v}.json"), False)
-        for f in gone:
-            self._fs.delete(f, True)
-        return len(gone)
-
-
 def describe() -> str:
     return json.dumps({"version": VERSION, "columns": INDEX.names})

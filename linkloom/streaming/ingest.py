@@ -1,44 +1,50 @@
 """Ingestion: jobs over files of any kind, and Structured Streaming over folders of JSON lines.
 
-A job goes through its files in groups; after each group its checkpoint says how many files and records are done, so
-a stopped job goes on there, and a group that is repeated changes nothing but times. A file that cannot be read becomes an
-error of the job, and the others of its group are read without it.
+A batch of files is one pass over their records (see ``sources.records``). Its links, what was refused, and how far each file was
+read are committed by one manifest of the index. So a job that stops, at whatever record, goes on behind the last record whose links
+the index has, and a batch that is repeated is left out: the index is the one of an uninterrupted run. A file that cannot be read
+becomes an error of the job, and the others of its batch are read without it.
 
-Of a stream, files become micro-batches of the index's upsert. Progress is Spark's own: the checkpoint folder says which files are done, so a stopped run goes on where it was and
-a batch that is repeated changes nothing but times. Stopping and pausing a job stop its query."""
+Of a stream, files become micro-batches of the index's upsert. Progress is Spark's own, the checkpoint folder says which files are
+done; the number of the last merged batch is committed with its rows, so a batch that Spark repeats is not merged twice. Stopping
+and pausing a job stop its query."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linkloom.operators.build import build_links, conform
-from linkloom.sources.files import expanded, parse_jsonl, read_links
-from linkloom.sources.sinks import StoredIndex
+from linkloom.operators.build import build_links
+from linkloom.schema import INDEX
+from linkloom.sources.files import expanded, parse_jsonl
+from linkloom.sources.records import parsed_lines, read_records
+from linkloom.sources.stored import PROGRESS, StoredIndex
 from linkloom.streaming.jobs import Jobs
 
 
-def arrival(rows: DataFrame) -> DataFrame:
-    """Rows with the order in which a batch has them, as their id."""
-    return rows.withColumn("id", F.monotonically_increasing_id())
+#: What a batch's rows keep of their records: which file's, where in it, where the link is in the record, what is wrong.
+_KEPT = ("_file", "place", "position", "error", "refused", "bytes")
 
 
-def upsert_batches(index: StoredIndex, as_of: str | Callable[[], str], collection: str = "", job: tuple[Jobs, int] | None = None):
-    """A foreachBatch function that merges each micro-batch of lines into the index."""
+def upsert_batches(index: StoredIndex, as_of: str | Callable[[], str], collection: str = "", job: tuple[Jobs, int] | None = None, stream: str = "stream"):
+    """A foreachBatch function that merges each micro-batch of lines into the index, once."""
+    number_of = job[1] if job else 0
 
     def merge(lines: DataFrame, number: int) -> None:
-        now = as_of if isinstance(as_of, str) else as_of()
-        feed = arrival(parse_jsonl(lines, collection))
-        counts = index.upsert(build_links(feed, now, arrival=F.col("id")))
+        done = index.progress(number_of).where(F.col("file") == stream).head()
+        if done is not None and done["upto"] > number:
+            return
+        found = parsed_lines(lines.withColumn("place", F.monotonically_increasing_id()), collection).withColumn("_file", F.lit(0))
+        stats, counts = _merge(index, found, as_of if isinstance(as_of, str) else as_of(), number_of, {0: stream}, {0: (0, number + 1, False)})
         if job:
             jobs, job_id = job
-            read = lines.count()
-            jobs.bump(job_id, records_read=read, malformed_records=read - feed.count(), **counts)
+            jobs.bump(job_id, **counts)
             jobs.checkpoint(job_id, "batch", {"batch": number})
             if jobs.wants_stop(job_id):
                 raise StopIngestion(f"job {job_id}")
@@ -58,7 +64,7 @@ def ingest(
     stream = spark.readStream.format("text")
     if max_files:
         stream = stream.option("maxFilesPerTrigger", max_files)
-    writer = stream.load(folder).writeStream.foreachBatch(upsert_batches(index, as_of, collection, job)).option("checkpointLocation", checkpoint)
+    writer = stream.load(folder).writeStream.foreachBatch(upsert_batches(index, as_of, collection, job, checkpoint)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime="10 seconds") if follow else writer.trigger(availableNow=True)).start()
 
 
@@ -78,54 +84,106 @@ def run_job(spark: SparkSession, jobs: Jobs, job_id: int, folder: str, index: St
     return state
 
 
-def _merge_files(spark: SparkSession, index: StoredIndex, paths: list[str], as_of: str, collection: str, most: int | None) -> dict[str, int]:
-    """Files as one batch of the index; counts of records, links and keys. ``most`` bounds the records of all."""
-    seen, feeds = [], []
-    for number, path in enumerate(paths):
-        seen.append(Observation())
+class BadFile(NamedTuple):
+    path: str
+    message: str
 
-        def records(rows: DataFrame, noted: Observation = seen[-1]) -> DataFrame:
-            return (rows if most is None else rows.limit(most)).observe(noted, F.count("*").alias("n"))
 
-        feed = read_links(spark, path, collection, records)
-        place = F.lit(number << 48) + F.monotonically_increasing_id()  # files in order, and their rows
-        feeds.append(conform(feed.withColumn("_at", place), "_at"))
-    feed = reduce(lambda a, b: a.unionByName(b), feeds)
-    rows = build_links(feed, as_of, arrival=F.col("_at"))
-    links = Observation()
-    counts = index.upsert(rows.observe(links, F.count("*").alias("n")))
-    return {"records_read": sum(o.get["n"] for o in seen), "links": links.get["n"], **counts}
+def _merge(
+    index: StoredIndex, records: DataFrame, as_of: str, job_id: int, paths: dict[int, str], ends: dict[int, tuple[int, int | None, bool]]
+) -> tuple[list[BadFile], dict[str, int]]:
+    """Records of files, by ``_file``, as one batch of the index. ends: by file, where it began, where it ends if that is known before, and
+    whether it is then read as a whole (None: if fewer records than asked for were there). Returns files that are none, and counts."""
+    rows = build_links(records, as_of, keep=_KEPT, reason="_reason").persist()
+    try:
+        first = F.coalesce("position", F.lit(0)) == 0  # each record has one such row
+        bad, malformed = F.col("place").isNull(), F.col("place").isNotNull() & F.col("error").isNotNull()
+        links = F.col("error").isNull() & F.col("refused").isNull() & F.col("_reason").isNull()
+        seen = rows.groupBy("_file").agg(
+            F.max(F.when(bad, F.col("error"))).alias("bad"), F.count_if(first & ~bad).alias("records"), F.count_if(first & malformed).alias("malformed"),
+            F.count_if(links).alias("links"), F.max("place").alias("last"), F.max("position").alias("most"), F.sum(F.when(first, F.col("bytes"))).alias("bytes"),
+            F.count_if(first & F.col("bytes").isNotNull()).alias("pages"),
+        ).collect()  # one row a file of the batch
+        places, positions = (1 + max((r[c] or 0 for r in seen), default=0) for c in ("last", "most"))
+        number = (F.col("_file") * F.lit(places) + F.col("place")) * F.lit(positions) + F.coalesce("position", F.lit(0))
+        batch = rows.where(links).withColumn("id", number.cast("long")).select(*INDEX.names)
+        by = {r["_file"]: r for r in seen}
+        done = []
+        for k, path in paths.items():
+            start, end, whole = ends[k]
+            r = by.get(k)
+            upto = end if end is not None else 1 + r["last"] if r and r["last"] is not None else start
+            done.append((job_id, path, r["records"] if r else 0, upto, bool(whole) or bool(r and r["bad"])))
+        name = F.coalesce(*(F.when(F.col("_file") == k, F.lit(p)) for k, p in paths.items()))
+        record = F.coalesce(F.col("error"), F.col("refused"), F.col("_reason"))
+        context = F.when(bad, "import").when(malformed, "record").otherwise("link")
+        detail = F.concat_ws(" -> ", "source_url", "target_url")
+        wrong = rows.where(record.isNotNull() & (F.col("error").isNotNull() | F.col("refused").isNotNull() | (F.col("target_url") != "")))
+        rejected = wrong.select(F.lit(job_id).cast("long").alias("job"), name.alias("file"), F.col("place").alias("record"), context.alias("context"), record.alias("message"), detail.alias("detail"))
+        progress = rows.sparkSession.createDataFrame(done, PROGRESS).coalesce(1)
+        some = any(r["malformed"] or r["bad"] for r in seen) or not wrong.isEmpty()
+        counts = index.upsert(batch, progress, rejected if some else None)
+    finally:
+        rows.unpersist()
+    total = lambda c: sum(r[c] or 0 for r in seen)
+    counts |= {"records_read": total("records"), "malformed_records": total("malformed"), "links": total("links"), "pages": total("pages"), "bytes_downloaded": total("bytes")}
+    return [BadFile(paths[r["_file"]], r["bad"]) for r in seen if r["bad"]], counts
+
+
+def _merge_files(
+    spark: SparkSession, index: StoredIndex, paths: list[str], as_of: str, collection: str, job_id: int, begun: dict[str, int], most: int | None
+) -> tuple[list[BadFile], dict[str, int]]:
+    """Files as one batch, each from its place on. ``most`` bounds the records, of one file then."""
+    found, ends = [], {}
+    for k, path in enumerate(paths):
+        found.append(read_records(spark, path, collection, begun.get(path, 0), most).withColumn("_file", F.lit(k)))
+        ends[k] = (begun.get(path, 0), None, most is None)
+    return _merge(index, reduce(DataFrame.unionByName, found), as_of, job_id, dict(enumerate(paths)), ends)
 
 
 def run_files(
     spark: SparkSession, jobs: Jobs, job_id: int, paths: list[str], index: StoredIndex, as_of: str, collection: str = "user-import",
     max_files: int | None = None, max_records: int | None = None, at_once: int = 20,
 ) -> str:
-    """Ingests files and folders of link datasets and archives under a job's row, from its checkpoint on; returns the
-    job's state then. With ``max_records`` files are read one by one, and no more records than that in all."""
+    """Ingests files and folders of link datasets and archives under a job's row, from where the index says that the job is; returns
+    its state then. With ``max_records`` files are read one by one, in order, and no more records than that in all; a later run
+    without it, or with a larger one, goes on behind the last of them."""
     files = expanded(spark, paths)[:max_files]
-    done = jobs.load_checkpoint(job_id, "files") or {"files": 0, "records": 0}
     jobs.update(job_id, status="running")
-    while done["files"] < len(files) and (max_records is None or done["records"] < max_records):
+    known = {r["file"]: r for r in index.progress(job_id).collect()}  # no more than the files that the driver has listed
+    records = sum(r["records"] for r in known.values())
+    begun = {f: r["upto"] for f, r in known.items()}
+    done = {f for f, r in known.items() if r["whole"]}
+    todo = [f for f in files if f not in done]
+    while todo and (max_records is None or records < max_records):
         if state := jobs.wants_stop(job_id):
             jobs.update(job_id, status=state)
             return state
-        group = files[done["files"] :][: 1 if max_records else at_once]
-        left = None if max_records is None else max_records - done["records"]
+        group, todo = (todo[:1], todo[1:]) if max_records else (todo[:at_once], todo[at_once:])
+        left = None if max_records is None else max_records - records
+        read = lambda some, left=left: _merge_files(spark, index, some, as_of, collection, job_id, begun, left)
         try:
-            parts = [_merge_files(spark, index, group, as_of, collection, left)]
+            parts = [read(group)]
         except Exception:  # one of them: each alone
             parts = []
             for path in group:
                 try:
-                    parts.append(_merge_files(spark, index, [path], as_of, collection, left))
+                    parts.append(read([path]))
                 except Exception as e:
-                    jobs.record_error("import", str(e)[:500], job_id, path)
-                    jobs.bump(job_id, errors=1)
-        total = {k: sum(p[k] for p in parts) for k in ("records_read", "links", "inserted", "duplicates")}
-        jobs.bump(job_id, files=len(group), **total)
-        done = {"files": done["files"] + len(group), "records": done["records"] + total["records_read"]}
-        jobs.checkpoint(job_id, "files", done)
+                    parts.append(([BadFile(path, str(e)[:500])], {}))
+                    index.commit_progress(job_id, path)
+        bad = [b for found, _ in parts for b in found]
+        for path, message in bad:
+            jobs.record_error("import", message, job_id, path)
+        total = {k: sum(c.get(k, 0) for _, c in parts) for k in set().union(*(c for _, c in parts))}
+        records += total.get("records_read", 0)
+        ended = group if left is None or total.get("records_read", 0) < left else []
+        if left is not None and ended and not bad:
+            index.commit_progress(job_id, group[0])  # fewer than asked for: that was all
+        done.update(ended, (b.path for b in bad))
+        jobs.bump(job_id, files=len(group), errors=len(bad), **total)
+        jobs.checkpoint(job_id, "files", {"files": len(done), "records": records})
+        index.maintain()
     jobs.update(job_id, status="completed")
     return "completed"
 

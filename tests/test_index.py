@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from linkloom.operators import build, merge, stats, verify
 from linkloom.operators.search import Search, Target, total_pages
 from linkloom.plans import catalogue
 from linkloom.schema import INDEX
-from linkloom.sources import crawl, files, sinks, warc
+from linkloom.sources import crawl, files, sinks, stored, warc
 from linkloom.streaming import ingest, jobs
 
 NOW, LATER = "2024-01-01T00:00:00+00:00", "2024-02-01T00:00:00+00:00"
@@ -189,31 +190,102 @@ def test_frontier_over_all_orders(spark):
     assert len(got) == len(level) > 300 and {r["url"]: r["level"] for r in got} == level
 
 
-def test_stored_index_by_buckets(spark, tmp_path):
-    index = sinks.StoredIndex(spark, f"{tmp_path}/index", buckets=8)
+def same(frame):
+    return sorted(str(r) for r in frame.drop("id").collect())
+
+
+def folder_bytes(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_stored_index_in_layers(spark, tmp_path):
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=8)
     assert index.read() is None and index.upsert(rows(spark, [])) == {"inserted": 0, "duplicates": 0}
     assert index.upsert(rows(spark, DATA)) == {"inserted": 4, "duplicates": 1}
-    before = index.manifest()["folders"]
+    index.compact()
+    before = index.manifest()
     plain = merge.upsert(None, rows(spark, DATA))
+    assert same(index.read()) == same(plain) and not before["layers"] and len(before["base"]) > 1
     later = rows(spark, [("http://b.org/", "http://t.com/docs/a_b", "changed", "nofollow"), ("http://n.com/", "http://t.com/", "new", "")], LATER)
     assert index.upsert(later) == {"inserted": 1, "duplicates": 1}
-    after = index.manifest()["folders"]
-    assert len([b for b in before if before[b] != after[b]]) == 1 < len(before)  # one domain, one bucket
+    after = index.manifest()
+    assert after["base"] == before["base"] and len(after["layers"]) == 1 and after["layers"][0]["rows"] == 2
     whole = merge.upsert(plain, later)
-    key = lambda r: str(tuple(r.drop("id").collect()) and sorted(map(str, r.drop("id").collect())))
-    assert key(index.read()) == key(whole) and merge.integrity(index.read()).head() == (0, 0, 0)
+    assert same(index.read()) == same(whole) and merge.integrity(index.read()).head() == (0, 0, 0)
     found = index.search(Search(target="t.com"))
-    assert key(found) == key(Search(target="t.com").rows(whole))
-    assert len(found.inputFiles()) == 1
+    assert same(found) == same(Search(target="t.com").rows(whole))
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(normalized_target_domain), EqualTo(normalized_target_domain,t.com)]" in plan
+    assert "EqualTo(normalized_target_domain,t.com)" in plan and "EqualTo(bucket," in plan
     assert index.search(Search(target="www.t.com", mode="exact_hostname")).count() == 1
-    assert index.vacuum(keep=1) == 1 and key(index.read()) == key(whole)
+    assert index.search(Search(target="https://www.t.com/x", mode="exact_url")).count() == 1
+    index.compact()
+    compacted = index.manifest()
+    assert len([u for u in compacted["base"] if compacted["base"][u] != before["base"].get(u)]) == 1 < len(before["base"])  # one domain, one bucket
+    found = index.search(Search(target="t.com"))
+    assert same(found) == same(Search(target="t.com").rows(whole)) and len(found.inputFiles()) == 1
+    assert index.vacuum(keep=1) == 3 and same(index.read()) == same(whole)  # two layers and the bucket's old files
     (tmp_path / f"index/manifest-{index.version() + 1}.json").write_text(json.dumps(index.manifest() | {"schema": 99}))
     with pytest.raises(ValueError, match="schema version"):
         index.read()
 
 
+def links_of(numbers, to=7):
+    return [(f"http://s{k % 50}.com/{k}", f"http://t{k % to}.com/{k % 11}", f"a{k}", ["", "nofollow"][k % 2]) for k in numbers]
+
+
+@pytest.mark.parametrize("maintained", [False, True])
+def test_layers_read_like_one_fold(spark, tmp_path, monkeypatch, maintained):
+    rng = random.Random(3)
+    monkeypatch.setattr(stored.StoredIndex, "PART_BYTES", 6000)
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=3)
+    data, done = [], set()
+    for batch in range(7):
+        part = links_of(rng.choices(range(400), k=60))
+        as_of = f"2024-0{batch + 1}-01T00:00:00+00:00"
+        data.append(rows(spark, part, as_of, status="REMOVED" if batch % 2 else "ARCHIVED_ONLY").withColumn("source_http_status", F.when(F.col("id") % 3 == batch % 3, 200 + batch)))
+        written = folder_bytes(tmp_path) if batch else 0
+        counts = index.upsert(data[-1])
+        alone = data[-1].select(*INDEX.names).repartition(1)
+        alone.write.parquet(f"{tmp_path}/alone-{batch}")
+        assert folder_bytes(tmp_path / "index") - written <= 2 * folder_bytes(tmp_path / f"alone-{batch}")
+        keys = {(s, t, rel) for s, t, _, rel in part}
+        assert counts == {"inserted": len(keys - done), "duplicates": 60 - len(keys - done)}
+        done |= keys
+        if maintained:
+            did = index.maintain()
+            assert did == "kept" or len(index.manifest()["layers"]) < 4
+        for folder in tmp_path.glob("alone-*"):
+            for f in folder.rglob("*.parquet"):
+                f.write_bytes(b"")
+    whole = data[0]
+    top = 0
+    for k, d in enumerate(data):
+        whole = d.withColumn("id", F.col("id") + top) if k == 0 else whole.unionByName(d.withColumn("id", F.col("id") + top))
+        top += 1000
+    assert same(index.read()) == same(merge.fold(whole, F.col("id")))
+    assert index.read().select("id").distinct().count() == len(done)
+    domain = index.search(Search(target="t3.com"))
+    assert same(domain) == same(merge.fold(whole, F.col("id")).where("normalized_target_domain = 't3.com'"))
+    if maintained:
+        index.compact()
+        assert max(index.manifest()["parts"].values()) > 1 and len(index.manifest()["base"]) > 3 and not index.manifest()["layers"]
+        assert same(index.read()) == same(merge.fold(whole, F.col("id")))
+    assert index.delete_collection("nothing") == 0
+
+
+def test_sizes_that_ask_for_a_fold():
+    assert stored.run_of([10, 10, 10]) == 0 and stored.run_of([10, 10, 10, 10]) == 4 and stored.run_of([1000, 10, 10, 10, 10]) == 4
+    assert stored.run_of([1000, 20, 1]) == 0 and stored.run_of([]) == 0
+    sizes, written = [], 0
+    for _ in range(500):
+        sizes.append(1)
+        written += 1
+        while n := stored.run_of(sizes):
+            sizes[-n:] = [sum(sizes[-n:])]
+            written += sizes[-1]
+    assert len(sizes) < 20 and written < 500 * 10
+
+
 def test_old_schemas_gain_columns(spark):
     old = merge.upsert(None, rows(spark, DATA)).drop("evidence_hash", "redirect_chain", "verification_status", "record_offset")
     new = merge.upgraded(old, 2)
@@ -236,7 +308,7 @@ def test_jobs_over_files_of_any_kind(spark, tmp_path):
     write_inputs(tmp_path / "in")
     spark.createDataFrame([("http://p.com/", "http://t.com/p")], "source_url string, target_url string").write.parquet(f"{tmp_path}/g.parquet")
     paths = [f"{tmp_path}/in", f"{tmp_path}/g.parquet"]
-    index, log = sinks.StoredIndex(spark, f"{tmp_path}/index", buckets=4), jobs.Jobs(f"{tmp_path}/jobs")
+    index, log = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=4), jobs.Jobs(f"{tmp_path}/jobs")
     number = log.create("files", {})
     run = lambda job=number, **o: ingest.run_files(spark, log, job, paths, index, NOW, **o)
     assert run(max_files=2, at_once=1) == "completed"
@@ -259,6 +331,108 @@ def test_jobs_over_files_of_any_kind(spark, tmp_path):
     assert feed.count() == 2
 
 
+def stops(index, log, number, files, bounds, spark):
+    for most in bounds:
+        assert ingest.run_files(spark, log, number, files, index, NOW, max_records=most, at_once=2) == "completed"
+
+
+def test_a_job_goes_on_behind_any_record(spark, tmp_path):
+    page = lambda k: f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<a href=http://t.com/{k % 3}>p{k}</a><a href=/own/{k}>q</a><a href=http://h:99999/>r</a>".encode()
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("source_url,target_url,anchor_text\n" + "".join(f"http://c.com/{k % 4},http://t.com/c,a{k}\n" for k in range(9)))
+    (folder / "b.jsonl").write_text("\n".join(json.dumps({"source_url": f"http://j.com/{k % 3}", "target_url": "http://t.com/j", "anchor_text": f"b{k}"}) if k != 4 else "{broken" for k in range(8)))
+    (folder / "c.json").write_text(json.dumps([{"source_url": f"http://j.com/{k % 5}", "target_url": "http://t.com/j", "anchor_text": f"c{k}"} for k in range(6)] + [7]))
+    (folder / "d.warc.gz").write_bytes(b"".join(gzip.compress(record("response", f"http://w.com/{k % 4}", page(k))) for k in range(7)))
+    (folder / "e.warc").write_bytes(record("response", "http://e.com/1", page(1)) + record("response", "http://e.com/2", page(2))[:-30])
+    (folder / "f.csv").write_text("source_url,target_url\n")
+    spark.createDataFrame([(f"http://p.com/{k}", "http://t.com/p") for k in range(5)], "source_url string, target_url string").repartition(2).write.parquet(f"{tmp_path}/g.parquet")
+    files_ = [str(folder), f"{tmp_path}/g.parquet"]
+    log, found = jobs.Jobs(f"{tmp_path}/jobs"), []
+    for k, bounds in enumerate(([None], [4, 13, 25, None], [1, 26, 33, 10_000])):
+        index = stored.StoredIndex(spark, f"{tmp_path}/index{k}", buckets=2)
+        number = log.create("files", {})
+        stops(index, log, number, files_, bounds, spark)
+        found.append((same(index.read()), sorted((r["file"].rpartition("/")[2], r["context"], r["message"], r["detail"]) for r in index.rejected().collect())))
+        assert log.get(number)["stats"]["records_read"] == 9 + 8 + 7 + 7 + 2 + 5 and log.get(number)["stats"]["malformed_records"] == 3, bounds
+        assert log.get(number)["stats"]["errors"] == 0
+        assert merge.integrity(index.read()).head() == (0, 0, 0)
+        before = index.version()
+        stops(index, log, number, files_, [None], spark)
+        assert index.version() == before  # nothing is left to do
+    assert all(f == found[0] for f in found[1:])
+    assert len([r for r in found[0][1] if r[1] == "record"]) == 3 and [r[0] for r in found[0][1] if "of" in r[2] and "bytes" in r[2]] == ["e.warc"]
+    assert len([r for r in found[0][1] if r[1] == "link" and "99999" in r[2]]) == 8
+
+
+def test_files_without_rows_and_bad_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("source_url,target_url\n")
+    (tmp_path / "b.csv").write_text("source_url,target_url\nhttp://a.com/,\nhttp://b.com/,http://h:99999/\n")
+    (tmp_path / "c.jsonl").write_text("")
+    (tmp_path / "d.json").write_text("{}")
+    (tmp_path / "e.json").write_text(" []")
+    (tmp_path / "f.csv").write_text("foo\n1\n")
+    (tmp_path / "g.warc.gz").write_bytes(gzip.compress(record("response", "http://w.com/", b"x"))[:-9])
+    index, log = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=2), jobs.Jobs(f"{tmp_path}/jobs")
+    number = log.create("files", {})
+    assert ingest.run_files(spark, log, number, [f"{tmp_path}/{x}" for x in ("a.csv", "b.csv", "c.jsonl", "d.json", "e.json", "f.csv", "g.warc.gz")], index, NOW, at_once=3) == "completed"
+    stats_ = log.get(number)["stats"]
+    assert (stats_["files"], stats_["errors"], stats_["inserted"]) == (7, 2, 0) and stats_["malformed_records"] == 2 and stats_["records_read"] == 3
+    assert sorted(e["detail"].rpartition("/")[2] for e in log.errors()) == ["d.json", "f.csv"]
+    got = {(r["file"].rpartition("/")[2], r["context"], r["message"]) for r in index.rejected().collect()}
+    assert {("b.csv", "record", "no source_url or no target_url"), ("b.csv", "link", "an impossible port"), ("d.json", "import", "no JSON array")} <= got
+    assert any(f == "g.warc.gz" and c == "record" for f, c, _ in got) and index.read().count() == 0
+
+
+def test_a_repeated_micro_batch_is_left_out(spark, tmp_path):
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=2)
+    merged = ingest.upsert_batches(index, NOW, "c", stream="s")
+    lines = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
+    first = lines('{"source_url": "http://a.com/", "target_url": "http://t.com/"}', "{broken")
+    merged(first, 0)
+    version = index.version()
+    merged(first, 0)
+    assert index.version() == version and index.read().count() == 1 and index.rejected().count() == 1
+    merged(lines('{"source_url": "http://b.com/", "target_url": "http://t.com/"}'), 1)
+    assert index.read().count() == 2 and index.progress(0).head()["upto"] == 2
+
+
+def test_one_archive_is_many_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    page = lambda k: f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<title>{k}</title>{rng.random()}<a href=/x{k}>go</a>".encode() + gzip.compress(b"WARC/1.0\r\n") * (k % 3)
+    parts = [record("warcinfo", "", b"i"), *(record("response", f"http://a.com/{k}", page(k)) for k in range(300))]
+    (tmp_path / "m.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts) + b"\0" * 100)
+    (tmp_path / "n.warc").write_bytes(b"".join(parts))
+    (tmp_path / "o.warc.gz").write_bytes(gzip.compress(b"".join(parts)))  # one member
+    (tmp_path / "p.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts)[:-20])
+    names = {f"{tmp_path}/{n}" for n in ("m.warc.gz", "n.warc", "o.warc.gz", "p.warc.gz")}
+    found = warc.members(spark, sorted(names)).persist()
+    counts = {r["path"].rpartition("/")[2]: r["count"] for r in found.groupBy("path").count().collect()}
+    assert counts == {"m.warc.gz": 301, "n.warc": 301, "o.warc.gz": 1, "p.warc.gz": 301}
+    ranges = warc.split(found, 6000)
+    assert ranges.where("path like '%m.warc.gz'").count() > 5 < ranges.where("path like '%n.warc'").count()
+    got = warc.scan_ranges(ranges, tasks=7)
+    key = lambda r: (r["filename"], r["position"], r["record_type"], r["target_uri"], r["error"], None if r["payload"] is None else bytes(r["payload"]))
+    assert sorted(map(str, map(key, got.collect()))) == sorted(map(str, map(key, warc.scan(spark, sorted(names)).collect())))
+    seen = {r[0] for r in got.where("filename = 'm.warc.gz'").select(F.spark_partition_id()).distinct().collect()}
+    assert len(seen) > 1
+    captures = found.where("path like '%m.warc.gz'").orderBy("offset").limit(40).unionByName(found.where("path like '%m.warc.gz'").orderBy(F.desc("offset")).limit(3))
+    near = warc.near(captures.unionByName(captures), gap=100).collect()
+    assert sorted(len(r["parts"]) for r in near) == [3, 40]
+    some = warc.read_ranges(spark, captures)
+    assert sorted(int(r["target_uri"].rpartition("/")[2]) for r in some.collect()) == [*range(39), 297, 298, 299]
+    assert {(r["record_offset"], r["record_length"]) for r in some.collect()} <= {(r["offset"], r["length"]) for r in captures.collect()}
+    found.unpersist()
+
+
+def test_written_archives_are_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([(f"http://a.com/{k}", f"<p>é{k}</p><a href=/b>\r\n\r\nWARC/1.0\r\n</a>") for k in range(50)] + [("http://b.com/", None)], "url string, html string")
+    warc.write_warc(pages.repartition(3), f"{tmp_path}/out")
+    got = warc.read_warc(spark, f"{tmp_path}/out").collect()
+    assert {(r["target_uri"], bytes(r["payload"]).decode()) for r in got} == {(r["url"], r["html"] or "") for r in pages.collect()}
+    assert not (tmp_path / "out/_pending").exists() and len(list((tmp_path / "out").glob("*.warc.gz"))) == 3
+
+
 def test_robots_and_logs(tmp_path):
     text = "User-agent: *\nDisallow: /private\n"
     assert robots.can_fetch(text, "x", "http://a.com/") and not robots.can_fetch(text, "x", "http://a.com/private/1") and robots.can_fetch(None, "x", "http://a.com/private")
@@ -281,7 +455,7 @@ def test_verification_of_several_targets(spark):
 def test_streaming_ingestion_and_jobs(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.jsonl").write_text('{"source_url": "http://a.com/", "target_url": "http://t.com/"}\nbroken\n')
-    index, log = sinks.StoredIndex(spark, f"{tmp_path}/index"), jobs.Jobs(f"{tmp_path}/jobs")
+    index, log = stored.StoredIndex(spark, f"{tmp_path}/index"), jobs.Jobs(f"{tmp_path}/jobs")
     number = log.create("file", {"path": "in"})
     run = lambda: ingest.run_job(spark, log, number, f"{tmp_path}/in", index, f"{tmp_path}/cp", NOW)
     assert run() == "completed" and index.read().count() == 1
