@@ -4,14 +4,15 @@ Each different text has ``VALUES`` minhash values. A tree starts with all texts
 its own path, one of the values, or now and then two, so that ``1 / threshold`` are chosen on average; a text goes to the child
 that its own value there names. So a pair at the threshold stays together on one path on average, and dissimilar texts
 soon part. The first ``START`` levels need nothing but a text's own values, and so no shuffle. Nodes that are small then are compared
-exhaustively, on full sets of shingles. A larger node is cut into blocks of ``BLOCK_WEIGHT`` and each is compared; if its texts
-are still in several components, it branches again, level by level, and what is large at level ``DEEPEST`` is compared
-block by block, each with each. Trees are independent; there are as many as it takes to find the ``TARGET`` share of pairs
+exhaustively, on full sets of shingles, in blocks of ``BLOCK_WEIGHT``, each with each. Of a node of more than ``NODE_BLOCKS`` blocks
+each block is compared alone; if its texts are still in several components, it branches again, ``STEP`` levels at once, and what is
+large at level ``DEEPEST`` is compared exhaustively too. Trees are independent; there are as many as it takes to find the ``TARGET`` share of pairs
 exactly at the threshold, at the deepest level that was reached (``needed``).
 
 Only components are wanted, so texts that are in one already are not compared again: within a task by union and find,
 and between trees by components of all links so far: a node whose texts are all in one component is left out, as is one with
-the same texts as another. A task hands on a spanning forest of the links that it confirmed. Equal texts are one node.
+the same texts as another. Of the links that it confirmed a task hands on a star for each new component, between the roots of
+those that it joins. Equal texts are one node.
 
 Defined cases: null is the empty text; a text without words has no shingles, is linked with nothing and is its own
 component; one of one to four words has one shingle, all its words; copies of a text with words are linked; a component's id
@@ -35,11 +36,13 @@ from linkloom.llm._common import (
 from linkloom.llm.near_duplicates import _shared, components, text_key
 
 WORDS, THRESHOLD = 5, (17, 20)
-VALUES, START, DEEPEST, TARGET = 128, 4, 10, 0.9999
+VALUES, START, STEP, DEEPEST, TARGET = 128, 4, 3, 10, 0.9999
 #: Trees whose links are looked for before components are first known.
 FIRST = 4
 #: Shingles in a block, each text counting TEXT_WEIGHT more.
 BLOCK_WEIGHT, TEXT_WEIGHT = 400_000, 400
+#: Blocks of a node that is small.
+NODE_BLOCKS = 8
 #: A node chooses a second value with this chance of 2^20.
 SECOND = round((THRESHOLD[1] / THRESHOLD[0] - 1) * (1 << 20))
 
@@ -153,7 +156,8 @@ _EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _links(i: int, j: int, members: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-    """A spanning forest of the links of one block's texts, or between two blocks. members: (key, component, block, text)."""
+    """What the links of one block's texts, or between two blocks, join: (root, least root) of components. members: (key, root of its
+    component, block, text)."""
     num, den = THRESHOLD
     members = list({m[0]: m for m in members}.values())  # a text that came more than once
     sets = [shingles(m[3]) for m in members]
@@ -161,6 +165,7 @@ def _links(i: int, j: int, members: list[tuple]) -> Iterator[tuple[bytes, bytes]
     block = np.array([m[2] for m in members])
     first: dict[bytes, int] = {}
     top = np.array([first.setdefault(m[1], k) for k, m in enumerate(members)])  # of each text's component
+    before = top.copy()
     left, right = (b[np.argsort(size[b], kind="stable")] for b in (np.flatnonzero(block == i), np.flatnonzero(block == j)))
     for at in range(0, len(left), 64):
         a = left[at : at + 64]
@@ -177,10 +182,13 @@ def _links(i: int, j: int, members: list[tuple]) -> Iterator[tuple[bytes, bytes]
             both, either = _shared(sets, a_, b_)
             linked = new[some_a][:, some_b] & (den * both >= num * either)
             for x, y in zip(*np.nonzero(linked), strict=True):
-                p, q = int(a_[x]), int(b_[y])
-                if top[p] != top[q]:
-                    yield members[p][0], members[q][0]
-                    top[top == top[q]] = top[p]
+                p, q = top[a_[x]], top[b_[y]]
+                if p != q:
+                    top[top == q] = p
+    for p in np.unique(top):
+        joined = [members[k][1] for k in np.unique(before[top == p])]
+        least = min(joined)
+        yield from ((root, least) for root in joined if root != least)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,38 +215,43 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(whole: DataFrame, members: DataFrame, across: bool = False) -> DataFrame:
-    """Links (a, b) within the blocks of these members' nodes, or between the blocks of a node. Written."""
+    """Links (a, b) within these members' nodes, of large ones within blocks alone; or between the blocks of large ones. Written."""
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_WEIGHT), F.lit(1)).cast("int")
     members = members.withColumns({"blocks": blocks}).withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
+    small, all_of = F.col("blocks") <= NODE_BLOCKS, F.sequence(F.lit(0), F.col("blocks") - 1)
     if across:
-        members = members.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+        members = members.where(~small).withColumn("other", F.explode(all_of)).where("other <> block")
     else:
-        members = members.withColumn("other", F.col("block"))
+        members = members.withColumn("other", F.explode(F.when(small, all_of).otherwise(F.array("block"))))
     picked = members.select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "root", "block")
     dealt = whole.join(hashed(picked), "key").select(*MEMBER).repartition(*GROUP).sortWithinPartitions(*GROUP)
     return stored(map_arrow(dealt, _compared, "a binary, b binary"), "links")
 
 
 def _joined(found: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, root) of the components of new links and of those before. Written."""
-    edges = found if roots is None else found.unionByName(roots.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    return stored(components(edges).withColumnRenamed("node", "key"), "roots")
+    """(key, root) of texts in components: those before, joined by new links between their roots. Written."""
+    new = stored(components(found).withColumnRenamed("node", "key"), "joined")
+    if roots is None:
+        return new
+    moved = roots.join(new.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+    return stored(moved.unionByName(new.join(roots.select("key"), "key", "left_anti").select("key", "root")), "roots")
 
 
 def _deeper(texts: DataFrame, whole: DataFrame, members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Components with the links of large nodes whose texts were still apart, and how deep these went."""
-    level, large = START, members.where(F.col("total") > BLOCK_WEIGHT)
+    level, large = START, members.where(F.col("total") > NODE_BLOCKS * BLOCK_WEIGHT)
     while True:
         apart = stored(_apart(large.drop("root"), roots), "apart")
         if apart.isEmpty():
             return roots, level
         if level == DEEPEST:
             return _joined(_found(whole, apart, across=True), roots), level
-        signed = apart.select("tree", "node", "key", "weight").join(hashed(texts.select("key", "sig")), "key")
-        children = _shared_nodes(branched(signed).drop("sig"))
-        level += 1
+        children = apart.select("tree", "node", "key", "weight").join(hashed(texts.select("key", "sig")), "key")
+        for _ in range(min(STEP, DEEPEST - level)):
+            children, level = branched(children), level + 1
+        children = _shared_nodes(children.drop("sig"))
         roots = _joined(_found(whole, _apart(children, roots)), roots)
-        large = children.where(F.col("total") > BLOCK_WEIGHT)
+        large = children.where(F.col("total") > NODE_BLOCKS * BLOCK_WEIGHT)
 
 
 def linked(docs: DataFrame, target: float = TARGET) -> DataFrame:

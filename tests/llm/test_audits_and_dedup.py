@@ -153,7 +153,7 @@ def test_near_dedup(spark):
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("deepest", [4, 6])
+@pytest.mark.parametrize("deepest", [4, 6, 8])
 def test_large_nodes_are_branched_and_compared_by_blocks(spark, monkeypatch, deepest):
     """Blocks of very few texts, so that nodes are large, and a limit of depth at which blocks meet each other."""
     monkeypatch.setattr(near_dedup, "BLOCK_WEIGHT", 1200)
@@ -183,7 +183,7 @@ def test_links_within_and_between_blocks():
         root[max(top(a), top(b))] = min(top(a), top(b))
     wanted = {i: c for i, _, c, _ in components_of(rows)}
     assert {int.from_bytes(m[0]): int.from_bytes(top(m[0])) for m in texts} == wanted
-    assert sum(len(list(near_dedup._links(i, i, [m for m in texts if m[2] == i]))) for i in (0, 1)) < len(rows)  # a forest
+    assert sum(len(list(near_dedup._links(i, i, [m for m in texts if m[2] == i]))) for i in (0, 1)) < len(rows)  # stars
 
 
 def test_trees_that_are_needed():
