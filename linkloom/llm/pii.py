@@ -145,7 +145,12 @@ def more_spans(text: str | None, taken: list[tuple[int, int, str]]) -> list[tupl
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
-    busy = sorted((a, b) for a, b, _ in taken)
+    busy: list[tuple[int, int]] = []  # what is taken, as intervals in order that do not overlap
+    for a, b in sorted((a, b) for a, b, _ in taken):
+        if busy and a < busy[-1][1]:
+            busy[-1] = (busy[-1][0], max(b, busy[-1][1]))
+        else:
+            busy.append((a, b))
     digits, lower = _DIGIT.search(text) is not None, text.lower()
     for kind, (propose, prior, raises, lowers) in _PROPOSED.items():
         if not (any(w in lower for w in _SECRET_WORDS) if kind == "secret" else digits):
@@ -154,9 +159,9 @@ def more_spans(text: str | None, taken: list[tuple[int, int, str]]) -> list[tupl
             near = _context(text, a, b)
             score = prior + 0.3 * bool(raises.search(near)) - 0.2 * bool(lowers.search(near))
             k = bisect_left(busy, (b, 0))
-            if score >= LEAST and not any(y > a for _, y in busy[max(0, k - 8) : k]):
+            if score >= LEAST and not (k and busy[k - 1][1] > a):
                 found.append((a, b, kind))
-                busy.insert(bisect_left(busy, (a, b)), (a, b))
+                busy.insert(k, (a, b))
     return found
 
 

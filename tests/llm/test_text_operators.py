@@ -238,3 +238,19 @@ def test_added_spans_and_masks(spark):
     rows = pii.personal_data(docs).collect()
     assert [r["n_email"] for r in rows] == [1, 0, 0]
     assert rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_added_spans_never_overlap_base_spans():
+    text = "mail " + "".join(f"1.2.3.{k}." for k in range(9)) + "_AKIA" + "ABCDEFGHIJKLMNOP" + "@example.org end"
+    base = pii.base_spans(text)
+    assert sum(k == "ip" for _, _, k in base) == 9 and any(k == "email" for _, _, k in base)
+    assert [s for s in pii.spans(text) if s not in base] == []
+    rng = random.Random(4)
+    pieces = ["1.2.3.4", ".", "_", "a@b.org", "AKIA" + "ABCDEFGHIJKLMNOP", "+49 30 1234567", " ", "phone", "4111 1111 1111 1111", "DE89370400440532013000", "key=", "@x.org", "030 1234567", "password: hunter2x"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 30)))
+        base = pii.base_spans(text)
+        for a, b, _ in pii.more_spans(text, base):
+            assert not any(a < y and x < b for x, y, _ in base), text
+        added = sorted(pii.more_spans(text, base))
+        assert all(p[1] <= q[0] for p, q in zip(added, added[1:], strict=False)), text
