@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import cli, logs
-from linkloom.functions import robots
+from linkloom.functions import robots, urls
 from linkloom.operators import build, merge, stats, verify
-from linkloom.operators.search import Search, Target, total_pages
+from linkloom.operators.search import Search, Target, matches_link, total_pages
 from linkloom.plans import catalogue
 from linkloom.schema import INDEX
-from linkloom.sources import crawl, files, sinks, stored, warc
+from linkloom.sources import crawl, files, records, sinks, stored, warc
 from linkloom.streaming import ingest, jobs
 
 NOW, LATER = "2024-01-01T00:00:00+00:00", "2024-02-01T00:00:00+00:00"
@@ -377,7 +377,7 @@ def test_files_without_rows_and_bad_files(spark, tmp_path):
     number = log.create("files", {})
     assert ingest.run_files(spark, log, number, [f"{tmp_path}/{x}" for x in ("a.csv", "b.csv", "c.jsonl", "d.json", "e.json", "f.csv", "g.warc.gz")], index, NOW, at_once=3) == "completed"
     stats_ = log.get(number)["stats"]
-    assert (stats_["files"], stats_["errors"], stats_["inserted"]) == (7, 2, 0) and stats_["malformed_records"] == 2 and stats_["records_read"] == 3
+    assert (stats_["files"], stats_["errors"], stats_["inserted"]) == (7, 2, 0) and stats_["malformed_records"] == 2 and stats_["records_read"] == 4
     assert sorted(e["detail"].rpartition("/")[2] for e in log.errors()) == ["d.json", "f.csv"]
     got = {(r["file"].rpartition("/")[2], r["context"], r["message"]) for r in index.rejected().collect()}
     assert {("b.csv", "record", "no source_url or no target_url"), ("b.csv", "link", "an impossible port"), ("d.json", "import", "no JSON array")} <= got
@@ -433,6 +433,62 @@ def test_written_archives_are_read_back(spark, tmp_path):
     assert not (tmp_path / "out/_pending").exists() and len(list((tmp_path / "out").glob("*.warc.gz"))) == 3
 
 
+def test_pages_by_seek(spark):
+    rng = random.Random(5)
+    data = [(k, rng.choice([None, "a", "b", "B", ""]), rng.choice([None, 200, 404])) for k in range(83)]
+    index = spark.createDataFrame(data, "id long, anchor_text string, source_http_status int").withColumns({"last_seen_at": F.lit("x")}).persist()
+    for column in ("anchor_text", "source_http_status", "unknown"):
+        for descending in (True, False):
+            search = Search(sort_by=column, descending=descending)
+            pages_ = list(search.walk(index, 10))
+            assert [r["id"] for p in pages_ for r in p] == [r["id"] for r in search.sorted(index).collect()] and [len(p) for p in pages_] == [10] * 8 + [3]
+    plan = Search(sort_by="anchor_text").after(index, ("a", 5), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+    index.unpersist()
+
+
+def test_links_by_a_table_of_targets(spark):
+    wanted = [("t.com", "root_domain"), ("HTTP://www.T.com/x", "exact_hostname"), ("https://www.t.com/x", "exact_url"), ("t.com/docs", "path_prefix"), ("t.com/docs/a", "path_prefix"), ("t.com", "path_prefix"), ("u.co.uk", "anything"), ("", "root_domain"), (None, "root_domain"), ("t.com", "root_domain")]
+    links = [("https://www.t.com/x",), ("http://t.com/docs/abc",), ("http://a.t.com/doc",), ("http://nott.com/docs/a",), ("http://x.u.co.uk/",), ("https://www.t.com/X",), ("http://t.com/docs/abc",), (None,), ("",)]
+    frame = urls.with_normalized(spark.createDataFrame(links, "url string"), {"url": ("u", "h")})
+    targets = spark.createDataFrame(wanted, "target string, mode string")
+    found = verify.links_to(frame, targets, "u", "h")
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["url"], r["target"], r["mode"]) for r in found.collect())
+    by_hand = []
+    for t in dict.fromkeys(w for w in wanted if w[0] is not None):
+        hits = frame.where(matches_link(F.col("u"), Target(*t), F.col("h"))).select("url").collect()
+        by_hand += [(r["url"], *t) for r in hits]
+    assert got == sorted(by_hand) and len(got) > 10
+    page = spark.createDataFrame([("http://p/", 200, b"<a href=http://t.com/docs/abc>", None)], "url string, status int, body binary, error string").withColumn("final_url", F.lit(None).cast("string"))
+    assert {(r["target"], r["mode"]) for r in verify.matching_links(page, targets).collect()} == {("t.com", "root_domain"), ("t.com/docs", "path_prefix"), ("t.com/docs/a", "path_prefix"), ("t.com", "path_prefix")}
+
+
+def test_a_list_keeps_its_order(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("http://b/\n\n http://a/ \nhttp://b/\nhttp://none/\n")
+    listed = records.read_list(spark, f"{tmp_path}/l.txt")
+    assert [tuple(r) for r in listed.orderBy("place").collect()] == [(0, "http://b/"), (2, "http://a/"), (3, "http://b/"), (4, "http://none/")]
+    results = spark.createDataFrame([("http://a/", "REMOVED"), ("http://b/", "LIVE_CONFIRMED")], "source_url string, verification_status string")
+    assert [tuple(r) for r in verify.in_order(listed, results).collect()] == [(0, "http://b/", "LIVE_CONFIRMED"), (2, "http://a/", "REMOVED"), (3, "http://b/", "LIVE_CONFIRMED"), (4, "http://none/", None)]
+
+
+def test_stored_verification_and_migration(spark, tmp_path):
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=8)
+    index.upsert(rows(spark, links_of(range(60))))
+    index.compact()
+    before, plain = index.manifest()["base"], index.read()
+    ids = [r["id"] for r in plain.where("normalized_target_domain = 't3.com'").limit(2).collect()]
+    results = spark.createDataFrame([(i, "REMOVED", 410, "text/html", 0, "[]", "", "c") for i in [*ids, 10**9]], "id long, verification_status string, source_http_status int, content_type string, live_backlink_present int, redirect_chain string, evidence_hash string, last_checked_at string")
+    wanted = same(verify.apply_verification(plain, results, LATER))
+    assert index.apply_verification(results, LATER) == 2 and same(index.read()) == wanted
+    assert len([u for u in before if before[u] != index.manifest()["base"].get(u)]) == 1 < len(before)
+    assert index.apply_verification(results.where("id = 1000000000"), LATER) == 0
+    legacy = spark.createDataFrame([("http://old.com/", "http://new.com/", "x"), ("http://old.com/", "http://new.com/", "y"), (None, "http://t.com/", "z")], "source string, to_url string, anchor string")
+    assert index.migrate(legacy, NOW) == 2 and index.migrate(legacy, NOW) == 0 and index.read().count() == 62
+    assert index.search(Search(target="http://new.com/", mode="exact_url")).head()["verification_status"] == "UNVERIFIED"
+    assert merge.integrity(index.read()).head() == (0, 0, 0)
+
+
 def test_robots_and_logs(tmp_path):
     text = "User-agent: *\nDisallow: /private\n"
     assert robots.can_fetch(text, "x", "http://a.com/") and not robots.can_fetch(text, "x", "http://a.com/private/1") and robots.can_fetch(None, "x", "http://a.com/private")
