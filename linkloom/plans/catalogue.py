@@ -118,6 +118,25 @@ def registrable_domain(spark, sf_dir):
     return rows.groupBy("host", urls.registrable_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("n"))
 
 
+#: Rules of all kinds, as a list of suffixes has them.
+_RULES = ("com", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "blogspot.com", "de")
+_RULED = """concat(CASE o_custkey % 4 WHEN 0 THEN 'www.' WHEN 1 THEN 'a.b.' ELSE '' END, CASE o_custkey % 5 WHEN 0 THEN '' ELSE concat('site', CAST(o_orderkey % 50 AS STRING), '.') END,
+CASE o_orderkey % 9 WHEN 0 THEN 'com' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'x.ck' WHEN 3 THEN 'www.ck' WHEN 4 THEN 'y.kawasaki.jp' WHEN 5 THEN 'city.kawasaki.jp' WHEN 6 THEN 'blogspot.com'
+WHEN 7 THEN 'unknown' ELSE 'com.au' END)"""
+
+
+@registered(f"""WITH o AS (SELECT {_RULED} AS host FROM orders), h AS (SELECT host, count(*) AS n, string_split(host, '.') AS w FROM o GROUP BY host),
+r(rule) AS (VALUES {", ".join(f"('{r}')" for r in _RULES)}), e AS (SELECT host, w, unnest(range(1, len(w) + 1)) AS k FROM h),
+m AS (SELECT host, CASE WHEN rule LIKE '!%' THEN 1000 + k - 1 ELSE k END AS k FROM e JOIN r ON rule IN (array_to_string(w[len(w) - k + 1:], '.'), '!' || array_to_string(w[len(w) - k + 1:], '.'),
+'*.' || array_to_string(w[len(w) - k + 2:], '.'))), b AS (SELECT host, max(k) % 1000 AS k FROM m GROUP BY 1)
+SELECT host, CASE WHEN k IS NULL THEN {_domain("host")} ELSE array_to_string(w[greatest(1, len(w) - k):], '.') END AS domain, n FROM h LEFT JOIN b USING (host)""")
+def public_suffixes(spark, sf_dir):
+    """Registrable domains by a list of rules with wildcards and exceptions."""
+    rows = feed.read(spark, sf_dir, "orders").select(F.expr(_RULED).alias("host"))
+    rules = urls.suffix_rules(spark.createDataFrame([(r,) for r in _RULES], "value string"))
+    return urls.with_registrable(rows, "host", "domain", rules).groupBy("host", "domain").agg(F.count("*").alias("n"))
+
+
 _HOSTS = {"Bücher.DE": "xn--bcher-kva.de", "faß.de.": "fass.de", "a..bü.de": "a..b.de", "KÖLN.example.org": "xn--kln-sna.example.org", "ascii.org": "ascii.org"}
 _HOST_CASE = " ".join(f"WHEN {k} THEN 'http://{h}:80/ä?ü'" for k, h in enumerate(_HOSTS))
 _IDNA_CASE = " ".join(f"WHEN {k} THEN 'http://{h}/ä?ü'" for k, h in enumerate(_HOSTS.values()))

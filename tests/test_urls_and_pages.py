@@ -158,3 +158,18 @@ def test_fetches_with_redirects_retries_and_limits():
     assert [fetcher.fetch(f"http://{u}")["error"] for u in ("in.org/", "loop.org/", "big.org/", "gone.org/", "a.org/no", "localhost/")] == ["blocked", "fetch", "fetch", "fetch", "blocked", "blocked"]
     assert fetcher.fetch("http://busy.org/")["status"] == 429 and slept[-3:] == [1, 2, 4]
     assert fetching.site_of("https://a.org:8/x?y") == "https://a.org:8/robots.txt"
+
+
+def test_public_suffixes(spark):
+    lines = ["// comment", "", "com", "co.uk  // two", "*.ck", "!www.ck", "uk", "kōbe.jp", "jp", "*.sch.uk"]
+    rules = urls.suffix_rules(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {r[0] for r in rules.collect()} == {"com", "co.uk", "*.ck", "!www.ck", "uk", "xn--kbe-qxa.jp", "jp", "*.sch.uk"}
+    wanted = {
+        "a.b.com": "b.com", "com": "com", "x.co.uk": "x.co.uk", "y.x.co.uk": "x.co.uk", "co.uk": "co.uk", "a.b.ck": "a.b.ck", "z.a.b.ck": "a.b.ck", "b.ck": "b.ck",
+        "www.ck": "www.ck", "a.www.ck": "www.ck", "q.xn--kbe-qxa.jp": "q.xn--kbe-qxa.jp", "w.q.xn--kbe-qxa.jp": "q.xn--kbe-qxa.jp", "a.eton.sch.uk": "a.eton.sch.uk",
+        "b.a.eton.sch.uk": "a.eton.sch.uk", "a.b.unknown": "b.unknown", "a.b.com.au": "b.com.au", "": "", "localhost": "localhost",
+    }
+    frame = spark.createDataFrame([(h,) for h in [*wanted, None]], "host string")
+    got = {r["host"]: r["d"] for r in urls.with_registrable(frame, "host", "d", rules).collect()}
+    assert got == wanted | {None: None}
+    assert urls.with_registrable(frame, "host", "d", rules.limit(0)).where("host = 'a.b.com.au'").head()["d"] == "b.com.au"
