@@ -10,6 +10,9 @@ search for one domain opens its bucket and, of the layers, the row groups of tha
 ``SHARE`` of the base, they are folded into the buckets that they touch (``compact``), where a bucket whose parts are larger than
 ``PART_BYTES`` gets more of them. So a row is written a few times in its life, whatever the index's size.
 
+Beside each layer and each rewriting of the base stand sketches of its source pages and domains and target domains, a row a bucket and
+part, and the manifest counts rows. So ``stats`` opens no row of the index.
+
 With the rows a change can commit what has been read for them (``progress``: files and records) and what was refused
 (``rejected``): both are files that the same manifest names, so they hold if and only if the rows do. ``vacuum`` deletes what only
 older manifests name; nothing is deleted before, as a slow reader may still need it."""
@@ -29,6 +32,8 @@ from linkloom.schema import INDEX, KEY, VERSION
 
 PROGRESS = "job long, file string, records long, upto long, whole boolean"
 REJECTED = "job long, file string, record long, context string, message string, detail string"
+#: What is counted by sketches: names and columns.
+SKETCHED = {"source_pages": "normalized_source_url", "source_domains": "source_domain", "target_domains": "normalized_target_domain"}
 _SORTED = ("bucket", "part", "normalized_target_domain", "normalized_source_url")
 
 
@@ -154,8 +159,30 @@ class StoredIndex:
         folders = [f"{self.path}/{f}" for f in self.manifest()["rejected"]]
         return self.spark.read.schema(REJECTED).parquet(*folders) if folders else self.spark.createDataFrame([], REJECTED)
 
+    def stats(self) -> dict[str, int] | None:
+        """Rows (null if a layer was written without counting), and about how many different source pages, source domains and target
+        domains, within some 2 %: from the manifest and from sketches alone."""
+        if not self.version():
+            return None
+        manifest = self.manifest()
+        units, layers = manifest["base"].values(), manifest["layers"]
+        known = all(x.get("inserted") is not None for x in layers)
+        out = {"backlinks": sum(u["rows"] for u in units) + sum(x["inserted"] for x in layers) if known else None}
+        wanted = [u["folder"] for u in units] + [x["folder"] for x in layers]
+        folders = sorted({f"{self.path}/sketches-{w.partition('/')[0]}" for w in wanted})
+        if not folders:
+            return out | dict.fromkeys(SKETCHED, 0)
+        rows = self.spark.read.parquet(*folders).join(self.spark.createDataFrame([(w,) for w in wanted], "folder string"), "folder", "left_semi")
+        return out | rows.agg(*(F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in SKETCHED)).head().asDict()
+
     # writing
 
+    def _sketched(self, rows: DataFrame, folder: Column, name: str) -> dict[str, int]:
+        """Sketches of written rows, by their folder; returns the rows of each."""
+        sketches = rows.groupBy(folder.alias("folder")).agg(F.count("*").alias("rows"), *(F.hll_sketch_agg(c, F.lit(12)).alias(n) for n, c in SKETCHED.items()))
+        sketches.write.option("compression", "zstd").parquet(f"{self.path}/sketches-{name}")
+        return {r[0]: r[1] for r in self.spark.read.parquet(f"{self.path}/sketches-{name}").select("folder", "rows").collect()}  # a row a bucket and part
+
     def _written(self, rows: DataFrame, kind: str) -> str:
         folder = f"{kind}-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
@@ -168,6 +195,8 @@ class StoredIndex:
         order = [c for c in _SORTED if c != "part"]
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).observe(counted, F.count("*").alias("n"))
         folder = self._written(rows, "layer")
+        if counted.get["n"]:
+            self._sketched(self.spark.read.parquet(f"{self.path}/{folder}"), F.lit(folder), folder)
         return {"folder": folder, "bytes": self._bytes(folder), "rows": counted.get["n"]}
 
     def _write_base(self, rows: DataFrame, buckets: int, parts: dict[str, int]) -> dict:
@@ -181,7 +210,11 @@ class StoredIndex:
         folder = f"base-{uuid.uuid4().hex}"
         rows.write.partitionBy("unit").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         made = [s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.path}/{folder}/unit=*")) or []]
-        return {m.removeprefix("unit="): {"folder": f"{folder}/{m}", "bytes": self._bytes(f"{folder}/{m}")} for m in made}
+        if not made:
+            return {}
+        unit = F.concat(F.lit(f"{folder}/unit="), F.col("unit"))
+        counts = self._sketched(self.spark.read.schema(f"{INDEX.simpleString()[7:-1].replace(':', ' ')}, unit string").parquet(f"{self.path}/{folder}"), unit, folder)
+        return {m.removeprefix("unit="): {"folder": f"{folder}/{m}", "bytes": self._bytes(f"{folder}/{m}"), "rows": counts[f"{folder}/{m}"]} for m in made}
 
     def replace(self, rows: DataFrame) -> int:
         """These rows, with their ids, in place of all that there is."""
@@ -204,6 +237,7 @@ class StoredIndex:
             new = {"inserted": layer["rows"], "duplicates": rows.get["n"] - layer["rows"]}
             if count and (known := self._known(before, layer)):
                 new = {"inserted": layer["rows"] - known, "duplicates": new["duplicates"] + known}
+            layer["inserted"] = new["inserted"] if count else None
             after |= {"layers": [*before["layers"], layer], "top": rows.get["top"]}
         else:
             self._fs.delete(self._path(f"{self.path}/{layer['folder']}"), True)
@@ -295,6 +329,8 @@ class StoredIndex:
             return "compacted"
         if n := run_of([x["bytes"] for x in layers]):
             folded = self._write_layer(self._layers(manifest, layers[-n:]), manifest["buckets"])
+            inserted = [x.get("inserted") for x in layers[-n:]]
+            folded["inserted"] = None if None in inserted else sum(inserted)
             self._commit(manifest | {"layers": [*layers[:-n], folded]})
             return "folded"
         return "kept"
@@ -306,7 +342,8 @@ class StoredIndex:
         """Deletes manifests before the last ``keep`` and folders that none of these names; the number of folders."""
         known = self._manifests()
         used = set().union(*(self._folders(self.manifest(v)) for v in known[-keep:]))
-        there = [s.getPath() for s in self._fs.globStatus(self._path(f"{self.path}/{{layer,progress,rejected}}-*")) or []]
+        used |= {f"sketches-{f.partition('/')[0]}" for f in used}
+        there = [s.getPath() for s in self._fs.globStatus(self._path(f"{self.path}/{{layer,progress,rejected,sketches}}-*")) or []]
         units = [s.getPath() for s in self._fs.globStatus(self._path(f"{self.path}/base-*/unit=*")) or []]
         gone = [p for p in there if p.getName() not in used] + [p for p in units if f"{p.getParent().getName()}/{p.getName()}" not in used]
         for v in known[:-keep]:

@@ -223,7 +223,7 @@ def test_stored_index_in_layers(spark, tmp_path):
     assert len([u for u in compacted["base"] if compacted["base"][u] != before["base"].get(u)]) == 1 < len(before["base"])  # one domain, one bucket
     found = index.search(Search(target="t.com"))
     assert same(found) == same(Search(target="t.com").rows(whole)) and len(found.inputFiles()) == 1
-    assert index.vacuum(keep=1) == 3 and same(index.read()) == same(whole)  # two layers and the bucket's old files
+    assert index.vacuum(keep=1) == 5 and same(index.read()) == same(whole)  # two layers and their sketches, and the bucket's old files
     (tmp_path / f"index/manifest-{index.version() + 1}.json").write_text(json.dumps(index.manifest() | {"schema": 99}))
     with pytest.raises(ValueError, match="schema version"):
         index.read()
@@ -273,6 +273,30 @@ def test_layers_read_like_one_fold(spark, tmp_path, monkeypatch, maintained):
     assert index.delete_collection("nothing") == 0
 
 
+def test_counts_without_opening_rows(spark, tmp_path):
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=4)
+    assert index.stats() is None
+    index.upsert(rows(spark, links_of(range(3000), to=700)))
+    index.upsert(rows(spark, links_of(range(2000, 4000), to=700)))
+    exact = stats.index_stats(index.read()).head().asDict()
+
+    def close():
+        got = index.stats()
+        return got["backlinks"] == exact["backlinks"] and all(abs(got[k] - exact[k]) <= 0.03 * exact[k] for k in exact)
+
+    assert close()
+    index.compact()
+    assert close()
+    index.upsert(rows(spark, links_of(range(3990, 4000), to=700)))
+    assert close()
+    for f in (tmp_path / "index").rglob("*.parquet"):
+        if not any(p.startswith("sketches-") for p in f.parts):
+            f.write_bytes(b"")  # no row can be read any more
+    assert close()
+    index.upsert(rows(spark, links_of([5000])), count=False)
+    assert index.stats()["backlinks"] is None
+
+
 def test_sizes_that_ask_for_a_fold():
     assert stored.run_of([10, 10, 10]) == 0 and stored.run_of([10, 10, 10, 10]) == 4 and stored.run_of([1000, 10, 10, 10, 10]) == 4
     assert stored.run_of([1000, 20, 1]) == 0 and stored.run_of([]) == 0
