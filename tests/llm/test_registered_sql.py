@@ -13,7 +13,7 @@ TABLES = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TABLES}/{t}.parquet'")
     found = db.execute(registry.oracle_sql()[name])
     names = [c[0] for c in found.description]
