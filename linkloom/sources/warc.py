@@ -243,7 +243,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Responses (uri, html) as archives, one a task, a gzip member a record. A file gets its name when all are written, so those
+    """Responses (uri, html, id) as archives, one a task, a gzip member a record. A file gets its name when all are written, so those
     of lost tasks are never read."""
 
     def __init__(self, path: str) -> None:
@@ -259,8 +259,8 @@ class WarcWriter(DataSourceWriter):
         name, rows = f"{uuid.uuid4().hex}.warc.gz", 0
         fs.create_dir(f"{folder}/_pending")
         with fs.open_output_stream(f"{folder}/_pending/{name}", compression=None) as out:
-            for uri, html in iterator:
-                out.write(gzip.compress(response(uri, html), mtime=0))
+            for row in iterator:
+                out.write(gzip.compress(response(*row), mtime=0))
                 rows += 1
         return Written(name if rows else None)
 
@@ -276,17 +276,19 @@ class WarcWriter(DataSourceWriter):
             fs.delete_dir(f"{folder}/_pending")
 
 
-def response(uri: str, html: str) -> bytes:
-    """An archived page."""
+def response(uri: str, html: str, record: str | None = None) -> bytes:
+    """An archived page, with the id of its record if it has one."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + (html or "").encode("utf-8", "surrogatepass")
-    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {uri or ''}\r\nContent-Type: application/http\r\nContent-Length: {len(body)}\r\n\r\n"
+    known = f"WARC-Record-ID: {record}\r\n" if record else ""
+    head = f"WARC/1.0\r\nWARC-Type: response\r\n{known}WARC-Target-URI: {uri or ''}\r\nContent-Type: application/http\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, folder: str, url: str = "url", html: str = "html") -> str:
-    """Pages as archives in a folder."""
+def write_warc(pages: DataFrame, folder: str, url: str = "url", html: str = "html", record: Column | None = None) -> str:
+    """Pages as archives in a folder. record: the ids of the records, by which captures of one url are told apart."""
     pages.sparkSession.dataSource.register(WarcSource)
-    pages.select(F.col(url).cast("string").alias("uri"), F.col(html).cast("string").alias("html")).write.format("linkloom_warc").mode("append").save(folder)
+    named = (F.lit(None) if record is None else record).cast("string").alias("record")
+    pages.select(F.col(url).cast("string").alias("uri"), F.col(html).cast("string").alias("html"), named).write.format("linkloom_warc").mode("append").save(folder)
     return folder
 
 

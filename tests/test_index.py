@@ -457,6 +457,15 @@ def test_written_archives_are_read_back(spark, tmp_path):
     assert not (tmp_path / "out/_pending").exists() and len(list((tmp_path / "out").glob("*.warc.gz"))) == 3
 
 
+def test_captures_of_one_url_are_told_apart(spark, tmp_path):
+    """Of pages with one url, those that are captured give their links, as often as they are there."""
+    page = lambda k: (k, "http://a.com/p", f"<a href=/{k % 4}>x</a>")
+    spark.createDataFrame([page(k) for k in range(20)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r["target_url"], r["n"]) for r in catalogue.QUERIES["archived_captures"](spark, str(tmp_path)).collect()}
+    wanted = [f"http://a.com/{k % 4}" for k in range(20) if k % 5 < 2]
+    assert got == {(u, wanted.count(u)) for u in wanted}
+
+
 def test_pages_by_seek(spark):
     rng = random.Random(5)
     data = [(k, rng.choice([None, "a", "b", "B", ""]), rng.choice([None, 200, 404])) for k in range(83)]
