@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.links import evidence_hash
 from linkloom.schema import INDEX, KEY, VERSION
 
 #: What a later row of the same key replaces: always, where it is not null, where it is not empty.
@@ -17,20 +18,31 @@ PLACES = ("normalized_target_domain", "normalized_target_hostname", "source_doma
 
 def fold(rows: DataFrame, order: Column, placed: bool = False) -> DataFrame:
     """One row for each key: the first one's columns, but for those that later rows replace. Every part is a
-    minimum or maximum, so tasks fold their own rows before the one shuffle; rows of one key and one order are
-    told apart by all their columns. placed: the hosts and domains of all rows are those of their urls, so rows are grouped by
-    them too, and filters and counts of hosts and domains pass below the fold."""
-    by = (*KEY, *PLACES) if placed else KEY
-    first = [f.name for f in INDEX if f.name not in (*by, *REPLACED, *IF_KNOWN, *IF_FILLED)]
-    rows = rows.withColumn("_order", F.struct(order.alias("o"), F.xxhash64(*(f.name for f in INDEX)).alias("h")))
+    minimum or maximum; rows of one key and one order are told apart by all their columns. Rows go through the one shuffle as they
+    are, each column once, and are folded behind it: tasks that folded before would sort whole rows, which few of them
+    share a key with, and spill. placed: the hosts, domains and evidence of all rows are those that ``build_links`` gave their urls,
+    so rows are grouped by hosts and domains too, filters and counts of these pass below the fold, and the evidence
+    is that of the last row, reckoned behind the fold."""
+    by = (*KEY, *(c for c in PLACES if c != "target_hostname")) if placed else KEY
+    later = ("evidence_hash",) if placed else ()
+    own = {"target_hostname": F.col("normalized_target_hostname")} if placed else {}
+    first = [f.name for f in INDEX if f.name not in ("id", *by, *own, *REPLACED, *IF_KNOWN, *IF_FILLED)]
+    names = [f.name for f in INDEX if f.name not in (*own, *later)]
+    number = F.struct(order.alias("o"), F.xxhash64(*names).alias("h"))
+    rows = rows.select(*names, number.alias("_order")).repartition(*KEY)
+    last = lambda c: F.max_by(c, "_order").alias(c)
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)
+    found = [F.max_by(F.struct("collection", "record_filename"), "_order").alias("e")] if placed else []
     # a number first: rows are sorted by it, and by the long urls behind it only where it is the same
     out = rows.groupBy(F.xxhash64(*KEY).alias("_key"), *by).agg(
-        F.min_by(F.struct(*first), "_order").alias("a"), F.max_by(F.struct(*REPLACED), "_order").alias("b"),
-        *map(known, IF_KNOWN), *map(filled, IF_FILLED),
+        F.min_by("id", "_order").alias("id"), F.min_by(F.struct(*first), "_order").alias("a"), *map(last, REPLACED), *map(known, IF_KNOWN),
+        *(filled(c) for c in IF_FILLED if c not in later), *found,
     )
-    return out.select(*by, "a.*", "b.*", *IF_KNOWN, *IF_FILLED).select(*(f.name for f in INDEX))
+    if placed:
+        own["evidence_hash"] = evidence_hash(F.col("normalized_source_url"), F.col("normalized_target_url"), F.col("e.collection"), F.col("e.record_filename"))
+    own |= {c: F.col(f"a.{c}") for c in first}
+    return out.select(*(own.get(f.name, F.col(f.name)).alias(f.name) for f in INDEX))
 
 
 def upsert(index: DataFrame | None, batch: DataFrame) -> DataFrame:

@@ -51,6 +51,18 @@ def test_build_and_upsert(spark):
     assert merge.delete_collection(both.withColumn("collection", F.lit("x")), "x").count() == 0
 
 
+def test_rows_are_folded_behind_the_shuffle(spark):
+    """No task sorts whole rows before the shuffle, evidence is not part of it, and filters of hosts and domains pass below it."""
+    index = merge.upsert(None, rows(spark, DATA))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "200")
+    plan = index.where("source_domain = 'a.com'")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    below = plan[plan.index("Exchange hashpartitioning(normalized_source_url") :]
+    assert "Aggregate" not in below and "sha2" not in below and "Filter" in below and "sha2" in plan
+    last = {r["evidence_hash"] for r in rows(spark, DATA).collect()}
+    assert {r["evidence_hash"] for r in index.collect()} <= last
+
+
 def test_search(spark):
     index = merge.upsert(None, rows(spark, DATA)).persist()
     find = lambda **o: sorted(r["source_url"] for r in Search(**o).rows(index).collect())
