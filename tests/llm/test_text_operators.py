@@ -161,6 +161,20 @@ def test_few_labels_on_many_documents(spark, monkeypatch):
     assert caught[::5].mean() > 0.9 and caught.mean() < 0.22
 
 
+def test_threshold_of_all_labelled_rows(spark):
+    """However few rows the trees draw, the threshold keeps its share of all labelled good texts, and is the best that does."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(30, 80)))
+    rows = [(k, t if k % 5 else t.upper().replace(" ", "!!### "), "en", None, 1, "k") for k, t in ((k, text()) for k in range(1500))]
+    labels = spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(1500)], "doc_id long, quality int")
+    forest, limit = quality_rules.fitted(spark.createDataFrame(rows, DOCS), labels, label_rows=30)
+    score = forest.score(quality_rules.measured([r[1] for r in rows])[1])
+    good = np.arange(1500) % 5 > 0
+    best = max((score[~good] > t).mean() + (score[good] <= t).mean() for t in score if (score[good] <= t).mean() >= quality_rules.KEEP)
+    assert (score[good] <= limit).mean() >= quality_rules.KEEP
+    assert (score[~good] > limit).mean() + (score[good] <= limit).mean() >= best - 0.002
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
