@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import evidence_hash
+from linkloom.functions.urls import registrable_domain
 from linkloom.schema import INDEX, KEY, VERSION
 
 #: What a later row of the same key replaces: always, where it is not null, where it is not empty.
 REPLACED = ("last_seen_at", "verification_status", "live_backlink_present", "updated_at")
 IF_KNOWN = ("source_http_status", "last_checked_at")
 IF_FILLED = ("redirect_chain", "evidence_hash")
-#: What follows from the urls of the key, in rows that ``build_links`` made.
-PLACES = ("normalized_target_domain", "normalized_target_hostname", "source_domain", "source_hostname", "target_hostname")
 
 
 def fold(rows: DataFrame, order: Column, placed: bool = False) -> DataFrame:
@@ -21,15 +20,19 @@ def fold(rows: DataFrame, order: Column, placed: bool = False) -> DataFrame:
     minimum or maximum; rows of one key and one order are told apart by all their columns. Rows go through the one shuffle as they
     are, each column once, and are folded behind it: tasks that folded before would sort whole rows, which few of them
     share a key with, and spill. placed: the hosts, domains and evidence of all rows are those that ``build_links`` gave their urls,
-    so rows are grouped by hosts and domains too, filters and counts of these pass below the fold, and the evidence
-    is that of the last row, reckoned behind the fold."""
-    by = (*KEY, *(c for c in PLACES if c != "target_hostname")) if placed else KEY
+    so rows are grouped by hosts too, filters and counts of hosts and domains pass below the fold, and domains and the evidence,
+    that of the last row, are reckoned behind the fold and not shuffled."""
+    hosts = ("normalized_target_hostname", "source_hostname") if placed else ()
+    by = (*KEY, *hosts)
+    own = {} if not placed else {
+        "target_hostname": F.col("normalized_target_hostname"), "normalized_target_domain": registrable_domain(F.col("normalized_target_hostname")),
+        "source_domain": registrable_domain(F.col("source_hostname")),
+    }
     later = ("evidence_hash",) if placed else ()
-    own = {"target_hostname": F.col("normalized_target_hostname")} if placed else {}
     first = [f.name for f in INDEX if f.name not in ("id", *by, *own, *REPLACED, *IF_KNOWN, *IF_FILLED)]
     names = [f.name for f in INDEX if f.name not in (*own, *later)]
-    number = F.struct(order.alias("o"), F.xxhash64(*names).alias("h"))
-    rows = rows.select(*names, number.alias("_order")).repartition(*KEY)
+    rows = rows.select(*names, order.alias("_o"), F.xxhash64(*names).alias("_h")).repartition(*KEY)
+    rows = rows.select(*names, F.struct("_o", "_h").alias("_order"))
     last = lambda c: F.max_by(c, "_order").alias(c)
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)

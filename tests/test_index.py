@@ -22,6 +22,23 @@ def rows(spark, data, as_of=NOW, **more):
     return build.build_links(feed, as_of, arrival=F.col("id"), **more)
 
 
+def _nodes(node):
+    yield node
+    children = node.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))
+
+
+def test_the_fold_shuffles_no_derived_columns(spark):
+    """Domains and evidence follow from what is shuffled, and methods too large to be compiled are not made."""
+    plan = merge.upsert(None, rows(spark, DATA))._jdf.queryExecution().optimizedPlan()
+    dealt = [n for n in _nodes(plan) if n.nodeName() == "RepartitionByExpression"]
+    names = {dealt[0].output().apply(k).name() for k in range(dealt[0].output().size())}
+    assert len(dealt) == 1 and {"normalized_source_url", "source_hostname", "anchor_text"} <= names
+    assert not names & {"normalized_target_domain", "source_domain", "target_hostname", "evidence_hash"}
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 DATA = [
     ("http://a.com/1", "https://www.T.com:443/x#f", "one", ""), ("http://a.com/1", "https://www.t.com/x", "two", ""), ("http://b.org/", "http://t.com/docs/a_b", "", "nofollow"),
     ("http://b.org/2", "http://nott.com/", "three", "ugc"), ("http://b.org/3", "http://h:99999/", "bad", ""), ("", "http://t.com/", "none", ""), ("http://c.co.uk/", "http://t.com.evil.org/?u=t.com", "look", "noopener"),
