@@ -88,6 +88,27 @@ def test_gradient_of_the_risk(monkeypatch):
     assert signs == {True, False}  # both cases are met
 
 
+def test_quality_model_sees_all_rows(spark, monkeypatch):
+    """With few rows a fit: classes, the prior and the cut are counted over all texts, however these are dealt out."""
+    monkeypatch.setattr(quality_pu, "FIT_ROWS", 300)
+    rng = random.Random(8)
+    text = lambda good: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) + (rng.choice(".,;!?#|") if rng.random() > good else "") for _ in range(rng.randint(30, 200)))
+    rows = [(k, text(0.95 if k % 2 else rng.uniform(0.2, 0.8))) for k in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 1400) if k % 3], "doc_id long, quality int")
+    model = quality_pu.fitted(docs, labels)
+    x = quality_pu.measured([t for _, t in rows])[1]
+    z = model.logit(x)
+    assert abs((z >= 0).mean() - model.prior) < 0.004
+    assert 0.4 < model.prior < 0.62 and (z[1::2] >= 0).mean() > 0.9 > 0.15 > (z[::2] >= 0).mean()
+    for j, name in enumerate(quality_pu.NAMES):
+        if name in ("log_words", "mean_word"):  # of many values, few of them equal
+            shares = (x[:, j][:, None] <= model.edges[j]).mean(0)
+            assert np.abs(shares - np.linspace(0, 1, len(shares) + 2)[1:-1]).max() < 0.01, name
+    again = quality_pu.fitted(docs.repartition(7), labels)
+    assert np.allclose(again.weights, model.weights) and abs(again.bias - model.bias) < 1e-9
+
+
 def test_all_links_of_an_exact_search(spark):
     """Near copies around the threshold; an index of rare shingles finds every pair that can be similar."""
     rng = random.Random(6)
