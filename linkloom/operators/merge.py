@@ -15,13 +15,14 @@ IF_KNOWN = ("source_http_status", "last_checked_at")
 IF_FILLED = ("redirect_chain", "evidence_hash")
 
 
-def fold(rows: DataFrame, order: Column, placed: bool = False) -> DataFrame:
+def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, Column] | None = None) -> DataFrame:
     """One row for each key: the first one's columns, but for those that later rows replace. Every part is a
     minimum or maximum; rows of one key and one order are told apart by all their columns. Rows go through the one shuffle as they
     are, each column once, and are folded behind it: tasks that folded before would sort whole rows, which few of them
     share a key with, and spill. placed: the hosts, domains and evidence of all rows are those that ``build_links`` gave their urls,
     so rows are grouped by hosts too, filters and counts of hosts and domains pass below the fold, and domains and the evidence,
-    that of the last row, are reckoned behind the fold and not shuffled."""
+    that of the last row, are reckoned behind the fold and not shuffled. near: values by name that follow from the key; rows with the
+    same ones come out in one task, so that who writes them by these needs no second shuffle."""
     hosts = ("normalized_target_hostname", "source_hostname") if placed else ()
     by = (*KEY, *hosts)
     own = {} if not placed else {
@@ -31,14 +32,14 @@ def fold(rows: DataFrame, order: Column, placed: bool = False) -> DataFrame:
     later = ("evidence_hash",) if placed else ()
     first = [f.name for f in INDEX if f.name not in ("id", *by, *own, *REPLACED, *IF_KNOWN, *IF_FILLED)]
     names = [f.name for f in INDEX if f.name not in (*own, *later)]
-    rows = rows.select(*names, order.alias("_o"), F.xxhash64(*names).alias("_h")).repartition(*KEY)
-    rows = rows.select(*names, F.struct("_o", "_h").alias("_order"))
+    rows = rows.select(*names, order.alias("_o"), F.xxhash64(*names).alias("_h"), *(v.alias(c) for c, v in (near or {}).items()))
+    rows = rows.repartition(*(near or KEY)).select(*names, *(near or {}), F.struct("_o", "_h").alias("_order"))
     last = lambda c: F.max_by(c, "_order").alias(c)
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)
     found = [F.max_by(F.struct("collection", "record_filename"), "_order").alias("e")] if placed else []
     # a number first: rows are sorted by it, and by the long urls behind it only where it is the same
-    out = rows.groupBy(F.xxhash64(*KEY).alias("_key"), *by).agg(
+    out = rows.groupBy(*(near or {}), F.xxhash64(*KEY).alias("_key"), *by).agg(
         F.min_by("id", "_order").alias("id"), F.min_by(F.struct(*first), "_order").alias("a"), *map(last, REPLACED), *map(known, IF_KNOWN),
         *(filled(c) for c in IF_FILLED if c not in later), *found,
     )

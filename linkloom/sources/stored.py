@@ -63,6 +63,8 @@ class StoredIndex:
     BUCKETS = 64
     #: Bytes of layers, as a share of the base's, beyond which they are folded into it.
     SHARE = 0.25
+    #: Tasks that a bucket of new rows is dealt to at most, by a hash of the page.
+    DEALT = 16
     #: Bytes of a part of a bucket beyond which it is cut.
     PART_BYTES = 1 << 30
 
@@ -103,6 +105,10 @@ class StoredIndex:
     def _bucket(self, domain: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(domain), F.lit(buckets)).cast("int")
 
+    def _near(self, buckets: int) -> dict[str, Column]:
+        """By what the fold of new rows, whose domains follow from their urls, deals them, so that they are written as they come out."""
+        return {"_bucket": self._bucket(F.col("normalized_target_domain"), buckets), "_dealt": F.pmod(F.xxhash64("normalized_source_url"), F.lit(self.DEALT)).cast("int")}
+
     def _base(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame | None:
         folders = [u["folder"] for k, u in manifest["base"].items() if buckets is None or int(k.partition("-")[0]) in buckets]
         return merge.upgraded(self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)), manifest["schema"]) if folders else None
@@ -188,25 +194,26 @@ class StoredIndex:
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         return folder
 
-    def _write_layer(self, rows: DataFrame, buckets: int) -> dict:
-        """A layer of one row a key, in as few files as its size asks for."""
+    def _write_layer(self, rows: DataFrame, buckets: int, dealt: bool = False) -> dict:
+        """A layer of one row a key, in as few files as its size asks for. dealt: rows of a bucket are in few tasks as they come."""
         counted = Observation()
         rows = rows.select(*INDEX.names, self._bucket(F.col("normalized_target_domain"), buckets).alias("bucket"))
         order = [c for c in _SORTED if c != "part"]
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).observe(counted, F.count("*").alias("n"))
+        rows = (rows if dealt else rows.repartitionByRange(*order)).sortWithinPartitions(*order).observe(counted, F.count("*").alias("n"))
         folder = self._written(rows, "layer")
         if counted.get["n"]:
             self._sketched(self.spark.read.parquet(f"{self.path}/{folder}"), F.lit(folder), folder)
         return {"folder": folder, "bytes": self._bytes(folder), "rows": counted.get["n"]}
 
-    def _write_base(self, rows: DataFrame, buckets: int, parts: dict[str, int]) -> dict:
-        """New folders of the base, by bucket and part."""
+    def _write_base(self, rows: DataFrame, buckets: int, parts: dict[str, int], dealt: bool = False) -> dict:
+        """New folders of the base, by bucket and part. dealt: rows of a bucket are in few tasks as they come."""
         rows = rows.select(*INDEX.names, self._bucket(F.col("normalized_target_domain"), buckets).alias("bucket"))
         several = F.lit(1)
         for k, n in parts.items():
             several = F.when(F.col("bucket") == int(k), n).otherwise(several)
         rows = rows.withColumn("part", F.pmod(F.xxhash64("normalized_source_url", "normalized_target_url"), several).cast("int"))
-        rows = rows.repartitionByRange(*_SORTED).sortWithinPartitions(*_SORTED).withColumn("unit", F.concat_ws("-", "bucket", "part")).drop("bucket", "part")
+        rows = (rows if dealt else rows.repartitionByRange(*_SORTED)).withColumn("unit", F.concat_ws("-", "bucket", "part"))
+        rows = rows.sortWithinPartitions("unit", *_SORTED[2:]).drop("bucket", "part")  # the writer asks for units one after the other
         folder = f"base-{uuid.uuid4().hex}"
         rows.write.partitionBy("unit").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         made = [s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.path}/{folder}/unit=*")) or []]
@@ -218,20 +225,28 @@ class StoredIndex:
 
     def replace(self, rows: DataFrame) -> int:
         """These rows, with their ids, in place of all that there is."""
+        return self._replaced(rows, False)
+
+    def fill(self, batch: DataFrame) -> int:
+        """The fold of rows of ``build_links``, whose ids are their order of arrival, in place of all that there is: by one shuffle."""
+        return self._replaced(merge.fold(batch, F.col("id"), placed=True, near=self._near(self.buckets)), True)
+
+    def _replaced(self, rows: DataFrame, dealt: bool) -> int:
         top = Observation()
-        base = self._write_base(rows.observe(top, F.max("id").alias("top")), self.buckets, {})
+        base = self._write_base(rows.observe(top, F.max("id").alias("top")), self.buckets, {}, dealt)
         highest = -1 if (t := top.get["top"]) is None else t
         return self._commit(self.manifest() | {"buckets": self.buckets, "parts": {}, "base": base, "layers": [], "top": highest})
 
-    def upsert(self, batch: DataFrame, progress: DataFrame | None = None, rejected: DataFrame | None = None, count: bool = True) -> dict[str, int]:
+    def upsert(self, batch: DataFrame, progress: DataFrame | None = None, rejected: DataFrame | None = None, count: bool = True, placed: bool = False) -> dict[str, int]:
         """Merges rows whose ids are their order of arrival, and commits the progress and the refused records with them.
         Returns how many keys are new, how many rows not; for that the keys of the batch's buckets are read. Without
-        ``count`` nothing of the index is read, and the numbers are of the batch's keys and its other rows."""
+        ``count`` nothing of the index is read, and the numbers are of the batch's keys and its other rows. placed: all rows are as
+        ``build_links`` made them (see ``merge.fold``)."""
         before = self.manifest()
         rows, new = Observation(), {"inserted": 0, "duplicates": 0}
         start = before["top"] + 1
         ids = batch.withColumn("id", F.col("id") + F.lit(start)).observe(rows, F.count("*").alias("n"), F.max("id").alias("top"))
-        layer = self._write_layer(merge.fold(ids, F.col("id")), before["buckets"])
+        layer = self._write_layer(merge.fold(ids, F.col("id"), placed, self._near(before["buckets"])), before["buckets"], True)
         after = dict(before)
         if layer["rows"]:
             new = {"inserted": layer["rows"], "duplicates": rows.get["n"] - layer["rows"]}

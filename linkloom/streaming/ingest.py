@@ -122,7 +122,7 @@ def _merge(
         rejected = wrong.select(F.lit(job_id).cast("long").alias("job"), name.alias("file"), F.col("place").alias("record"), context.alias("context"), record.alias("message"), detail.alias("detail"))
         progress = rows.sparkSession.createDataFrame(done, PROGRESS).coalesce(1)
         some = any(r["malformed"] or r["bad"] for r in seen) or not wrong.isEmpty()
-        counts = index.upsert(batch, progress, rejected if some else None)
+        counts = index.upsert(batch, progress, rejected if some else None, placed=True)
     finally:
         rows.unpersist()
     total = lambda c: sum(r[c] or 0 for r in seen)

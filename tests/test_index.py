@@ -302,6 +302,21 @@ def test_layers_read_like_one_fold(spark, tmp_path, monkeypatch, maintained):
     assert index.delete_collection("nothing") == 0
 
 
+def test_filled_by_one_shuffle(spark, tmp_path):
+    """Rows are written as the fold deals them, so a bucket is in few files and no row is shuffled again."""
+    batch = rows(spark, links_of(range(900), to=70))
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=4)
+    plan = merge.fold(batch, F.col("id"), True, index._near(4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_bucket") == plan.count("Exchange") == 1
+    index.fill(batch)
+    assert same(index.read()) == same(merge.upsert(None, batch))
+    domain = batch.head()["normalized_target_domain"]
+    assert same(index.read(domain)) == same(merge.upsert(None, batch).where(F.col("normalized_target_domain") == domain))
+    index.upsert(rows(spark, links_of(range(500, 1200), to=70), LATER), placed=True)
+    both = batch.unionByName(rows(spark, links_of(range(500, 1200), to=70), LATER).withColumn("id", F.col("id") + 900))
+    assert same(index.read().drop("id")) == same(merge.fold(both, F.col("id")).drop("id"))
+
+
 def test_counts_without_opening_rows(spark, tmp_path):
     index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=4)
     assert index.stats() is None
