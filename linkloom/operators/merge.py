@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import evidence_hash
@@ -13,16 +13,29 @@ from linkloom.schema import INDEX, KEY, VERSION
 REPLACED = ("last_seen_at", "verification_status", "live_backlink_present", "updated_at")
 IF_KNOWN = ("source_http_status", "last_checked_at")
 IF_FILLED = ("redirect_chain", "evidence_hash")
+#: Rows that a task behind a shuffle sorts, so long as there are fewer than ``TASKS`` such tasks. To so many Spark writes rows as they
+#: come; for more of them tasks before the shuffle gather theirs in memory, and spill what is too much.
+TASK_ROWS, TASKS = 200_000, 200
 
 
-def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, Column] | None = None) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Tasks that sort so many rows in memory; None where the session's own number of partitions does."""
+    own, wanted = int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, -(-rows // TASK_ROWS))
+    return wanted if wanted > (own if own <= TASKS else spark.sparkContext.defaultParallelism) else None
+
+
+def dealt(rows: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    return rows.repartition(*by) if tasks is None else rows.repartition(tasks, *by)
+
+
+def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, Column] | None = None, tasks: int | None = None) -> DataFrame:
     """One row for each key: the first one's columns, but for those that later rows replace. Every part is a
     minimum or maximum; rows of one key and one order are told apart by all their columns. Rows go through the one shuffle as they
     are, each column once, and are folded behind it: tasks that folded before would sort whole rows, which few of them
     share a key with, and spill. placed: the hosts, domains and evidence of all rows are those that ``build_links`` gave their urls,
     so rows are grouped by hosts too, filters and counts of hosts and domains pass below the fold, and domains and the evidence,
     that of the last row, are reckoned behind the fold and not shuffled. near: values by name that follow from the key; rows with the
-    same ones come out in one task, so that who writes them by these needs no second shuffle."""
+    same ones come out in one task, so that who writes them by these needs no second shuffle. tasks: how many fold (``tasks_for``)."""
     hosts = ("normalized_target_hostname", "source_hostname") if placed else ()
     by = (*KEY, *hosts)
     own = {} if not placed else {
@@ -33,7 +46,7 @@ def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, C
     first = [f.name for f in INDEX if f.name not in ("id", *by, *own, *REPLACED, *IF_KNOWN, *IF_FILLED)]
     names = [f.name for f in INDEX if f.name not in (*own, *later)]
     rows = rows.select(*names, order.alias("_o"), F.xxhash64(*names).alias("_h"), *(v.alias(c) for c, v in (near or {}).items()))
-    rows = rows.repartition(*(near or KEY)).select(*names, *(near or {}), F.struct("_o", "_h").alias("_order"))
+    rows = dealt(rows, tasks, *(near or KEY)).select(*names, *(near or {}), F.struct("_o", "_h").alias("_order"))
     last = lambda c: F.max_by(c, "_order").alias(c)
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)
@@ -49,13 +62,13 @@ def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, C
     return out.select(*(own.get(f.name, F.col(f.name)).alias(f.name) for f in INDEX))
 
 
-def upsert(index: DataFrame | None, batch: DataFrame) -> DataFrame:
+def upsert(index: DataFrame | None, batch: DataFrame, tasks: int | None = None) -> DataFrame:
     """The index with a batch of ``build_links`` whose ids are its order of arrival; new keys get ids above the index's."""
     if index is None:
-        return fold(batch, F.col("id"), placed=True)
+        return fold(batch, F.col("id"), placed=True, tasks=tasks)
     top = index.agg(F.max("id")).head()[0] or 0
     later = batch.withColumn("id", F.col("id") + F.lit(top + 1))
-    return fold(index.unionByName(later), F.col("id"))
+    return fold(index.unionByName(later), F.col("id"), tasks=tasks)
 
 
 def insert_counts(index: DataFrame | None, batch: DataFrame, compat: bool = False) -> DataFrame:

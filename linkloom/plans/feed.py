@@ -62,5 +62,10 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("seen_at", "status", "live")
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """How many tasks fold the feed; its rows are counted from the files' footers."""
+    return merge.tasks_for(spark, read(spark, sf_dir, "lineitem").count())
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.upsert(None, rows(spark, sf_dir))
+    return merge.upsert(None, rows(spark, sf_dir), tasks(spark, sf_dir))

@@ -9,7 +9,7 @@ from linkloom import cli, logs
 from linkloom.functions import robots, urls
 from linkloom.operators import build, merge, stats, verify
 from linkloom.operators.search import Search, Target, matches_link, total_pages
-from linkloom.plans import catalogue
+from linkloom.plans import catalogue, feed
 from linkloom.schema import INDEX
 from linkloom.sources import crawl, files, records, sinks, stored, warc
 from linkloom.streaming import ingest, jobs
@@ -80,6 +80,25 @@ def test_rows_are_folded_behind_the_shuffle(spark):
     assert {r["evidence_hash"] for r in index.collect()} <= last
 
 
+def test_tasks_of_the_fold_grow_with_its_rows(spark, monkeypatch):
+    """However few partitions the session asks for, a task sorts no more rows; beyond what Spark deals without gathering it stays at that."""
+    assert merge.tasks_for(spark, 0) is merge.tasks_for(spark, 4 * merge.TASK_ROWS) is None
+    assert merge.tasks_for(spark, 9 * merge.TASK_ROWS + 1) == 10 and merge.tasks_for(spark, 10**9) == merge.TASKS
+    small = "/root/testdata/sf0.001"
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan()
+    assert [n.optNumPartitions().isDefined() for n in _nodes(plan(feed.index(spark, small))) if n.nodeName() == "RepartitionByExpression"] == [False]
+    whole = same(feed.index(spark, small))
+    monkeypatch.setattr(merge, "TASK_ROWS", 500)
+    index, n = feed.index(spark, small), -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 500)
+    assert [x.optNumPartitions().get() for x in _nodes(plan(index)) if x.nodeName() == "RepartitionByExpression"] == [n]
+    assert same(index) == whole
+    for own in ("150", "1000"):  # sessions with more
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+        found = [merge.tasks_for(spark, k * 500) for k in (2, 120, 1000)]
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert found == ([None, None, 200] if own == "150" else [None, 120, 200])
+
+
 def test_search(spark):
     index = merge.upsert(None, rows(spark, DATA)).persist()
     find = lambda **o: sorted(r["source_url"] for r in Search(**o).rows(index).collect())
