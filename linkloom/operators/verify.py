@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from linkloom.functions import html, urls
 from linkloom.operators.build import build_links, links_of_pages
+from linkloom.operators.merge import dealt
 from linkloom.operators.search import Target, matches_link
 
 
@@ -114,9 +115,12 @@ def source_list(lines: DataFrame) -> DataFrame:
     return lines.select(urls.strip(F.col("value")).alias("url")).where("url <> ''")
 
 
-def apply_verification(index: DataFrame, results: DataFrame, now: str) -> DataFrame:
-    """The index with results (id and a result's columns): all replace what was there, but an empty hash."""
+def apply_verification(index: DataFrame, results: DataFrame, now: str, tasks: int | None = None) -> DataFrame:
+    """The index with results (id and a result's columns, one row an id; ids that it lacks are left out): all replace what was there, but
+    an empty hash. tasks: how many join and sort rows (``merge.tasks_for``)."""
     new = results.select("id", *(F.col(c).alias(f"_{c}") for c in results.columns if c != "id"), F.lit(True).alias("_new"))
+    if tasks is not None:
+        index, new = dealt(index, tasks, "id"), dealt(new, tasks, "id")
     rows = index.join(new, "id", "left")
     replaced = ("verification_status", "source_http_status", "content_type", "live_backlink_present", "redirect_chain", "last_checked_at")
     take = {c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in replaced}

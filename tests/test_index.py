@@ -99,6 +99,22 @@ def test_tasks_of_the_fold_grow_with_its_rows(spark, monkeypatch):
         assert found == ([None, None, 200] if own == "150" else [None, 120, 200])
 
 
+def test_applied_results_fold_the_index_once(spark):
+    """Results of ids that the index lacks are left out, and the tasks that join do not change what comes out."""
+    query = catalogue.QUERIES["apply_verification"](spark, "/root/testdata/sf0.001")
+    found = [n for n in _nodes(query._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
+    assert sum("normalized_source_url" in n.partitionExpressions().toString() for n in found) == 1
+    index = merge.upsert(None, rows(spark, DATA))
+    results = spark.createDataFrame([(0, "REMOVED", 410), (99, "REMOVED", 410)], "id long, verification_status string, source_http_status int")
+    results = results.selectExpr("*", "'text/html' AS content_type", "0 AS live_backlink_present", "'[]' AS redirect_chain", "'' AS evidence_hash", "'c' AS last_checked_at")
+    plain, dealt = (same(verify.apply_verification(index, results, LATER, tasks)) for tasks in (None, 7))
+    assert plain == dealt and len(plain) == 4
+    changed = verify.apply_verification(index, results, LATER, 7).where("verification_status = 'REMOVED'").collect()
+    assert [(r["id"], r["source_http_status"], r["updated_at"]) for r in changed] == [(0, 410, LATER)]
+    plan = verify.apply_verification(index, results, LATER, 7)._jdf.queryExecution().optimizedPlan()
+    assert [n.optNumPartitions().get() for n in _nodes(plan) if n.nodeName() == "RepartitionByExpression" and n.partitionExpressions().toString().startswith("List(id")] == [7, 7]
+
+
 def test_search(spark):
     index = merge.upsert(None, rows(spark, DATA)).persist()
     find = lambda **o: sorted(r["source_url"] for r in Search(**o).rows(index).collect())
