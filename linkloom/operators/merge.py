@@ -16,6 +16,12 @@ IF_FILLED = ("redirect_chain", "evidence_hash")
 #: Rows that a task behind a shuffle sorts, so long as there are fewer than ``TASKS`` such tasks. To so many Spark writes rows as they
 #: come; for more of them tasks before the shuffle gather theirs in memory, and spill what is too much.
 TASK_ROWS, TASKS = 200_000, 200
+#: What goes last through the shuffle: the lengths of these differ most, and places in a row that are the same in the next one, as are
+#: those of all columns before them, take next to nothing when compressed.
+VARIED = (
+    "anchor_text", "image_alt", "source_title", "normalized_source_url", "source_url", "source_hostname", "normalized_target_url", "target_url",
+    "normalized_target_hostname",
+)
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int | None:
@@ -31,8 +37,8 @@ def dealt(rows: DataFrame, tasks: int | None, *by: str) -> DataFrame:
 def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, Column] | None = None, tasks: int | None = None) -> DataFrame:
     """One row for each key: the first one's columns, but for those that later rows replace. Every part is a
     minimum or maximum; rows of one key and one order are told apart by all their columns. Rows go through the one shuffle as they
-    are, each column once, and are folded behind it: tasks that folded before would sort whole rows, which few of them
-    share a key with, and spill. placed: the hosts, domains and evidence of all rows are those that ``build_links`` gave their urls,
+    are, each column once, and are put in order and folded behind it: tasks that folded before would sort whole rows, which few of them
+    share a key with, and spill. order: by columns of the index that do not follow from others. placed: the hosts, domains and evidence of all rows are those that ``build_links`` gave their urls,
     so rows are grouped by hosts too, filters and counts of hosts and domains pass below the fold, and domains and the evidence,
     that of the last row, are reckoned behind the fold and not shuffled. near: values by name that follow from the key; rows with the
     same ones come out in one task, so that who writes them by these needs no second shuffle. tasks: how many fold (``tasks_for``)."""
@@ -45,8 +51,8 @@ def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, C
     later = ("evidence_hash",) if placed else ()
     first = [f.name for f in INDEX if f.name not in ("id", *by, *own, *REPLACED, *IF_KNOWN, *IF_FILLED)]
     names = [f.name for f in INDEX if f.name not in (*own, *later)]
-    rows = rows.select(*names, order.alias("_o"), F.xxhash64(*names).alias("_h"), *(v.alias(c) for c, v in (near or {}).items()))
-    rows = dealt(rows, tasks, *(near or KEY)).select(*names, *(near or {}), F.struct("_o", "_h").alias("_order"))
+    rows = rows.select(*(c for c in names if c not in VARIED), *VARIED, *(v.alias(c) for c, v in (near or {}).items()))
+    rows = dealt(rows, tasks, *(near or KEY)).select(*names, *(near or {}), F.struct(order.alias("_o"), F.xxhash64(*names).alias("_h")).alias("_order"))
     last = lambda c: F.max_by(c, "_order").alias(c)
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)

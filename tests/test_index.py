@@ -99,6 +99,23 @@ def test_tasks_of_the_fold_grow_with_its_rows(spark, monkeypatch):
         assert found == ([None, None, 200] if own == "150" else [None, 120, 200])
 
 
+@pytest.mark.parametrize("placed", [True, False])
+def test_rows_go_through_the_shuffle_without_their_order(spark, placed):
+    """What tells rows apart follows from their columns and is reckoned behind the shuffle; columns of the most different lengths go last,
+    so that the places of all others are the same from row to row. Who is first and last stays as it was."""
+    plan = merge.fold(rows(spark, DATA), F.col("id"), placed)._jdf.queryExecution().optimizedPlan()
+    dealt = next(n for n in _nodes(plan) if n.nodeName() == "RepartitionByExpression").output()
+    names = [dealt.apply(k).name() for k in range(dealt.size())]
+    assert not {"_o", "_h"} & set(names)
+    last = [c for c in merge.VARIED if c in names]  # without columns of one value, which are not shuffled
+    assert names[-len(last) :] == last and {"source_hostname", "anchor_text", "target_url"} <= set(last)
+    tied = rows(spark, DATA).withColumn("id", F.lit(7).cast("long"))
+    whole = [f.name for f in INDEX if not placed or f.name not in ("target_hostname", "normalized_target_domain", "source_domain", "evidence_hash")]
+    least = {r["k"]: r["a"] for r in tied.groupBy(F.struct(*merge.KEY).alias("k")).agg(F.min_by("anchor_text", F.xxhash64(*whole)).alias("a")).collect()}
+    found = {tuple(r[c] for c in merge.KEY): r["anchor_text"] for r in merge.fold(tied, F.col("id"), placed).collect()}
+    assert found == {tuple(k): a for k, a in least.items()} and len(found) == 4
+
+
 def test_applied_results_fold_the_index_once(spark):
     """Results of ids that the index lacks are left out, and the tasks that join do not change what comes out."""
     query = catalogue.QUERIES["apply_verification"](spark, "/root/testdata/sf0.001")
