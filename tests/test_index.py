@@ -116,6 +116,16 @@ def test_rows_go_through_the_shuffle_without_their_order(spark, placed):
     assert found == {tuple(k): a for k, a in least.items()} and len(found) == 4
 
 
+@pytest.mark.parametrize("query", ["filter_status", "filter_not_live"])
+def test_filters_of_folded_values_take_one_narrow_shuffle(spark, query):
+    """What the last row says is asked behind the fold, whose one shuffle has no column that follows from others."""
+    plan = catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    dealt = [n.output() for n in _nodes(plan) if n.nodeName() == "RepartitionByExpression"]
+    names = [dealt[0].apply(k).name() for k in range(dealt[0].size())]
+    assert len(dealt) == 1 and not {"_o", "_h", "_order", "evidence_hash", "source_domain"} & set(names)
+    assert names[-len(merge.VARIED) :] == list(merge.VARIED)
+
+
 def test_applied_results_fold_the_index_once(spark):
     """Results of ids that the index lacks are left out, and the tasks that join do not change what comes out."""
     query = catalogue.QUERIES["apply_verification"](spark, "/root/testdata/sf0.001")
