@@ -84,14 +84,14 @@ def anchors_of(found: list[tuple[str | None, object]]) -> list[dict]:
 
 
 def title_of(found: list[tuple[str | None, object]]) -> str:
-    """All text that stands behind a title's start and before the next title's end."""
+    """All text that stands behind a title's start and before the next title's end, with the white space around it."""
     parts, within = [], False
     for name, value in found:
         if name == "title":
             within = value is not None
         elif name is None and within:
             parts.append(value)
-    return "".join(parts).strip()
+    return "".join(parts)
 
 
 def text_of(html: str | bytes | None) -> str:
@@ -108,12 +108,18 @@ def parse(html: str | bytes | None, base: str | None = None) -> tuple[str, list[
         a["resolved_url"] = place and place.normal()
         # a numbered host of many parts has no place in a url without its brackets
         a["hostname"] = place.host if place and ":" not in place.host else ""
-    return title_of(found), anchors
+    return title_of(found).strip(), anchors
 
 
-def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None, anchors: bool = True) -> DataFrame:
+def raw_title(html: str | bytes | None) -> str | None:
+    """The title as it stands in the page: character references are not decoded, white space stays; null of no page."""
+    return None if html is None else title_of(tokens(text_of(html).replace("&", "&amp;")))
+
+
+def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None, anchors: bool = True, raw: bool = False) -> DataFrame:
     """The kept columns of pages, with ``title`` and the array ``anchors``; their urls if a base column is named. The
-    page is a column of text or of bytes."""
+    page is a column of text or of bytes. raw: titles alone, as they stand in the page (``raw_title``)."""
+    anchors = anchors and not raw
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("title", T.StringType())])
     if anchors:
         schema = schema.add(T.StructField("anchors", T.ArrayType(T.StructType.fromDDL(f"a {LINK}")["a"].dataType)))
@@ -129,7 +135,8 @@ def parsed(pages: DataFrame, html: str, keep: list[str], base: str | None = None
                     held += size[end]
                     end += 1
                 part, at = batch.slice(at, end - at), end
-                found = list(map(parse, part.column(part.num_columns - 1).to_pylist(), part.column(part.num_columns - 2).to_pylist()))
+                texts, bases = part.column(part.num_columns - 1).to_pylist(), part.column(part.num_columns - 2).to_pylist()
+                found = [(raw_title(t), None) for t in texts] if raw else list(map(parse, texts, bases))
                 columns = [c.cast(f.type) for c, f in zip(part.columns[:-2], arrow, strict=False)]
                 columns.append(pa.array([f[0] for f in found], pa.string()))
                 if anchors:

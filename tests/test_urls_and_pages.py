@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import fetching, html, links, safety, urls
+from linkloom.plans import catalogue
 
 CASES = {
     "HTTP://User:pw@WWW.Example.COM:80": "http://www.example.com/",
@@ -85,6 +86,21 @@ def test_page_links(spark):
     assert got[0]["title"] == "A & B"
 
 
+def test_titles_are_those_of_the_sql(spark, tmp_path):
+    """A reference that was cut has no semicolon; numbered ones and line ends stay, any kind of space around goes."""
+    titles = [
+        "to &quot", "a &lt", "&gt", "&quot;q&quot;", "x&amp;&amp", "&am", "&amp;lt;", "&amp;quot", "it&#x27;s &#39", "&eacute; &nbsp;", "\u00a0 b \u3000", "\nc \n", "", "& &&", "&copy",
+    ]
+    pages = [(k, f"<html><head><title>{t}</title></head><a href='/x?a=1&amp;b'>y &quot</a>") for k, t in enumerate(titles)] + [(-1, None), (-2, "<p>none")]
+    spark.createDataFrame(pages, "page_id long, html string").withColumn("url", F.lit("http://a.org/")).write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(duckdb.execute(catalogue.ORACLES["pages_title"]).fetchall())
+    got = sorted(map(tuple, catalogue.QUERIES["pages_title"](spark, str(tmp_path)).collect()))
+    assert got == want and (0, "to &quot") in got
+    assert html.parse("<title> to &quot</title>")[0] == 'to "'  # the parser itself decodes it, as before
+
+
 def test_like_ignores_ascii_case_alone(spark):
     frame = spark.createDataFrame([("Éa_B",), ("éaxb",), ("a%b",)], "t string")
     like = lambda p: [r[0] for r in frame.select(links.sql_like(F.col("t"), p)).collect()]
