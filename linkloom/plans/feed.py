@@ -48,9 +48,13 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return table if table.rdd.getNumPartitions() >= wide else table.repartition(wide)
 
 
-def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed(spark: SparkSession, sf_dir: str, part: tuple[int, int] | None = None) -> DataFrame:
+    """All links; or those whose id leaves this rest, by this number, in the order of their ids, into which the table's
+    columns are put before texts are made of them."""
     known = read(spark, sf_dir, "lineitem").columns
     table = read(spark, sf_dir, "lineitem", *(c for c in known if c in " ".join(_SQL.values())))
+    if part is not None:
+        table = table.where(f"({_SQL['id']}) % {part[1]} = {part[0]}").orderBy(F.expr(_SQL["id"]))
     return table.selectExpr(*(f"{v} AS {k}" for k, v in _SQL.items()))
 
 

@@ -42,7 +42,8 @@ def _placed(rows: DataFrame, exact: bool) -> DataFrame:
     blocks = rows.groupBy("_path", "_block").agg(F.min("_own").alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rows = rows.join(blocks, ["_path", "_block"]).withColumn("place", F.col("_before") + F.col("_own") - F.col("_first"))
+    # a row a block is few rows: sent around, so that the file's rows stay where they are read
+    rows = rows.join(F.broadcast(blocks), ["_path", "_block"]).withColumn("place", F.col("_before") + F.col("_own") - F.col("_first"))
     return rows.drop("_path", "_block", "_own", "_first", "_before")
 
 

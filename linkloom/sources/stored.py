@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -49,6 +50,22 @@ def over(base: DataFrame, layer: DataFrame) -> DataFrame:
     return both.unionByName(layer.select(*INDEX.names).join(base.select(*KEY), list(KEY), "left_anti").select(*INDEX.names))
 
 
+def with_few(base: DataFrame, layer: DataFrame, few_later: bool) -> DataFrame:
+    """The same as ``over``, where the layer has few rows (``few_later``), or the base: the few are sent around, and the others stay
+    where they are read. Of keys that both have, the many are asked once more."""
+    few, many = (layer, base) if few_later else (base, layer)
+    here, there = ("", "_") if few_later else ("_", "")  # before names of the base and of the layer
+    both = many.join(F.broadcast(few.select(*KEY, *(F.col(c).alias(f"_{c}") for c in INDEX.names if c not in KEY), F.lit(True).alias("_few"))), list(KEY), "left")
+    old, new = (lambda c: F.col(f"{here}{c}")), (lambda c: F.col(f"{there}{c}"))
+    value = {c: old(c) if few_later else F.when(F.col("_few"), old(c)).otherwise(new(c)) for c in INDEX.names if c not in KEY}
+    value |= {c: F.when(F.col("_few"), new(c)).otherwise(old(c)) if few_later else new(c) for c in merge.REPLACED}
+    value |= {c: F.coalesce(new(c), old(c)) for c in merge.IF_KNOWN}
+    value |= {c: F.coalesce(F.nullif(new(c), F.lit("")), old(c), new(c)) for c in merge.IF_FILLED}
+    held = many.select(*KEY).join(F.broadcast(few.select(*KEY)), list(KEY), "left_semi")
+    alone = few.select(*INDEX.names).join(F.broadcast(held), list(KEY), "left_anti")
+    return both.select(*(value.get(c, F.col(c)).alias(c) for c in INDEX.names)).unionByName(alone.select(*INDEX.names))
+
+
 def run_of(sizes: list[int], least: int = 4) -> int:
     """How many of the last layers are folded into one: each is no more than twice as large as all after it; 0 if these
     are fewer than ``least``. So a byte is folded anew only when as much again has come, by and large."""
@@ -67,6 +84,8 @@ class StoredIndex:
     DEALT = 16
     #: Bytes of a part of a bucket beyond which it is cut.
     PART_BYTES = 1 << 30
+    #: Rows of layers that are sent around to those of a larger one.
+    FEW_ROWS = 100_000
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -119,9 +138,16 @@ class StoredIndex:
         return rows if domain is None else rows.where(F.col("normalized_target_domain") == domain)
 
     def _layers(self, manifest: dict, layers: list[dict], buckets: set[int] | None = None, domain: str | None = None) -> DataFrame:
-        """Layers as one: one row a key. A single one has no more."""
+        """Layers as one: one row a key. A single one has no more. If all others than the largest have few rows, it is not shuffled."""
         rows = [self._layer(x, manifest["schema"], buckets, domain) for x in layers]
-        return rows[0] if len(rows) == 1 else merge.fold(reduce(DataFrame.unionByName, rows), F.col("id"))
+        folded = lambda some: some[0] if len(some) == 1 else merge.fold(reduce(DataFrame.unionByName, some), F.col("id"))
+        large = max(range(len(layers)), key=lambda k: layers[k]["rows"])
+        if sum(x["rows"] for x in layers) - layers[large]["rows"] > self.FEW_ROWS:
+            return folded(rows)
+        out = rows[large]
+        if large:
+            out = with_few(folded(rows[:large]), out, False)
+        return with_few(out, folded(rows[large + 1 :]), True) if rows[large + 1 :] else out
 
     def _rows(self, manifest: dict, buckets: set[int] | None = None, domain: str | None = None) -> DataFrame:
         base = self._base(manifest, buckets)
@@ -237,8 +263,12 @@ class StoredIndex:
         highest = -1 if (t := top.get["top"]) is None else t
         return self._commit(self.manifest() | {"buckets": self.buckets, "parts": {}, "base": base, "layers": [], "top": highest})
 
-    def upsert(self, batch: DataFrame, progress: DataFrame | None = None, rejected: DataFrame | None = None, count: bool = True, placed: bool = False) -> dict[str, int]:
-        """Merges rows whose ids are their order of arrival, and commits the progress and the refused records with them.
+    def upsert(
+        self, batch: DataFrame, progress: DataFrame | None = None, rejected: DataFrame | Callable[[int], DataFrame | None] | None = None,
+        count: bool = True, placed: bool = False,
+    ) -> dict[str, int]:
+        """Merges rows whose ids are their order of arrival, and commits the progress and the refused records with them; a function
+        is asked for these when the batch is written, of so many keys.
         Returns how many keys are new, how many rows not; for that the keys of the batch's buckets are read. Without
         ``count`` nothing of the index is read, and the numbers are of the batch's keys and its other rows. placed: all rows are as
         ``build_links`` made them (see ``merge.fold``)."""
@@ -256,7 +286,7 @@ class StoredIndex:
             after |= {"layers": [*before["layers"], layer], "top": rows.get["top"]}
         else:
             self._fs.delete(self._path(f"{self.path}/{layer['folder']}"), True)
-        for name, more in (("progress", progress), ("rejected", rejected)):
+        for name, more in (("progress", progress), ("rejected", rejected(layer["rows"]) if callable(rejected) else rejected)):
             if more is not None:
                 after[name] = [*before[name], self._written(more, name)]
         if after != before:
@@ -275,7 +305,12 @@ class StoredIndex:
         old = [self._layer(x, before["schema"], touched).select(*KEY) for x in before["layers"]]
         if (base := self._base(before, touched)) is not None:
             old.append(base.select(*KEY))
-        return added.select(*KEY).join(reduce(DataFrame.unionByName, old), list(KEY), "left_semi").count() if old else 0
+        if not old:
+            return 0
+        new, known = added.select(*KEY), reduce(DataFrame.unionByName, old)
+        if layer["rows"] <= self.FEW_ROWS:  # these are sent to the index's keys, not those moved
+            return known.join(F.broadcast(new), list(KEY), "left_semi").distinct().count()
+        return new.join(known, list(KEY), "left_semi").count()
 
     def delete_collection(self, collection: str) -> int:
         """Deletes a collection's rows; layers go into the base first, as a row's collection is the first one's."""

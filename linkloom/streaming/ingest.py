@@ -16,13 +16,13 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkloom.operators.build import build_links
 from linkloom.schema import INDEX
-from linkloom.sources.files import expanded, parse_jsonl
+from linkloom.sources.files import expanded, kind_of, parse_jsonl
 from linkloom.sources.records import parsed_lines, read_records
 from linkloom.sources.stored import PROGRESS, StoredIndex
 from linkloom.streaming.jobs import Jobs
@@ -30,6 +30,8 @@ from linkloom.streaming.jobs import Jobs
 
 #: What a batch's rows keep of their records: which file's, where in it, where the link is in the record, what is wrong.
 _KEPT = ("_file", "place", "position", "error", "refused", "bytes")
+#: Kinds of files that are read anew by each pass over their records, which costs less than to hold all of them on disk meanwhile.
+_READ_ANEW = ("csv", "jsonl", "parquet")
 
 
 def upsert_batches(index: StoredIndex, as_of: str | Callable[[], str], collection: str = "", job: tuple[Jobs, int] | None = None, stream: str = "stream"):
@@ -90,23 +92,29 @@ class BadFile(NamedTuple):
 
 
 def _merge(
-    index: StoredIndex, records: DataFrame, as_of: str, job_id: int, paths: dict[int, str], ends: dict[int, tuple[int, int | None, bool]]
-) -> tuple[list[BadFile], dict[str, int]]:
+    index: StoredIndex, records: DataFrame, as_of: str, job_id: int, paths: dict[int, str], ends: dict[int, tuple[int, int | None, bool]],
+    anew: bool = False,
+) -> tuple[list[BadFile], dict[str, int]]:
     """Records of files, by ``_file``, as one batch of the index. ends: by file, where it began, where it ends if that is known before, and
-    whether it is then read as a whole (None: if fewer records than asked for were there). Returns files that are none, and counts."""
-    rows = build_links(records, as_of, keep=_KEPT, reason="_reason").persist()
+    whether it is then read as a whole (None: if fewer records than asked for were there). anew: records are read by each pass: one that
+    counts them, without their urls, one that writes their links, and one for what is refused, if anything is; else they are kept
+    meanwhile. Returns files that are none, and counts."""
+    rows, refused = build_links(records, as_of, keep=_KEPT, reason="_reason"), Observation()
+    rows = rows if anew else rows.persist()
     try:
         first = F.coalesce("position", F.lit(0)) == 0  # each record has one such row
         bad, malformed = F.col("place").isNull(), F.col("place").isNotNull() & F.col("error").isNotNull()
         links = F.col("error").isNull() & F.col("refused").isNull() & F.col("_reason").isNull()
         seen = rows.groupBy("_file").agg(
             F.max(F.when(bad, F.col("error"))).alias("bad"), F.count_if(first & ~bad).alias("records"), F.count_if(first & malformed).alias("malformed"),
-            F.count_if(links).alias("links"), F.max("place").alias("last"), F.max("position").alias("most"), F.sum(F.when(first, F.col("bytes"))).alias("bytes"),
+            F.max("place").alias("last"), F.max("position").alias("most"), F.sum(F.when(first, F.col("bytes"))).alias("bytes"),
             F.count_if(first & F.col("bytes").isNotNull()).alias("pages"),
         ).collect()  # one row a file of the batch
         places, positions = (1 + max((r[c] or 0 for r in seen), default=0) for c in ("last", "most"))
         number = (F.col("_file") * F.lit(places) + F.col("place")) * F.lit(positions) + F.coalesce("position", F.lit(0))
-        batch = rows.where(links).withColumn("id", number.cast("long")).select(*INDEX.names)
+        record = F.coalesce(F.col("error"), F.col("refused"), F.col("_reason"))
+        wrong = record.isNotNull() & (F.col("error").isNotNull() | F.col("refused").isNotNull() | (F.col("target_url") != ""))
+        batch = rows.observe(refused, F.count_if(wrong).alias("n")).where(links).withColumn("id", number.cast("long")).select(*INDEX.names)
         by = {r["_file"]: r for r in seen}
         done = []
         for k, path in paths.items():
@@ -115,18 +123,20 @@ def _merge(
             upto = end if end is not None else 1 + r["last"] if r and r["last"] is not None else start
             done.append((job_id, path, r["records"] if r else 0, upto, bool(whole) or bool(r and r["bad"])))
         name = F.coalesce(*(F.when(F.col("_file") == k, F.lit(p)) for k, p in paths.items()))
-        record = F.coalesce(F.col("error"), F.col("refused"), F.col("_reason"))
         context = F.when(bad, "import").when(malformed, "record").otherwise("link")
         detail = F.concat_ws(" -> ", "source_url", "target_url")
-        wrong = rows.where(record.isNotNull() & (F.col("error").isNotNull() | F.col("refused").isNotNull() | (F.col("target_url") != "")))
-        rejected = wrong.select(F.lit(job_id).cast("long").alias("job"), name.alias("file"), F.col("place").alias("record"), context.alias("context"), record.alias("message"), detail.alias("detail"))
+        rejected = rows.where(wrong).select(F.lit(job_id).cast("long").alias("job"), name.alias("file"), F.col("place").alias("record"), context.alias("context"), record.alias("message"), detail.alias("detail"))
         progress = rows.sparkSession.createDataFrame(done, PROGRESS).coalesce(1)
-        some = any(r["malformed"] or r["bad"] for r in seen) or not wrong.isEmpty()
-        counts = index.upsert(batch, progress, rejected if some else None, placed=True)
+
+        def some(written: int) -> DataFrame | None:
+            known = any(r["malformed"] or r["bad"] for r in seen)
+            return rejected if known or (refused.get["n"] if written else not rejected.isEmpty()) else None
+
+        counts = index.upsert(batch, progress, some, placed=True)
     finally:
         rows.unpersist()
     total = lambda c: sum(r[c] or 0 for r in seen)
-    counts |= {"records_read": total("records"), "malformed_records": total("malformed"), "links": total("links"), "pages": total("pages"), "bytes_downloaded": total("bytes")}
+    counts |= {"records_read": total("records"), "malformed_records": total("malformed"), "links": counts["inserted"] + counts["duplicates"], "pages": total("pages"), "bytes_downloaded": total("bytes")}
     return [BadFile(paths[r["_file"]], r["bad"]) for r in seen if r["bad"]], counts
 
 
@@ -138,7 +148,8 @@ def _merge_files(
     for k, path in enumerate(paths):
         found.append(read_records(spark, path, collection, begun.get(path, 0), most).withColumn("_file", F.lit(k)))
         ends[k] = (begun.get(path, 0), None, most is None)
-    return _merge(index, reduce(DataFrame.unionByName, found), as_of, job_id, dict(enumerate(paths)), ends)
+    anew = all(kind_of(p) in _READ_ANEW for p in paths)
+    return _merge(index, reduce(DataFrame.unionByName, found), as_of, job_id, dict(enumerate(paths)), ends, anew)
 
 
 def run_files(

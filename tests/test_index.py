@@ -363,6 +363,36 @@ def test_layers_read_like_one_fold(spark, tmp_path, monkeypatch, maintained):
         assert same(index.read()) == same(merge.fold(whole, F.col("id")))
     assert index.delete_collection("nothing") == 0
 
+@pytest.mark.parametrize("few_later", [False, True])
+def test_few_rows_are_sent_to_many(spark, few_later):
+    """Two layers merged by sending one around are their fold, and the other one is not shuffled."""
+    first = rows(spark, links_of(range(0, 60))).withColumns({"source_http_status": F.lit(200), "redirect_chain": F.lit("x"), "last_checked_at": F.when(F.col("id") % 2 == 0, NOW)})
+    last = rows(spark, links_of([*range(40, 90)], to=7), LATER, status="REMOVED").withColumns({
+        "id": F.col("id") + 1000, "source_http_status": F.when(F.col("id") % 3 == 0, 404), "anchor_text": F.lit("other"), "evidence_hash": F.when(F.col("id") % 2 == 0, "e").otherwise("")})
+    got = stored.with_few(first, last, few_later)
+    assert same(got) == same(merge.fold(first.unionByName(last), F.col("id"))) and got.count() == 90
+    nodes = [n.nodeName() for n in _nodes(got._jdf.queryExecution().sparkPlan())]
+    assert nodes.count("BroadcastHashJoin") == 3 and not {"SortMergeJoin", "ShuffledHashJoin"} & set(nodes)
+
+
+def test_records_of_datasets_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Places need no shuffle of records, a batch of datasets keeps none of them meanwhile, and what is refused is still told."""
+    spark.createDataFrame([(f"http://a.org/{k}", f"http://b{k % 3}.org/") for k in range(30)] + [("http://a.org/", "http://h:99999/")], "source_url string, target_url string") \
+        .repartition(3).write.options(header=True, compression="gzip").csv(f"{tmp_path}/0.csv")
+    read = records.read_records(spark, f"{tmp_path}/0.csv", "", 2, 20)
+    nodes = [n.nodeName() for n in _nodes(read._jdf.queryExecution().sparkPlan())]
+    assert "BroadcastHashJoin" in nodes and "SortMergeJoin" not in nodes
+    held = []
+    monkeypatch.setattr(type(read), "persist", lambda rows, *a: held.append(rows) or rows)
+    index, log = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=2), jobs.Jobs(f"{tmp_path}/state")
+    number = log.create("files", {})
+    assert ingest.run_files(spark, log, number, [f"{tmp_path}/0.csv"], index, NOW) == "completed"
+    assert index.read().count() == 30 and [r["message"] for r in index.rejected().collect()] == ["an impossible port"] and not held
+    only = f"{tmp_path}/1.csv"
+    spark.createDataFrame([("http://a.org/", "http://h:99999/")], "source_url string, target_url string").coalesce(1).write.options(header=True).csv(only)
+    ingest.run_files(spark, log, log.create("files", {}), [only], index, NOW)  # a batch without a link
+    assert index.rejected().count() == 2 and index.read().count() == 30
+
 
 def test_filled_by_one_shuffle(spark, tmp_path):
     """Rows are written as the fold deals them, so a bucket is in few files and no row is shuffled again."""
