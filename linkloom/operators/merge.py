@@ -34,14 +34,23 @@ def dealt(rows: DataFrame, tasks: int | None, *by: str) -> DataFrame:
     return rows.repartition(*by) if tasks is None else rows.repartition(tasks, *by)
 
 
-def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, Column] | None = None, tasks: int | None = None) -> DataFrame:
+def _place(url: str) -> Column:
+    """What stands in a url where hosts do, up to a colon: the host, but of numbered ones of many parts."""
+    return F.substring_index(F.substring_index(F.substring_index(url, "/", 3), "/", -1), ":", 1)
+
+
+def fold(
+    rows: DataFrame, order: Column, placed: bool = False, near: dict[str, Column] | None = None, tasks: int | None = None, apart: bool = False
+) -> DataFrame:
     """One row for each key: the first one's columns, but for those that later rows replace. Every part is a
     minimum or maximum; rows of one key and one order are told apart by all their columns. Rows go through the one shuffle as they
     are, each column once, and are put in order and folded behind it: tasks that folded before would sort whole rows, which few of them
     share a key with, and spill. order: by columns of the index that do not follow from others. placed: the hosts, domains and evidence of all rows are those that ``build_links`` gave their urls,
     so rows are grouped by hosts too, filters and counts of hosts and domains pass below the fold, and domains and the evidence,
     that of the last row, are reckoned behind the fold and not shuffled. near: values by name that follow from the key; rows with the
-    same ones come out in one task, so that who writes them by these needs no second shuffle. tasks: how many fold (``tasks_for``)."""
+    same ones come out in one task, so that who writes them by these needs no second shuffle; of placed ones only hosts that their urls
+    do not show are shuffled then. tasks: how many fold (``tasks_for``). apart: orders of a key's rows all differ, and each column is folded
+    by itself, so that those which nobody asks for are not shuffled."""
     hosts = ("normalized_target_hostname", "source_hostname") if placed else ()
     by = (*KEY, *hosts)
     own = {} if not placed else {
@@ -52,19 +61,23 @@ def fold(rows: DataFrame, order: Column, placed: bool = False, near: dict[str, C
     first = [f.name for f in INDEX if f.name not in ("id", *by, *own, *REPLACED, *IF_KNOWN, *IF_FILLED)]
     names = [f.name for f in INDEX if f.name not in (*own, *later)]
     rows = rows.select(*(c for c in names if c not in VARIED), *VARIED, *(v.alias(c) for c, v in (near or {}).items()))
-    rows = dealt(rows, tasks, *(near or KEY)).select(*names, *(near or {}), F.struct(order.alias("_o"), F.xxhash64(*names).alias("_h")).alias("_order"))
+    shown = {h: _place(u) for h, u in zip(hosts, ("normalized_target_url", "normalized_source_url"), strict=False)} if near else {}
+    rows = dealt(rows.withColumns({h: F.nullif(F.col(h), p) for h, p in shown.items()}), tasks, *(near or KEY))
+    rows = rows.withColumns({h: F.coalesce(F.col(h), p) for h, p in shown.items()})
+    rows = rows.select(*names, *(near or {}), (order if apart else F.struct(order.alias("_o"), F.xxhash64(*names).alias("_h"))).alias("_order"))
     last = lambda c: F.max_by(c, "_order").alias(c)
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     filled = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_order"))), F.lit("")).alias(c)
     found = [F.max_by(F.struct("collection", "record_filename"), "_order").alias("e")] if placed else []
     # a number first: rows are sorted by it, and by the long urls behind it only where it is the same
     out = rows.groupBy(*(near or {}), F.xxhash64(*KEY).alias("_key"), *by).agg(
-        F.min_by("id", "_order").alias("id"), F.min_by(F.struct(*first), "_order").alias("a"), *map(last, REPLACED), *map(known, IF_KNOWN),
+        F.min_by("id", "_order").alias("id"), *(F.min_by(c, "_order").alias(c) for c in (first if apart else ())),
+        *(() if apart else (F.min_by(F.struct(*first), "_order").alias("a"),)), *map(last, REPLACED), *map(known, IF_KNOWN),
         *(filled(c) for c in IF_FILLED if c not in later), *found,
     )
     if placed:
         own["evidence_hash"] = evidence_hash(F.col("normalized_source_url"), F.col("normalized_target_url"), F.col("e.collection"), F.col("e.record_filename"))
-    own |= {c: F.col(f"a.{c}") for c in first}
+    own |= {} if apart else {c: F.col(f"a.{c}") for c in first}
     return out.select(*(own.get(f.name, F.col(f.name)).alias(f.name) for f in INDEX))
 
 

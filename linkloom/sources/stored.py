@@ -140,7 +140,7 @@ class StoredIndex:
     def _layers(self, manifest: dict, layers: list[dict], buckets: set[int] | None = None, domain: str | None = None) -> DataFrame:
         """Layers as one: one row a key. A single one has no more. If all others than the largest have few rows, it is not shuffled."""
         rows = [self._layer(x, manifest["schema"], buckets, domain) for x in layers]
-        folded = lambda some: some[0] if len(some) == 1 else merge.fold(reduce(DataFrame.unionByName, some), F.col("id"))
+        folded = lambda some: some[0] if len(some) == 1 else merge.fold(reduce(DataFrame.unionByName, some), F.col("id"), apart=True)
         large = max(range(len(layers)), key=lambda k: layers[k]["rows"])
         if sum(x["rows"] for x in layers) - layers[large]["rows"] > self.FEW_ROWS:
             return folded(rows)
@@ -299,7 +299,7 @@ class StoredIndex:
         return self._commit(manifest | {"progress": [*manifest["progress"], self._written(rows, "progress")]})
 
     def _known(self, before: dict, layer: dict) -> int:
-        """How many keys of a layer the index has already."""
+        """How many keys of a layer the index has already; of many keys 128 bits are compared."""
         added = self.spark.read.parquet(f"{self.path}/{layer['folder']}").select(*KEY, "bucket")
         touched = {r[0] for r in added.select("bucket").distinct().collect()}  # one row a bucket
         old = [self._layer(x, before["schema"], touched).select(*KEY) for x in before["layers"]]
@@ -310,7 +310,8 @@ class StoredIndex:
         new, known = added.select(*KEY), reduce(DataFrame.unionByName, old)
         if layer["rows"] <= self.FEW_ROWS:  # these are sent to the index's keys, not those moved
             return known.join(F.broadcast(new), list(KEY), "left_semi").distinct().count()
-        return new.join(known, list(KEY), "left_semi").count()
+        digest = lambda rows: rows.select(F.xxhash64(*KEY).alias("a"), F.xxhash64(*reversed(KEY)).alias("b"))
+        return digest(new).join(digest(known), ["a", "b"], "left_semi").count()
 
     def delete_collection(self, collection: str) -> int:
         """Deletes a collection's rows; layers go into the base first, as a row's collection is the first one's."""

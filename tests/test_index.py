@@ -394,6 +394,23 @@ def test_records_of_datasets_stay_where_they_are_read(spark, tmp_path, monkeypat
     assert index.rejected().count() == 2 and index.read().count() == 30
 
 
+def test_a_read_of_few_columns_shuffles_these(spark, tmp_path, monkeypatch):
+    """Layers of many rows are folded by the columns that are asked for, and their keys are counted by digests."""
+    monkeypatch.setattr(stored.StoredIndex, "FEW_ROWS", 10)
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=3)
+    first, last = (rows(spark, links_of(k), t) for k, t in ((range(60), NOW), (range(40, 100), LATER)))
+    odd = rows(spark, [("http://h.com:8080//y", "//u@T1.com/z", "odd", "")], LATER).withColumn("id", F.col("id") + 500)
+    last = last.unionByName(odd)
+    assert index.upsert(first, placed=True)["inserted"] == 60 and index.upsert(last, placed=True) == {"inserted": 41, "duplicates": 20}
+    whole = merge.fold(first.unionByName(last.withColumn("id", F.col("id") + 60)), F.col("id"))
+    assert same(index.read()) == same(whole)
+    few = index.read().select("normalized_source_url", "normalized_target_domain", "anchor_text")
+    assert sorted(few.collect()) == sorted(whole.select(*few.columns).collect())
+    dealt = [n for n in _nodes(few._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
+    names = {dealt[0].output().apply(k).name() for k in range(dealt[0].output().size())}
+    assert len(dealt) == 1 and names == {"id", "normalized_source_url", "normalized_target_url", "link_type", "normalized_target_domain", "anchor_text"}
+
+
 def test_filled_by_one_shuffle(spark, tmp_path):
     """Rows are written as the fold deals them, so a bucket is in few files and no row is shuffled again."""
     batch = rows(spark, links_of(range(900), to=70))
