@@ -124,9 +124,11 @@ class StoredIndex:
     def _bucket(self, domain: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(domain), F.lit(buckets)).cast("int")
 
-    def _near(self, buckets: int) -> dict[str, Column]:
-        """By what the fold of new rows, whose domains follow from their urls, deals them, so that they are written as they come out."""
-        return {"_bucket": self._bucket(F.col("normalized_target_domain"), buckets), "_dealt": F.pmod(F.xxhash64("normalized_source_url"), F.lit(self.DEALT)).cast("int")}
+    def _near(self, buckets: int, tasks: int | None = None) -> dict[str, Column]:
+        """By what the fold of new rows, whose domains follow from their urls, deals them, so that they are written as they come out: some
+        groups for each task, so that tasks have about as much."""
+        dealt = max(self.DEALT, -(-16 * (tasks or 0) // buckets))
+        return {"_bucket": self._bucket(F.col("normalized_target_domain"), buckets), "_dealt": F.pmod(F.xxhash64("normalized_source_url"), F.lit(dealt)).cast("int")}
 
     def _base(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame | None:
         folders = [u["folder"] for k, u in manifest["base"].items() if buckets is None or int(k.partition("-")[0]) in buckets]
@@ -140,7 +142,8 @@ class StoredIndex:
     def _layers(self, manifest: dict, layers: list[dict], buckets: set[int] | None = None, domain: str | None = None) -> DataFrame:
         """Layers as one: one row a key. A single one has no more. If all others than the largest have few rows, it is not shuffled."""
         rows = [self._layer(x, manifest["schema"], buckets, domain) for x in layers]
-        folded = lambda some: some[0] if len(some) == 1 else merge.fold(reduce(DataFrame.unionByName, some), F.col("id"), apart=True)
+        tasks = merge.tasks_for(self.spark, sum(x["rows"] for x in layers))
+        folded = lambda some: some[0] if len(some) == 1 else merge.fold(reduce(DataFrame.unionByName, some), F.col("id"), tasks=tasks, apart=True)
         large = max(range(len(layers)), key=lambda k: layers[k]["rows"])
         if sum(x["rows"] for x in layers) - layers[large]["rows"] > self.FEW_ROWS:
             return folded(rows)
@@ -265,18 +268,19 @@ class StoredIndex:
 
     def upsert(
         self, batch: DataFrame, progress: DataFrame | None = None, rejected: DataFrame | Callable[[int], DataFrame | None] | None = None,
-        count: bool = True, placed: bool = False,
+        count: bool = True, placed: bool = False, size: int = 0,
     ) -> dict[str, int]:
         """Merges rows whose ids are their order of arrival, and commits the progress and the refused records with them; a function
         is asked for these when the batch is written, of so many keys.
         Returns how many keys are new, how many rows not; for that the keys of the batch's buckets are read. Without
         ``count`` nothing of the index is read, and the numbers are of the batch's keys and its other rows. placed: all rows are as
-        ``build_links`` made them (see ``merge.fold``)."""
+        ``build_links`` made them (see ``merge.fold``). size: rows of the batch, if they are known, by which tasks fold them."""
         before = self.manifest()
+        tasks = merge.tasks_for(self.spark, size)
         rows, new = Observation(), {"inserted": 0, "duplicates": 0}
         start = before["top"] + 1
         ids = batch.withColumn("id", F.col("id") + F.lit(start)).observe(rows, F.count("*").alias("n"), F.max("id").alias("top"))
-        layer = self._write_layer(merge.fold(ids, F.col("id"), placed, self._near(before["buckets"])), before["buckets"], True)
+        layer = self._write_layer(merge.fold(ids, F.col("id"), placed, self._near(before["buckets"], tasks), tasks), before["buckets"], True)
         after = dict(before)
         if layer["rows"]:
             new = {"inserted": layer["rows"], "duplicates": rows.get["n"] - layer["rows"]}

@@ -107,7 +107,7 @@ def _merge(
         links = F.col("error").isNull() & F.col("refused").isNull() & F.col("_reason").isNull()
         seen = rows.groupBy("_file").agg(
             F.max(F.when(bad, F.col("error"))).alias("bad"), F.count_if(first & ~bad).alias("records"), F.count_if(first & malformed).alias("malformed"),
-            F.max("place").alias("last"), F.max("position").alias("most"), F.sum(F.when(first, F.col("bytes"))).alias("bytes"),
+            F.count("*").alias("rows"), F.max("place").alias("last"), F.max("position").alias("most"), F.sum(F.when(first, F.col("bytes"))).alias("bytes"),
             F.count_if(first & F.col("bytes").isNotNull()).alias("pages"),
         ).collect()  # one row a file of the batch
         places, positions = (1 + max((r[c] or 0 for r in seen), default=0) for c in ("last", "most"))
@@ -132,7 +132,7 @@ def _merge(
             known = any(r["malformed"] or r["bad"] for r in seen)
             return rejected if known or (refused.get["n"] if written else not rejected.isEmpty()) else None
 
-        counts = index.upsert(batch, progress, some, placed=True)
+        counts = index.upsert(batch, progress, some, placed=True, size=sum(r["rows"] for r in seen))
     finally:
         rows.unpersist()
     total = lambda c: sum(r[c] or 0 for r in seen)

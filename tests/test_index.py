@@ -411,6 +411,17 @@ def test_a_read_of_few_columns_shuffles_these(spark, tmp_path, monkeypatch):
     assert len(dealt) == 1 and names == {"id", "normalized_source_url", "normalized_target_url", "link_type", "normalized_target_domain", "anchor_text"}
 
 
+def test_tasks_of_a_stored_batch_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    """Of a batch whose size is known, and of layers that are read, no task folds much more than its share."""
+    monkeypatch.setattr(merge, "TASK_ROWS", 10)
+    monkeypatch.setattr(stored.StoredIndex, "FEW_ROWS", 10)
+    index = stored.StoredIndex(spark, f"{tmp_path}/index", buckets=2)
+    for k in range(2):
+        index.upsert(rows(spark, links_of(range(k * 200, k * 200 + 200))), placed=True, size=200)
+        assert len(list((tmp_path / "index" / index.manifest()["layers"][k]["folder"]).glob("*.parquet"))) > 14
+    assert index.read().rdd.getNumPartitions() == 40 and index.read().count() == 400
+
+
 def test_filled_by_one_shuffle(spark, tmp_path):
     """Rows are written as the fold deals them, so a bucket is in few files and no row is shuffled again."""
     batch = rows(spark, links_of(range(900), to=70))
